@@ -1,7 +1,9 @@
 """Queries of this package, and DuckDB SQL for those that SQL can express."""
 
+from .mixing import OP2_SQL, op2_mix_sources
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op6_quality_rules
+from .secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op6_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op4_quality_classifier, op6_quality_rules)}
+ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL}
