@@ -1,9 +1,11 @@
 """Queries of this package, and DuckDB SQL for those that SQL can express."""
 
+from .decontaminate import op7_decontaminate
+from .html_extract import op3_html_extract
 from .mixing import OP2_SQL, op2_mix_sources
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op6_quality_rules
 from .secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op4_quality_classifier, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_html_extract, op4_quality_classifier, op6_quality_rules, op7_decontaminate)}
 ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL}
