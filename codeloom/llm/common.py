@@ -37,8 +37,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return path
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(there)
+    return files.makeQualified(there).toString()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
