@@ -8,7 +8,8 @@ from .ngram_join import op8_jaccard_join
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op6_quality_rules
 from .secrets import op1_secret_scan
+from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_html_extract, op4_quality_classifier, op5_lm_scoring, op6_quality_rules, op7_decontaminate, op8_jaccard_join, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_html_extract, op4_quality_classifier, op5_lm_scoring, op6_quality_rules, op7_decontaminate, op8_jaccard_join, op9_token_counts, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL}
