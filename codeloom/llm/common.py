@@ -72,25 +72,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """64-bit hashes of words, remembered per process up to a bound."""
-
-    def __init__(self, limit: int = 500_000):
-        self.limit, self.known = limit, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known, h = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            return np.fromiter((known[w] for w in words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = h(w)
-        return np.fromiter((known[w] for w in words), np.uint64, len(words))
+_BYTE = np.random.default_rng(77).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_POWERS = np.cumprod(np.append(np.ones(1, np.uint64), np.full(63, 0x9E3779B97F4A7C15, np.uint64)), dtype=np.uint64)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hash of each word (run of anything but ASCII white space), all words of a text at once."""
+    global _POWERS
+    b = np.frombuffer(raw, np.uint8)
+    space = _SPACE[b]
+    if not len(b) or space.all():
+        return np.empty(0, np.uint64)
+    first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    b, space, first = b[first[0] :], space[first[0] :], first - first[0]
+    place = np.arange(len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
+    top = int(place.max()) + 1
+    if top > len(_POWERS):
+        _POWERS = np.cumprod(np.append(np.ones(1, np.uint64), np.full(2 * top, 0x9E3779B97F4A7C15, np.uint64)), dtype=np.uint64)
+    v = _BYTE[b] * _POWERS[place]
+    v[space] = 0
+    return mix64(np.add.reduceat(v, first))
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:

@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct ``words``-word shingles. Docum
 join runs between classes. Two sets of sizes m and n with Jaccard at least t/100 overlap in at least ``ceil(t n / 100)``,
 so with shingles in one global order (rare first) their prefixes of length ``n - ceil(t n / 100) + l`` share l shingles,
 whatever l both can use. Each document picks its own l: a longer prefix is read at more cost, but then l shared shingles
-are asked for, which by Markov leaves at most 1/l of the meetings to verify. l minimises ``read + VERIFY * read / l``
-with ``read`` the other documents on the prefix's lists, estimated from a bounded table of the commonest shingles (the
+are asked for, which by Markov leaves at most 1/l of the meetings to verify. l minimises
+``POST * l + read + VERIFY * read / l`` with ``read`` the other documents on the prefix's lists, estimated from a bounded table of the commonest shingles (the
 order and l only steer cost; any order gives the same links). A pair is a candidate if it shares ``min(l, l')``.
 
 Lists of up to ``LIST`` classes yield their pairs; a longer list yields only a star, which says that all its members
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, Forest, WordHasher, components, map_arrow, mix64, read_table, stage, strings, windows
+from .common import SMALL_ROWS, Forest, components, map_arrow, mix64, read_table, stage, strings, windows, word_hashes
 
 #: Rows of the table of common shingles, meetings a verification costs, longest list that yields pairs.
-COMMON, VERIFY, LIST = 100_000, 10, 50
+COMMON, VERIFY, LIST = 100_000, 10, 200
+#: Other documents expected on the list of a shingle that isn't in the table, and cost of one more posting.
+CHANCE, POST = 0.05, 0.05
 #: Bounds of a chunk: classes, shingles.
 CHUNK, CHUNK_SHINGLES = 1_000, 2_000_000
-MOST = 4
+MOST = 8
 
 
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
@@ -59,10 +61,10 @@ def name_of(s: np.ndarray) -> int:
 
 class Shingler:
     def __init__(self, n: int):
-        self.n, self.hash = n, WordHasher()
+        self.n = n
 
     def __call__(self, text: str) -> np.ndarray:
-        return shingle_set(self.hash(text.encode().lower().split()), self.n)
+        return shingle_set(word_hashes(text.encode().lower()), self.n)
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
@@ -111,9 +113,9 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, t: int) -> tup
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         freq = np.where(common[at] == s, counts[at], 0)
     order = np.argsort(freq, kind="stable")  # ties stay in hash order
-    read = np.cumsum(np.maximum(freq[order] - 1, 0))
+    read = np.cumsum(np.where(freq[order] > 0, freq[order] - 1, CHANCE))
     most = min(MOST, need)
-    cost = [read[n - need + k - 1] * (1 + VERIFY / k) for k in range(1, most + 1)]
+    cost = [POST * k + read[n - need + k - 1] * (1 + VERIFY / k) for k in range(1, most + 1)]
     k = int(np.argmin(cost)) + 1
     return s[order[: n - need + k]], k
 
