@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 LOWER_AZ = {i: i + 32 for i in range(65, 91)}
 #: Widest table a driver may hold or broadcast without looking for another way.
 SMALL_ROWS = 100_000
+#: Most edges that one task takes up (about 100 MB in Python).
+ONE_TASK = 500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,16 +151,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest, nodes = Forest(), set()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.join(a, b)
+            nodes.update((a, b))
+    every = list(nodes)
+    for lo in range(0, len(every), 100_000):
+        some = every[lo : lo + 100_000]
+        yield pa.RecordBatch.from_pydict({"node": pa.array(some, pa.int64()), "root": pa.array([forest.find(x) for x in some], pa.int64())})
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root): the least node reachable over ``edges`` (a, b), for every node that has an edge to another.
 
-    Alternating large-star and small-star rounds over staged tables: all steps are equi-joins and minima per
-    node, so nothing is gathered in one task or on the driver but a count. Each partition first shrinks its
-    edges to a spanning star forest.
+    Each partition first shrinks its edges to a spanning star forest. What is left is finished by one task's union-find
+    if it has at most ``one_task`` edges. Beyond that, large-star and small-star rounds alternate over staged tables:
+    all steps are equi-joins and minima per node, so nothing is gathered in one task or on the driver but a count.
     """
-    import pyspark.sql.functions as F
-
-    e = stage(map_arrow(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), _contract, "a long, b long").distinct(), "cc")
+    e = stage(map_arrow(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), _contract, "a long, b long"), "cc")
+    if e.count() <= one_task:
+        return stage(map_arrow(e.coalesce(1), _roots, "node long, root long"), "cc")
     while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

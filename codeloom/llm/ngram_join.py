@@ -259,7 +259,8 @@ def compare(t: int):
                     if held:
                         yield done()
                     key, held = (root, i, j), []
-                held.append((s, chunk, weight, blob))
+                if not held or held[-1][0] != s:  # repeated rows
+                    held.append((s, chunk, weight, blob))
         if held:
             yield done()
 
@@ -273,10 +274,10 @@ def _spot(ids: np.ndarray) -> np.ndarray:
     return mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)
 
 
-def sets_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(s, size, blob) of each class in ``reps`` (doc_id, s, size). Rows pass a fixed-size bitmap of ids, then the join."""
+def unit_sets(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """``placed`` (doc_id, s, ...) with the blob of each set. Rows pass a fixed-size bitmap of ids, then the join."""
     bits = np.zeros(2**BITS, bool)
-    for r in map_arrow(reps.select("doc_id"), _spots, "p int").distinct().toLocalIterator():
+    for r in map_arrow(placed.select("doc_id"), _spots, "p int").distinct().toLocalIterator():
         bits[r["p"]] = True
     packed = np.packbits(bits)
 
@@ -292,7 +293,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([hit.column(0), pa.array([name_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "s", "blob"])
 
     found = map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, s long, blob binary")
-    return found.join(reps, ["doc_id", "s"]).dropDuplicates(["s"]).select("s", "size", "blob")
+    return found.join(F.broadcast(placed) if placed.count() <= SMALL_ROWS else placed, ["doc_id", "s"])
 
 
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,12 +311,11 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
     classes = stage(rows.where("s <> 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n_shingles").alias("n")), "classes")
     member = stage(blocks.select(F.col("node").alias("s"), "root").join(classes, "s"), "members")
-    sets = stage(sets_of(docs, member.select("doc_id", "s", "size"), words), "members")
     cut = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("parts"))
-    placed = member.select("s", "root").join(cut, "root").withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("parts")))
-    units = placed.join(sets, "s").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = stage(member.select("doc_id", "s", "size", "root").join(cut, "root").withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("parts"))), "placed")
+    units = unit_sets(docs, placed, words).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     units = units.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "s", "chunk", "size", "blob")
-    found = stage(map_arrow(units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), compare(percent), "a long, b long, d long"), "links")
+    found = stage(map_arrow(units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "s"), compare(percent), "a long, b long, d long"), "links")
 
     comp = components(found.where("b is not null").select("a", "b"))
     comp = comp.select(F.col("node").alias("s"), "root").join(classes.select("s", "doc_id"), "s")
