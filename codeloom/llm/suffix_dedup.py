@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, mix64, read_table, stage
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 SHARD, UNIT, BITE = 50_000, 2_000_000, 2_000_000
@@ -66,9 +66,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     for k in (1, 2, 4, 8, 16, 32):
         x = h[k]
         h[2 * k] = x[:-k] * _power(k) + x[k:]
-        if k in (1, 2, 8):
+        if k not in (16, 64):
             del h[k]
-    a = mix64(h[16][:n] * _power(4) + h[4][16 : 16 + n])
+    a = mix64(h[16][:n])
     place = np.arange(n)
     a[place + GRAM > end] = _TOP
     low = _sliding(np.concatenate([a, np.full(SPAN - 1, _TOP)]), SPAN, np.minimum)
@@ -87,16 +87,30 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return which, at - start, a[at], context
 
 
+#: Bytes kept of an anchor's hash (beside its bucket) and of a context's.
+FP_BYTES, CTX_BYTES = 5, 6
+
+
+def _low(x: np.ndarray, n: int) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def _wide(blob: bytes, count: int, n: int, at: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :n] = np.frombuffer(blob, np.uint8, count * n, at).reshape(count, n)
+    return out.view("<u8").ravel()
+
+
 def _pack(ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, pos: np.ndarray, fp: np.ndarray, ctx: np.ndarray) -> bytes:
-    """Documents used, then columns; places as differences in byte planes, which compress."""
+    """Documents used, then columns; places as differences in byte planes, which compress. fp, ctx: may be empty."""
     used, doc = np.unique(doc, return_inverse=True)
     planes = lambda x: np.diff(x, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return b"".join([np.array([len(used), len(doc)], "<i8").tobytes(), ids[used].tobytes(), marks[used].tobytes(), planes(doc.astype(np.int64)), planes(pos.astype(np.int64)), fp.tobytes(), ctx.tobytes()])
+    return b"".join([np.array([len(used), len(doc), len(fp)], "<i8").tobytes(), ids[used].tobytes(), marks[used].tobytes(), planes(doc.astype(np.int64)), planes(pos.astype(np.int64)), _low(fp, FP_BYTES), _low(ctx, CTX_BYTES)])
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    k, n = np.frombuffer(blob, "<i8", 2).tolist()
-    at = 16
+    k, n, hashed = np.frombuffer(blob, "<i8", 3).tolist()
+    at = 24
     out = []
     for _ in range(2):
         out.append(np.frombuffer(blob, np.int64, k, at))
@@ -105,9 +119,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     for _ in range(2):
         cols.append(np.cumsum(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<i4").ravel(), dtype=np.int64))
         at += 4 * n
-    fp = np.frombuffer(blob, np.uint64, n, at)
-    ctx = np.frombuffer(blob, np.uint64, n, at + 8 * n)
-    return [out[0][cols[0]], out[1][cols[0]], cols[1], fp, ctx]
+    return [out[0][cols[0]], out[1][cols[0]], cols[1], _wide(blob, hashed, FP_BYTES, at), _wide(blob, hashed, CTX_BYTES, at + FP_BYTES * hashed)]
 
 
 def _first_of_class(doc: np.ndarray, fp: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,10 +144,12 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             doc = np.concatenate([x[2] + s for x, s in zip(held, shift, strict=False)])
             pos, fp, ctx = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5))
             held.clear()
-            order, _, cls, first = _first_of_class(ids[doc], fp, ctx)
+            place = (fp % np.uint64(buckets)).astype(np.int64)
+            fp = fp // np.uint64(buckets) & np.uint64(2 ** (8 * FP_BYTES) - 1)
+            ctx = ctx & np.uint64(2 ** (8 * CTX_BYTES) - 1)
+            order, _, cls, first = _first_of_class(ids[doc], fp * np.uint64(buckets) + place.astype(np.uint64), ctx)
             settled = np.zeros(len(doc), bool)
             settled[order] = ids[doc][order] > first[cls]
-            place = (fp % np.uint64(buckets)).astype(np.int64)
             rows = []
             for kind, mask in ((0, ~settled), (1, settled)):
                 some = np.flatnonzero(mask)
@@ -169,7 +183,7 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(docs.where(F.length("text") > 0).where("doc_id is not null").select("doc_id", "mark", "text"), run, "bucket int, kind int, blob binary")
 
 
-def settle(packed: DataFrame) -> DataFrame:
+def settle(packed: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, mark, kind, pos, fp): contexts that are covered wholly (kind 0) and contexts still open (kind 1)."""
 
     def rows(doc, mark, pos, fp, kind):
@@ -177,7 +191,7 @@ def settle(packed: DataFrame) -> DataFrame:
             s = slice(lo, lo + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(mark[s]), pa.array(np.full(len(doc[s]), kind, np.int32)), pa.array(pos[s].astype(np.int32)), pa.array(fp[s].view(np.int64))], names=["doc_id", "mark", "kind", "pos", "fp"])
 
-    def bucket(blobs: list[bytes]):
+    def bucket(number: int, blobs: list[bytes]):
         doc, mark, pos, fp, ctx = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
         order = np.argsort(fp)
         f = fp[order]
@@ -197,32 +211,27 @@ def settle(packed: DataFrame) -> DataFrame:
         gid = np.cumsum(g) - 1
         lo, hi = np.minimum.reduceat(first, np.flatnonzero(g)), np.maximum.reduceat(first, np.flatnonzero(g))
         open_ = (lo < hi)[gid][cls] & ~covered
-        yield from rows(d[open_], mark[order][open_], pos[order][open_], f[open_], 1)
+        yield from rows(d[open_], mark[order][open_], pos[order][open_], f[open_] * np.uint64(buckets) + np.uint64(number), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for b in batches:
             for k, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if kind == 1:
-                    doc, mark, pos = _unpack_settled(blob)
+                    doc, mark, pos = _unpack(blob)[:3]
                     yield from rows(doc, mark, pos, np.zeros(len(doc), np.uint64), 0)
                     continue
                 if k != now:
                     if blobs:
-                        yield from bucket(blobs)
+                        yield from bucket(now, blobs)
                     now, blobs = k, []
                 blobs.append(blob)
         if blobs:
-            yield from bucket(blobs)
+            yield from bucket(now, blobs)
 
     return map_arrow(packed.repartition("bucket").sortWithinPartitions("bucket"), run, "doc_id long, mark long, kind int, pos int, fp long")
 
 
-def _unpack_settled(blob: bytes) -> list[np.ndarray]:
-    k, n = np.frombuffer(blob, "<i8", 2).tolist()
-    return _unpack(blob + bytes(16 * n))[:3]
-
-
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open spans, neighbours that touch joined."""
     if not len(lo):
@@ -244,7 +253,26 @@ def digest(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int, s
     return len(raw), int((hi - lo).sum()), len(lo), h.hexdigest()
 
 
-_R1 = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, text string, open array<struct<fp:long,pos:int,ctx:binary>>"
+_R1 = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, packed binary, open array<struct<fp:long,pos:int,ctx:binary>>"
+
+
+def _squeezed(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, packed): texts compressed before they are shuffled; null is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze((t or "").encode()) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "mark", "packed"])
+
+    return map_arrow(docs.select("doc_id", "mark", "text"), run, "doc_id long, mark long, packed binary")
+
+
+def _text(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 def first_pass(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -254,7 +282,7 @@ def first_pass(hits: DataFrame, docs: DataFrame) -> DataFrame:
         key, cover, open_ = None, [], []
         for b in batches:
             out = []
-            for doc, mark, kind, pos, fp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, mark, kind, pos, fp, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (doc, mark) != key:
                     key, cover, open_ = (doc, mark), [], []
                 if kind == 0:
@@ -262,18 +290,18 @@ def first_pass(hits: DataFrame, docs: DataFrame) -> DataFrame:
                 elif kind == 1:
                     open_.append((fp, pos))
                 else:
-                    raw = (text or "").encode()
+                    raw = _text(packed)
                     p = np.array(cover, np.int64)
                     lo, hi = merged(np.maximum(p - LEFT, 0), np.minimum(p + LENGTH, len(raw)))
                     spans = np.stack([lo, hi], 1).astype("<i8").tobytes() if open_ else None
                     ctx = [{"fp": f, "pos": q, "ctx": raw[max(0, q - LEFT) : q + LENGTH]} for f, q in open_]
-                    out.append((doc, mark, *digest(raw, lo, hi), spans, text if open_ else None, ctx))
+                    out.append((doc, mark, *digest(raw, lo, hi), spans, packed if open_ else None, ctx))
             cols = [*zip(*out, strict=True)] if out else [[]] * 9
-            kinds = (pa.int64(),) * 5 + (pa.string(), pa.binary(), pa.string(), pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32()), ("ctx", pa.binary())])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "mark", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text", "open"])
+            kinds = (pa.int64(),) * 5 + (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32()), ("ctx", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "mark", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "packed", "open"])
 
-    texts = docs.select("doc_id", "mark", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("fp"), "text")
-    both = hits.withColumn("text", F.lit(None).cast("string")).union(texts)
+    texts = _squeezed(docs).select("doc_id", "mark", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("fp"), "packed")
+    both = hits.withColumn("packed", F.lit(None).cast("binary")).union(texts)
     # rows without doc_id meet nothing, so they needn't meet in one task
     spread = F.when(F.col("doc_id").isNull(), F.col("mark")).otherwise(F.col("doc_id"))
     return map_arrow(both.repartition(spread).sortWithinPartitions("doc_id", "mark", "kind", "pos"), run, _R1)
@@ -453,21 +481,21 @@ def last_pass(spans: DataFrame, docs: DataFrame) -> DataFrame:
         key, lo, hi = None, [], []
         for b in batches:
             out = []
-            for doc, mark, a, z, kept, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, mark, a, z, kept, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (doc, mark) != key:
                     key, lo, hi = (doc, mark), [], []
-                if text is None:
+                if packed is None:
                     lo.append(a)
                     hi.append(z)
                 else:
                     own = np.frombuffer(kept, "<i8").reshape(-1, 2)
-                    out.append((doc, *digest(text.encode(), *merged(np.concatenate([own[:, 0], np.array(lo, np.int64)]), np.concatenate([own[:, 1], np.array(hi, np.int64)])))))
+                    out.append((doc, *digest(_text(packed), *merged(np.concatenate([own[:, 0], np.array(lo, np.int64)]), np.concatenate([own[:, 1], np.array(hi, np.int64)])))))
             cols = [*zip(*out, strict=True)] if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     none = F.lit(None)
-    both = spans.select("doc_id", "mark", "lo", "hi", none.cast("binary").alias("spans"), none.cast("string").alias("text")).union(docs.select("doc_id", "mark", none.cast("long"), none.cast("long"), "spans", "text"))
-    return map_arrow(both.repartition("doc_id").sortWithinPartitions("doc_id", "mark", F.col("text").isNotNull()), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = spans.select("doc_id", "mark", "lo", "hi", none.cast("binary").alias("spans"), none.cast("binary").alias("packed")).union(docs.select("doc_id", "mark", none.cast("long"), none.cast("long"), "spans", "packed"))
+    return map_arrow(both.repartition("doc_id").sortWithinPartitions("doc_id", "mark", F.col("packed").isNotNull()), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -475,11 +503,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("mark", F.xxhash64("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = stage(first_pass(settle(packed_anchors(docs, buckets)), docs), "settled")
+    one = stage(first_pass(settle(packed_anchors(docs, buckets), buckets), docs), "settled")
     open_ = one.where(F.size("open") > 0)
     spans = resolve(open_.select("doc_id", "mark", F.explode("open").alias("o")).select("doc_id", "mark", "o.fp", "o.pos", "o.ctx"))
     done = one.where(F.size("open") == 0).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return done.union(last_pass(spans, open_.select("doc_id", "mark", "spans", "text")))
+    return done.union(last_pass(spans, open_.select("doc_id", "mark", "spans", "packed")))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
