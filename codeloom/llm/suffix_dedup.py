@@ -81,7 +81,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     whole = hi - lo == LEFT + LENGTH
     context = np.empty(len(at), np.uint64)
     f = at[whole] - LEFT
-    context[whole] = mix64(h[64][f] * _power(16) + h[16][f + 64])
+    context[whole] = mix64(mix64(h[64][f]) * np.uint64(_M) + h[64][f + LEFT + LENGTH - 64])  # both ends of a context, which overlap
     for i in np.flatnonzero(~whole).tolist():
         context[i] = xxhash.xxh3_64_intdigest(raw[lo[i] : hi[i]])
     return which, at - start, a[at], context
