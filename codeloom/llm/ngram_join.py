@@ -68,12 +68,15 @@ class Shingler:
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, s) of each row; the last row of a batch also has the batch's repeated shingles."""
+    """(doc_id, n_shingles, s) of each row; now and then a row also has the repeated shingles of those before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(n), set()
-        for b in batches:
-            sizes, names, fresh = [], [], []
+        shingles, seen, fresh = Shingler(n), set(), []
+        batches = iter(batches)
+        b = next(batches, None)
+        while b is not None:
+            following = next(batches, None)
+            sizes, names = [], []
             for t in strings(b.column(1)):
                 s = shingles(t)
                 sizes.append(len(s))
@@ -83,14 +86,16 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                     fresh.append(s)
             if len(seen) > 2_000_000:
                 seen.clear()
-            often: list = [None] * len(sizes)
-            if fresh:
+            often: list = [None] * len(sizes)  # never on an empty batch
+            if fresh and sizes and (following is None or sum(map(len, fresh)) > 4_000_000):
                 every = np.sort(np.concatenate(fresh))
                 head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
                 count = np.diff(np.append(head, len(every)))
                 at = np.flatnonzero(count >= 3)
+                fresh.clear()
                 often[-1] = [{"h": h, "c": c} for h, c in zip(every[head[at]].view(np.int64).tolist(), count[at].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(often, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))], names=["doc_id", "n_shingles", "s", "often"])
+            b = following
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, s long, often array<struct<h:long,c:long>>")
 

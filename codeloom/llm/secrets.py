@@ -255,4 +255,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
                 cols[size] = pa.array([n if a == t or t is None else len(t) for n, a, t in zip(cols[size].to_pylist(), old, new, strict=True)], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
