@@ -35,6 +35,7 @@ from .common import map_arrow, mix64, read_table, stage
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
+HALF = LEFT // 2
 SHARD, UNIT, BITE = 50_000, 2_000_000, 2_000_000
 _TABLE = np.random.default_rng(2024).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _M = 0x9E3779B97F4A7C15
@@ -66,7 +67,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     for k in (1, 2, 4, 8, 16, 32):
         x = h[k]
         h[2 * k] = x[:-k] * _power(k) + x[k:]
-        if k not in (16, 64):
+        if k in (2, 4, 8):
             del h[k]
     a = mix64(h[16][:n])
     place = np.arange(n)
@@ -84,7 +85,22 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     context[whole] = mix64(mix64(h[64][f]) * np.uint64(_M) + h[64][f + LEFT + LENGTH - 64])  # both ends of a context, which overlap
     for i in np.flatnonzero(~whole).tolist():
         context[i] = xxhash.xxh3_64_intdigest(raw[lo[i] : hi[i]])
-    return which, at - start, a[at], context
+    return which, at - start, a[at], _with_sides(context, h, at, start, stop)
+
+
+def _with_sides(context: np.ndarray, h: dict[int, np.ndarray], at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Four bytes of the context's hash, then a byte each for the anchor with HALF bytes to its left and to its right.
+
+    A window that holds an anchor reaches HALF bytes beyond it on one side at least, so contexts that share a window
+    agree in one of the two bytes. 0: the text ends before.
+    """
+    side = lambda i: (mix64(h[32][i] * _power(1) + h[1][i + 32]) % np.uint64(255)) + np.uint64(1)
+    left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    some = at - HALF >= start
+    left[some] = side(at[some] - HALF)
+    some = at + GRAM + HALF <= stop
+    right[some] = side(at[some])
+    return (context & np.uint64(2**32 - 1)) | left << np.uint64(32) | right << np.uint64(40)
 
 
 #: Bytes kept of an anchor's hash (beside its bucket) and of a context's.
@@ -210,7 +226,16 @@ def settle(packed: DataFrame, buckets: int) -> DataFrame:
         g = np.concatenate([[True], cf[1:] != cf[:-1]])
         gid = np.cumsum(g) - 1
         lo, hi = np.minimum.reduceat(first, np.flatnonzero(g)), np.maximum.reduceat(first, np.flatnonzero(g))
-        open_ = (lo < hi)[gid][cls] & ~covered
+        # Of those only contexts that agree with another one on a side can share a window with it.
+        near = np.zeros(len(cf), bool)
+        for shift in (32, 40):
+            side = ctx[order][at] >> np.uint64(shift) & np.uint64(255)
+            code = gid * 256 + side.astype(np.int64)
+            by = np.argsort(code, kind="stable")
+            run = np.flatnonzero(np.concatenate([[True], code[by][1:] != code[by][:-1]]))
+            size = np.diff(np.append(run, len(by)))
+            near[by] |= (np.repeat(size, size) > 1) & (side[by] > 0)
+        open_ = ((lo < hi)[gid] & near)[cls] & ~covered
         yield from rows(d[open_], mark[order][open_], pos[order][open_], f[open_] * np.uint64(buckets) + np.uint64(number), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
