@@ -33,7 +33,7 @@ TOKEN = re.compile(r"[^\W_]+(?:[.,'’][^\W_]+)*|[.!?:;\n]")
 #: Spelled numbers and units. Fixed values.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 UNITS = frozenset(
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces pound pounds "
+    "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces oz pound pounds lb lbs "
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "percent degree degrees dollar dollars cent cents euro euros usd eur kmh mph kb mb gb tb hz khz mhz w kw kwh v volts watts joules newtons".split()
 )
