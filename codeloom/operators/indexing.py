@@ -32,7 +32,8 @@ def affected_refs(refs: DataFrame, symbols_before: DataFrame, symbols_now: DataF
     """References to resolve again: made in moved files, or to a name that a moved file defines or did define."""
     m = moved.select(F.col("path").alias("file_path"))
     names = symbols_before.join(m, "file_path", "left_semi").select("name").union(symbols_now.join(m, "file_path", "left_semi").select("name")).distinct()
-    return refs.join(m, "file_path", "left_semi").union(refs.join(m, "file_path", "left_anti").join(names.withColumnRenamed("name", "target_name"), "target_name", "left_semi").select(refs.columns))
+    made = refs.join(m, "file_path", "left_semi").select(refs.columns)
+    return made.union(refs.join(m, "file_path", "left_anti").join(names.withColumnRenamed("name", "target_name"), "target_name", "left_semi").select(refs.columns))
 
 
 def unused_fingerprints(bodies: DataFrame, known: DataFrame) -> DataFrame:

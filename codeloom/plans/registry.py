@@ -405,3 +405,106 @@ def stale_docs(spark, d):
     o = proxy.table(spark, d, "orders").withColumnRenamed("o_custkey", "k")
     docs = o.where("o_orderstatus = 'F'").groupBy("k").agg(F.max("o_orderdate").alias("written"))
     return docs.join(o.groupBy("k").agg(F.max("o_orderdate").alias("touched")), "k").where("touched > written")
+
+
+# ---- predicates, spec store and incremental maintenance over the stand-ins
+_PATHS = ("tests/a_{}.py", "src/test_{}.py", "contest/{}.ts", "web/{}.test.tsx", "scripts/{}.py", "dist/{}.js", "pages/{}.tsx", "app/{}/page.tsx", "lib/{}_spec.rb", "bin/{}", "src/{}.min.js", "spec/{}.rb", "src/{}/manage.py", "fixtures/{}.json")
+
+
+def _paths(spark, d):
+    p = proxy.table(spark, d, "part")
+    shape = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("p_partkey") % len(_PATHS) + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("id"), F.replace(shape, F.lit("{}"), F.translate("p_name", " ", "_")).alias("path"))
+
+
+_PATH_SQL = "p AS (SELECT p_partkey AS id, replace([" + ", ".join(f"'{x}'" for x in _PATHS) + f"][p_partkey % {len(_PATHS)} + 1], '{{}}', replace(p_name, ' ', '_')) AS path FROM part), q AS (SELECT *, string_split(path, '/') AS s, string_split(path, '/')[-1] AS b FROM p), f AS (SELECT *, s[1:len(s) - 1] AS dirs FROM q)"
+_IS_TEST = "(list_has_any(dirs, ['tests', 'test', '__tests__', 'spec']) OR starts_with(b, 'test_') OR contains(b, '_test.') OR regexp_matches(b, '(\\.test|\\.spec|_spec)\\.(ts|tsx|js|jsx|mjs|cjs)$') OR ends_with(b, '_spec.rb'))"
+
+
+@query(f"""WITH {_PATH_SQL} SELECT id, path, {_IS_TEST} AS is_test, {_IS_TEST} OR dirs[1] IN ('scripts', 'bench', 'fixtures') AS non_product,
+list_has_any(dirs, ['_fresh', 'dist', 'build', '.next', 'out', 'node_modules', '.svelte-kit', 'target', '__pycache__', '.turbo', '.vite', '.cache', '.parcel-cache']) OR regexp_matches(b, '\\.min\\.(js|mjs|css)$|\\.bundle\\.js$') AS build_output,
+CASE WHEN NOT regexp_matches(lower(b), '\\.(ts|tsx|js|jsx|svelte)$') THEN NULL WHEN contains('/' || path, '/pages/') THEN 'nextjs_pages' WHEN contains('/' || path, '/app/') AND b = 'page.tsx' THEN 'nextjs_app' END AS routed FROM f""")
+def path_rules(spark, d):
+    from ..functions.frameworks import is_build_output, routed_file
+    from ..functions.paths import is_non_product, is_test_file
+
+    p = F.col("path")
+    return _paths(spark, d).select("id", "path", is_test_file(p).alias("is_test"), is_non_product(p).alias("non_product"), is_build_output(p).alias("build_output"), routed_file(p).alias("routed"))
+
+
+@query(f"""WITH {_PATH_SQL}, e AS (SELECT id, lower(regexp_extract(b, '\\.([^.]+)$', 1)) AS x FROM f)
+SELECT CASE x WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'rb' THEN 'ruby' END AS language, count(*) AS n FROM e GROUP BY 1""")
+def files_by_language(spark, d):
+    from ..functions.paths import language_of
+
+    return _paths(spark, d).groupBy(language_of(F.col("path")).alias("language")).agg(F.count("*").alias("n"))
+
+
+def _specs(spark, d):
+    s = proxy.table(spark, d, "supplier")
+    return s.select(F.concat(F.lit("spec-"), "s_suppkey").alias("spec_id"), F.col("s_name").alias("title"), F.when(F.col("s_acctbal") > 5000, "It SHALL pay.").when(F.col("s_acctbal") > 2000, "It pays.").otherwise("").alias("description"), F.lit("functional_requirement").alias("kind"), F.concat(F.lit("n"), "s_nationkey").alias("module"), F.when(F.col("s_suppkey") % 9 == 0, "deprecated").otherwise("active").alias("status"), F.lit("medium").alias("priority"), F.lit("markdown").alias("source"))
+
+
+_SPECS = "spec AS (SELECT concat('spec-', s_suppkey) AS spec_id, s_name AS title, CASE WHEN s_acctbal > 5000 THEN 'It SHALL pay.' WHEN s_acctbal > 2000 THEN 'It pays.' ELSE '' END AS description, concat('n', s_nationkey) AS module, CASE WHEN s_suppkey % 9 = 0 THEN 'deprecated' ELSE 'active' END AS status FROM supplier)"
+
+
+@query(f"""WITH {_SPECS}, live AS (SELECT * FROM spec WHERE status <> 'deprecated'), i AS (SELECT 'no scenario' AS issue, spec_id FROM live WHERE spec_id NOT IN (SELECT concat('spec-', c_custkey) FROM customer WHERE c_custkey % 2 = 0)
+UNION ALL SELECT 'empty body', spec_id FROM live WHERE description = '' UNION ALL SELECT 'no normative word', spec_id FROM live WHERE description = 'It pays.'),
+n AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY spec_id) AS nth FROM i)
+SELECT issue, 'warning' AS severity, count(*) AS n, string_agg(CASE WHEN nth <= 10 THEN spec_id END, ',' ORDER BY spec_id) AS examples, (SELECT count(*) FROM live) >= 20 AND count(*) >= 0.95 * (SELECT count(*) FROM live) AS project_level FROM n GROUP BY issue""")
+def validate_specs(spark, d):
+    from ..operators.spec_store import validate
+
+    scenarios = proxy.table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("spec-"), "c_custkey").alias("spec_id"), F.lit("s").alias("name"), F.lit("").alias("body"))
+    return validate(_specs(spark, d), scenarios)
+
+
+@query(f"""WITH {_SPECS} SELECT module, concat('## Requirements', chr(10), chr(10), string_agg(concat('### Requirement: ', title, chr(10), description), concat(chr(10), chr(10)) ORDER BY spec_id), chr(10)) AS text FROM spec WHERE status <> 'deprecated' GROUP BY module""")
+def export_specs(spark, d):
+    from ..operators.spec_store import to_markdown
+
+    return to_markdown(_specs(spark, d))
+
+
+def _deltas(spark, d):
+    s = proxy.table(spark, d, "supplier").where("s_suppkey % 4 = 0")
+    op = F.element_at(F.array(*map(F.lit, ("modified", "removed", "renamed", "added"))), ((F.col("s_suppkey") / 4) % 4 + 1).cast("int"))
+    sid = F.when(op.isin("renamed", "added"), F.concat(F.lit("new-"), "s_suppkey")).otherwise(F.concat(F.lit("spec-"), "s_suppkey"))
+    return s.select(F.col("s_suppkey").cast("int").alias("ordinal"), op.alias("operation"), sid.alias("spec_id"), F.concat(F.lit("T"), "s_suppkey").alias("title"), F.lit("It MUST.").alias("description"), F.lit("cap").alias("capability"), F.when(op == "renamed", F.concat(F.lit("spec-"), "s_suppkey")).alias("rename_from"))
+
+
+@query(f"""WITH {_SPECS}, delta AS (SELECT s_suppkey AS k, ['modified', 'removed', 'renamed', 'added'][(s_suppkey // 4) % 4 + 1] AS op FROM supplier WHERE s_suppkey % 4 = 0)
+SELECT spec_id, CASE WHEN op = 'modified' THEN concat('T', k) ELSE title END AS title, CASE op WHEN 'modified' THEN 'active' WHEN 'removed' THEN 'deprecated' ELSE status END AS status FROM spec LEFT JOIN delta ON spec_id = concat('spec-', k) WHERE coalesce(op, '') <> 'renamed'
+UNION ALL SELECT concat('new-', k), concat('T', k), 'active' FROM delta WHERE op IN ('renamed', 'added')""")
+def apply_change_specs(spark, d):
+    from ..operators.spec_store import LINKS, apply_change
+
+    return apply_change(_specs(spark, d), spark.createDataFrame([], LINKS), _deltas(spark, d))[0].select("spec_id", "title", "status")
+
+
+@query("""WITH l AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS symbol_id FROM lineitem WHERE l_partkey % 20 = 0), delta AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 0 AND (s_suppkey // 4) % 4 = 2)
+SELECT CASE WHEN delta.k IS NULL THEN concat('spec-', l.k) ELSE concat('new-', l.k) END AS spec_id, symbol_id FROM l LEFT JOIN delta ON l.k = delta.k""")
+def apply_change_links(spark, d):
+    from ..operators.spec_store import apply_change
+
+    links = proxy.table(spark, d, "lineitem").where("l_partkey % 20 = 0").select(F.concat(F.lit("spec-"), "l_suppkey").alias("spec_id"), F.col("l_partkey").alias("symbol_id"), F.lit("implements").alias("relation"), F.lit(1.0).alias("confidence"), F.lit("manual").alias("source")).distinct()
+    return apply_change(_specs(spark, d), links, _deltas(spark, d))[1].select("spec_id", "symbol_id")
+
+
+@query(f"""WITH {SYM}, moved AS (SELECT DISTINCT file_path FROM sym WHERE symbol_id % 400 = 1), names AS (SELECT DISTINCT name FROM sym WHERE file_path IN (SELECT file_path FROM moved)),
+ref AS (SELECT symbol_id AS ref_id, file_path, ['small_ring', 'red_widget', 'blue_bolt', 'nowhere'][symbol_id % 4 + 1] AS target_name FROM sym WHERE symbol_id % 3 = 0)
+SELECT ref_id, target_name FROM ref WHERE file_path IN (SELECT file_path FROM moved) OR target_name IN (SELECT name FROM names)""")
+def affected_refs(spark, d):
+    from ..operators.indexing import affected_refs as affected
+
+    s = proxy.symbols(spark, d)
+    refs = _refs(spark, d).join(s.select(F.col("symbol_id").alias("src"), "file_path"), "src").select("ref_id", "file_path", "target_name")
+    return affected(refs, s, s, s.where("symbol_id % 400 = 1").select(F.col("file_path").alias("path")).distinct()).select("ref_id", "target_name")
+
+
+@query("""WITH d AS (SELECT doc_id, count(*) OVER (PARTITION BY l_hash) AS n FROM (SELECT doc_id, md5(text) AS l_hash FROM documents)) SELECT doc_id, n FROM d WHERE n > 1""")
+def duplicate_bodies(spark, d):
+    from pyspark.sql import Window
+
+    docs = proxy.table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+    return docs.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("doc_id", "n")
