@@ -15,7 +15,7 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 4. A shard holds at most ``SHARD`` contexts; an anchor with more gets several shards, which are merged by binary search
    of each one's windows in the others.
 
-Defined results: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; rows that repeat a
+Rows are told apart by doc_id and a mark of their text (one of 255). Defined results: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; rows that repeat a
 doc_id and text get the same result; rows without doc_id lose nothing and take nothing from others; an empty table
 gives an empty result; other columns aren't read.
 """
@@ -117,25 +117,41 @@ def _wide(blob: bytes, count: int, n: int, at: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _planes(x: np.ndarray, n: int = 4) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+
+
+def _from_planes(raw: bytes, count: int, n: int, at: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8, count * n, at).reshape(n, count).T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
 def _pack(ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, pos: np.ndarray, fp: np.ndarray, ctx: np.ndarray) -> bytes:
-    """Documents used, then columns; places as differences in byte planes, which compress. fp, ctx: may be empty."""
+    """Documents used (as differences) with their marks, then each anchor's document and place, compressed in byte
+    planes; then hashes, which can't be compressed. fp, ctx: may be empty."""
+    import zstandard
+
     used, doc = np.unique(doc, return_inverse=True)
-    planes = lambda x: np.diff(x, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return b"".join([np.array([len(used), len(doc), len(fp)], "<i8").tobytes(), ids[used].tobytes(), marks[used].tobytes(), planes(doc.astype(np.int64)), planes(pos.astype(np.int64)), _low(fp, FP_BYTES), _low(ctx, CTX_BYTES)])
+    order = np.argsort(doc, kind="stable")
+    doc, pos = doc[order], pos[order]
+    fp, ctx = (x[order] if len(x) else x for x in (fp, ctx))
+    steps = np.diff(ids[used].astype(np.int64), prepend=0).astype(np.uint64)
+    small = zstandard.ZstdCompressor(level=1).compress(b"".join([_planes(steps, 8), marks[used].astype(np.uint8).tobytes(), _planes(np.diff(doc, prepend=0)), _planes(pos)]))
+    return b"".join([np.array([len(used), len(doc), len(fp), len(small)], "<i8").tobytes(), small, _low(fp, FP_BYTES), _low(ctx, CTX_BYTES)])
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    k, n, hashed = np.frombuffer(blob, "<i8", 3).tolist()
-    at = 24
-    out = []
-    for _ in range(2):
-        out.append(np.frombuffer(blob, np.int64, k, at))
-        at += 8 * k
-    cols = []
-    for _ in range(2):
-        cols.append(np.cumsum(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<i4").ravel(), dtype=np.int64))
-        at += 4 * n
-    return [out[0][cols[0]], out[1][cols[0]], cols[1], _wide(blob, hashed, FP_BYTES, at), _wide(blob, hashed, CTX_BYTES, at + FP_BYTES * hashed)]
+    """doc_id, mark, place, fp, ctx of each anchor."""
+    import zstandard
+
+    k, n, hashed, size = np.frombuffer(blob, "<i8", 4).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(blob[32 : 32 + size])
+    ids = np.cumsum(_from_planes(raw, k, 8, 0))
+    marks = np.frombuffer(raw, np.uint8, k, 8 * k).astype(np.int64)
+    doc = np.cumsum(_from_planes(raw, n, 4, 9 * k))
+    at = 32 + size
+    return [ids[doc], marks[doc], _from_planes(raw, n, 4, 9 * k + 4 * n), _wide(blob, hashed, FP_BYTES, at), _wide(blob, hashed, CTX_BYTES, at + FP_BYTES * hashed)]
 
 
 def _first_of_class(doc: np.ndarray, fp: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,13 +215,21 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(docs.where(F.length("text") > 0).where("doc_id is not null").select("doc_id", "mark", "text"), run, "bucket int, kind int, blob binary")
 
 
+#: k of a row: mark, then kind, then place. Kinds: a context covered wholly, one still open, the text.
+COVERED, OPEN, TEXT = 0, 1, 2
+
+
+def _k(mark, kind: int, pos):
+    return mark * 2**40 + kind * 2**36 + pos
+
+
 def settle(packed: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, mark, kind, pos, fp): contexts that are covered wholly (kind 0) and contexts still open (kind 1)."""
+    """(doc_id, k, fp): contexts that are covered wholly and contexts still open."""
 
     def rows(doc, mark, pos, fp, kind):
         for lo in range(0, len(doc), 100_000):
             s = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(mark[s]), pa.array(np.full(len(doc[s]), kind, np.int32)), pa.array(pos[s].astype(np.int32)), pa.array(fp[s].view(np.int64))], names=["doc_id", "mark", "kind", "pos", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(_k(mark[s], kind, pos[s])), pa.array(fp[s].view(np.int64))], names=["doc_id", "k", "fp"])
 
     def bucket(number: int, blobs: list[bytes]):
         doc, mark, pos, fp, ctx = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
@@ -220,7 +244,7 @@ def settle(packed: DataFrame, buckets: int) -> DataFrame:
         order, at, cls, first = _first_of_class(doc, fp, ctx)
         d, f = doc[order], fp[order]
         covered = d > first[cls]
-        yield from rows(d[covered], mark[order][covered], pos[order][covered], np.zeros(int(covered.sum()), np.uint64), 0)
+        yield from rows(d[covered], mark[order][covered], pos[order][covered], np.zeros(int(covered.sum()), np.uint64), COVERED)
         # Anchors with several contexts whose first documents differ: the first document's occurrences stay open.
         cf = f[at]
         g = np.concatenate([[True], cf[1:] != cf[:-1]])
@@ -236,7 +260,7 @@ def settle(packed: DataFrame, buckets: int) -> DataFrame:
             size = np.diff(np.append(run, len(by)))
             near[by] |= (np.repeat(size, size) > 1) & (side[by] > 0)
         open_ = ((lo < hi)[gid] & near)[cls] & ~covered
-        yield from rows(d[open_], mark[order][open_], pos[order][open_], f[open_] * np.uint64(buckets) + np.uint64(number), 1)
+        yield from rows(d[open_], mark[order][open_], pos[order][open_], f[open_] * np.uint64(buckets) + np.uint64(number), OPEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -244,7 +268,7 @@ def settle(packed: DataFrame, buckets: int) -> DataFrame:
             for k, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if kind == 1:
                     doc, mark, pos = _unpack(blob)[:3]
-                    yield from rows(doc, mark, pos, np.zeros(len(doc), np.uint64), 0)
+                    yield from rows(doc, mark, pos, np.zeros(len(doc), np.uint64), COVERED)
                     continue
                 if k != now:
                     if blobs:
@@ -254,7 +278,7 @@ def settle(packed: DataFrame, buckets: int) -> DataFrame:
         if blobs:
             yield from bucket(now, blobs)
 
-    return map_arrow(packed.repartition("bucket").sortWithinPartitions("bucket"), run, "doc_id long, mark long, kind int, pos int, fp long")
+    return map_arrow(packed.repartition("bucket").sortWithinPartitions("bucket"), run, "doc_id long, k long, fp long")
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,16 +306,17 @@ _R1 = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, packed): texts compressed before they are shuffled; null is empty."""
+    """(doc_id, k, fp, packed): texts compressed before they are shuffled; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze((t or "").encode()) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "mark", "packed"])
+            k = _k(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), TEXT, 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k), pa.array(np.zeros(len(k), np.int64)), pa.array([squeeze((t or "").encode()) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "k", "fp", "packed"])
 
-    return map_arrow(docs.select("doc_id", "mark", "text"), run, "doc_id long, mark long, packed binary")
+    return map_arrow(docs.select("doc_id", "mark", "text"), run, "doc_id long, k long, fp long, packed binary")
 
 
 def _text(packed: bytes) -> bytes:
@@ -300,36 +325,94 @@ def _text(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], numbers: int):
+    """Per text row of a stream sorted by (doc_id, k): (doc_id, mark, packed, kinds, number columns) of the rows of its key.
+
+    Columns: doc_id, k, then ``numbers`` number columns, then packed. Rows of a key that is still open are carried over.
+    """
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        doc = b.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+        cols = [doc, *(b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 2 + numbers))]
+        packed = b.column(2 + numbers)
+        shift = 0
+        if held is not None:
+            shift = len(held[0])
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        doc, k = cols[0], cols[1]
+        mark, kind = k >> 40, (k >> 36) & 15
+        head = np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]) if len(doc) else np.zeros(0, bool)
+        begin = np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))
+        for t in np.flatnonzero(kind == TEXT).tolist():
+            if t < shift:  # a text row that was served before its rows were carried over
+                continue
+            s = slice(int(begin[t]), t)
+            own = kind[s] != TEXT
+            yield (None if doc[t] == -(2**63) else int(doc[t])), int(mark[t]), packed[t - shift].as_py(), kind[s][own], [c[s][own] for c in cols[1:]], b
+        last = int(begin[-1]) if len(doc) else 0
+        held = [c[last:] for c in cols] if len(doc) else held
+
+
+_R1 = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, open binary"
+_PLACE = 2**36 - 1
+
+
+def _rows(found: Iterator[tuple], schema: list[tuple[str, pa.DataType]], most: int = 500) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for row in found:
+        out.append(row)
+        if len(out) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), schema, strict=True)], names=[n for n, _ in schema])
+            out.clear()
+    cols = [*zip(*out, strict=True)] if out else [[]] * len(schema)
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], names=[n for n, _ in schema])
+
+
+def _with_spans(lo: np.ndarray, hi: np.ndarray, packed: bytes) -> bytes:
+    return b"".join([np.array([len(lo)], "<i8").tobytes(), np.stack([lo, hi], 1).astype("<i8").tobytes(), packed])
+
+
+def _split(both: bytes) -> tuple[np.ndarray, bytes]:
+    n = int.from_bytes(both[:8], "little")
+    return np.frombuffer(both, "<i8", 2 * n, 8).reshape(-1, 2), both[8 + 16 * n :]
+
+
 def first_pass(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each document with what is settled; one with open contexts keeps its text and brings them."""
+    """Each document with what is settled; one with open contexts keeps its text and their (fp, place)."""
+    i, s, y = pa.int64(), pa.string(), pa.binary()
+    schema = [("doc_id", i), ("mark", i), ("n_bytes", i), ("n_removed", i), ("n_spans", i), ("kept_sha256", s), ("packed", y), ("open", y)]
+
+    def found(batches):
+        for doc, mark, packed, kind, (k, fp), _ in _groups(batches, 1):
+            raw = _text(packed)
+            place = k & _PLACE
+            p = place[kind == COVERED]
+            lo, hi = merged(np.maximum(p - LEFT, 0), np.minimum(p + LENGTH, len(raw)))
+            more = kind == OPEN
+            if more.any():
+                yield doc, mark, *digest(raw, lo, hi), _with_spans(lo, hi, packed), np.stack([fp[more], place[more]], 1).astype("<i8").tobytes()
+            else:
+                yield doc, mark, *digest(raw, lo, hi), None, None
+
+    both = hits.withColumn("packed", F.lit(None).cast("binary")).union(_squeezed(docs))
+    # rows without doc_id meet nothing, so they needn't meet in one task
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("packed")).otherwise(F.col("doc_id"))
+    return map_arrow(both.repartition(spread).sortWithinPartitions("doc_id", "k"), lambda batches: _rows(found(batches), schema), _R1)
+
+
+def open_contexts(one: DataFrame) -> DataFrame:
+    """(doc_id, mark, fp, pos, ctx) of the open contexts of the first pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cover, open_ = None, [], []
         for b in batches:
-            out = []
-            for doc, mark, kind, pos, fp, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (doc, mark) != key:
-                    key, cover, open_ = (doc, mark), [], []
-                if kind == 0:
-                    cover.append(pos)
-                elif kind == 1:
-                    open_.append((fp, pos))
-                else:
-                    raw = _text(packed)
-                    p = np.array(cover, np.int64)
-                    lo, hi = merged(np.maximum(p - LEFT, 0), np.minimum(p + LENGTH, len(raw)))
-                    spans = np.stack([lo, hi], 1).astype("<i8").tobytes() if open_ else None
-                    ctx = [{"fp": f, "pos": q, "ctx": raw[max(0, q - LEFT) : q + LENGTH]} for f, q in open_]
-                    out.append((doc, mark, *digest(raw, lo, hi), spans, packed if open_ else None, ctx))
-            cols = [*zip(*out, strict=True)] if out else [[]] * 9
-            kinds = (pa.int64(),) * 5 + (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32()), ("ctx", pa.binary())])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "mark", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "packed", "open"])
-
-    texts = _squeezed(docs).select("doc_id", "mark", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("fp"), "packed")
-    both = hits.withColumn("packed", F.lit(None).cast("binary")).union(texts)
-    # rows without doc_id meet nothing, so they needn't meet in one task
-    spread = F.when(F.col("doc_id").isNull(), F.col("mark")).otherwise(F.col("doc_id"))
-    return map_arrow(both.repartition(spread).sortWithinPartitions("doc_id", "mark", "kind", "pos"), run, _R1)
+            for doc, mark, packed, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = _text(_split(packed)[1])
+                w = np.frombuffer(wanted, "<i8").reshape(-1, 2)
+                ctx = [raw[max(0, q - LEFT) : q + LENGTH] for q in w[:, 1].tolist()]
+                n = len(ctx)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, mark)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].astype(np.int32)), pa.array(ctx, pa.binary())], names=["doc_id", "mark", "fp", "pos", "ctx"])
+
+    return map_arrow(one.select("doc_id", "mark", "packed", "open"), run, "doc_id long, mark long, fp long, pos int, ctx binary")
 
 
 def suffix_array(body: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -425,8 +508,11 @@ def shard_windows(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     return which[suffix], suffix - start[which[suffix]], group, first, suffix[at]
 
 
-def covered_windows(contexts: list[bytes], docs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(context number, offsets of its windows that a smaller document also has). Merges shards where there are several."""
+def covered_windows(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lo, hi) of each context: what its windows that a smaller document also has cover; hi is 0 if there are none.
+
+    Windows of one context always overlap, so they cover one span. Shards are merged where there are several.
+    """
     shards = []
     for lo in range(0, len(contexts), SHARD):
         part = contexts[lo : lo + SHARD]
@@ -444,55 +530,49 @@ def covered_windows(contexts: list[bytes], docs: np.ndarray) -> Iterator[tuple[i
                     least = np.minimum(s[4][met], t[4][at[met]])
                     s[4][met] = least
                     t[4][at[met]] = least
+    left, right = np.full(len(contexts), 2**31, np.int64), np.zeros(len(contexts), np.int64)
     for lo, ctx, off, group, first, _, _ in shards:
         hit = first[group] < docs[lo + ctx]
-        c, o = ctx[hit], off[hit]
-        by = np.argsort(c, kind="stable")
-        c, o = c[by], o[by]
-        cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else []
-        for x, y in zip(cut, [*cut[1:], len(c)], strict=True):
-            yield lo + int(c[x]), o[x:y]
+        np.minimum.at(left, lo + ctx[hit], off[hit])
+        np.maximum.at(right, lo + ctx[hit], off[hit] + LENGTH)
+    return left, right
 
 
 def resolve(open_: DataFrame) -> DataFrame:
     """(doc_id, mark, lo, hi): spans covered by windows of open contexts. open_: doc_id, mark, fp, pos, ctx."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list] = []
 
         def done():
+            doc, mark, fp, pos = (np.concatenate([h[i] for h in held]) for i in range(4))
+            ctx = [c for h in held for c in h[4]]
+            held.clear()
             # distinct (anchor, context) with its first document; every row asks for its own
             number: dict = {}
-            first: list[int] = []
-            asks = []
-            for doc, mark, fp, pos, ctx in held:
-                k = number.setdefault((fp, ctx), len(number))
-                if k == len(first):
-                    first.append(doc)
-                else:
-                    first[k] = min(first[k], doc)
-                asks.append((k, doc, mark, pos))
-            by: dict[int, list] = {}
-            for k, doc, mark, pos in asks:
-                by.setdefault(k, []).append((doc, mark, pos))
-            held.clear()
-            rows = []
-            contexts = [c for _, c in number]
-            for k, offsets in covered_windows(contexts, np.array(first, np.int64)):
-                lo, hi = merged(offsets, offsets + LENGTH)
-                for doc, mark, pos in by[k]:
-                    base = max(0, pos - LEFT)
-                    rows += [(doc, mark, base + a, base + b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            cols = [*zip(*rows, strict=True)] if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "mark", "lo", "hi"])
-
-        last = None
+            which = np.fromiter((number.setdefault(x, len(number)) for x in zip(fp.tolist(), ctx, strict=True)), np.int64, len(ctx))
+            first = np.full(len(number), 2**63 - 1, np.int64)
+            np.minimum.at(first, which, doc)
+            lo, hi = covered_windows([c for _, c in number], first)
+            some = np.flatnonzero(hi[which] > 0)
+            base = np.maximum(0, pos[some].astype(np.int64) - LEFT)
+            return pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(mark[some]), pa.array(base + lo[which[some]]), pa.array(base + hi[which[some]])], names=["doc_id", "mark", "lo", "hi"])
+
+        size = 0
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[2] != last and len(held) >= SHARD:
+            if not b.num_rows:
+                continue
+            cols = [*(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)), b.column(4).to_pylist()]
+            # a shard ends where an anchor does
+            if size >= SHARD and held:
+                last = held[-1][2][-1]
+                cut = int(np.argmax(cols[2] != last)) if (cols[2] != last).any() else len(cols[2])
+                if cut < len(cols[2]):
+                    held.append([c[:cut] for c in cols])
                     yield done()
-                last = row[2]
-                held.append(row)
+                    cols, size = [c[cut:] for c in cols], 0
+            held.append(cols)
+            size += len(cols[2])
         if held:
             yield done()
 
@@ -501,38 +581,30 @@ def resolve(open_: DataFrame) -> DataFrame:
 
 def last_pass(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents that had open contexts, with all their spans."""
+    i = pa.int64()
+    schema = [("doc_id", i), ("n_bytes", i), ("n_removed", i), ("n_spans", i), ("kept_sha256", pa.string())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lo, hi = None, [], []
-        for b in batches:
-            out = []
-            for doc, mark, a, z, kept, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (doc, mark) != key:
-                    key, lo, hi = (doc, mark), [], []
-                if packed is None:
-                    lo.append(a)
-                    hi.append(z)
-                else:
-                    own = np.frombuffer(kept, "<i8").reshape(-1, 2)
-                    out.append((doc, *digest(_text(packed), *merged(np.concatenate([own[:, 0], np.array(lo, np.int64)]), np.concatenate([own[:, 1], np.array(hi, np.int64)])))))
-            cols = [*zip(*out, strict=True)] if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    none = F.lit(None)
-    both = spans.select("doc_id", "mark", "lo", "hi", none.cast("binary").alias("spans"), none.cast("binary").alias("packed")).union(docs.select("doc_id", "mark", none.cast("long"), none.cast("long"), "spans", "packed"))
-    return map_arrow(both.repartition("doc_id").sortWithinPartitions("doc_id", "mark", F.col("packed").isNotNull()), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def found(batches):
+        for doc, _, both, _, (k, hi), _ in _groups(batches, 1):
+            own, packed = _split(both)
+            yield doc, *digest(_text(packed), *merged(np.concatenate([own[:, 0], k & _PLACE]), np.concatenate([own[:, 1], hi])))
+
+    one = F.lit(2).cast("long")
+    rows = spans.select("doc_id", (F.col("mark") * 2**40 + F.col("lo")).alias("k"), F.col("hi"), F.lit(None).cast("binary").alias("packed"))
+    texts = docs.select("doc_id", (F.col("mark") * 2**40 + one * 2**36).alias("k"), F.lit(0).cast("long").alias("hi"), "packed")
+    return map_arrow(rows.union(texts).repartition("doc_id").sortWithinPartitions("doc_id", "k"), lambda batches: _rows(found(batches), schema), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("mark", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(255)).cast("long"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = stage(first_pass(settle(packed_anchors(docs, buckets), buckets), docs), "settled")
-    open_ = one.where(F.size("open") > 0)
-    spans = resolve(open_.select("doc_id", "mark", F.explode("open").alias("o")).select("doc_id", "mark", "o.fp", "o.pos", "o.ctx"))
-    done = one.where(F.size("open") == 0).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return done.union(last_pass(spans, open_.select("doc_id", "mark", "spans", "packed")))
+    open_ = one.where("open is not null")
+    spans = resolve(open_contexts(open_))
+    done = one.where("open is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.union(last_pass(spans, open_.select("doc_id", "mark", "packed")))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,9 +121,10 @@ def test_removal_merges_shards(spark, monkeypatch):
     rows = spliced(5)
     contexts = sorted({t.encode()[i : i + 84] for _, t in rows for i in range(0, max(0, len(t.encode()) - 84), 11)})
     docs = np.array([(i * 7) % 50 for i in range(len(contexts))])
-    whole = {i: sorted(o.tolist()) for i, o in suffix_dedup.covered_windows(contexts, docs)}
+    whole = suffix_dedup.covered_windows(contexts, docs)
     monkeypatch.setattr(suffix_dedup, "SHARD", 17)
-    assert {i: sorted(o.tolist()) for i, o in suffix_dedup.covered_windows(contexts, docs)} == whole and whole
+    parts = suffix_dedup.covered_windows(contexts, docs)
+    assert (parts[1] == whole[1]).all() and (parts[0] == whole[0]).all() and whole[1].any()
 
 
 def test_suffix_array_and_prefixes():
