@@ -36,7 +36,7 @@ LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 HALF = LEFT // 2
-SHARD, UNIT, BITE = 50_000, 2_000_000, 2_000_000
+SHARD, UNIT, BITE = 12_000, 2_000_000, 1_000_000
 _TABLE = np.random.default_rng(2024).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _M = 0x9E3779B97F4A7C15
 _TOP = np.uint64(2**64 - 1)
