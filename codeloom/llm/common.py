@@ -70,6 +70,23 @@ def ensure_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(n) for n in names))
 
 
+def commonest(counts: DataFrame, value: str, most: int) -> list[tuple]:
+    """(value, n) from a count up, as low as leaves at most ``most`` of them, in order of count.
+
+    The driver sees bins of counts and those rows; no task sends more than its share of them. counts: value, n.
+    """
+    step = F.floor(F.log2("n") * 32)
+    bins = sorted(((r["b"], r["k"]) for r in counts.groupBy(step.alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, total = None, 0
+    for b, k in bins:
+        if total + k > most:
+            break
+        least, total = b, total + k
+    if least is None:
+        return []
+    return sorted(((r[0], r[1]) for r in counts.where(step >= least).select(value, "n").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, Forest, components, map_arrow, mix64, read_table, stage, strings, windows, word_hashes
+from .common import SMALL_ROWS, Forest, commonest, components, map_arrow, mix64, read_table, stage, strings, windows, word_hashes
 
 #: Rows of the table of common shingles, meetings a verification costs, longest list that yields pairs.
 COMMON, VERIFY, LIST = 100_000, 10, 200
@@ -102,11 +102,11 @@ def described(docs: DataFrame, n: int) -> DataFrame:
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and estimated document counts of the commonest shingles, at most ``COMMON``."""
-    per = rows.where("often is not null").select(F.explode("often").alias("o")).groupBy("o.h").agg(F.sum("o.c").alias("c"))
-    got = per.orderBy(F.desc("c"), "h").limit(COMMON).collect()
-    h = np.array([r["h"] for r in got], np.int64).view(np.uint64)
+    per = rows.where("often is not null").select(F.explode("often").alias("o")).groupBy("o.h").agg(F.sum("o.c").alias("n"))
+    got = commonest(stage(per, "common"), "h", COMMON)
+    h = np.array([x for x, _ in got], np.int64).view(np.uint64)
     o = np.argsort(h)
-    return h[o], np.array([r["c"] for r in got], np.int64)[o]
+    return h[o], np.array([n for _, n in got], np.int64)[o]
 
 
 def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, t: int) -> tuple[np.ndarray, int]:
