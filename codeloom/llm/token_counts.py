@@ -108,4 +108,5 @@ def scan_token_files(spark: SparkSession, folder: str, end: int = END, block: in
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     manifest = write_token_files(read_table(spark, sf_dir, "documents"), folder)
-    return scan_token_files(spark, folder).join(manifest, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    # both sides grow with the corpus, however small the manifest's files look
+    return scan_token_files(spark, folder).join(manifest.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
