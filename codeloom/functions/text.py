@@ -78,3 +78,33 @@ def slug(text: Column) -> Column:
 def id_prefix(spec_id: Column) -> Column:
     """BE-RF-102 to BE-RF."""
     return F.regexp_extract(spec_id, r"^(.+)-[0-9]+$", 1)
+
+
+def humanise(segment: Column) -> Column:
+    """snake_case or kebab-case as words with capitals."""
+    return F.initcap(F.trim(F.regexp_replace(segment, "[_-]+", " ")))
+
+
+def nearest(word: Column, known: list[str], most: int = 2) -> Column:
+    """The known word of least edit distance, alphabetical among equals; null beyond ``most``."""
+    options = F.array(*(F.struct(F.levenshtein(F.lower(word), F.lit(k)).alias("d"), F.lit(k).alias("k")) for k in sorted(known)))
+    best = F.array_min(options)
+    return F.when(best["d"] <= most, best["k"])
+
+
+def java_mapping(annotation: Column) -> Column:
+    """method and path of a mapping annotation, ``GET /x``; RequestMapping without a method is ROUTE."""
+    verb = F.upper(F.regexp_extract(annotation, r"@(Get|Post|Put|Patch|Delete)Mapping", 1))
+    asked = F.regexp_extract(annotation, r"RequestMethod\.([A-Z]+)", 1)
+    path = F.regexp_extract(annotation, r"\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*\"([^\"]*)\"", 1)
+    method = F.when(verb != "", verb).when(asked != "", asked).otherwise("ROUTE")
+    return F.when(annotation.rlike("@(Get|Post|Put|Patch|Delete|Request)Mapping"), F.concat_ws(" ", method, path))
+
+
+def type_names(source: Column) -> Column:
+    """Capitalised names in a definition, each once."""
+    return F.array_distinct(F.regexp_extract_all(source, F.lit(r"\b([A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*)\b"), F.lit(1)))
+
+
+def raised_names(source: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(source, F.lit(r"\b(?:raise|throw new|throw)\s+([A-Za-z_][\w.]*)"), F.lit(1)))

@@ -76,3 +76,40 @@ def closure_callees(symbols: DataFrame, edges: DataFrame, root: int, budget: int
     c = c.withColumn("distance", path_distance(F.col("file_path"), F.col("root_path"))).withColumn("tokens", (F.col("end_line") - F.col("start_line") + 1) * 10)
     running = F.sum("tokens").over(Window.orderBy("distance", "qualified_name").rowsBetween(Window.unboundedPreceding, 0))
     return c.withColumn("running", running).where(F.col("running") <= budget)
+
+
+def expand_types(symbols: DataFrame, roots: DataFrame, depth: int = 1) -> DataFrame:
+    """(root, name, symbol_id, level): definitions of the types that the roots' bodies name, level by level.
+
+    roots: root, body. Of several definitions the one of shortest qualified name counts.
+    """
+    from ..functions.text import type_names
+
+    order = Window.partitionBy("name").orderBy(F.length("qualified_name"), "qualified_name", "symbol_id")
+    types = symbols.where(F.col("kind").isin("class", "type_alias", "interface")).withColumn("nth", F.row_number().over(order)).where("nth = 1").select("name", "symbol_id", F.col("body").alias("next"))
+    front, found = roots.select("root", "body"), None
+    for level in range(1, depth + 1):
+        step = front.select("root", F.explode(type_names(F.col("body"))).alias("name")).distinct().join(types, "name").withColumn("level", F.lit(level))
+        step = step if found is None else step.join(found.select("root", "symbol_id"), ["root", "symbol_id"], "left_anti").select(step.columns)
+        found = step.drop("next") if found is None else found.unionByName(step.drop("next"))
+        front = step.select("root", F.col("next").alias("body"))
+    return found
+
+
+def overlap_ratio(ours: DataFrame, theirs: DataFrame) -> float:
+    """Share of our paths that the other graph knows too."""
+    n = ours.select("path").distinct().count()
+    return ours.select("path").distinct().join(theirs.select("path").distinct(), "path", "left_semi").count() / n if n else 0.0
+
+
+def stale_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks whose file is gone or has another hash now. chunks: chunk_id, path, content_hash."""
+    now = files.select("path", F.col("content_hash").alias("now"))
+    return chunks.join(now, "path", "left").where("now is null or now <> content_hash").select("chunk_id", "path")
+
+
+def unknown_annotations(texts: DataFrame, specs: DataFrame) -> DataFrame:
+    """(id, spec_id): annotated ids that no spec has. texts: id, text."""
+    line = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?m)@(?:spec|implements?|tests?|see|references?)\s*[:=]\s*([^\n]+)"), F.lit(1)))
+    ids = texts.select("id", line.alias("rest")).select("id", F.explode(F.split(F.regexp_replace("rest", r"\s*:\s*[0-9.]+\s*$", ""), r"[,\s]+")).alias("spec_id")).where("spec_id <> ''")
+    return ids.join(specs.select(F.lower("spec_id").alias("spec_id")), "spec_id", "left_anti").distinct().select("id", "spec_id")
