@@ -14,8 +14,8 @@ from ..staging import stage
 
 def simple(edges: DataFrame, min_weight: float = 0.0) -> DataFrame:
     """One edge per pair, the heaviest; edges below ``min_weight`` dropped."""
-    e = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    return e.where(F.col("weight") >= min_weight) if min_weight > 0 else e
+    e = edges.where(F.col("weight") >= min_weight) if min_weight > 0 else edges
+    return e.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
 def cones(edges: DataFrame, seeds: DataFrame, max_depth: int, min_weight: float = 0.0, backward: bool = False, keep_seeds: bool = False) -> DataFrame:
@@ -25,6 +25,8 @@ def cones(edges: DataFrame, seeds: DataFrame, max_depth: int, min_weight: float
     """
     e = simple(edges, min_weight).select(*((F.col("dst"), F.col("src")) if backward else (F.col("src"), F.col("dst"))))
     e = e.toDF("at", "next")
+    if max_depth > 1:
+        e = stage(e, "edges")  # every level reads it
     seen = seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -59,28 +61,28 @@ def creates_cycle(edges: DataFrame, src: int, dst: int) -> bool:
     return not closure(edges, start).where(F.col("node") == src).isEmpty()
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float = 1e-6, cut: int = 5) -> DataFrame:
-    """(node, rank), unweighted, the mass of nodes without out-edges shared by all. Staged every ``cut`` rounds."""
+def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank), unweighted, the mass of nodes without out-edges shared by all.
+
+    Each round is one job over staged tables: a join of the edges with the ranks' shares and a sum per node. Only the
+    loose mass and, where a tolerance is asked for, the movement come to the driver.
+    """
     nodes = vertices.select("node").distinct()
-    e = edges.select("src", "dst").distinct()
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    out = e.groupBy("src").agg(F.count("*").alias("out"))
-    e = stage(e.join(out, "src").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), "edges")
-    start = nodes.join(out, nodes.node == out.src, "left").select("node", "out")
-    ranks = stage(start.withColumn("rank", F.lit(1.0 / n)), "ranks")
-    before = ranks
-    for i in range(1, rounds + 1):
-        loose = F.broadcast(ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose")))
-        sent = e.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("sent"))
-        new = ranks.select("node", "out").join(sent, ranks.node == sent.dst, "left").join(loose)
-        ranks = new.select("node", "out", ((1 - damping) / n + damping * (F.coalesce("sent", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if i % cut == 0 or i == rounds:
-            ranks = stage(ranks, "ranks")
-            if tolerance > 0:
-                moved = ranks.join(before.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if moved < tolerance:
-                    break
-            before = ranks
+    e = edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    e = stage(e, "edges")
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
+    ranks = stage(nodes.join(out, "node", "left").withColumn("rank", F.lit(1.0 / n)), "ranks")
+    for _ in range(rounds):
+        loose = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        share = ranks.where("out is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
+        sent = e.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("sent"))
+        rank = (1 - damping) / n + damping * (F.coalesce("sent", F.lit(0.0)) + F.lit(loose) / n)
+        new = stage(ranks.withColumnRenamed("rank", "old").join(sent, "node", "left").select("node", "out", "old", rank.alias("rank")), "ranks")
+        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] if tolerance > 0 else None
+        ranks = new.drop("old")
+        if moved is not None and moved < tolerance:
+            break
     return ranks.select("node", "rank")
