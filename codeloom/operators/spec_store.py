@@ -92,7 +92,7 @@ def validate(specs: DataFrame, scenarios: DataFrame, strict: bool = False, sampl
     s = specs.where("status <> 'deprecated'").join(scenarios.groupBy("spec_id").agg(F.count("*").alias("n_scenarios")), "spec_id", "left")
     soft = "error" if strict else "warning"
     body = F.trim(F.coalesce("description", F.lit("")))
-    checks = [("no title", "error", F.trim(F.coalesce("title", F.lit(""))) == ""), ("no scenario", soft, F.col("n_scenarios").isNull()), ("empty body", "warning", body == ""), ("no normative word", soft, (body != "") & ~body.rlike(NORMATIVE)), ("obsolete mark", "warning", F.concat_ws(" ", "title", "description").rlike(OBSOLETE)), ("numeric id", "error", (F.col("source") == "openspec") & F.col("spec_id").rlike("^[A-Za-z]+-[0-9]+$"))]
+    checks = [("no title", "error", F.trim(F.coalesce("title", F.lit(""))) == ""), ("no scenario", soft, F.col("n_scenarios").isNull()), ("empty body", "warning", body == ""), ("no normative word", soft, (body != "") & ~body.rlike(NORMATIVE)), ("obsolete mark", "warning", F.concat_ws(" ", "title", "description").rlike(OBSOLETE)), ("numeric id", "error", (F.col("source") == "tree") & F.col("spec_id").rlike("^[A-Za-z]+-[0-9]+$"))]
     found = F.array(*(F.when(bad, F.struct(F.lit(i).alias("issue"), F.lit(v).alias("severity"))) for i, v, bad in checks))
     rows = s.select("spec_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("f.issue", "f.severity", "spec_id")
     total = F.broadcast(s.agg(F.count("*").alias("checked")))
