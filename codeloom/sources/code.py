@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .changes import template_path
+
 #: Verbs of route decorators and client calls, and names whose arguments are called back. Fixed values.
 VERBS = frozenset("get post put patch delete head options".split())
 CLIENTS = frozenset("requests httpx session client aiohttp".split())
@@ -180,6 +182,31 @@ _IMPORT = {
 _IMPORT["typescript"] = _IMPORT["javascript"]
 
 
+_SERVER = re.compile(r"""\b([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|all|head|options)\(\s*(['"`])(/[^'"`\n]*)\3\s*,""", re.I)
+_CLIENT = re.compile(r"""\b(?:fetch|axios|http|\$http|client|api|request)(?:\.(get|post|put|patch|delete|head|request))?\s*(?:<[^>]*>)?\(\s*(['"`])((?:https?:/)?/[^'"\n]*?|\$\{[^'"\n]*?)\2""")
+_HANDED = re.compile(r"\b(?:on|once|use|addEventListener|addListener|subscribe|register|then|catch|map|filter|forEach|setTimeout|setInterval|get|post|put|patch|delete)\s*\(([^()]*)\)")
+_JSX = re.compile(r"<([A-Z][\w$]*)(?:[.\s/>])")
+_ANNOTATION = re.compile(r"^\s*@([A-Za-z_][\w.]*)\s*(\(.*\))?\s*$")
+_SCRIPT = ("javascript", "typescript")
+
+
+def _annotations(lines: list[str], start: int) -> list[tuple[str, str]]:
+    """(name, whole text) of the annotations on the lines right above a declaration."""
+    out, i = [], start - 1
+    while i >= 0 and (m := _ANNOTATION.match(lines[i])):
+        out.append((m[1], lines[i].strip()))
+        i -= 1
+    return out[::-1]
+
+
+def _java_route(text: str) -> tuple[str, str] | None:
+    m = re.match(r"@(Get|Post|Put|Patch|Delete|Request)Mapping", text)
+    if not m:
+        return None
+    asked, path = re.search(r"RequestMethod\.([A-Z]+)", text), re.search(r'"([^"]*)"', text)
+    return (m[1].upper() if m[1] != "Request" else asked[1] if asked else "ROUTE"), path[1] if path else "/"
+
+
 def _blank(source: str, language: str) -> str:
     """Comments and strings blanked out, places kept."""
     comment = r"#[^\n]*" if language in ("ruby",) else r"//[^\n]*|/\*.*?\*/"
@@ -209,7 +236,7 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
                 end = code.count("\n", 0, min(i, len(code) - 1)) if code else start
             found.append((m.start(1), kind, m[1], start, end))
     found.sort()
-    symbols, stack = [], []
+    symbols, stack, routes, prefix = [], [], [], {}
     for _, kind, name, start, end in found:
         while stack and stack[-1][1] < start:
             stack.pop()
@@ -217,8 +244,15 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
         q = f"{owner[0] if owner else module}.{name}"
         if kind == "function" and owner and owner[2] == "class":
             kind = "method"
-        symbols.append({"name": name, "qualified_name": q, "kind": kind, "signature": lines[start].strip()[:300], "docstring": None, "decorators": [], "start_line": start + 1, "end_line": end + 1, "param_names": [], "body": "\n".join(lines[start : end + 1])})
+        marks = _annotations(lines, start)
+        symbols.append({"name": name, "qualified_name": q, "kind": kind, "signature": lines[start].strip()[:300], "docstring": None, "decorators": [m for m, _ in marks], "start_line": start + 1, "end_line": end + 1, "param_names": [], "body": "\n".join(lines[start : end + 1])})
         stack.append((q, end, kind))
+        above = prefix.get(owner[0], "") if owner else ""
+        for _, text in marks if language == "java" else ():
+            if (found_route := _java_route(text)) and kind == "class":
+                prefix[q] = found_route[1].rstrip("/")
+            elif found_route:
+                routes.append({"scope": q, "role": "server", "method": found_route[0], "path": above + found_route[1], "line": start + 1})
     imports = {}
     for m in _IMPORT[language].finditer(source) if language in _IMPORT else ():
         if language == "java":
@@ -234,14 +268,38 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
                 if n[0]:
                     imports[n[-1].strip()] = where
     refs, declared = [], {f[0] for f in found}
-    for m in _CALL.finditer(code):
-        if m[2] in _RESERVED or m.start(2) in declared:
-            continue
-        line = code.count("\n", 0, m.start(2)) + 1
+
+    def place(at: int) -> tuple[str, int]:
+        line = code.count("\n", 0, at) + 1
         around = [s for s in symbols if s["start_line"] <= line <= s["end_line"] and s["kind"] != "class"]
-        scope = min(around, key=lambda s: s["end_line"] - s["start_line"])["qualified_name"] if around else f"{module}.__module__"
-        refs.append({"scope": scope, "target_name": m[2], "ref_type": "call", "scope_module": imports.get(m[2]) or imports.get(m[1]), "line": line})
-    return {"parse_error": False, "symbols": symbols, "refs": refs, "routes": []}
+        return (min(around, key=lambda s: s["end_line"] - s["start_line"])["qualified_name"] if around else f"{module}.__module__"), line
+
+    def refer(name: str, left: str | None, kind: str, at: int) -> None:
+        scope, line = place(at)
+        refs.append({"scope": scope, "target_name": name, "ref_type": kind, "scope_module": imports.get(name) or imports.get(left), "line": line})
+
+    for m in _CALL.finditer(code):
+        if m[2] not in _RESERVED and m.start(2) not in declared:
+            refer(m[2], m[1], "call", m.start(2))
+    if language in _SCRIPT:
+        symbols.append({"name": "__module__", "qualified_name": f"{module}.__module__", "kind": "module", "signature": module, "docstring": None, "decorators": [], "start_line": 1, "end_line": len(lines), "param_names": [], "body": ""})
+        for m in _JSX.finditer(code):
+            refer(m[1], m[1], "jsx", m.start(1))
+        for m in _HANDED.finditer(code):
+            for a in re.finditer(rf"(?:^|,)\s*{_NAME}\s*(?=,|$)", m[1]):
+                refer(a[1], a[1], "callback_arg", m.start(1) + a.start(1))
+        served = set()
+        for m in _SERVER.finditer(source):
+            if code[m.start()] != " " and m[1].lower() not in CLIENTS | {"axios", "http", "client", "api"}:
+                served.add(m.start())
+                scope, line = place(m.start())
+                routes.append({"scope": scope, "role": "server", "method": m[2].upper(), "path": m[4], "line": line})
+        for m in _CLIENT.finditer(source):
+            path = template_path(m[3]) if code[m.start()] != " " and m.start() not in served else None
+            if path:
+                scope, line = place(m.start())
+                routes.append({"scope": scope, "role": "client", "method": (m[1] or "").upper().replace("REQUEST", ""), "path": path, "line": line})
+    return {"parse_error": False, "symbols": symbols, "refs": refs, "routes": routes}
 
 
 def extract(files: DataFrame) -> DataFrame:

@@ -136,3 +136,38 @@ def test_annotations(spark):
     assert pick("@specifically auth-login") == set() and pick(None) == set()
     t = spark.createDataFrame([(1, "@see x"), (2, None)], "id long, text string")
     assert [tuple(r) for r in spec_text.linked(t, ["x"]).collect()] == [(1, "x", "references", 1.0)]
+
+
+def test_script_routes_and_annotations():
+    ts = """import { Row } from './row'
+// app.get('/commented', x)
+app.get('/users/:id', authorise, handler)
+function handler(req) {
+  fetch(`${base}/items/${req.id}`)
+  return axios.post("/orders", req)
+}
+@Component({})
+class Page {
+  render() {
+    items.map(draw)
+    return <Row.Cell a={1}/>
+  }
+}
+"""
+    got = code.extract_lexical(ts, "web.app", "typescript")
+    assert {(r["role"], r["method"], r["path"]) for r in got["routes"]} == {("server", "GET", "/users/:id"), ("client", "", "/items/{}"), ("client", "POST", "/orders")}
+    refs = {(r["target_name"], r["ref_type"], r["scope_module"]) for r in got["refs"]}
+    assert {("handler", "callback_arg", None), ("draw", "callback_arg", None), ("Row", "jsx", "web.row")} <= refs
+    assert next(s for s in got["symbols"] if s["name"] == "Page")["decorators"] == ["Component"]
+    java = """@RestController
+@RequestMapping("/api")
+class Users {
+  @GetMapping("/{id}")
+  public User one(int id) {
+    return find(id);
+  }
+}
+"""
+    got = code.extract_lexical(java, "Users", "java")
+    assert [(r["method"], r["path"], r["scope"]) for r in got["routes"]] == [("GET", "/api/{id}", "Users.Users.one")]
+    assert next(s for s in got["symbols"] if s["name"] == "Users")["decorators"] == ["RestController", "RequestMapping"]
