@@ -70,10 +70,10 @@ def closure_callees(symbols: DataFrame, edges: DataFrame, root: int, budget: int
     """Callees of ``root``, nearest file first, while their bodies fit in ``budget`` tokens (running sum)."""
     from ..functions.paths import path_distance
 
-    own = symbols.where(F.col("symbol_id") == root).select(F.col("file_path").alias("root_path"))
+    own = symbols.where(F.col("symbol_id") == root).select("file_path").first()
     called = simple(edges).where(F.col("src") == root).select(F.col("dst").alias("symbol_id"))
-    c = symbols.join(called, "symbol_id").crossJoin(F.broadcast(own))
-    c = c.withColumn("distance", path_distance(F.col("file_path"), F.col("root_path"))).withColumn("tokens", (F.col("end_line") - F.col("start_line") + 1) * 10)
+    c = symbols.join(called, "symbol_id")
+    c = c.withColumn("distance", path_distance(F.col("file_path"), F.lit(own[0] if own else ""))).withColumn("tokens", (F.col("end_line") - F.col("start_line") + 1) * 10)
     running = F.sum("tokens").over(Window.orderBy("distance", "qualified_name").rowsBetween(Window.unboundedPreceding, 0))
     return c.withColumn("running", running).where(F.col("running") <= budget)
 

@@ -19,12 +19,12 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, query: list[str], any_term: bool = True) -> DataFrame:
     """(chunk_id, score) of chunks that hold the terms (any, or all). Only the query's postings are kept."""
     sized = chunks.select("chunk_id", terms(F.col("text")).alias("t")).withColumn("length", F.size("t"))
-    stats = F.broadcast(sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
+    n, mean = sized.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
     hits = sized.select("chunk_id", "length", F.explode(F.filter("t", lambda x: x.isin(*query))).alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    out = hits.join(df, "term").crossJoin(stats).groupBy("chunk_id").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("found"))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row per term of the query
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    out = hits.join(df, "term").groupBy("chunk_id").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("found"))
     return out.select("chunk_id", "score") if any_term else out.where(F.col("found") == len(set(query))).select("chunk_id", "score")
 
 

@@ -95,9 +95,8 @@ def validate(specs: DataFrame, scenarios: DataFrame, strict: bool = False, sampl
     checks = [("no title", "error", F.trim(F.coalesce("title", F.lit(""))) == ""), ("no scenario", soft, F.col("n_scenarios").isNull()), ("empty body", "warning", body == ""), ("no normative word", soft, (body != "") & ~body.rlike(NORMATIVE)), ("obsolete mark", "warning", F.concat_ws(" ", "title", "description").rlike(OBSOLETE)), ("numeric id", "error", (F.col("source") == "tree") & F.col("spec_id").rlike("^[A-Za-z]+-[0-9]+$"))]
     found = F.array(*(F.when(bad, F.struct(F.lit(i).alias("issue"), F.lit(v).alias("severity"))) for i, v, bad in checks))
     rows = s.select("spec_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("f.issue", "f.severity", "spec_id")
-    total = F.broadcast(s.agg(F.count("*").alias("checked")))
-    level = (F.col("checked") >= 20) & (F.col("n") >= 0.95 * F.col("checked"))
-    return findings(rows, sample).crossJoin(total).withColumn("project_level", level).drop("checked")
+    checked = s.count()
+    return findings(rows, sample).withColumn("project_level", F.lit(checked >= 20) & (F.col("n") >= 0.95 * checked))
 
 
 def to_markdown(specs: DataFrame) -> DataFrame:
@@ -119,7 +118,6 @@ def spec_states(specs: DataFrame, links: DataFrame, coverage: DataFrame) -> Data
 def duplicate_verdict(matches: DataFrame, baseline: DataFrame, structural_hash: str, touched: tuple[str, ...] = (), boy_scout: bool = False) -> DataFrame:
     """Matches (qualified_name, file_path, ...) that still report: none if the shape was duplicated at capture time,
     but for touched files under the boy-scout rule; all if nothing was captured or the shape is new."""
-    frozen = baseline.where(F.col("structural_hash") == structural_hash).select(F.lit(1).alias("frozen")).limit(1)
-    own = matches.crossJoin(F.broadcast(frozen.agg(F.count("*").alias("frozen"))))
-    speaks = (F.col("frozen") == 0) | (F.lit(boy_scout) & F.col("file_path").isin(*touched))
-    return own.where(speaks).drop("frozen")
+    if baseline.where(F.col("structural_hash") == structural_hash).isEmpty():
+        return matches
+    return matches.where(F.lit(boy_scout) & F.col("file_path").isin(*touched))
