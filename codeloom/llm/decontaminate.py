@@ -41,16 +41,12 @@ WORD_, CAP, NUM, UNIT, STOP = range(5)
 _PLACEHOLDER = {NUM: "\x00num", UNIT: "\x00unit", CAP: "\x00name"}
 
 
-class Canon:
-    """Template tokens of texts, with what is known about raw tokens kept up to a bound."""
+class _Tokens(dict):
+    """Raw token to its hash, whose last three bits are its kind; works out what it doesn't know."""
 
-    def __init__(self, limit: int = 500_000):
+    def __missing__(self, raw: str) -> int:
         import xxhash
 
-        self.known, self.limit, self.hash = {}, limit, xxhash.xxh3_64_intdigest
-        self.mark = {k: np.uint64(self.hash(v.encode())) for k, v in _PLACEHOLDER.items()}
-
-    def look(self, raw: str) -> tuple[int, int]:
         low = raw.lower()
         if raw[0] in ".!?:;\n":
             kind = STOP
@@ -60,22 +56,29 @@ class Canon:
             kind = UNIT
         else:
             kind = CAP if raw[0].isupper() else WORD_
-        return kind, self.hash(low.encode())
+        self[raw] = out = xxhash.xxh3_64_intdigest(low.encode()) & ~7 | kind
+        return out
+
+
+class Canon:
+    """Template tokens of texts, with what is known about raw tokens kept up to a bound."""
+
+    def __init__(self, limit: int = 500_000):
+        import xxhash
+
+        self.known, self.limit = _Tokens(), limit
+        self.mark = {k: np.uint64(xxhash.xxh3_64_intdigest(v.encode()) & ~7) for k, v in _PLACEHOLDER.items()}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(hashes, kinds, raw values) of the template tokens; a value is empty but for placeholders."""
         raw = TOKEN.findall(text)
         if len(self.known) > self.limit:
             self.known.clear()
-        known, look = self.known, self.look
-        for t in set(raw):
-            if t not in known:
-                known[t] = look(t)
         if not raw:
             return np.empty(0, np.uint64), np.empty(0, np.int8), []
-        both = [known[t] for t in raw]
-        kind = np.fromiter((x[0] for x in both), np.int8, len(raw))
-        h = np.fromiter((x[1] for x in both), np.uint64, len(raw))
+        h = np.fromiter(map(self.known.__getitem__, raw), np.uint64, len(raw))
+        kind = (h & np.uint64(7)).astype(np.int8)
+        h &= ~np.uint64(7)
         before = np.concatenate([[STOP], kind[:-1]])
         name = (kind == CAP) & (before != STOP)
         kind = np.where((kind == CAP) & ~name, WORD_, kind)
