@@ -4,8 +4,8 @@
    the workers as a table of that fixed size; all other words of a document are joined with the counts in Spark.
 2. Id counts follow from the distinct words and their counts.
 3. The attention model (``attention_lm``) is trained by synchronous local steps: in each round every partition trains
-   on its training texts of that round (a fixed share of all, so what is learned from grows with the corpus) and the
-   parameters are averaged by ids seen, first in ``REDUCERS`` tasks, then on the driver.
+   on its training texts of that round (every training text belongs to one round) and the parameters are averaged by
+   ids seen, first in ``REDUCERS`` tasks, then on the driver.
 4. A text's probability is the product over its words of ``MIX`` x (share among the heavy words' counts) +
    ``1 - MIX`` x (product of the model's probabilities of the word's ids): both are distributions over words, and so is
    the mixture. The end of a text counts as a word.
@@ -31,8 +31,8 @@ from .common import commonest, map_arrow, read_table, stage, strings
 from .subwords import END, VOCABULARY, encoder
 
 HEAVY, REDUCERS, MIX = 1 << 18, 16, 0.3
-#: Training texts are dealt to ``DEALT`` parts by hash; each round trains on one of the first ``len(RATES)``.
-DEALT, RATES = 60, (6e-3, 4e-3, 2e-3)
+#: Training texts are dealt to the rounds by hash, so each text trains in one round.
+RATES = (6e-3, 4e-3, 2e-3)
 #: Stands for the end among the words; no word holds a space.
 END_WORD = " "
 
@@ -154,7 +154,7 @@ def _begins(vocabulary: str) -> np.ndarray:
 def train(texts: DataFrame, counts: tuple[np.ndarray, ...], vocabulary: str) -> tuple[dict[str, np.ndarray], lm.Vocabulary]:
     v = lm.Vocabulary(counts[0])
     now = lm.flatten(lm.start(v, *counts[1:]))
-    part = F.pmod(F.xxhash64("text"), F.lit(DEALT))
+    part = F.pmod(F.xxhash64("text"), F.lit(len(RATES)))
     for turn, rate in enumerate(RATES):
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:

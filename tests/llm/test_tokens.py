@@ -126,3 +126,18 @@ def test_scoring_awkward(spark):
     params, v = ls.train(training, ls.id_counts(counts, VOCABULARY), VOCABULARY)
     got = ls.score_texts(docs, counts, params, v, VOCABULARY, ("doc_id", "b")).collect()
     assert len(got) == 10 and {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1}
+
+
+def test_every_training_text_is_learned_from(spark):
+    texts = [" ".join(f"word{i} likes {k}" for k in range(40)) for i in range(3)]
+    for t in texts:  # alone, so that the parameters move only if this text reaches the model
+        training = spark.createDataFrame([(t,)], "text string")
+        counts = ls.id_counts(ls.word_counts(training), VOCABULARY)
+        params, v = ls.train(training, counts, VOCABULARY)
+        assert not np.array_equal(lm.flatten(params), lm.flatten(lm.start(v, *counts[1:])))
+
+
+def test_later_windows_keep_context():
+    r, v, _ = small_model()
+    for index, scored, _, _ in lm.prepared([r.integers(0, 5000, 200)], END, v):
+        assert (np.argmax(scored[index[:, 0] > 0], axis=1) >= 8).all()
