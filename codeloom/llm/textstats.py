@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import islice
+from operator import eq
 
 import numpy as np
 
@@ -36,25 +39,28 @@ def repeated_words(words: list[bytes], n: int = 3) -> int:
     return int(covered.sum())
 
 
+def top_and_run(words: list[bytes]) -> tuple[int, int]:
+    """How often the commonest word comes, and the most times in a row that one word comes."""
+    if not words:
+        return 0, 0
+    longest = run = 1
+    for same in map(eq, words, islice(words, 1, None)):
+        if same:
+            run += 1
+            if run > longest:
+                longest = run
+        else:
+            run = 1
+    return max(Counter(words).values()), longest
+
+
 def measure(text: str) -> dict:
     """Counts over one whole text; an empty text gives zeros."""
     words = text.encode().split()
     n, chars = len(words), len(text) - sum(map(text.count, SPACES))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    top, longest = 0, 0
     distinct = set(words)
-    if n:
-        if len(distinct) < 0.6 * n:
-            from collections import Counter
-
-            top = Counter(words).most_common(1)[0][1]
-            run, last = 0, None
-            for w in words:
-                run = run + 1 if w == last else 1
-                last = w
-                longest = max(longest, run)
-        else:
-            top = longest = 1
+    top, longest = top_and_run(words)
     raw = text.encode()
     letters = np.frombuffer(raw, np.uint8) if raw else np.zeros(1, np.uint8)
     table = np.bincount(letters, minlength=256)

@@ -77,3 +77,21 @@ def test_classifier_query(spark):
     import zlib
 
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_top_and_run_match_a_plain_loop(spark):
+    many = [f"w{i}" for i in range(124)]
+    planted = " ".join(many[:60] + ["again"] * 60 + many[60:] + many[:16])  # 200 words, 125 distinct
+    texts = [r.text for r in documents(spark).collect()] + [planted, "", "one", "a a", "a b b", "a a b", "é é x"]
+    for text in texts:
+        words = text.encode().split()
+        top = max((words.count(w) for w in set(words)), default=0) if len(words) < 2000 else None
+        longest = run = 0
+        for i, w in enumerate(words):
+            run = run + 1 if i and words[i - 1] == w else 1
+            longest = max(longest, run)
+        m = measure(text)
+        assert m["n_run"] == longest and top in (None, m["n_top"])
+    m = measure(planted)
+    assert (m["n_words"], m["n_distinct"], m["n_top"], m["n_run"]) == (200, 125, 60, 60)
+    assert qr.unpack(np.array([qr.votes(m)]))[0, list(qr.RULES).index("longest_run")] == qr.BAD
