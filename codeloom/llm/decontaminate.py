@@ -6,11 +6,13 @@ template tokens of the benchmark items (shorter items: the whole item) are joine
 Of the windows that meet, only those whose slots are consistent count: within a document and item one item value maps
 to one document value of the same type and the other way round, so a question asked anew with other numbers, names
 and units is caught while chance meetings of placeholders are not. A document leaks an item if the consistent windows
-cover at least ``COVER`` of the item's tokens.
+cover at least ``COVER`` of the item's usable tokens, those inside the windows it uses.
 
 Before the join, documents' windows pass a bitmap of the benchmark's window hashes. It has a fixed size and only ever
-lets too much through; the join decides. Windows with fewer than ``LITERALS`` plain words name nothing and aren't used
-(items without any richer window use the windows they have).
+lets too much through; the join decides. Windows with fewer than ``LITERALS`` plain words name little, and an item
+doesn't use them, unless its richer windows hold less than ``COVER`` of its tokens: then it uses all its windows.
+Documents offer all theirs. Where no window with a plain word meets, a window counts only with unchanged values, as any
+row of numbers would do otherwise.
 
 Defined results: null or empty texts leak nothing and null or empty items are never leaked; repeated rows give repeated
 pairs once per distinct (doc_id, text); an empty table on either side gives an empty result; other columns aren't read.
@@ -107,11 +109,16 @@ def template_windows(canon: Canon, text: str, lengths: tuple[int, ...], own: boo
         plain = np.concatenate([[0], np.cumsum(kind == WORD_)])
         rich = plain[n:] - plain[:-n] >= min(LITERALS, n)
         w = mix64(windows(h, n) ^ np.uint64(n))
-        at = np.flatnonzero(rich) if rich.any() or not own else np.arange(len(w))
+        at = np.flatnonzero(rich) if own and usable(np.flatnonzero(rich), n) >= COVER * len(h) else np.arange(len(w))
         out.append((w[at], at, n, values, kind))
     return out
 
 
+def usable(at: np.ndarray, n: int) -> int:
+    """Tokens inside the windows of ``n`` tokens at these ascending places."""
+    return int(np.minimum(np.diff(at), n).sum()) + n if len(at) else 0
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """(w, item_id, n_tokens, at, n, slots) of every benchmark window."""
 
@@ -120,9 +127,10 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for b in batches:
             cols: dict[str, list] = {k: [] for k in ("w", "item_id", "n_tokens", "at", "n", "slots")}
             for item, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
-                for w, at, n, values, kind in template_windows(canon, text, (), True):
+                for w, at, n, values, _ in template_windows(canon, text, (), True):
+                    total = usable(at, n)
                     for x, a in zip(w.view(np.int64).tolist(), at.tolist(), strict=True):
-                        for k, v in zip(cols, (x, item, len(kind), a, n, values[a : a + n]), strict=True):
+                        for k, v in zip(cols, (x, item, total, a, n, values[a : a + n]), strict=True):
                             cols[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.list_(pa.string()) if k == "slots" else pa.int32() if k in ("at", "n", "n_tokens") else pa.int64()) for k, v in cols.items()})
 
@@ -182,8 +190,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def consistent(found: list[dict]) -> tuple[int, int, int, bool]:
     """(windows, item tokens covered, slots, whether a value differs) of the windows whose slots agree.
 
-    Windows are tried in page order from each place where an item may begin in the document; the best place counts.
+    Windows are tried in page order from each place where an item may begin in the document, those without a plain word
+    last; the best place counts.
     """
+    bare = lambda m: all(m["slots"])
     best = (0, 0, 0, False)
     starts: dict[int, list[dict]] = {}
     for m in found:
@@ -196,15 +206,18 @@ def consistent(found: list[dict]) -> tuple[int, int, int, bool]:
             merged.append(list(starts[s]))
         last = s
     for group in merged:
-        there, back, cover, n, changed = {}, {}, set(), 0, False
-        for m in sorted(group, key=lambda m: (m["at"], m["d_at"])):
+        there, back, cover, n, changed, named = {}, {}, set(), 0, False, False
+        for m in sorted(group, key=lambda m: (bare(m), m["at"], m["d_at"])):
             pairs = [(a, d) for a, d in zip(m["slots"], m["d_slots"], strict=True) if a or d]
+            if bare(m) and not named and any(a != d for a, d in pairs):
+                continue
             if all(there.get(a, d) == d and back.get(d, a) == a for a, d in pairs) and len({a for a, _ in pairs}) == len({d for _, d in pairs}):
                 there.update(pairs)
                 back.update((d, a) for a, d in pairs)
                 cover.update(range(m["at"], m["at"] + m["n"]))
                 n += 1
                 changed = changed or any(a != d for a, d in pairs)
+                named = named or not bare(m)
         best = max(best, (n, len(cover), len(there), changed), key=lambda x: (x[1], x[0]))
     return best
 

@@ -49,3 +49,22 @@ def test_drop_awkward(spark):
     assert dc.leaks(empty(spark), bench).count() == 0
     bad = docs.limit(3).selectExpr("doc_id", f"'{ITEM}' as text")
     assert dc.drop_leaks(bad, bench).count() == 0
+
+
+def test_dense_items(spark):
+    items = {
+        1: "Evaluate 12 + 34 * 56 - 78 / 9 + 10 - 11 + 40",
+        2: "Sort 5 3 8 1 9 2 7 4 in order",
+        3: "17 23 5 99 41 8 64 30 12 77",
+        4: "The baker sold bread to the mill. " + " ".join(str(i * 37 % 101) for i in range(1, 41)),
+        5: "The quiet farmer walked along the long river toward town with 3 4 5 6 7 8 9 10 11 12 13 14",
+    }
+    docs = {10 + i: f"Intro to it here. {t}. More words follow." for i, t in items.items()}
+    docs[21] = "Evaluate 1 + 2 * 3 - 4 / 5 + 6 - 7 + 8"
+    docs[22] = "Sort 15 13 18 11 19 12 17 14 in order"
+    docs[25] = "The quiet farmer walked along the long river toward town and slept"
+    docs[30] = "Totals: 201 202 203 204 205 206 207 208 209 210 211 212 213 214 215 216 217 218 219 220"
+    got = pairs(spark, docs, items)
+    assert {(10 + i, i) for i in items} <= set(got) and not any(got[10 + i, i] for i in items)
+    assert got[21, 1] and got[22, 2] and (25, 5) in got
+    assert not {k for k in got if k[0] == 30}
