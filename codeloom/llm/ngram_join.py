@@ -9,9 +9,10 @@ are asked for, which by Markov leaves at most 1/l of the meetings to verify. l m
 order and l only steer cost; any order gives the same links). A pair is a candidate if it shares ``min(l, l')``.
 
 Lists of up to ``LIST`` classes yield their pairs; a longer list yields only a star, which says that all its members
-may be alike. Candidates fall into connected blocks; each block gathers its sets once and compares all its members with
-one another by counting. A block is cut into chunks of bounded size and the chunks compared pair by pair, so no
-task's memory grows with a block. Of the links found, only spanning forests and counts leave a task.
+may be alike. Candidates fall into connected blocks, and a block is cut into chunks of bounded size, alike sets (by
+their least shingle hash) beside each other. Two chunks are compared, by counting, only if a candidate pair or a long list has a
+member in both, so a chain of long lists doesn't make all its members meet, and no task's memory grows with a block.
+Of the links found, only spanning forests and counts leave a task.
 
 Sets are named by 64-bit hashes. Defined results: texts without words link with nothing; fewer words than a shingle
 form one shingle; rows with equal texts are linked; rows without doc_id have their size, no links and no component;
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SMALL_ROWS, Forest, commonest, components, map_arrow, mix64, read_table, stage, strings, windows, word_hashes
 
@@ -33,8 +35,10 @@ from .common import SMALL_ROWS, Forest, commonest, components, map_arrow, mix64,
 COMMON, VERIFY, LIST = 100_000, 10, 200
 #: Other documents expected on the list of a shingle that isn't in the table, and cost of one more posting.
 CHANCE, POST = 0.05, 0.05
+#: Documents from which on a common shingle's list is dealt over tasks, as a star around a node of its own.
+HOT, DEALT = 5_000, 64
 #: Bounds of a chunk: classes, shingles.
-CHUNK, CHUNK_SHINGLES = 1_000, 2_000_000
+CHUNK, CHUNK_SHINGLES = 250, 500_000
 MOST = 8
 
 
@@ -68,7 +72,10 @@ class Shingler:
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, s) of each row; now and then a row also has the repeated shingles of those before it."""
+    """(doc_id, n_shingles, s, least) of each row: its set's size, name and least shingle.
+
+    Now and then a row also has the repeated shingles of those before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen, fresh = Shingler(n), set(), []
@@ -76,11 +83,12 @@ def described(docs: DataFrame, n: int) -> DataFrame:
         b = next(batches, None)
         while b is not None:
             following = next(batches, None)
-            sizes, names = [], []
+            sizes, names, least = [], [], []
             for t in strings(b.column(1)):
                 s = shingles(t)
                 sizes.append(len(s))
                 names.append(name_of(s))
+                least.append(int(s[0] >> np.uint64(1)) if len(s) else 0)
                 if names[-1] not in seen:
                     seen.add(names[-1])
                     fresh.append(s)
@@ -94,10 +102,10 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                 at = np.flatnonzero(count >= 3)
                 fresh.clear()
                 often[-1] = [{"h": h, "c": c} for h, c in zip(every[head[at]].view(np.int64).tolist(), count[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(often, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))], names=["doc_id", "n_shingles", "s", "often"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(least, pa.int64()), pa.array(often, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))], names=["doc_id", "n_shingles", "s", "least", "often"])
             b = following
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, s long, often array<struct<h:long,c:long>>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, s long, least long, often array<struct<h:long,c:long>>")
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +117,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[o], np.array([n for _, n in got], np.int64)[o]
 
 
-def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, t: int) -> tuple[np.ndarray, int]:
-    """A set's prefix and its l."""
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, t: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """A set's prefix, its l, and which of the prefix's lists are surely long."""
     n = len(s)
     need = needed(n, t)
     freq = np.zeros(n, np.int64)
@@ -122,11 +130,12 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, t: int) -> tup
     most = min(MOST, need)
     cost = [POST * k + read[n - need + k - 1] * (1 + VERIFY / k) for k in range(1, most + 1)]
     k = int(np.argmin(cost)) + 1
-    return s[order[: n - need + k]], k
+    own = order[: n - need + k]
+    return s[own], k, freq[own] >= HOT
 
 
 def postings(docs: DataFrame, n: int, t: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(h, s, n, l): the prefix of each set, once per task."""
+    """(h, s, n, l): the prefix of each set, once per task. l is 0 on lists that the common shingles show to be long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(n), set()
@@ -138,11 +147,11 @@ def postings(docs: DataFrame, n: int, t: int, common: np.ndarray, counts: np.nda
                 if not name or name in seen:
                     continue
                 seen.add(name)
-                p, k = prefix(s, common, counts, t)
+                p, k, hot = prefix(s, common, counts, t)
                 hs.append(p)
                 names.append(np.full(len(p), name, np.int64))
                 sizes.append(np.full(len(p), len(s), np.int32))
-                ls.append(np.full(len(p), k, np.int32))
+                ls.append(np.where(hot, 0, k).astype(np.int32))
             if len(seen) > 2_000_000:
                 seen.clear()
             if hs:
@@ -152,7 +161,7 @@ def postings(docs: DataFrame, n: int, t: int, common: np.ndarray, counts: np.nda
 
 
 def meetings(post: DataFrame, t: int) -> DataFrame:
-    """(a, b, got, need): pairs that meet on short lists (got 1 each), and stars of long lists (need 0)."""
+    """(a, b, need, list): pairs that meet on short lists, and stars of long lists (need 0) with the list's shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
@@ -165,12 +174,12 @@ def meetings(post: DataFrame, t: int) -> DataFrame:
                 lo, hi = np.minimum(m[i, 1], m[j, 1]), np.maximum(m[i, 1], m[j, 1])
                 ok = lo * 100 >= hi * t
                 a, b = m[i[ok], 0], m[j[ok], 0]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.minimum(m[i[ok], 2], m[j[ok], 2])], 1))
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.minimum(m[i[ok], 2], m[j[ok], 2]), np.zeros(len(a), np.int64)], 1))
 
         def flush():
-            rows = np.concatenate(out) if out else np.empty((0, 3), np.int64)
+            rows = np.concatenate(out) if out else np.empty((0, 4), np.int64)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["a", "b", "need"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(4)], names=["a", "b", "need", "list"])
 
         for b in batches:
             h, s, n, k = (b.column(i).to_numpy() for i in range(4))
@@ -187,6 +196,10 @@ def meetings(post: DataFrame, t: int) -> DataFrame:
                 if h[lo] != head:
                     close()
                     head, held, star = h[lo], [], None
+                if not k[lo]:  # a long list, of which this task has a share; its node is below all set names
+                    own = np.unique(s[lo:hi])
+                    out.append(np.stack([np.full(len(own), -1 - (int(head) & 2**62 - 1)), own, np.zeros_like(own), np.full(len(own), head)], 1))
+                    continue
                 last = held[-1][0] if held else None
                 for x in zip(s[lo:hi].tolist(), n[lo:hi].tolist(), k[lo:hi].tolist(), strict=True):
                     if x[0] == last:
@@ -196,18 +209,19 @@ def meetings(post: DataFrame, t: int) -> DataFrame:
                         held.append(x)
                         if len(held) > LIST:
                             star = held[0][0]
-                            out.append(np.array([(star, y[0], 0) for y in held[1:]], np.int64))
+                            out.append(np.array([(star, y[0], 0, head) for y in held], np.int64))
                             held = [x]
                     else:
                         held = [x]
-                        out.append(np.array([(star, x[0], 0)], np.int64))
+                        out.append(np.array([(star, x[0], 0, head)], np.int64))
             if sum(map(len, out)) > 200_000:
                 yield flush()
         close()
         yield flush()
 
-    dealt = post.repartition("h").sortWithinPartitions("h", "s")
-    return map_arrow(dealt, run, "a long, b long, need long")
+    share = F.when(F.col("l") == 0, F.pmod(F.xxhash64("s"), F.lit(DEALT))).otherwise(0)
+    dealt = post.repartition("h", share).sortWithinPartitions("h", "s")
+    return map_arrow(dealt, run, "a long, b long, need long, list long")
 
 
 def compare(t: int):
@@ -306,43 +320,93 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_spot(b.column(0).to_numpy(zero_copy_only=False)).astype(np.int32))], names=["p"])
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs`` (doc_id, text)."""
+def met_chunks(met: DataFrame, pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(root, i, j), i <= j: chunks that have to be compared. Blocks of one chunk need no look at what met."""
+    one = placed.select("root", "chunk").distinct().select("root", F.col("chunk").alias("i"), F.col("chunk").alias("j"))
+    at = stage(placed.where("parts > 1").select("s", "root", "chunk").distinct(), "chunks")
+    if at.isEmpty():
+        return one
+    small = at.count() <= SMALL_ROWS
+    look = lambda s: (F.broadcast(at) if small else at).select(F.col("s").alias(s), "root", F.col("chunk").alias(f"{s}_chunk"))
+    direct = pairs.join(look("a"), "a").join(look("b"), ["b", "root"]).select("root", "a_chunk", "b_chunk")
+    lists = met.where("need = 0").join(look("b"), "b").select("list", "root", "b_chunk").distinct()
+    listed = lists.join(lists.withColumnRenamed("b_chunk", "a_chunk"), ["list", "root"]).select("root", "a_chunk", "b_chunk")
+    both = direct.union(listed).where("a_chunk <> b_chunk")
+    return one.union(both.select("root", F.least("a_chunk", "b_chunk").alias("i"), F.greatest("a_chunk", "b_chunk").alias("j")).distinct())
+
+
+def classes_of(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, known). rows: doc_id, n_shingles, s of every row. known: s, root (names its component), c (its least
+    doc_id), n_links of every set."""
     rows = stage(described(docs, words), "sets")
     common, counts = common_shingles(rows)
     met = meetings(postings(docs, words, percent, common, counts), percent)
-    cand = met.groupBy("a", "b").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need").select("a", "b")
-    blocks = stage(components(cand), "blocks")
+    met = stage(met.groupBy("a", "b", "list").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need"), "met")
+    blocks = stage(components(met.select("a", "b")), "blocks")
 
-    classes = stage(rows.where("s <> 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n_shingles").alias("n")), "classes")
+    classes = stage(rows.where("s <> 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("least").alias("least")), "classes")
     member = stage(blocks.select(F.col("node").alias("s"), "root").join(classes, "s"), "members")
     cut = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("parts"))
-    placed = stage(member.select("doc_id", "s", "size", "root").join(cut, "root").withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("parts"))), "placed")
-    units = unit_sets(docs, placed, words).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    units = units.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "s", "chunk", "size", "blob")
+    # sets with one least shingle, as most near copies have, share a chunk unless they are too many
+    alike = member.groupBy("root", "least").agg(F.count("*").alias("alike"))
+    spot = F.pmod(F.xxhash64(F.when(F.col("alike") <= CHUNK, F.col("least")).otherwise(F.col("s"))), F.col("parts"))
+    placed = stage(member.select("doc_id", "s", "size", "root", "least").join(cut, "root").join(alike, ["root", "least"]).withColumn("chunk", spot).drop("least", "alike"), "placed")
+    need = stage(met_chunks(met, met.where("need > 0"), placed), "units")
+    sides = need.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    units = unit_sets(docs, placed, words).join(F.broadcast(sides) if sides.count() <= SMALL_ROWS else sides, ["root", "chunk"])
+    units = units.select("root", "i", "j", "s", "chunk", "size", "blob")
     found = stage(map_arrow(units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "s"), compare(percent), "a long, b long, d long"), "links")
 
     comp = components(found.where("b is not null").select("a", "b"))
     comp = comp.select(F.col("node").alias("s"), "root").join(classes.select("s", "doc_id"), "s")
     least = comp.groupBy("root").agg(F.min("doc_id").alias("least"))
-    linked = comp.join(least, "root").select("s", "least")
+    linked = comp.join(least, "root").select("s", "root", "least")
     degree = found.where("d is not null").groupBy(F.col("a").alias("s")).agg(F.sum("d").alias("d"))
-    known = stage(classes.join(linked, "s", "left").join(degree, "s", "left").select("s", F.coalesce("least", "doc_id").alias("c"), (F.coalesce("d", F.lit(0)) + F.col("size") - 1).alias("n_links")), "known")
-    out = rows.select("doc_id", "n_shingles", "s").join(known, "s", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    known = classes.drop("least").join(linked, "s", "left").join(degree, "s", "left").select("s", F.coalesce("root", "s").alias("root"), F.coalesce("least", "doc_id").alias("c"), (F.coalesce("d", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    return rows, stage(known, "known")
 
 
-def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(read_table(spark, sf_dir, "documents"), 4, 85)
+def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs`` (doc_id, text)."""
+    rows, known = classes_of(docs, words, percent)
+    out = rows.select("doc_id", "n_shingles", "s").join(known.drop("root"), "s", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of linked documents, the one with the least doc_id; all columns kept."""
-    found = stage(jaccard_join(docs, words, percent), "joined")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """One row of each group of linked rows, one with the least doc_id; all columns kept.
+
+    Rows are told apart by doc_id and set: of several texts under one doc_id each stays or goes by its own links, and
+    of rows that repeat a doc_id and set one stays. Rows without words or doc_id stay.
+    """
+    rows, known = classes_of(docs, words, percent)
+    mine = rows.where("s <> 0 and doc_id is not null").select("doc_id", "s").join(known.where("n_links > 0").select("s", "root"), "s")
+    first = mine.groupBy("root").agg(F.min(F.struct("doc_id", "s")).alias("best"))
+    gone = stage(mine.join(first, "root").where(F.struct("doc_id", "s") != F.col("best")).select("doc_id", "s").distinct(), "gone")
+    again = stage(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    small = lambda df: F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    once = gone.join(small(again), "doc_id", "left_anti").select("doc_id")
     if again.isEmpty():
-        return out
-    twice = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(docs.columns).union(twice.select(docs.columns))
+        return docs.join(small(once), "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(small(again), "doc_id", "left_anti").join(small(once), "doc_id", "left_anti").select(docs.columns)
+    several = named_sets(docs.join(small(again), "doc_id", "left_semi").select(docs.columns), words)
+    several = several.join(small(gone.withColumnRenamed("s", "__s")), ["doc_id", "__s"], "left_anti")
+    held = several.where("__s <> 0").dropDuplicates(["doc_id", "__s"]).select(docs.columns)
+    return out.union(held).union(several.where("__s = 0").select(docs.columns))
+
+
+def named_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the name of each row's set as ``__s``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for b in batches:
+            names = pa.array([name_of(shingles(t)) for t in strings(b.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, names], names=[*b.schema.names, "__s"])
+
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("__s", T.LongType())]))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_table(spark, sf_dir, "documents"), 4, 85)

@@ -60,6 +60,15 @@ def test_long_lists_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LIST", 5)
     monkeypatch.setattr(ngram_join, "CHUNK", 9)
     check(spark, near_copies(seed=3), 3, 70)
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    check(spark, near_copies(seed=4), 3, 70)
+
+
+def test_keep_first_tells_texts_apart(spark):
+    copy, other = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    rows = [(1, copy), (5, copy), (5, other), (7, other), (7, "x y"), (7, "x y"), (8, None), (8, ""), (None, copy)]
+    got = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, copy), (5, other), (7, "x y"), (8, None), (8, ""), (None, copy)], key=str)
 
 
 def test_components_both_ways(spark):
