@@ -15,9 +15,13 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 4. A shard holds at most ``SHARD`` contexts; an anchor with more gets several shards, which are merged by binary search
    of each one's windows in the others.
 
-Rows are told apart by doc_id and a mark of their text (one of 255). Defined results: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; rows that repeat a
-doc_id and text get the same result; rows without doc_id lose nothing and take nothing from others; an empty table
-gives an empty result; other columns aren't read.
+Rows are told apart by doc_id and, where a doc_id repeats, by the number of the text among its texts. Equal contexts are
+told by 45 bits or more of the anchor's hash and 64 of the context's (48 of its hash, two bytes of its sides).
+
+Defined results: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; rows that repeat a
+doc_id and text get the same result; different texts under one doc_id take nothing from each other, as neither id is
+smaller; rows without doc_id lose nothing and take nothing from others; an empty table gives an empty result; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,16 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64, read_table, stage
+from .common import SMALL_ROWS, map_arrow, mix64, read_table, stage
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 HALF = LEFT // 2
 SHARD, UNIT, BITE = 12_000, 2_000_000, 1_000_000
+#: Text bytes to a bucket of anchors, and the most buckets.
+BUCKET, MOST_BUCKETS = 4 << 20, 1 << 17
 _TABLE = np.random.default_rng(2024).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _M = 0x9E3779B97F4A7C15
 _TOP = np.uint64(2**64 - 1)
@@ -89,7 +95,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _with_sides(context: np.ndarray, h: dict[int, np.ndarray], at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Four bytes of the context's hash, then a byte each for the anchor with HALF bytes to its left and to its right.
+    """Six bytes of the context's hash, then a byte each for the anchor with HALF bytes to its left and to its right.
 
     A window that holds an anchor reaches HALF bytes beyond it on one side at least, so contexts that share a window
     agree in one of the two bytes. 0: the text ends before.
@@ -100,11 +106,11 @@ def _with_sides(context: np.ndarray, h: dict[int, np.ndarray], at: np.ndarray, s
     left[some] = side(at[some] - HALF)
     some = at + GRAM + HALF <= stop
     right[some] = side(at[some])
-    return (context & np.uint64(2**32 - 1)) | left << np.uint64(32) | right << np.uint64(40)
+    return (context & np.uint64(2**48 - 1)) | left << np.uint64(48) | right << np.uint64(56)
 
 
 #: Bytes kept of an anchor's hash (beside its bucket) and of a context's.
-FP_BYTES, CTX_BYTES = 5, 6
+FP_BYTES, CTX_BYTES = 5, 8
 
 
 def _low(x: np.ndarray, n: int) -> bytes:
@@ -137,7 +143,7 @@ def _pack(ids: np.ndarray, marks: np.ndarray, doc: np.ndarray, pos: np.ndarray,
     doc, pos = doc[order], pos[order]
     fp, ctx = (x[order] if len(x) else x for x in (fp, ctx))
     steps = np.diff(ids[used].astype(np.int64), prepend=0).astype(np.uint64)
-    small = zstandard.ZstdCompressor(level=1).compress(b"".join([_planes(steps, 8), marks[used].astype(np.uint8).tobytes(), _planes(np.diff(doc, prepend=0)), _planes(pos)]))
+    small = zstandard.ZstdCompressor(level=1).compress(b"".join([_planes(steps, 8), _planes(marks[used]), _planes(np.diff(doc, prepend=0)), _planes(pos)]))
     return b"".join([np.array([len(used), len(doc), len(fp), len(small)], "<i8").tobytes(), small, _low(fp, FP_BYTES), _low(ctx, CTX_BYTES)])
 
 
@@ -148,10 +154,10 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     k, n, hashed, size = np.frombuffer(blob, "<i8", 4).tolist()
     raw = zstandard.ZstdDecompressor().decompress(blob[32 : 32 + size])
     ids = np.cumsum(_from_planes(raw, k, 8, 0))
-    marks = np.frombuffer(raw, np.uint8, k, 8 * k).astype(np.int64)
-    doc = np.cumsum(_from_planes(raw, n, 4, 9 * k))
+    marks = _from_planes(raw, k, 4, 8 * k)
+    doc = np.cumsum(_from_planes(raw, n, 4, 12 * k))
     at = 32 + size
-    return [ids[doc], marks[doc], _from_planes(raw, n, 4, 9 * k + 4 * n), _wide(blob, hashed, FP_BYTES, at), _wide(blob, hashed, CTX_BYTES, at + FP_BYTES * hashed)]
+    return [ids[doc], marks[doc], _from_planes(raw, n, 4, 12 * k + 4 * n), _wide(blob, hashed, FP_BYTES, at), _wide(blob, hashed, CTX_BYTES, at + FP_BYTES * hashed)]
 
 
 def _first_of_class(doc: np.ndarray, fp: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +184,6 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             held.clear()
             place = (fp % np.uint64(buckets)).astype(np.int64)
             fp = fp // np.uint64(buckets) & np.uint64(2 ** (8 * FP_BYTES) - 1)
-            ctx = ctx & np.uint64(2 ** (8 * CTX_BYTES) - 1)
             order, _, cls, first = _first_of_class(ids[doc], fp * np.uint64(buckets) + place.astype(np.uint64), ctx)
             settled = np.zeros(len(doc), bool)
             settled[order] = ids[doc][order] > first[cls]
@@ -215,12 +220,12 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(docs.where(F.length("text") > 0).where("doc_id is not null").select("doc_id", "mark", "text"), run, "bucket int, kind int, blob binary")
 
 
-#: k of a row: mark, then kind, then place. Kinds: a context covered wholly, one still open, the text.
+#: k of a row: mark (below 2 ** 30), then kind, then place (below 2 ** 31). Kinds: a context covered wholly, one still open, the text.
 COVERED, OPEN, TEXT = 0, 1, 2
 
 
 def _k(mark, kind: int, pos):
-    return mark * 2**40 + kind * 2**36 + pos
+    return mark * 2**33 + kind * 2**31 + pos
 
 
 def settle(packed: DataFrame, buckets: int) -> DataFrame:
@@ -252,7 +257,7 @@ def settle(packed: DataFrame, buckets: int) -> DataFrame:
         lo, hi = np.minimum.reduceat(first, np.flatnonzero(g)), np.maximum.reduceat(first, np.flatnonzero(g))
         # Of those only contexts that agree with another one on a side can share a window with it.
         near = np.zeros(len(cf), bool)
-        for shift in (32, 40):
+        for shift in (48, 56):
             side = ctx[order][at] >> np.uint64(shift) & np.uint64(255)
             code = gid * 256 + side.astype(np.int64)
             by = np.argsort(code, kind="stable")
@@ -302,9 +307,6 @@ def digest(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int, s
     return len(raw), int((hi - lo).sum()), len(lo), h.hexdigest()
 
 
-_R1 = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, packed binary, open array<struct<fp:long,pos:int,ctx:binary>>"
-
-
 def _squeezed(docs: DataFrame) -> DataFrame:
     """(doc_id, k, fp, packed): texts compressed before they are shuffled; null is empty."""
 
@@ -340,7 +342,7 @@ def _groups(batches: Iterator[pa.RecordBatch], numbers: int):
             shift = len(held[0])
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         doc, k = cols[0], cols[1]
-        mark, kind = k >> 40, (k >> 36) & 15
+        mark, kind = k >> 33, (k >> 31) & 3
         head = np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]) if len(doc) else np.zeros(0, bool)
         begin = np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))
         for t in np.flatnonzero(kind == TEXT).tolist():
@@ -354,7 +356,7 @@ def _groups(batches: Iterator[pa.RecordBatch], numbers: int):
 
 
 _R1 = "doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, open binary"
-_PLACE = 2**36 - 1
+_PLACE = 2**31 - 1
 
 
 def _rows(found: Iterator[tuple], schema: list[tuple[str, pa.DataType]], most: int = 500) -> Iterator[pa.RecordBatch]:
@@ -589,17 +591,29 @@ def last_pass(spans: DataFrame, docs: DataFrame) -> DataFrame:
             own, packed = _split(both)
             yield doc, *digest(_text(packed), *merged(np.concatenate([own[:, 0], k & _PLACE]), np.concatenate([own[:, 1], hi])))
 
-    one = F.lit(2).cast("long")
-    rows = spans.select("doc_id", (F.col("mark") * 2**40 + F.col("lo")).alias("k"), F.col("hi"), F.lit(None).cast("binary").alias("packed"))
-    texts = docs.select("doc_id", (F.col("mark") * 2**40 + one * 2**36).alias("k"), F.lit(0).cast("long").alias("hi"), "packed")
+    rows = spans.select("doc_id", (F.col("mark") * 2**33 + F.col("lo")).alias("k"), F.col("hi"), F.lit(None).cast("binary").alias("packed"))
+    texts = docs.select("doc_id", (F.col("mark") * 2**33 + TEXT * 2**31).alias("k"), F.lit(0).cast("long").alias("hi"), "packed")
     return map_arrow(rows.union(texts).repartition("doc_id").sortWithinPartitions("doc_id", "k"), lambda batches: _rows(found(batches), schema), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with mark: 0 where a doc_id has one row, else the number of the text among its texts."""
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return docs.withColumn("mark", F.lit(0).cast("long"))
+    small = again.count() <= SMALL_ROWS
+    # two hashes of 64 bits name a text; equal names under one id are one text
+    named = docs.withColumn("__a", F.xxhash64("text")).withColumn("__b", F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"))
+    texts = named.join(F.broadcast(again) if small else again, "doc_id", "left_semi").select("doc_id", "__a", "__b").distinct()
+    numbers = stage(texts.withColumn("mark", F.row_number().over(Window.partitionBy("doc_id").orderBy("__a", "__b")).cast("long")), "marks")
+    return named.join(F.broadcast(numbers) if numbers.count() <= SMALL_ROWS else numbers, ["doc_id", "__a", "__b"], "left").select("doc_id", "text", F.coalesce("mark", F.lit(0)).cast("long").alias("mark"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("mark", F.pmod(F.xxhash64("text"), F.lit(255)).cast("long"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(8, size // BUCKET))
     one = stage(first_pass(settle(packed_anchors(docs, buckets), buckets), docs), "settled")
     open_ = one.where("open is not null")
     spans = resolve(open_contexts(open_))

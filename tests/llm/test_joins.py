@@ -160,5 +160,24 @@ def test_removal_awkward(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-def test_query_runs(spark):
-    assert suffix_dedup.op10_suffix_dedup(spark, SF).count() == documents(spark).count()
+def test_texts_of_one_id_stay_apart(spark):
+    r = random.Random(4)
+    part = lambda: "".join(r.choice("abcdefgh ") for _ in range(120))
+    first = part()
+    texts = [first + part() for _ in range(40)] + [part() for _ in range(40)]
+    rows = [(1, first)] + [(7, t) for t in texts] + [(7, texts[0])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = []
+    for d, t in rows:
+        b, f = t.encode(), first.encode()
+        cover = bytearray(len(b))
+        for i in range(len(b) - 49) if d == 7 else ():
+            if b[i : i + 50] in f:
+                cover[i : i + 50] = b"\1" * 50
+        want.append((d, sum(cover), hashlib.sha256(bytes(x for x, c in zip(b, cover, strict=True) if not c)).hexdigest()))
+    assert sorted((x.doc_id, x.n_removed, x.kept_sha256) for x in got) == sorted(want)
+
+
+def test_query_against_brute_force(spark):
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.op10_suffix_dedup(spark, SF).collect()}
+    assert got == plain_removal([(r.doc_id, r.text) for r in documents(spark).collect()])
