@@ -4,7 +4,12 @@ Every page is parsed into text blocks with their chain of containers; a containe
 tag-class path (digits in classes and ids become N). A page scores its containers from the paragraphs in them (length,
 commas, few links) and gives each path its share of the page's score. The shares are summed per host in Spark; the
 path with most votes wins, and every page of the host is extracted again from the containers at that path. A page that
-lacks the path falls back to its own best container.
+lacks the path falls back to its own best container. A container votes for all containers around it, a little less each,
+so that an article in several parts is found at what holds them all.
+
+Furniture is known by its element, or by a word in its class, id or role. Words of the second kind also stand on
+wrappers ("with-sidebar", "share-page"): a container with such a word stays if it holds the page's article, main or h1
+element or most of its running text. Words for reader comments always count.
 
 Defined results: null, empty or tag-free html gives the plain text there is; a null url belongs to the host "";
 equal votes go to the path that sorts first; repeated rows get the same text; an empty table gives an empty result.
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import SMALL_ROWS, map_arrow, read_table, stage, strings
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>|<[!?][^>]*>""", re.S)
 ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose content is never text of the page. Fixed values.
 RAW = frozenset("script style textarea title noscript template iframe svg select option button object canvas".split())
@@ -35,32 +40,42 @@ CLOSES_P = BLOCKS - {"html", "body", "head"}
 FURNITURE = frozenset("nav footer aside form head menu dialog".split())
 #: Words in class, id or role of menus, notices, adverts, comments and the like. Fixed values.
 FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer gdpr login menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo "
-    "promoted promotion recommended related replies reply respond search share sharing sidebar signup skyscraper "
-    "social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split()
+    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr login menu "
+    "modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended "
+    "related search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar "
+    "widget complementary contentinfo".split()
 )
+#: Words of reader comments. Fixed values.
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Elements of other vocabularies, where "/>" ends an element.
+FOREIGN = frozenset(("svg", "math"))
+#: A container's vote for those around it, less LEVEL a level; the share of a page's text that keeps a container despite its words.
+STEP, LEVEL, MOST = 0.85, 0.98, 0.6
 TEXT_WORDS = frozenset("article articlebody body content entry main post story text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("label", "tag", "words", "skip", "header", "up", "path")
+    __slots__ = ("label", "tag", "words", "mark", "skip", "holds", "header", "up", "path")
 
     def __init__(self, tag: str, marks: list[str], up: Node | None):
         self.tag, self.up = tag, up
         self.words = {w.lower() for m in marks for w in _WORDS.findall(m)}
         self.label = ".".join([tag, *sorted(re.sub(r"\d+", "N", m) for m in marks)])
         self.path = (up.path + "/" if up and up.path else "") + self.label if tag not in ("html", "body") else (up.path if up else "")
-        furniture = tag in FURNITURE or (bool(self.words & FURNITURE_WORDS) and tag not in ("html", "body", "article", "main"))
-        self.skip = (up.skip if up else False) or furniture
+        wrapper = tag in ("html", "body", "article", "main")
+        sure = tag in FURNITURE or bool(self.words & COMMENT_WORDS)
+        #: furniture: 2 surely, 1 by a word that wrappers have too; skip is decided once the page is known
+        self.mark = 0 if wrapper and not self.words & COMMENT_WORDS else 2 if sure else 1 if not wrapper and self.words & FURNITURE_WORDS else 0
+        self.skip, self.holds = False, 0.0
         self.header = (up.header if up else None) or (self if tag == "header" or ("header" in self.words and tag in ("div", "section")) else None)
 
 
 def parse(page: str) -> list[tuple[Node, str, int]]:
     """(innermost container, text, characters inside links) of each block, in page order."""
     root = Node("body", [], None)
+    nodes = [root]
     node, out, text, links, in_link, raw = root, [], [], 0, False, None
     at = 0
 
@@ -89,6 +104,8 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
         if not tag:
             continue
         if not m[1]:
+            if tag in FOREIGN and m[3].rstrip().endswith("/"):
+                continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
@@ -109,6 +126,7 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
                 while node.up and node.tag in close:
                     node = node.up
                 node = Node(tag, [x for k in ATTR.finditer(m[3]) for x in (k[2] or k[3] or k[4] or "").split()] if m[3] else [], node)
+                nodes.append(node)
         elif tag == "a":
             in_link = False
         elif tag in BLOCKS:
@@ -122,9 +140,42 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
     if raw is None and at < len(page):
         text.append(page[at:])
     flush()
+    decide(nodes, out)
     return out
 
 
+def worth(text: str, links: int) -> float:
+    return (min(len(text) / 100, 8) + min(text.count(","), 8) / 2) * max(0.0, 1 - 2 * links / len(text))
+
+
+def decide(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Set each node's skip. nodes: parents before children."""
+    if any(n.mark == 1 for n in nodes):
+        total = 0.0
+        for node, text, links in blocks:
+            points, up, clear = worth(text, links), node, True
+            while up:  # counts up to the first mark around it, and for that node
+                if clear:
+                    up.holds += points
+                clear = clear and not up.mark
+                if up.mark == 2:
+                    points = 0.0
+                up = up.up
+            total += points
+        core = set()
+        for n in nodes:
+            if n.tag in ("article", "main", "h1") and not n.mark:
+                up = n.up
+                while up and up.mark != 2:
+                    core.add(id(up))
+                    up = up.up
+        for n in nodes:
+            if n.mark == 1 and (id(n) in core or n.holds > MOST * total > 0):
+                n.mark = 0
+    for n in nodes:
+        n.skip = bool(n.mark) or bool(n.up and n.up.skip)
+
+
 def kept(node: Node) -> bool:
     """Not furniture. What stands in a header stays only if it is a heading inside an article."""
     if node.skip:
@@ -143,12 +194,12 @@ def votes(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
     for node, text, links in blocks:
         if not kept(node) or node.tag in HEADINGS:
             continue
-        points = (min(len(text) / 100, 8) + min(text.count(","), 8) / 2) * max(0.0, 1 - 2 * links / len(text))
+        points = worth(text, links)
         up, part = (node.up if node.tag in ("p", "pre", "li", "blockquote", "dd", "dt", "tr") and node.up else node), 1.0
-        while up and part > 0.3:
+        while up:
             bonus = 2.0 if up.tag == "article" else 1.6 if up.tag == "main" or "main" in up.words else 1.3 if up.words & TEXT_WORDS else 1.0
             score[up.path] = score.get(up.path, 0.0) + points * part * bonus
-            up, part = up.up, part * 0.7
+            up, part = up.up, part * (STEP if part == 1.0 else LEVEL)
     total = sum(score.values())
     return {k: v / total for k, v in score.items()} if total > 0 else {}
 

@@ -33,3 +33,93 @@ def test_query(spark):
     rows = hx.op3_html_extract(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
     assert all(r.n_chars == len(r.text) and r.text and "track(" not in r.text and "©" not in r.text for r in rows)
+
+
+def kept(page):
+    return hx.extract(hx.parse(page), None)
+
+
+PART = "<p>Some running text, of a length that counts, with commas, to be found here, number {}.</p>"
+
+
+def test_foreign_elements_and_stray_quotes():
+    got = kept(f"<body><article><h1>Head</h1><svg class='x' />{PART.format(1)}<p>it<b'>s</b></p><a href=x'>link</a>{PART.format(2)}<svg><text>no</text></svg>{PART.format(3)}</article></body>")
+    assert all(f"number {i}." in got for i in (1, 2, 3)) and "no" not in got.split("\n\n") and "link" in got
+    assert len(hx.parse(("<p a" + "=" * 5000) * 20)) == 1  # a tag without an end stays text
+
+
+def test_wrappers_with_furniture_words():
+    for word in ("with-sidebar", "share-page", "overlay root", "banner-layout"):
+        got = kept(f"<body><div class='{word}'><article>{PART.format(1)}{PART.format(2)}</article><div class='sidebar'>{PART.format(3)}</div></div></body>")
+        assert "number 1." in got and "number 2." in got and "number 3." not in got, word
+        got = kept(f"<body><div class='{word}'>{PART.format(1) * 3}{PART.format(2)}</div><div class='sidebar'>{PART.format(3)}</div></body>")
+        assert "number 2." in got and "number 3." not in got, word
+    got = kept(f"<body><div class='post'>{PART.format(1)}</div><section class='comments'><article>{PART.format(2) * 9}</article></section></body>")
+    assert "number 1." in got and "number 2." not in got
+
+
+def test_article_in_parts():
+    page = f"<body><div class='page'><div class='lead'>{PART.format(1) * 4}</div><div class='rest'><div class='a'><div class='b'><div class='c'><div class='d'>{PART.format(2)}</div></div></div></div></div></div><div class='sidebar'>{PART.format(3)}</div></body>"
+    got = kept(page)
+    assert "number 1." in got and "number 2." in got and "number 3." not in got
+
+
+def plain(page):
+    """Text of an article page by the standard library's tokenizer, furniture left out by element and class."""
+    from html.parser import HTMLParser
+
+    out, text, stack = [], [], []
+    skip = {"nav", "footer", "aside", "form", "script", "style", "noscript", "head", "iframe", "svg", "button", "select", "textarea", "template"}
+
+    class P(HTMLParser):
+        def flush(self):
+            t = " ".join("".join(text).split())
+            text.clear()
+            if t:
+                out.append(t)
+
+        def handle_starttag(self, tag, attrs):
+            if tag in hx.VOID:
+                text.append(" ")
+                return
+            if tag in hx.BLOCKS:
+                self.flush()
+            words = {w.lower() for k, v in attrs if k in ("class", "id", "role") for w in hx._WORDS.findall(v or "")}
+            stack.append((tag, tag in skip or bool(words & (hx.FURNITURE_WORDS | hx.COMMENT_WORDS))))
+
+        def handle_endtag(self, tag):
+            if tag in hx.BLOCKS:
+                self.flush()
+            while stack and any(t == tag for t, _ in stack) and stack.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in stack) and not any(s for _, s in stack):
+                text.append(data)
+
+    p = P(convert_charrefs=True)
+    p.feed(page)
+    p.flush()
+    return "\n\n".join(out)
+
+
+def test_query_against_plain_reader(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in hx.op3_html_extract(spark, SF).collect()}
+    same = sum(got[i] == plain(h) for i, h in pages.items())
+    assert same == len(pages), (same, len(pages), next((got[i], plain(h)) for i, h in pages.items() if got[i] != plain(h)))
+
+
+def test_awkward_pages(spark):
+    long = "<article>" + PART.format(1) * 20_000 + "</article>"
+    rows = [(1, "https://h.example/a", long), (1, "https://h.example/a", long), (2, None, None), (None, "::bad[", "<p>x</p>"), (3, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' as __x", "1 as n_chars", "2 as votes")
+    got = sorted(((r.page_id, r.n_chars, r.text.count("number")) for r in hx.extract_pages(df).collect()), key=str)
+    assert len(got) == 5 and [g[2] for g in got if g[0] == 1] == [20_000, 20_000] and (2, 0, 0) in got and (None, 1, 0) in got
+
+
+def test_many_hosts_take_the_join(spark, monkeypatch):
+    monkeypatch.setattr(hx, "SMALL_ROWS", 1)
+    rows = [(i, f"https://h{i % 3}.example/a", f"<div class='text'>{PART.format(i) * 3}</div><div class='extra'><p>x</p></div>") for i in range(9)]
+    got = hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 9 and all(f"number {r.page_id}." in r.text for r in got)
