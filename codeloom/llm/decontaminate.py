@@ -32,12 +32,26 @@ from .common import SMALL_ROWS, map_arrow, mix64, read_table, stage, strings, wi
 
 WINDOW, LITERALS, COVER, BITS = 8, 4, 0.5, 24
 TOKEN = re.compile(r"[^\W_]+(?:[.,'’][^\W_]+)*|[.!?:;\n]")
-#: Spelled numbers and units. Fixed values.
-NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+#: Spelled numbers of English, German, Spanish and French; words that are also articles are left out. Fixed values.
+NUMBERS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty "
+    "forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig "
+    "vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta "
+    "cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille".split()
+)
+#: Units in the same languages, counted as such only after a number. Fixed values.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces oz pound pounds lb lbs "
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
-    "percent degree degrees dollar dollars cent cents euro euros usd eur kmh mph kb mb gb tb hz khz mhz w kw kwh v volts watts joules newtons".split()
+    "percent degree degrees dollar dollars cent cents euro euros usd eur kmh mph kb mb gb tb hz khz mhz w kw kwh v volts watts joules newtons "
+    "meter kilometer zentimeter meile meilen gramm kilo kilogramm tonne tonnen pfund sekunde sekunden minuten stunde stunden tag tage tagen woche wochen "
+    "monat monate monaten jahr jahre jahren prozent grad "
+    "metro metros kilómetro kilómetros milla millas gramo gramos kilos tonelada toneladas libra libras litro litros segundo segundos minuto minutos hora "
+    "horas día días semana semanas mes meses año años grado grados dólar dólares céntimos "
+    "mètre mètres kilomètre kilomètres gramme grammes livre livres seconde secondes heure heures jour jours semaine semaines mois an ans degré degrés".split()
 )
 WORD_, CAP, NUM, UNIT, STOP = range(5)
 _PLACEHOLDER = {NUM: "\x00num", UNIT: "\x00unit", CAP: "\x00name"}

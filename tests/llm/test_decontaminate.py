@@ -68,3 +68,69 @@ def test_dense_items(spark):
     assert {(10 + i, i) for i in items} <= set(got) and not any(got[10 + i, i] for i in items)
     assert got[21, 1] and got[22, 2] and (25, 5) in got
     assert not {k for k in got if k[0] == 30}
+
+
+def plain_tokens(text):
+    """(template token, value) by a plain loop."""
+    raw, out, before = dc.TOKEN.findall(text), [], None
+    for tok in raw:
+        low = tok.lower()
+        if tok[0] in ".!?:;\n":
+            before = "stop"
+        elif tok[0].isdigit() or low in dc.NUMBERS:
+            out.append(["<num>", low])
+            before = "num"
+        elif low in dc.UNITS and before == "num":
+            out.append(["<unit>", low])
+            before = "unit"
+        elif tok[0].isupper() and low not in dc.UNITS and before not in (None, "stop"):
+            if before == "name":
+                out[-1][1] += " " + low
+            else:
+                out.append(["<name>", low])
+            before = "name"
+        else:
+            out.append([low, ""])
+            # a capitalised word may go on a name only if it stood inside a sentence itself
+            before = "word"
+    return out
+
+
+def plain_leaks(docs, items):
+    got = set()
+    texts = {d: plain_tokens(t or "") for d, t in docs}
+    for item, t in items:
+        own = plain_tokens(t or "")
+        n = min(dc.WINDOW, len(own))
+        if not n:
+            continue
+        every = range(len(own) - n + 1)
+        cover = lambda at: len({j for a in at for j in range(a, a + n)})
+        rich = [a for a in every if sum(not v for _, v in own[a : a + n]) >= min(dc.LITERALS, n)]
+        use = rich if cover(rich) >= dc.COVER * len(own) else list(every)
+        where = {}
+        for a in use:
+            where.setdefault(tuple(k for k, _ in own[a : a + n]), []).append(a)
+        for d, tok in texts.items():
+            found = []
+            for i in range(len(tok) - n + 1):
+                for a in where.get(tuple(k for k, _ in tok[i : i + n]), ()):
+                    found.append({"d_at": i, "at": a, "n": n, "d_slots": [v for _, v in tok[i : i + n]], "slots": [v for _, v in own[a : a + n]]})
+            count, covered, _, _ = dc.consistent(found)
+            if count and covered >= dc.COVER * cover(use):
+                got.add((d, item))
+    return got
+
+
+def test_query_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert {(r.doc_id, r.item_id) for r in dc.op7_decontaminate(spark, SF).collect()} == plain_leaks(docs, items)
+
+
+def test_made_texts_against_brute_force(spark):
+    docs = [(1, "Intro. " + ITEM), (2, AGAIN), (3, BROKEN), (4, OTHER), (5, None), (6, "Der Bauer verkauft zwölf Kilo Äpfel und fünf Liter Milch an die alte Schule am Fluss."), (7, ITEM + " " + OTHER * 300)]
+    items = [(7, ITEM), (8, OTHER), (9, "Der Bauer verkauft 3 Gramm Äpfel und zwanzig Pfund Milch an die alte Schule am Fluss."), (9, ITEM), (10, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(d, b).collect()}
+    assert got == plain_leaks(docs, items) and (6, 9) in got and (7, 7) in got
