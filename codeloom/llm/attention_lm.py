@@ -6,7 +6,11 @@ corpus counts. One masked attention layer with relative-position biases and one
 embeddings into states. All windows of a batch run through the same matrix products.
 
 A text is cut into windows of ``WIDTH`` inputs that start every ``STRIDE``; each prediction is scored once, in the
-window where it has most context (the first window scores all of its own, later ones their last ``STRIDE``).
+window where it has most context (the first window scores all of its own, later ones their last ``STRIDE``). Training
+learns every prediction once too, in windows that follow each other without overlap.
+
+Row sums are matrix products with ones, and logits are bounded, if a sum overflows, instead of shifted by their maximum:
+numpy's reductions over short rows cost more than the products.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ COMMON = SIDE * (SIDE - 1)
 #: Input rows: the common ids, and ``SIDE`` rows that all other ids share.
 ROWS = COMMON + SIDE
 SPECS = {"E": (ROWS, DIM), "QKV": (DIM, 3 * DIM), "R": (WIDTH,), "O": (DIM, DIM), "W1": (DIM, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, DIM), "U": (DIM, SIDE), "c": (SIDE,), "T": (SIDE - 1, DIM, SIDE), "t": (SIDE - 1, SIDE)}
+#: Rows and windows that are worked on together, so that what they need stays in cache.
+PIECE, NEAR = 1024, 64
+#: Largest logit; exp of it times SIDE stays far inside float32.
+TOP = 60
 _BACK = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
 _MASK = np.where(_BACK >= 0, 0, -1e9).astype(np.float32)
 
@@ -113,60 +121,83 @@ def unflatten(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def cut(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(start in the concatenation, text number) of every window over texts of these many inputs."""
-    n = np.maximum(1, -(-(lengths - WIDTH) // STRIDE) + 1)
+    n = np.maximum(1, -(-(lengths - WIDTH) // stride) + 1)
     text = np.repeat(np.arange(len(lengths)), n)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     k = np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    return first[text] + k * STRIDE, text
+    return first[text] + k * stride, text
 
 
-def batch(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def batch(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray, text: np.ndarray, first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(indices of inputs (windows, WIDTH), which of them are scored). ids: inputs, end-marked; ends: exclusive."""
     at = starts[:, None] + np.arange(WIDTH)[None, :]
     scored = at < ends[text][:, None]
-    scored[first[text] != starts, : WIDTH - STRIDE] = False
+    scored[first[text] != starts, : WIDTH - stride] = False
     return np.minimum(at, len(ids) - 1), scored
 
 
 def states(p: dict[str, np.ndarray], rows: np.ndarray, keep: bool = False):
     """States (windows, WIDTH, DIM) after attention and feed-forward; with what the backward pass needs."""
     shape = (*rows.shape, DIM)
-    x = p["E"][rows.ravel()]
-    q, k, v = (t.reshape(shape) for t in np.split(x @ p["QKV"], 3, axis=1))
-    a = np.matmul(q * np.float32(DIM**-0.5), k.transpose(0, 2, 1))
-    a += p["R"][np.maximum(_BACK, 0)] + _MASK
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
+    x = p["E"].take(rows.ravel(), axis=0)
+    w = p["QKV"]
+    q = (x @ (w[:, :DIM] * w.dtype.type(DIM**-0.5))).reshape(shape)
+    k = (x @ w[:, DIM : 2 * DIM]).reshape(shape)
     # one more column of ones gives each row's sum along with the mix
-    mixed = np.matmul(a, np.concatenate([v, np.ones((*rows.shape, 1), v.dtype)], axis=2))
-    total = mixed[:, :, DIM:] + np.float32(1e-20)
-    mixed = mixed[:, :, :DIM] / total
-    h = x + mixed.reshape(-1, DIM) @ p["O"]
-    g = h @ p["W1"] + p["b1"]
+    v = np.empty((*rows.shape, DIM + 1), x.dtype)
+    np.matmul(x, w[:, 2 * DIM :], out=v.reshape(-1, DIM + 1)[:, :DIM])
+    v[:, :, DIM] = 1
+    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+    a += (p["R"][np.maximum(_BACK, 0)] + _MASK).astype(x.dtype)
+    np.minimum(a, TOP, out=a)
+    np.exp(a, out=a)
+    mixed = np.matmul(a, v)
+    share = 1 / (mixed[:, :, DIM:] + x.dtype.type(1e-20))
+    mixed = (mixed[:, :, :DIM] * share).reshape(-1, DIM)
+    h = mixed @ p["O"]
+    h += x
+    g = h @ p["W1"]
+    g += p["b1"]
     np.maximum(g, 0, out=g)
-    z = (h + g @ p["W2"]).reshape(shape)
-    return (z, (x.reshape(shape), q, k, v, a / total, mixed, h.reshape(shape), g.reshape(*rows.shape, HIDDEN))) if keep else z
-
-
-def _log_softmax(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s -= s.max(1, keepdims=True)
-    e = np.exp(s)
-    total = e.sum(1, keepdims=True)
-    e /= total
-    return s - np.log(total), e
-
-
-def _chosen(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray, rows: int = 4096) -> np.ndarray:
+    z = g @ p["W2"]
+    z += h
+    z = z.reshape(shape)
+    return (z, (x, q, k, v[:, :, :DIM], a, share, mixed, h, g)) if keep else z
+
+
+def _exp(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp of z w + c, its row sums, the logits at ``which``)."""
+    ones = np.ones(len(c), z.dtype)
+    for bound in (None, TOP):
+        e = z @ w
+        e += c
+        if bound:
+            np.minimum(e, bound, out=e)
+        own = e[np.arange(len(e)), which]
+        with np.errstate(over="ignore"):
+            np.exp(e, out=e)
+            total = e @ ones
+        if np.isfinite(total).all():
+            break
+    return e, total, own
+
+
+def _errors(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray, m: int) -> tuple[np.ndarray, float]:
+    """(softmax(z w + c) less one at ``which``, over ``m``; the summed loss)."""
+    e, total, own = _exp(z, w, c, which)
+    e *= (1 / (total * e.dtype.type(m)))[:, None]
+    e[np.arange(len(e)), which] -= e.dtype.type(1 / m)
+    return e, float(np.log(total).sum(dtype=np.float64) - own.sum(dtype=np.float64))
+
+
+def _chosen(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray) -> np.ndarray:
     """log softmax(z w + c) at ``which``, in pieces that stay in cache."""
-    out, ones = np.empty(len(z), np.float32), np.ones(w.shape[1], w.dtype)
-    for lo in range(0, len(z), rows):
-        s = z[lo : lo + rows] @ w
-        s += c
-        own = s[np.arange(len(s)), which[lo : lo + rows]]
-        np.exp(s, out=s)
-        out[lo : lo + rows] = own - np.log(s @ ones)
+    out = np.empty(len(z), z.dtype)
+    for lo in range(0, len(z), PIECE):
+        _, total, own = _exp(z[lo : lo + PIECE], w, c, which[lo : lo + PIECE])
+        out[lo : lo + PIECE] = own - np.log(total)
     return out
 
 
@@ -175,67 +206,94 @@ def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ta
     group, place = v.group[target], v.place[target]
     out = _chosen(z, p["U"], p["c"], group) + v.rest_log[target]
     order = np.argsort(group.astype(np.int16), kind="stable")
-    edges = np.searchsorted(group[order], np.arange(SIDE))
-    for g in range(SIDE - 1):
-        i = order[edges[g] : edges[g + 1]]
-        if len(i):
-            out[i] += _chosen(z[i], p["T"][g], p["t"][g], place[i])
+    edges = np.searchsorted(group[order], np.arange(SIDE)).tolist()
+    zs, place = z[order[: edges[-1]]], place[order[: edges[-1]]]
+    inner = [_chosen(zs[lo:hi], p["T"][g], p["t"][g], place[lo:hi]) for g, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if lo < hi]
+    if inner:
+        out[order[: edges[-1]]] += np.concatenate(inner)
     return out
 
 
 def gradients(p: dict[str, np.ndarray], v: Vocabulary, rows: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Gradients of the mean loss over the scored places, and that loss."""
-    z, (x, q, k, val, a, mixed, h, g) = states(p, rows, keep=True)
-    zs, y = z[scored], target[scored]
-    m = max(1, len(y))
-    group, place, grad = v.group[y], v.place[y], {}
-    ls, e = _log_softmax(zs @ p["U"] + p["c"])
-    loss = -ls[np.arange(len(y)), group].sum()
-    e[np.arange(len(y)), group] -= 1
-    e /= m
-    grad["U"], grad["c"] = zs.T @ e, e.sum(0)
-    dz = e @ p["U"].T
-    grad["T"], grad["t"] = np.zeros_like(p["T"]), np.zeros_like(p["t"])
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(SIDE))
+    pieces = [states(p, rows[lo : lo + NEAR], keep=True) for lo in range(0, len(rows), NEAR)]
+    z = np.concatenate([x[0] for x in pieces]).reshape(-1, DIM)
+    places = np.flatnonzero(scored.ravel())
+    y = target.ravel()[places]
+    group = v.group[y]
+    # in order of group, so that each group's states are one piece
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    places, y, group = places[order], y[order], group[order]
+    place, zs = v.place[y], z.take(places, axis=0)
+    m, grad = max(1, len(y)), {k: np.zeros_like(x) for k, x in p.items()}
+    ones, dz = np.ones(PIECE, z.dtype), np.empty_like(zs)
+    loss = 0.0
+    for lo in range(0, len(y), PIECE):
+        s = slice(lo, lo + PIECE)
+        e, more = _errors(zs[s], p["U"], p["c"], group[s], m)
+        loss += more
+        grad["U"] += zs[s].T @ e
+        grad["c"] += ones[: len(e)] @ e
+        np.matmul(e, p["U"].T, out=dz[s])
+    edges = np.searchsorted(group, np.arange(SIDE)).tolist()
     for j in range(SIDE - 1):
-        i = order[edges[j] : edges[j + 1]]
-        if len(i):
-            ls, e = _log_softmax(zs[i] @ p["T"][j] + p["t"][j])
-            loss -= ls[np.arange(len(i)), place[i]].sum()
-            e[np.arange(len(i)), place[i]] -= 1
-            e /= m
-            grad["T"][j], grad["t"][j] = zs[i].T @ e, e.sum(0)
-            dz[i] += e @ p["T"][j].T
-    full = np.zeros_like(z)
-    full[scored] = dz
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    grad["W2"] = flat(g).T @ flat(full)
-    dg = (full @ p["W2"].T) * (g > 0)
-    grad["W1"], grad["b1"] = flat(h).T @ flat(dg), flat(dg).sum(0)
-    dh = full + dg @ p["W1"].T
-    grad["O"] = flat(mixed).T @ flat(dh)
+        for lo in range(edges[j], edges[j + 1], PIECE):
+            s = slice(lo, min(lo + PIECE, edges[j + 1]))
+            e, more = _errors(zs[s], p["T"][j], p["t"][j], place[s], m)
+            loss += more
+            grad["T"][j] += zs[s].T @ e
+            grad["t"][j] += ones[: len(e)] @ e
+            dz[s] += e @ p["T"][j].T
+    full = np.zeros((rows.size, DIM), z.dtype)
+    full[places] = dz
+    dx = np.empty_like(full)
+    for n, (_, kept) in enumerate(pieces):
+        s = slice(n * NEAR * WIDTH, min((n + 1) * NEAR * WIDTH, rows.size))
+        dx[s] = _back(p, full[s], kept, grad)
+    # sums per input row, number by number
+    at = rows.ravel().astype(np.int64)[:, None] * DIM + np.arange(DIM)
+    grad["E"] = np.bincount(at.ravel(), weights=dx.ravel(), minlength=ROWS * DIM).reshape(ROWS, DIM).astype(z.dtype)
+    return grad, loss / m
+
+
+def _back(p: dict[str, np.ndarray], full: np.ndarray, kept: tuple, grad: dict[str, np.ndarray]) -> np.ndarray:
+    """Adds a piece's gradients from those of its states; returns those of its inputs."""
+    x, q, k, val, a, share, mixed, h, g = kept
+    kind, shape = full.dtype.type, q.shape
+    every = np.ones(len(full), full.dtype)
+    grad["W2"] += g.T @ full
+    dg = full @ p["W2"].T
+    dg *= g > 0
+    grad["W1"] += h.T @ dg
+    grad["b1"] += every @ dg
+    dh = dg @ p["W1"].T
+    dh += full
+    grad["O"] += mixed.T @ dh
     dm = dh @ p["O"].T
-    da = np.matmul(dm, val.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dm)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    grad["R"] = np.bincount(np.maximum(_BACK, 0).ravel(), weights=(ds.sum(0) * (_BACK >= 0)).ravel(), minlength=WIDTH).astype(np.float32)
-    scale = np.float32(DIM**-0.5)
-    d3 = np.concatenate([np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale, dv], axis=2)
-    grad["QKV"] = flat(x).T @ flat(d3)
-    dx = dh + d3 @ p["QKV"].T
-    order = np.argsort(rows.ravel(), kind="stable")
-    r = rows.ravel()[order]
-    heads = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    grad["E"] = np.zeros_like(p["E"])
-    grad["E"][r[heads]] = np.add.reduceat(flat(dx)[order], heads, axis=0)
-    return grad, float(loss) / m
+    inner = ((dm * mixed) @ np.ones(DIM, full.dtype)).reshape(*shape[:2], 1)
+    a *= share
+    dm = dm.reshape(shape)
+    ds = np.matmul(dm, np.ascontiguousarray(val.transpose(0, 2, 1)))
+    ds -= inner
+    ds *= a
+    back = (np.ones(len(q), full.dtype) @ ds.reshape(len(q), -1)).reshape(WIDTH, WIDTH)
+    grad["R"] += np.bincount(np.maximum(_BACK, 0).ravel(), weights=(back * (_BACK >= 0)).ravel(), minlength=WIDTH).astype(full.dtype)
+    # q, k and v side by side, as in QKV
+    d3 = np.empty((*shape[:2], 3 * DIM), full.dtype)
+    np.multiply(np.matmul(ds, k), kind(DIM**-0.5), out=d3[:, :, :DIM])
+    d3[:, :, DIM : 2 * DIM] = np.matmul(ds.transpose(0, 2, 1), q)  # q holds the scale
+    d3[:, :, 2 * DIM :] = np.matmul(a.transpose(0, 2, 1), dm)
+    d3 = d3.reshape(-1, 3 * DIM)
+    grad["QKV"] += x.T @ d3
+    dx = d3 @ p["QKV"].T
+    dx += dh
+    return dx
 
 
 class Trainer:
     """Adam over batches of windows."""
 
-    def __init__(self, p: dict[str, np.ndarray], v: Vocabulary, rate: float = 1e-2, windows: int = 32):
+    def __init__(self, p: dict[str, np.ndarray], v: Vocabulary, rate: float = 1e-2, windows: int = 256):
         self.p, self.v, self.rate, self.windows, self.t, self.seen = p, v, rate, windows, 0, 0
         self.m = {k: np.zeros_like(x) for k, x in p.items()}
         self.s = {k: np.zeros_like(x) for k, x in p.items()}
@@ -243,7 +301,7 @@ class Trainer:
     def learn(self, texts: list[np.ndarray], end: int) -> None:
         """texts: ids without the end mark."""
         for lo in range(0, len(texts), 512):
-            for index, scored, rows, target in prepared(texts[lo : lo + 512], end, self.v):
+            for index, scored, rows, target in prepared(texts[lo : lo + 512], end, self.v, WIDTH):
                 for w in range(0, len(index), self.windows):
                     i = index[w : w + self.windows]
                     self.step(rows[i], target[i], scored[w : w + self.windows])
@@ -262,7 +320,7 @@ class Trainer:
             self.p[k] -= np.float32(a) * self.m[k] / (np.sqrt(self.s[k]) + np.float32(1e-6))
 
 
-def prepared(texts: list[np.ndarray], end: int, v: Vocabulary):
+def prepared(texts: list[np.ndarray], end: int, v: Vocabulary, stride: int = STRIDE):
     """One (window indices, scored, input rows, targets) for a list of texts. Inputs begin with the end mark."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     ids = np.concatenate([x for t in texts for x in ((end,), t)]).astype(np.int64)
@@ -270,12 +328,12 @@ def prepared(texts: list[np.ndarray], end: int, v: Vocabulary):
     target = np.empty_like(ids)
     target[:-1] = ids[1:]
     target[ends - 1] = end
-    starts, text = cut(lengths)
-    index, scored = batch(ids, ends, starts, text, ends - lengths)
+    starts, text = cut(lengths, stride)
+    index, scored = batch(ids, ends, starts, text, ends - lengths, stride)
     yield index, scored, v.row[ids], target
 
 
-def score_ids(p: dict[str, np.ndarray], v: Vocabulary, texts: list[np.ndarray], end: int, windows: int = 128, bite: int = 400_000):
+def score_ids(p: dict[str, np.ndarray], v: Vocabulary, texts: list[np.ndarray], end: int, windows: int = NEAR, bite: int = 200_000):
     """Natural log probability of every id of each text and of its end, in bites of texts."""
     lo = 0
     while lo < len(texts):

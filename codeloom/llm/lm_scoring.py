@@ -2,7 +2,7 @@
 
 1. Word counts over all training texts (``groupBy``); base scores come from them. The ``HEAVY`` commonest words go to
    the workers as a table of that fixed size; all other words of a document are joined with the counts in Spark.
-2. Id counts follow from the distinct words and their counts.
+2. Id counts follow from the distinct words and their counts. Every text is encoded once; its ids are staged.
 3. The attention model (``attention_lm``) is trained by synchronous local steps: in each round every partition trains
    on its training texts of that round (every training text belongs to one round) and the parameters are averaged by
    ids seen, first in ``REDUCERS`` tasks, then on the driver.
@@ -32,7 +32,7 @@ from .subwords import END, VOCABULARY, encoder
 
 HEAVY, REDUCERS, MIX = 1 << 18, 16, 0.3
 #: Training texts are dealt to the rounds by hash, so each text trains in one round.
-RATES = (6e-3, 4e-3, 2e-3)
+RATES = (60e-3, 40e-3, 8e-3)
 #: Stands for the end among the words; no word holds a space.
 END_WORD = " "
 
@@ -151,16 +151,16 @@ def _begins(vocabulary: str) -> np.ndarray:
     return _BEGINS[vocabulary]
 
 
-def train(texts: DataFrame, counts: tuple[np.ndarray, ...], vocabulary: str) -> tuple[dict[str, np.ndarray], lm.Vocabulary]:
+def train(encoded: DataFrame, counts: tuple[np.ndarray, ...]) -> tuple[dict[str, np.ndarray], lm.Vocabulary]:
+    """encoded: part, ids. Each row whose part is the number of a round trains in that round."""
     v = lm.Vocabulary(counts[0])
     now = lm.flatten(lm.start(v, *counts[1:]))
-    part = F.pmod(F.xxhash64("text"), F.lit(len(RATES)))
     for turn, rate in enumerate(RATES):
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             trainer = lm.Trainer(lm.unflatten(now), v, rate)
             for b in batches:
-                trainer.learn([encode_words(words_of(t), vocabulary)[0] for t in strings(b.column(0))], END)
+                trainer.learn([np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()], END)
             if trainer.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([lm.flatten(trainer.p).astype(np.float32).tobytes()], pa.binary())], names=["n", "p"])
 
@@ -172,7 +172,7 @@ def train(texts: DataFrame, counts: tuple[np.ndarray, ...], vocabulary: str) ->
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "p"])
 
-        learned = map_arrow(texts.where(part == turn).select("text"), learn, "n long, p binary")
+        learned = map_arrow(encoded.where(F.col("part") == turn).select("ids"), learn, "n long, p binary")
         got = map_arrow(learned.repartition(REDUCERS), average, "n long, p binary").collect()
         if got:
             weight = np.array([r["n"] for r in got], float)
@@ -180,82 +180,124 @@ def train(texts: DataFrame, counts: tuple[np.ndarray, ...], vocabulary: str) ->
     return lm.unflatten(now), v
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, params: dict[str, np.ndarray], v: lm.Vocabulary, vocabulary: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of every row. counts: staged."""
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, kinds = sums["n"], sums["v"]
-    below = 0.1 * (kinds + 1) + total
-    heavy = [(w.encode(), n) for w, n in commonest(counts.where(F.col("word") != END_WORD), "word", HEAVY)]
-    end_count = next((r["n"] for r in counts.where(F.col("word") == END_WORD).collect()), 0)
-    table = [w for w, _ in heavy]
-    flat, size = encode_words(table, vocabulary)
-    number = np.array([n for _, n in heavy] + [end_count], np.float64)
-    base = np.log10((number + 0.1) / below)
-    share = np.log(np.append(np.maximum(number, 1e-300) / max(1.0, number.sum()) * MIX, 1e-300))  # the last: not in the table
-    docs = docs.select(*(F.col(k) for k in keep), F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+class Words:
+    """The commonest words and what follows from the counts. counts: staged."""
+
+    def __init__(self, counts: DataFrame, vocabulary: str):
+        sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        self.total = sums["n"]
+        self.below = 0.1 * (sums["v"] + 1) + self.total
+        heavy = [(w.encode(), n) for w, n in commonest(counts.where(F.col("word") != END_WORD), "word", HEAVY)]
+        end_count = next((r["n"] for r in counts.where(F.col("word") == END_WORD).collect()), 0)
+        self.table = [w for w, _ in heavy]
+        self.flat, self.size = encode_words(self.table, vocabulary)
+        #: counts of the table's words, then the end's
+        self.number = np.array([n for _, n in heavy] + [end_count], np.float64)
+
+
+def encode_texts(docs: DataFrame, words: Words, vocabulary: str, keep: tuple[str, ...], learn: str) -> DataFrame:
+    """``keep`` columns with row, part, n_tokens and sums of the base score, the ids and words of every text, and the
+    64-bit hashes of the words beyond the table. part: the training round, by the text's hash; -1 where not ``learn``."""
+    part = F.when(F.col(learn), F.pmod(F.xxhash64("text"), F.lit(len(RATES)))).otherwise(-1).cast("int")
+    docs = docs.select(*(F.col(k) for k in keep), part.alias("__part"), F.col("text").alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-2])
+    table, flat, size, number = words.table, words.flat, words.size, words.number
+    base, last = np.log10((number + 0.1) / words.below), len(words.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        encode, last = Encoder(table, flat, size, vocabulary), len(table)
+        encode = Encoder(table, flat, size, vocabulary)
         for b in batches:
-            texts, lo, parts = strings(b.column(b.num_columns - 1)), 0, []
+            texts, lo, out = strings(b.column(b.num_columns - 1)), 0, []
             while lo < len(texts):
-                words, n, chars = [], [], 0
+                some, n, chars = [], [], 0
                 while lo < len(texts) and (not n or chars < 2_000_000):
                     own = words_of(texts[lo])
-                    words += own
+                    some += own
                     n.append(len(own))
                     chars += len(texts[lo])
                     lo += 1
-                parts.append(score_some(encode, words, np.array(n), last, xxhash.xxh64_intdigest))
-            cols = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(4)]
-            rare = [x for p in parts for x in p[4]]
+                out += described(encode, some, np.array(n))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            cols = [*zip(*out, strict=True)] if out else [[]] * len(kinds)
             rows = np.arange(row, row + len(texts))
             row += len(texts)
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip((rows, *cols), kinds_, strict=True)), pa.array(rare, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "row", "n_tokens", "heavy_known", "heavy_base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], b.column(b.num_columns - 2), pa.array(rows), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*b.schema.names[:-2], "part", "row", "n_tokens", "heavy_known", "heavy_base", "ids", "place", "many", "rare"])
 
-    def score_some(encode, words, n, last, digest):
-        place, many, ids, rare = encode(words)
+    def described(encode, some, n):
+        import xxhash
+
+        place, many, ids, rare = encode(some)
+        marks = iter([xxhash.xxh64_intdigest(w, seed=42) for w in rare])
         ends = np.cumsum(n)
-        starts = ends - n
-        id_ends = np.concatenate([[0], np.cumsum(many)])
-        texts = [ids[id_ends[a] : id_ends[z]] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-        logs = np.concatenate(list(lm.score_ids(params, v, texts, END)))
+        id_ends, ids = np.concatenate([[0], np.cumsum(many)]), ids.astype("<u2")
+        for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True):
+            p, m = place[a:z], many[a:z]
+            known = p[p >= 0]
+            own = np.array([next(marks) for _ in range(z - a - len(known))], np.uint64).view(np.int64)
+            wide = np.uint8 if not len(m) or m.max() < 256 else np.uint32
+            yield z - a + 1, len(known) + int(number[last] > 0), float(base[known].sum() + base[last]), ids[id_ends[a] : id_ends[z]].tobytes(), p.astype("<i4").tobytes(), m.astype(wide).tobytes(), own
+
+    return stage(map_arrow(docs, run, f"{fields}, part int, row long, n_tokens long, heavy_known long, heavy_base double, ids binary, place binary, many binary, rare array<long>"), "encoded")
+
+
+def score_texts(encoded: DataFrame, counts: DataFrame, words: Words, params: dict[str, np.ndarray], v: lm.Vocabulary, keep: tuple[str, ...], mix: float = MIX) -> DataFrame:
+    """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of every row. counts: staged.
+
+    mix: the weight of the words' shares; 0 leaves the attention model alone.
+    """
+    number, last = words.number, len(words.table)
+    # for places -1 (not in the table) and last (the end) too
+    with np.errstate(divide="ignore"):
+        share = np.log(np.append(number / max(1.0, number.sum()), 0.0) * mix)
+    rows = encoded.select(*keep, "row", "n_tokens", "heavy_known", "heavy_base", "ids", "place", "many")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-3])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("n_tokens").to_numpy() - 1
+            ids, place, many = (b.column(k).to_pylist() for k in ("ids", "place", "many"))
+            score, lo = np.empty(len(n)), 0
+            while lo < len(n):
+                hi, size = lo, 0
+                while hi < len(n) and (hi == lo or size < 400_000):
+                    size += len(ids[hi])
+                    hi += 1
+                score[lo:hi] = some(n[lo:hi], ids[lo:hi], place[lo:hi], many[lo:hi])
+                lo = hi
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(score)], names=[*b.schema.names[:-3], "score"])
+
+    def some(n, ids, place, many):
+        logs = np.concatenate(list(lm.score_ids(params, v, [np.frombuffer(x, "<u2") for x in ids], END)))
         # per word, the end of each text after its words
-        owner = np.repeat(np.arange(len(n)), n + 1)
-        where = np.full(len(words) + len(n), last, np.int64)
-        is_word = np.ones(len(where), bool)
-        is_word[ends + np.arange(len(n))] = False
-        where[is_word] = np.where(place >= 0, place, last + 1)
-        length = np.ones(len(where), np.int64)
-        length[is_word] = many
-        model = np.add.reduceat(logs, np.cumsum(length) - length)
-        mixed = np.logaddexp(model + np.log(1 - MIX), share[where])
-        known = where <= last
-        per = lambda x: np.bincount(owner, weights=x, minlength=len(n))
-        if not number[last]:
-            known = known & (where != last)
-        marks = np.array([digest(w, seed=42) for w in rare], np.uint64).view(np.int64)
-        cut = np.cumsum(np.bincount(owner[is_word][place < 0], minlength=len(n)))
-        lists = [m.tolist() for m in np.split(marks, cut[:-1])]
-        return n + 1, per(known).astype(np.int64), per(np.append(base, 0.0)[where]), per(mixed) / np.log(10), lists
-
-    rows = stage(map_arrow(docs, run, f"{fields}, row long, n_tokens long, heavy_known long, heavy_base double, score double, rare array<long>"), "scores")
-    light = rows.select("row", F.explode("rare").alias("w")).groupBy("w", "row").agg(F.count("*").alias("tf"))
+        is_word = np.ones(int(n.sum()) + len(n), bool)
+        is_word[np.cumsum(n) + np.arange(len(n))] = False
+        where, length = np.full(len(is_word), last, np.int64), np.ones(len(is_word), np.int64)
+        where[is_word] = np.frombuffer(b"".join(place), "<i4")
+        length[is_word] = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == k else "<u4") for x, k in zip(many, n.tolist(), strict=True)])
+        model = np.add.reduceat(logs, np.cumsum(length) - length).astype(np.float64)
+        mixed = np.logaddexp(model + np.log1p(-mix), share[where])
+        return np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=mixed, minlength=len(n)) / np.log(10)
+
+    rows = map_arrow(rows, run, f"{fields}, score double")
+    light = encoded.select("row", F.explode("rare").alias("w")).groupBy("w", "row").agg(F.count("*").alias("tf"))
     light = light.join(counts.select(F.xxhash64("word").alias("w"), "n"), "w", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    light = light.groupBy("row").agg(F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(below))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    out = rows.drop("rare").join(light, "row", "left")
-    return out.select(*keep, "n_tokens", (F.col("heavy_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("heavy_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
+    light = light.groupBy("row").agg(F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(words.below))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
+    out = rows.join(light, "row", "left")
+    return out.select(*keep, "n_tokens", (F.col("heavy_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("heavy_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
+
+
+def learned(docs: DataFrame, vocabulary: str, keep: tuple[str, ...], learn: str):
+    """(encoded texts, word counts, Words, parameters, Vocabulary) with all learned from the rows where ``learn``."""
+    counts = stage(word_counts(docs.where(learn).select("text")), "words")
+    words = Words(counts, vocabulary)
+    encoded = encode_texts(docs, words, vocabulary, keep, learn)
+    return encoded, counts, words, *train(encoded, id_counts(counts, vocabulary))
 
 
-def op5_lm_scoring(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (remainder() == 0).alias("held_out"))
-    training = docs.where(~F.col("held_out")).select("text")
-    counts = stage(word_counts(training), "words")
-    params, v = train(training, id_counts(counts, vocabulary), vocabulary)
-    return score_texts(docs, counts, params, v, vocabulary, ("doc_id", "held_out"))
+def op5_lm_scoring(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY, mix: float = MIX) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (remainder() == 0).alias("held_out")).withColumn("learn", ~F.col("held_out"))
+    encoded, counts, words, params, v = learned(docs, vocabulary, ("doc_id", "held_out"), "learn")
+    return score_texts(encoded, counts, words, params, v, ("doc_id", "held_out"), mix)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 from helpers import SF, awkward, documents, empty
+from pyspark.sql import functions as F
 
 from codeloom.llm import attention_lm as lm
 from codeloom.llm import lm_scoring as ls
@@ -92,7 +93,7 @@ def test_training_lowers_loss():
     texts = [np.resize([5, 17, 99, 4], int(r.integers(20, 90))) for _ in range(200)]
     p = lm.start(v)
     before = sum(x.sum() for x in lm.score_ids(p, v, texts, END))
-    t = lm.Trainer(p, v, 1e-2)
+    t = lm.Trainer(p, v, 1e-2, windows=16)
     t.learn(texts, END)
     assert sum(x.sum() for x in lm.score_ids(t.p, v, texts, END)) > 0.6 * before
 
@@ -120,21 +121,35 @@ def test_query_base_scores(spark):
 
 
 def test_scoring_awkward(spark):
-    docs = awkward(spark).select("doc_id", "text", (ls.remainder() == 0).alias("held_out"), "b")
-    training = docs.where("not held_out").select("text")
-    counts = ls.stage(ls.word_counts(training), "words")
-    params, v = ls.train(training, ls.id_counts(counts, VOCABULARY), VOCABULARY)
-    got = ls.score_texts(docs, counts, params, v, VOCABULARY, ("doc_id", "b")).collect()
+    docs = awkward(spark).withColumn("held_out", ls.remainder() == 0).withColumn("learn", ~F.col("held_out"))
+    encoded, counts, words, params, v = ls.learned(docs, VOCABULARY, ("doc_id", "b", "size"), "learn")
+    got = ls.score_texts(encoded, counts, words, params, v, ("doc_id", "b", "size")).collect()
     assert len(got) == 10 and {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1}
+    assert len({(r.base_score, r.score) for r in got if r.doc_id == 1}) == 1
+    for some in (docs.limit(0), docs.withColumn("learn", F.lit(False))):  # no rows; nothing to learn from
+        encoded, counts, words, params, v = ls.learned(some, VOCABULARY, ("doc_id",), "learn")
+        got = ls.score_texts(encoded, counts, words, params, v, ("doc_id",)).collect()
+        assert len(got) == some.count() and all(r.n_known == r.train_tokens == 0 and r.score < 0 for r in got)
+
+
+def test_attention_alone(spark):
+    docs = documents(spark).withColumn("learn", F.lit(True))
+    encoded, counts, words, params, v = ls.learned(docs, VOCABULARY, ("doc_id", "text"), "learn")
+    got = ls.score_texts(encoded, counts, words, params, v, ("doc_id", "text"), mix=0.0).collect()
+    for r in got[:20]:
+        ids = ls.encode_words(ls.words_of(r.text), VOCABULARY)[0]
+        want = float(sum(x.sum(dtype=float) for x in lm.score_ids(params, v, [ids], END))) / math.log(10)
+        assert abs(r.score - want) < 1e-3 * abs(want)
 
 
 def test_every_training_text_is_learned_from(spark):
     texts = [" ".join(f"word{i} likes {k}" for k in range(40)) for i in range(3)]
     for t in texts:  # alone, so that the parameters move only if this text reaches the model
-        training = spark.createDataFrame([(t,)], "text string")
-        counts = ls.id_counts(ls.word_counts(training), VOCABULARY)
-        params, v = ls.train(training, counts, VOCABULARY)
-        assert not np.array_equal(lm.flatten(params), lm.flatten(lm.start(v, *counts[1:])))
+        docs = spark.createDataFrame([(1, t, True)], "doc_id long, text string, learn boolean")
+        _, counts, _, params, v = ls.learned(docs, VOCABULARY, ("doc_id",), "learn")
+        assert not np.array_equal(lm.flatten(params), lm.flatten(lm.start(v, *ls.id_counts(counts, VOCABULARY)[1:])))
+    parts = ls.learned(documents(spark).withColumn("learn", ls.remainder() != 0), VOCABULARY, ("doc_id",), "learn")[0]
+    assert all((r.part >= 0) == bool(zlib.crc32(str(r.doc_id).encode()) % 10) for r in parts.collect())
 
 
 def test_later_windows_keep_context():
