@@ -29,8 +29,11 @@ PRESETS = {
 }
 #: Base classes of class-based views. Fixed values.
 VIEW_BASES = (
-    "View TemplateView RedirectView ListView DetailView FormView CreateView UpdateView DeleteView LoginView LogoutView "
-    "LoginRequiredMixin PermissionRequiredMixin UserPassesTestMixin MiddlewareMixin APIView ViewSet ModelViewSet GenericViewSet ReadOnlyModelViewSet"
+    "View TemplateView RedirectView ListView DetailView FormView CreateView UpdateView DeleteView BaseDetailView BaseListView BaseFormView "
+    "BaseCreateView BaseUpdateView BaseDeleteView ProcessFormView ArchiveIndexView YearArchiveView MonthArchiveView WeekArchiveView DayArchiveView "
+    "DateDetailView LoginView LogoutView PasswordChangeView PasswordChangeDoneView PasswordResetView PasswordResetDoneView PasswordResetConfirmView "
+    "PasswordResetCompleteView LoginRequiredMixin PermissionRequiredMixin UserPassesTestMixin AccessMixin MiddlewareMixin AutocompleteJsonView "
+    "APIView ViewSet ModelViewSet GenericViewSet ReadOnlyModelViewSet"
 ).split()
 #: Build output folders and endings of minified files. Fixed values.
 BUILD_DIRS = "_fresh dist build .next out node_modules .svelte-kit target __pycache__ .turbo .vite .cache .parcel-cache".split()

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frameworks import ENTRY_DECORATORS, has_decorator, implicit_entry_point, is_build_output, last_segments, routed_file
 from ..functions.paths import is_entry_point_file, is_infrastructure, is_non_product, is_test_file
-from .graph import cones, reach, simple
+from ..sources.protection import spare
+from .graph import reach, simple
+
+#: Visibilities that callers beyond the index may use. Fixed values.
+PUBLIC = ("pub", "public", "exported")
 
 
 def unreached(symbols: DataFrame, edges: DataFrame, links: DataFrame, min_weight: float = 0.0) -> DataFrame:
@@ -15,20 +20,53 @@ def unreached(symbols: DataFrame, edges: DataFrame, links: DataFrame, min_weight
     return symbols.join(called.select(F.col("dst").alias("symbol_id")), "symbol_id", "left_anti").join(links.select("symbol_id"), "symbol_id", "left_anti")
 
 
-def dead_code(symbols: DataFrame, edges: DataFrame, links: DataFrame, min_weight: float = 0.0) -> DataFrame:
-    """Unreached symbols with the first filter that spares them; null reason: dead."""
-    p = F.col("file_path")
-    reason = F.when(is_test_file(p), "tests").when(is_entry_point_file(p), "entry_point").when(~p.endswith(".py"), "non_python")
-    reason = reason.when(is_infrastructure(F.col("qualified_name"), F.col("name"), F.col("start_line"), F.col("end_line")), "infrastructure")
-    return unreached(symbols, edges, links, min_weight).withColumn("reason", reason)
+def dead_code(symbols: DataFrame, edges: DataFrame, links: DataFrame, min_weight: float = 0.0, *, include_tests: bool = False, include_framework_routes: bool = False, include_non_python: bool = False, include_infrastructure: bool = False, include_public: bool = False, protected: DataFrame | None = None, handlers: DataFrame | None = None) -> DataFrame:
+    """Unreached symbols with the first filter that spares them; null reason: dead. Each flag takes one filter away.
+
+    In order: tests, entry points, build output, files a framework routes, other languages than Python, infrastructure
+    (called from outside by name, or by a decorator), public symbols, handlers (symbol_id) handed to a router, then
+    infrastructure by what the code's text keeps alive. protected: of ``protection.scan``. symbols may have decorators
+    and visibility.
+    """
+    p, q, name, kind = (F.col(c) for c in ("file_path", "qualified_name", "name", "kind"))
+    found = unreached(symbols, edges, links, min_weight)
+    if protected is None or include_infrastructure:
+        found = found.withColumn("protected", F.lit(None).cast("string"))
+    else:
+        found = spare(found, protected)
+        # a method lives as long as its class is named
+        owner = F.when((kind == "method") & (F.size(F.split(q, r"\.")) >= 2), F.element_at(F.split(q, r"\."), -2))
+        classes = protected.where("category <> 'nested'").select(F.col("name").alias("owner")).distinct().withColumn("owned", F.lit("class"))
+        found = found.withColumn("owner", owner).join(classes, "owner", "left").withColumn("protected", F.coalesce("protected", "owned")).drop("owner", "owned")
+    if handlers is not None:
+        found = found.join(handlers.select("symbol_id", F.lit(True).alias("handler")).distinct(), "symbol_id", "left")
+    never = F.lit(False)
+    infra = is_infrastructure(q, name, F.col("start_line"), F.col("end_line")) | implicit_entry_point(name, q, kind)
+    if "decorators" in symbols.columns:
+        aliases = protected.where("category = 'alias'").select(F.lower("name").alias("alias")).distinct() if protected is not None else None
+        infra = infra | has_decorator(F.col("decorators"), ENTRY_DECORATORS)
+        if aliases is not None:
+            deco = found.select("symbol_id", F.explode(last_segments(F.col("decorators"))).alias("alias")).join(aliases, "alias").select("symbol_id", F.lit(True).alias("aliased")).distinct()
+            found = found.join(deco, "symbol_id", "left")
+            infra = infra | F.coalesce("aliased", never)
+    public = F.col("visibility").isin(*PUBLIC) if "visibility" in symbols.columns else never
+    reason = F.when(never if include_tests else is_test_file(p), "tests").when(is_entry_point_file(p), "entry_point").when(is_build_output(p), "build_output")
+    reason = reason.when(never if include_framework_routes else routed_file(p).isNotNull(), "fs_routing").when(never if include_non_python else ~p.endswith(".py"), "non_python")
+    reason = reason.when(never if include_infrastructure else infra, "infrastructure").when(never if include_public else public, "public")
+    reason = reason.when(F.coalesce("handler", never) if handlers is not None else never, "handler").when(F.col("protected").isNotNull(), "infrastructure")
+    return found.withColumn("reason", reason).select(*symbols.columns, "reason")
+
+
+def filtered_out(found: DataFrame) -> DataFrame:
+    """(reason, n) of ``dead_code``'s rows; ``dead`` are those that no filter spares."""
+    return found.groupBy(F.coalesce("reason", F.lit("dead")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def orphan_tests(symbols: DataFrame, edges: DataFrame, max_depth: int = 10, min_weight: float = 0.0) -> DataFrame:
-    """Test symbols from which no product symbol can be reached. One frontier, keyed by test, for all tests."""
+    """Test symbols from which no product symbol can be reached. One walk backward from all product symbols."""
     tests = symbols.where(is_test_file(F.col("file_path")) & (F.col("kind") != "class"))
     product = symbols.where(~is_test_file(F.col("file_path"))).select(F.col("symbol_id").alias("node"))
-    cone = cones(edges, tests.select(F.col("symbol_id").alias("origin"), F.col("symbol_id").alias("node")), max_depth, min_weight)
-    live = cone.join(product, "node", "left_semi").select(F.col("origin").alias("symbol_id")).distinct()
+    live = reach(edges, product, max_depth, min_weight, backward=True).select(F.col("node").alias("symbol_id"))
     return tests.join(live, "symbol_id", "left_anti")
 
 

@@ -27,7 +27,9 @@ def endpoints(symbols: DataFrame, routes: DataFrame, framework: str | None = Non
         f = base.withColumn("f", routed_file(F.col("file_path"))).where("f is not null")
         parts.append((f.where(F.col("f") == framework) if framework else f).select(*out, F.lit("file").alias("source"), F.col("f").alias("detail"), F.lit(2).alias("rank")))
     if framework is None:
-        served = routes.where("role = 'server'").groupBy("symbol_id").agg(F.min(F.concat_ws(" ", "method", "route")).alias("detail"))
+        spot = F.struct("line", "method", "route") if "line" in routes.columns else F.struct("method", "route")
+        first_route = routes.where("role = 'server'").groupBy("symbol_id").agg(F.min(spot).alias("r"))
+        served = first_route.select("symbol_id", F.concat_ws(" ", "r.method", "r.route").alias("detail"))
         parts.append(base.join(served, "symbol_id").select(*out, F.lit("route").alias("source"), "detail", F.lit(4).alias("rank")))
     every = parts[0]
     for p in parts[1:]:

@@ -6,6 +6,8 @@ DataFrames and are staged each level, so lineage doesn't grow and a lost executo
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,39 +20,58 @@ def simple(edges: DataFrame, min_weight: float = 0.0) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def cones(edges: DataFrame, seeds: DataFrame, max_depth: int, min_weight: float = 0.0, backward: bool = False, keep_seeds: bool = False) -> DataFrame:
-    """(origin, node, depth): nodes within ``max_depth`` of each origin at their least depth.
+def cones(edges: DataFrame, seeds: DataFrame, max_depth: int | None, min_weight: float = 0.0, backward: bool = False, keep_seeds: bool = False) -> DataFrame:
+    """(origin, node, depth): nodes within ``max_depth`` (None: any number) of each origin at their least depth.
 
     seeds: (origin, node). An origin's own seeds are left out unless ``keep_seeds``. Many origins share one frontier.
     """
     e = simple(edges, min_weight).select(*((F.col("dst"), F.col("src")) if backward else (F.col("src"), F.col("dst"))))
     e = e.toDF("at", "next")
-    if max_depth > 1:
+    if max_depth is None or max_depth > 1:
         e = stage(e, "edges")  # every level reads it
     seen = seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(e, frontier.node == e.at).select("origin", F.col("next").alias("node")).distinct()
         frontier = step.join(seen, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        if depth < max_depth:
+        if max_depth is None or depth < max_depth:
             frontier = stage(frontier, "frontier")
             if frontier.isEmpty():
                 break
             seen = seen.unionByName(frontier)
+            if depth % 16 == 0:
+                seen = stage(seen, "seen")  # one table again, so that the plan stays small
         else:
             seen = seen.unionByName(frontier)
     return seen if keep_seeds else seen.where("depth > 0")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, min_weight: float = 0.0, backward: bool = False, keep_seeds: bool = False) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None, min_weight: float = 0.0, backward: bool = False, keep_seeds: bool = False) -> DataFrame:
     """(node, depth) from all ``seeds`` (node) at once."""
     one = cones(edges, seeds.select(F.lit(0).alias("origin"), "node"), max_depth, min_weight, backward, keep_seeds)
     return one.select("node", "depth")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, backward: bool = False, limit: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
     """(node, depth): everything reachable, to a fixpoint."""
-    return reach(edges, seeds, limit, backward=backward)
+    return reach(edges, seeds, None, backward=backward)
+
+
+def walk(edges: DataFrame, root: int, max_depth: int, direction: str = "forward") -> tuple[DataFrame, DataFrame]:
+    """(nodes with depth, edges traversed) from ``root``: forward, backward or both over one visited set.
+
+    edges: src, dst, kind. An edge is traversed from a node nearer than ``max_depth``; each is given once, with the
+    kind that sorts first.
+    """
+    ways = {"forward": (("src", "dst"),), "backward": (("dst", "src"),), "both": (("src", "dst"), ("dst", "src"))}[direction]
+    parts = [edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(1.0).alias("weight")) for a, b in ways]
+    seed = edges.sparkSession.createDataFrame([(root,)], "node long")
+    nodes = reach(parts[0].union(parts[1]) if len(parts) > 1 else parts[0], seed, max_depth, keep_seeds=True)
+    nodes = stage(nodes, "walk")
+    near = nodes.where(F.col("depth") < max_depth)
+    met = [edges.join(near.select(F.col("node").alias(a)), a, "left_semi").select("src", "dst", "kind") for a, _ in ways]
+    every = met[0].union(met[1]) if len(met) > 1 else met[0]
+    return nodes, every.groupBy("src", "dst").agg(F.min("kind").alias("kind"))
 
 
 def creates_cycle(edges: DataFrame, src: int, dst: int) -> bool:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..staging import stage
 
 K1, B = 1.2, 0.75
 
@@ -18,9 +22,19 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, query: list[str], any_term: bool = True) -> DataFrame:
     """(chunk_id, score) of chunks that hold the terms (any, or all). Only the query's postings are kept."""
-    sized = chunks.select("chunk_id", terms(F.col("text")).alias("t")).withColumn("length", F.size("t"))
+    sized = chunks.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("length"), F.filter("t", lambda x: x.isin(*query)).alias("t"))
+    sized = stage(sized, "sized")  # every text is cut into terms once; what is kept of it is small
     n, mean = sized.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
-    hits = sized.select("chunk_id", "length", F.explode(F.filter("t", lambda x: x.isin(*query))).alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    hits = sized.select("chunk_id", "length", F.explode("t").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    return _scored(hits, n, mean, query, any_term)
+
+
+def bm25_indexed(index: DataFrame, n: int, mean: float, query: list[str], any_term: bool = True) -> DataFrame:
+    """The same from staged ``postings`` of n chunks of that mean length: only the query's terms are read."""
+    return _scored(index.where(F.col("term").isin(*query)).select("chunk_id", "length", "term", "tf"), n, mean, query, any_term)
+
+
+def _scored(hits: DataFrame, n: int, mean: float, query: list[str], any_term: bool) -> DataFrame:
     df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row per term of the query
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
@@ -28,14 +42,114 @@ def bm25(chunks: DataFrame, query: list[str], any_term: bool = True) -> DataFram
     return out.select("chunk_id", "score") if any_term else out.where(F.col("found") == len(set(query))).select("chunk_id", "score")
 
 
-def grep(files: DataFrame, pattern: str, literal: bool = True, per_file: int = 20, most: int = 240) -> DataFrame:
-    """(path, line, text): lines that match, at most ``per_file`` of each file, texts cut at ``most``. files: path, content."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+#: Longest pattern that is tried as an expression, and the characters of a line that are searched.
+PATTERN_MOST, LINE_MOST = 200, 4_000
+
+
+def grep_mode(pattern: str) -> str:
+    """regex, or literal for patterns that are too long, repeat a repeated group, or are no expressions."""
+    if len(pattern) > PATTERN_MOST:
+        return "literal"
+    try:
+        re.compile(pattern)
+    except re.error:
+        return "literal"
+    # a group with a repetition inside that is itself repeated
+    open_at, loose = [], False
+    for i, c in enumerate(pattern):
+        if c == "(":
+            open_at.append(i)
+        elif c == ")" and open_at:
+            start = open_at.pop()
+            loose = loose or (pattern[i + 1 : i + 2] in ("+", "*") and any(x in "+*" for x in pattern[start + 1 : i]))
+    return "literal" if loose else "regex"
+
+
+def grep(files: DataFrame, pattern: str, literal: bool = True, per_file: int = 20, most: int = 240, glob: str | None = None, language: str | None = None) -> DataFrame:
+    """(path, line, text): lines that match, at most ``per_file`` of each file, texts cut at ``most``. files: path, content.
+
+    Files without a match in their whole content are left out before lines are cut. glob: of whole paths; language: of
+    the files' column of that name.
+    """
+    if glob:
+        files = files.where(F.col("path").rlike("^" + fnmatch.translate(glob).replace("(?s:", "(?:").removesuffix("\\Z").removesuffix("\\z") + "$"))
+    if language:
+        files = files.where(F.col("language") == language)
+    literal = literal or grep_mode(pattern) == "literal"
+    if literal:
+        files = files.where(F.col("content").contains(pattern))
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).withColumn("text", F.substring("text", 1, LINE_MOST))
     hit = lines.where(F.col("text").contains(pattern) if literal else F.col("text").rlike(pattern))
     nth = F.row_number().over(Window.partitionBy("path").orderBy("at"))
     return hit.withColumn("nth", nth).where(F.col("nth") <= per_file).select("path", (F.col("at") + 1).alias("line"), F.substring("text", 1, most).alias("text"))
 
 
+#: Token budgets of code chunks and of spec chunks.
+CODE_TOKENS, TEXT_TOKENS = 1_500, 800
+
+
+def _tokens(text):
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
+
+
+def _packed(body, budget: int, first_line):
+    """Blank-line pieces of ``body`` packed under a budget: array of (text, first, last), lines from ``first_line``; the
+    last chunk's last line is null."""
+    kind = "struct<text:string,first:bigint,last:bigint>"
+    empty = F.struct(F.lit(None).cast("string").alias("buf"), F.lit(0).cast("long").alias("size"), first_line.cast("long").alias("line"), first_line.cast("long").alias("begin"), F.array().cast(f"array<{kind}>").alias("done"))
+
+    def step(acc, p):
+        t = _tokens(p)
+        full = (acc["size"] + t > budget) & acc["buf"].isNotNull()
+        after = acc["line"] + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 2
+        chunk = F.struct(acc["buf"].alias("text"), acc["begin"].alias("first"), F.greatest(acc["begin"], acc["line"] - 2).alias("last")).cast(kind)
+        buf = F.when(full | acc["buf"].isNull(), p).otherwise(F.concat_ws("\n\n", acc["buf"], p))
+        return F.struct(buf.alias("buf"), F.when(full, t).otherwise(acc["size"] + t).alias("size"), after.alias("line"), F.when(full, acc["line"]).otherwise(acc["begin"]).alias("begin"), F.when(full, F.concat(acc["done"], F.array(chunk))).otherwise(acc["done"]).alias("done"))
+
+    last = lambda a: F.concat(a["done"], F.array(F.struct(a["buf"].alias("text"), a["begin"].alias("first"), F.lit(None).cast("long").alias("last")).cast(kind)))
+    return F.aggregate(F.split(body, "\n\n"), empty, step, last)
+
+
+def chunk_symbols(symbols: DataFrame, budget: int = CODE_TOKENS) -> DataFrame:
+    """(symbol_id, chunk, text, start_line, end_line, content_hash): one chunk if a symbol fits with its header, else its
+    body in blank-line pieces, each chunk under the header."""
+    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"# {label}: "), c, F.lit("\n"))).otherwise("")
+    doc = F.when(F.coalesce("docstring", F.lit("")) != "", F.concat(F.lit("# Doc:\n# "), F.replace("docstring", F.lit("\n"), F.lit("\n# ")), F.lit("\n"))).otherwise("")
+    header = F.concat(F.lit("# "), "qualified_name", F.lit("\n# Kind: "), F.coalesce("kind", F.lit("")), F.lit("\n# File: "), "file_path", F.lit("\n"), part("Signature", F.col("signature")), doc, F.lit("\n"))
+    s = symbols.select("symbol_id", "start_line", "end_line", header.alias("head"), F.coalesce("body", F.lit("")).alias("body"))
+    whole = F.array(F.struct(F.col("body").alias("text"), F.col("start_line").cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
+    chunks = F.when(_tokens(F.concat("head", "body")) <= budget, whole).otherwise(_packed(F.col("body"), budget, F.col("start_line")))
+    out = s.select("symbol_id", "head", "end_line", F.posexplode(chunks).alias("chunk", "c"))
+    text = F.concat("head", "c.text")
+    return out.select("symbol_id", "chunk", text.alias("text"), F.col("c.first").alias("start_line"), F.coalesce("c.last", "end_line").cast("long").alias("end_line"), F.md5(text.cast("binary")).alias("content_hash"))
+
+
+def chunk_specs(specs: DataFrame, budget: int = TEXT_TOKENS) -> DataFrame:
+    """(spec_id, chunk, text, content_hash) of specs (spec_id, title, description)."""
+    text = F.regexp_replace(F.concat(F.lit("# "), "spec_id", F.lit(": "), "title", F.lit("\n\n"), F.coalesce("description", F.lit(""))), r"^\s+|\s+$", "")
+    s = specs.select("spec_id", text.alias("t"))
+    whole = F.array(F.struct(F.col("t").alias("text"), F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
+    chunks = F.when(_tokens(F.col("t")) <= budget, whole).otherwise(_packed(F.col("t"), budget, F.lit(0)))
+    out = s.select("spec_id", F.posexplode(chunks).alias("chunk", "c"))
+    return out.select("spec_id", "chunk", F.col("c.text").alias("text"), F.md5(F.col("c.text").cast("binary")).alias("content_hash"))
+
+
+def upsert_chunks(old: DataFrame, new: DataFrame, source: str = "symbol_id") -> DataFrame:
+    """Chunks after an update: a source whose sequence of hashes is unchanged keeps its rows, any other gets the new
+    ones; sources that ``new`` doesn't hold stay. Both: ``source``, chunk, text, content_hash, ..."""
+    digest = lambda df: df.groupBy(source).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "content_hash"))), lambda x: x["content_hash"]), ",").cast("binary")).alias("digest"))
+    moved = digest(new).join(digest(old), [source, "digest"], "left_anti").select(source)
+    return old.join(moved, source, "left_anti").unionByName(new.join(moved, source, "left_semi"))
+
+
+def snippet(text, query: list[str], most: int = 160):
+    """The part of a text around the first of the query's terms in it; its head if it holds none."""
+    low = F.lower(text)
+    places = F.filter(F.array(*(F.instr(low, q) for q in query)), lambda i: i > 0)
+    first = F.coalesce(F.array_min(places), F.lit(1))
+    return F.trim(F.substring(text, F.greatest(F.lit(1), first - most // 4), F.lit(most)))
+
+
 def pack_chunks(texts: DataFrame, budget: int = 800) -> DataFrame:
     """(id, chunk, n_pieces, tokens): blank-line pieces packed in order under a token budget. texts: id, text."""
     size = lambda p: F.greatest(F.lit(1), F.floor(F.length(p) / 4)).cast("long")

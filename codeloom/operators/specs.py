@@ -43,8 +43,8 @@ def fingerprints(bodies: DataFrame) -> DataFrame:
 
 def same_structure(prints: DataFrame) -> DataFrame:
     """Members of groups with one structural hash and more than one member."""
-    n = F.count("*").over(Window.partitionBy("structural_hash"))
-    return prints.withColumn("n", n).where("n > 1")
+    n = prints.groupBy("structural_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return prints.join(n, "structural_hash").select(*prints.columns, "n")
 
 
 def near_structure(candidates: DataFrame, corpus: DataFrame, threshold: float = 0.8, least_tokens: int = 40) -> DataFrame:

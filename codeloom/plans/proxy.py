@@ -44,6 +44,20 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(F.col("l_suppkey").alias("spec"), F.col("l_partkey").alias("symbol_id"), relation.alias("relation"), (1 - 5 * F.col("l_discount")).alias("confidence"))
 
 
+def tight_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of large, much reduced lines alone: few enough that some symbols have no caller."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity")
+    nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount"))
+    e = line.select(F.col("l_partkey").alias("src"), nxt.alias("dst"), "l_discount", "l_quantity").where("dst is not null and src <> dst and l_discount >= 0.09 and l_quantity >= 45")
+    return e.select("src", "dst", F.lit(1.0).alias("weight")).distinct()
+
+
+def tight_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Implementing links of large lines at full price."""
+    line = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_discount = 0 and l_quantity >= 49")
+    return line.select(F.col("l_suppkey").alias("spec"), F.col("l_partkey").alias("symbol_id"), F.lit("implements").alias("relation"), F.lit(1.0).alias("confidence"))
+
+
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls as servers, their hrefs as clients."""
     p = table(spark, sf_dir, "pages")
@@ -72,6 +86,10 @@ EDGE = """edge AS (SELECT src, dst, max(weight) AS weight FROM (SELECT l_partkey
   lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) AS dst,
   CAST(CASE WHEN l_discount >= CAST(0.09 AS DOUBLE) THEN 1.0 WHEN l_discount >= CAST(0.07 AS DOUBLE) THEN 0.9 WHEN l_discount >= CAST(0.05 AS DOUBLE) THEN 0.7 ELSE 0.5 END AS DOUBLE) AS weight
   FROM lineitem) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)"""
+TIGHT = """tight AS (SELECT DISTINCT src, dst, CAST(1.0 AS DOUBLE) AS weight FROM (SELECT l_partkey AS src, l_discount, l_quantity,
+  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) AS dst FROM lineitem)
+  WHERE dst IS NOT NULL AND src <> dst AND l_discount >= CAST(0.09 AS DOUBLE) AND l_quantity >= 45)"""
+FEW = "few AS (SELECT l_suppkey AS spec, l_partkey AS symbol_id, 'implements' AS relation FROM lineitem WHERE l_returnflag = 'A' AND l_discount = 0 AND l_quantity >= 49)"
 LINK = """link AS (SELECT l_suppkey AS spec, l_partkey AS symbol_id,
   CASE l_returnflag WHEN 'R' THEN 'tests' WHEN 'A' THEN 'implements' ELSE 'references' END AS relation, 1 - 5 * l_discount AS confidence FROM lineitem)"""
 

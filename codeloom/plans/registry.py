@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import INFRA_PATHS, approx_tokens
-from ..functions.text import MARKED, PLAIN, first_sentence
-from ..operators import analysis, graph, logs, resolve, search, specs
+from ..functions.paths import approx_tokens
+from ..functions.text import KEYWORDS, MARKED, PLAIN, first_sentence
+from ..operators import analysis, graph, logs, resolve, search, specs, views
 from . import proxy
-from .proxy import EDGE, LINK, LOG, ROUTE, SYM
+from .proxy import EDGE, FEW, LINK, LOG, ROUTE, SYM, TIGHT
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,12 +112,12 @@ def route_edges(spark, d):
     return resolve.resolve_routes(proxy.routes(spark, d))
 
 
-_INFRA = "(" + ", ".join(f"'{p}'" for p in INFRA_PATHS) + ")"
+_INFRA = r"regexp_matches(lower(norm_path), '^/(health|liveness|readiness|ready|ping|metrics|actuator/health|actuator/info|api-docs|v3/api-docs|openapi\.yaml|openapi\.json|swagger|swagger-ui|ui|playground|info)$|^/(metrics|actuator|api-docs|v3/api-docs|swagger-ui|swagger)/')"
 
 
-@query(f"WITH {ROUTE} SELECT DISTINCT symbol_id, method, norm_path FROM route WHERE role = 'server' AND norm_path <> '' AND norm_path NOT IN {_INFRA} AND norm_path NOT IN (SELECT norm_path FROM route WHERE role = 'client')")
+@query(f"WITH {ROUTE} SELECT DISTINCT symbol_id, method, norm_path FROM route WHERE role = 'server' AND norm_path <> '' AND NOT {_INFRA} AND norm_path NOT IN (SELECT norm_path FROM route WHERE role = 'client')")
 def legacy_servers(spark, d):
-    return resolve.unmatched(proxy.routes(spark, d), "server", INFRA_PATHS)
+    return resolve.unmatched(proxy.routes(spark, d), "server")
 
 
 @query(f"WITH {ROUTE} SELECT DISTINCT symbol_id, method, norm_path FROM route WHERE role = 'client' AND norm_path <> '' AND norm_path NOT IN (SELECT norm_path FROM route WHERE role = 'server')")
@@ -125,27 +125,18 @@ def orphan_clients(spark, d):
     return resolve.unmatched(proxy.routes(spark, d), "client")
 
 
-def _few_links(spark, d):
-    return proxy.links(spark, d).where("spec % 10 = 0 and relation = 'implements'")
-
-
-def _strong_edges(spark, d):
-    """A thin part of the proxy graph, so that some symbols have no caller."""
-    return proxy.edges(spark, d).where("weight = 1.0 and src % 7 = 0")
-
-
-_THIN = f"{SYM}, {EDGE}, {LINK}, thin AS (SELECT * FROM edge WHERE weight = 1.0 AND src % 7 = 0), few AS (SELECT * FROM link WHERE spec % 10 = 0 AND relation = 'implements'), dead AS (SELECT * FROM sym WHERE symbol_id NOT IN (SELECT dst FROM thin) AND symbol_id NOT IN (SELECT symbol_id FROM few))"
+_THIN = f"{SYM}, {TIGHT}, {FEW}, {LINK}, dead AS (SELECT * FROM sym WHERE symbol_id NOT IN (SELECT dst FROM tight) AND symbol_id NOT IN (SELECT symbol_id FROM few))"
 _REASON = "CASE WHEN file_path LIKE 'tests/%' THEN 'tests' WHEN regexp_matches(name, '_(state|settings|config|session)$') OR name = 'register' OR (end_line - start_line > 0 AND end_line - start_line < 5) THEN 'infrastructure' END"
 
 
 @query(f"WITH {_THIN} SELECT symbol_id, qualified_name, file_path FROM dead")
 def dead_candidates(spark, d):
-    return analysis.unreached(proxy.symbols(spark, d), _strong_edges(spark, d), _few_links(spark, d)).select("symbol_id", "qualified_name", "file_path")
+    return analysis.unreached(proxy.symbols(spark, d), proxy.tight_edges(spark, d), proxy.tight_links(spark, d)).select("symbol_id", "qualified_name", "file_path")
 
 
 @query(f"WITH {_THIN} SELECT coalesce({_REASON}, 'dead') AS reason, kind, count(*) AS n FROM dead GROUP BY ALL")
 def dead_by_reason(spark, d):
-    found = analysis.dead_code(proxy.symbols(spark, d), _strong_edges(spark, d), _few_links(spark, d))
+    found = analysis.dead_code(proxy.symbols(spark, d), proxy.tight_edges(spark, d), proxy.tight_links(spark, d))
     return found.groupBy(F.coalesce("reason", F.lit("dead")).alias("reason"), "kind").agg(F.count("*").alias("n"))
 
 
@@ -162,10 +153,10 @@ def top_symbols(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_THIN}, t AS (SELECT symbol_id FROM sym WHERE file_path LIKE 'tests/%' AND kind <> 'class'),
-r(origin, node, depth) AS (SELECT symbol_id, symbol_id, 0 FROM t UNION SELECT r.origin, thin.dst, r.depth + 1 FROM r JOIN thin ON thin.src = r.node WHERE r.depth < 3)
+r(origin, node, depth) AS (SELECT symbol_id, symbol_id, 0 FROM t UNION SELECT r.origin, tight.dst, r.depth + 1 FROM r JOIN tight ON tight.src = r.node WHERE r.depth < 10)
 SELECT symbol_id, qualified_name FROM t JOIN sym USING (symbol_id) WHERE symbol_id NOT IN (SELECT r.origin FROM r JOIN sym p ON p.symbol_id = r.node WHERE p.file_path NOT LIKE 'tests/%')""")
 def orphan_tests(spark, d):
-    return analysis.orphan_tests(proxy.symbols(spark, d), _strong_edges(spark, d), 3).select("symbol_id", "qualified_name")
+    return analysis.orphan_tests(proxy.symbols(spark, d), proxy.tight_edges(spark, d)).select("symbol_id", "qualified_name")
 
 
 @query(f"WITH {LINK} SELECT spec, count(*) AS n_links, round(avg(confidence), 6) AS mean_confidence FROM link GROUP BY spec HAVING round(avg(confidence), 6) < 0.75")
@@ -173,19 +164,19 @@ def spec_low_confidence(spark, d):
     return analysis.low_confidence(proxy.links(spark, d), 0.75)
 
 
-@query(f"WITH {LINK} SELECT s_suppkey AS spec, s_name AS title FROM supplier WHERE s_suppkey NOT IN (SELECT spec FROM link WHERE relation = 'implements' AND confidence > 0.9 AND symbol_id % 50 = 0)")
+@query(f"WITH {FEW} SELECT s_suppkey AS spec, s_name AS title FROM supplier WHERE s_suppkey NOT IN (SELECT spec FROM few)")
 def spec_without_impl(spark, d):
     s = proxy.table(spark, d, "supplier").select(F.col("s_suppkey").alias("spec"), F.col("s_name").alias("title"))
-    return specs.list_specs(s, proxy.links(spark, d).where("confidence > 0.9 and symbol_id % 50 = 0"), has_implementation=False).select("spec", "title")
+    return specs.list_specs(s, proxy.tight_links(spark, d), has_implementation=False).select("spec", "title")
 
 
-@query(f"""WITH RECURSIVE {_THIN}, r(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE file_path LIKE 'tests/%' UNION SELECT thin.dst, r.depth + 1 FROM r JOIN thin ON thin.src = r.node WHERE r.depth < 3),
+@query(f"""WITH RECURSIVE {_THIN}, r(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE file_path LIKE 'tests/%' UNION SELECT tight.dst, r.depth + 1 FROM r JOIN tight ON tight.src = r.node WHERE r.depth < 3),
 own AS (SELECT DISTINCT spec, symbol_id FROM link WHERE relation = 'implements'), named AS (SELECT DISTINCT spec, symbol_id FROM link WHERE relation = 'tests')
 SELECT own.spec, count(*) AS n_implementing, sum(CASE WHEN own.symbol_id IN (SELECT node FROM r) OR named.spec IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS n_verified,
 round(sum(CASE WHEN own.symbol_id IN (SELECT node FROM r) OR named.spec IS NOT NULL THEN 1 ELSE 0 END) / count(*), 6) AS ratio
 FROM own LEFT JOIN named ON own.spec = named.spec AND own.symbol_id = named.symbol_id GROUP BY own.spec""")
 def spec_coverage(spark, d):
-    return analysis.spec_coverage(proxy.links(spark, d), proxy.symbols(spark, d), _strong_edges(spark, d))
+    return analysis.spec_coverage(proxy.links(spark, d), proxy.symbols(spark, d), proxy.tight_edges(spark, d))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END), 6) AS ratio, count(*) AS n FROM events GROUP BY 1")
@@ -204,13 +195,13 @@ def enclosing_symbol(spark, d):
 
 
 def _refs(spark, d):
-    s = proxy.symbols(spark, d).where("symbol_id % 3 = 0")
+    s = proxy.symbols(spark, d)
     scope = F.when(F.col("symbol_id") % 2 == 0, F.concat(F.lit("brand"), (F.col("symbol_id") % 30 + 1).cast("string")))
     return s.select(F.col("symbol_id").alias("ref_id"), F.col("symbol_id").alias("src"), F.element_at(F.array(*map(F.lit, ("small_ring", "red_widget", "blue_bolt", "nowhere"))), (F.col("symbol_id") % 4 + 1).cast("int")).alias("target_name"), scope.alias("scope_module"))
 
 
 @query(f"""WITH {SYM}, ref AS (SELECT symbol_id AS ref_id, symbol_id AS src, ['small_ring', 'red_widget', 'blue_bolt', 'nowhere'][symbol_id % 4 + 1] AS target_name,
-  CASE WHEN symbol_id % 2 = 0 THEN concat('brand', symbol_id % 30 + 1) END AS scope, qualified_name AS sq, file_path AS sf FROM sym WHERE symbol_id % 3 = 0),
+  CASE WHEN symbol_id % 2 = 0 THEN concat('brand', symbol_id % 30 + 1) END AS scope, qualified_name AS sq, file_path AS sf FROM sym),
 scopes AS (SELECT DISTINCT string_split(qualified_name, '.')[1] AS scope FROM sym UNION SELECT qualified_name FROM sym UNION SELECT string_split(qualified_name, '.')[2] FROM sym),
 m AS (SELECT ref.*, c.symbol_id AS dst, c.qualified_name AS dq, c.file_path AS df, coalesce(contains(concat('.', c.qualified_name, '.'), concat('.', scope, '.')), false) AS ins FROM ref JOIN sym c ON c.name = ref.target_name),
 m1 AS (SELECT *, sum(ins::INT) OVER (PARTITION BY ref_id) AS ns FROM m), m2 AS (SELECT * FROM m1 WHERE (scope IS NULL OR ns > 0 OR scope IN (SELECT scope FROM scopes)) AND (ns = 0 OR ins)),
@@ -253,7 +244,9 @@ def bm25_search(spark, d):
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents), q AS (SELECT id, k, greatest(1, length(piece) // 4) AS t FROM p),
+r AS (SELECT id, k, 0 AS chunk, t AS size, 1 AS n FROM q WHERE k = 1 UNION ALL SELECT q.id, q.k, CASE WHEN size + t > 200 THEN chunk + 1 ELSE chunk END, CASE WHEN size + t > 200 THEN t ELSE size + t END, CASE WHEN size + t > 200 THEN 1 ELSE n + 1 END FROM r JOIN q ON q.id = r.id AND q.k = r.k + 1)
+SELECT id, CAST(chunk AS INTEGER) AS chunk, CAST(max(n) AS BIGINT) AS n_pieces, CAST(max(size) AS BIGINT) AS tokens FROM r GROUP BY id, chunk""")
 def chunk_pack(spark, d):
     t = proxy.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return search.pack_chunks(t, 200)
@@ -277,13 +270,20 @@ def dup_structural(spark, d):
     return specs.same_structure(_prints(spark, d)).select("id", "structural_hash", "n_tokens", "n")
 
 
-@query()
+_MARKS = """t AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\\sA-Za-z0-9_])', 1), lambda x: CASE WHEN x IN (%s) THEN x WHEN regexp_matches(x, '^[A-Za-z_]') THEN 'ID' WHEN regexp_matches(x, '^[0-9]+$') THEN 'NUM' ELSE x END) AS t FROM documents),
+h AS (SELECT id, len(t) AS n, list_transform(range(1, len(t) - 3), lambda i: substr(md5(array_to_string(t[i:i + 4], ' ')), 1, 15)) AS h FROM t WHERE len(t) >= 40),
+marks AS (SELECT id, list_distinct(list_transform(range(1, len(h) - 2), lambda i: list_min(h[i:i + 3]))) AS m FROM h)""" % ", ".join(repr(w) for w in KEYWORDS)
+
+
+@query(f"""WITH {_MARKS}, one AS (SELECT id, len(m) AS k, unnest(m) AS x FROM marks), met AS (SELECT a.id AS candidate, b.id AS id, count(*) AS c, a.k + b.k - count(*) AS u FROM one a JOIN one b USING (x) WHERE a.id % 100 = 0 AND a.id <> b.id GROUP BY a.id, b.id, a.k, b.k)
+SELECT candidate, id, c / u AS similarity FROM met WHERE c / u >= 0.8""")
 def dup_near(spark, d):
     p = _prints(spark, d)
     return specs.near_structure(p.where("id % 100 = 0"), p).where("candidate <> id")
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\\sA-Za-z0-9_])', 1), lambda x: CASE WHEN x IN (%s) THEN x WHEN regexp_matches(x, '^[A-Za-z_]') THEN 'ID' WHEN regexp_matches(x, '^[0-9]+$') THEN 'NUM' ELSE x END) AS t FROM documents),
+h AS (SELECT id, substr(sha256(array_to_string(t, ' ')), 1, 32) AS structural_hash FROM t), g AS (SELECT *, count(*) OVER (PARTITION BY structural_hash) AS n FROM h) SELECT id, structural_hash FROM g WHERE n > 1 AND id %% 2 <> 0""" % ", ".join(repr(w) for w in KEYWORDS))
 def debt_frozen(spark, d):
     p = _prints(spark, d)
     return specs.freeze_debt(p, p.where("id % 2 = 0").select("structural_hash", "id")).select("id", "structural_hash")
@@ -394,10 +394,7 @@ def orphan_files(spark, d):
 
 @query(f"WITH {SYM}, {EDGE} SELECT a.file_path AS from_file, b.file_path AS to_file, count(*) AS n_calls, round(sum(weight), 6) AS mass FROM edge JOIN sym a ON a.symbol_id = src JOIN sym b ON b.symbol_id = dst WHERE a.file_path <> b.file_path GROUP BY ALL")
 def flow_topology(spark, d):
-    s = proxy.symbols(spark, d)
-    a, b = (s.select(F.col("symbol_id").alias(k), F.col("file_path").alias(p)) for k, p in (("src", "from_file"), ("dst", "to_file")))
-    e = graph.simple(proxy.edges(spark, d)).join(a, "src").join(b, "dst").where("from_file <> to_file")
-    return e.groupBy("from_file", "to_file").agg(F.count("*").alias("n_calls"), F.round(F.sum("weight"), 6).alias("mass"))
+    return views.topology(proxy.edges(spark, d), proxy.symbols(spark, d))
 
 
 @query("""WITH d AS (SELECT o_custkey AS k, max(o_orderdate) AS written FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), s AS (SELECT o_custkey AS k, max(o_orderdate) AS touched FROM orders GROUP BY 1) SELECT k, written, touched FROM d JOIN s USING (k) WHERE touched > written""")
@@ -433,7 +430,7 @@ def path_rules(spark, d):
 
 
 @query(f"""WITH {_PATH_SQL}, e AS (SELECT id, lower(regexp_extract(b, '\\.([^.]+)$', 1)) AS x FROM f)
-SELECT CASE x WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'rb' THEN 'ruby' END AS language, count(*) AS n FROM e GROUP BY 1""")
+SELECT CASE x WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'rb' THEN 'ruby' END AS language, count(*) AS n FROM e GROUP BY 1""")
 def files_by_language(spark, d):
     from ..functions.paths import language_of
 
@@ -482,17 +479,17 @@ def apply_change_specs(spark, d):
     return apply_change(_specs(spark, d), spark.createDataFrame([], LINKS), _deltas(spark, d))[0].select("spec_id", "title", "status")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS symbol_id FROM lineitem WHERE l_partkey % 20 = 0), delta AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 0 AND (s_suppkey // 4) % 4 = 2)
+@query("""WITH l AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS symbol_id FROM lineitem), delta AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 0 AND (s_suppkey // 4) % 4 = 2)
 SELECT CASE WHEN delta.k IS NULL THEN concat('spec-', l.k) ELSE concat('new-', l.k) END AS spec_id, symbol_id FROM l LEFT JOIN delta ON l.k = delta.k""")
 def apply_change_links(spark, d):
     from ..operators.spec_store import apply_change
 
-    links = proxy.table(spark, d, "lineitem").where("l_partkey % 20 = 0").select(F.concat(F.lit("spec-"), "l_suppkey").alias("spec_id"), F.col("l_partkey").alias("symbol_id"), F.lit("implements").alias("relation"), F.lit(1.0).alias("confidence"), F.lit("manual").alias("source")).distinct()
+    links = proxy.table(spark, d, "lineitem").select(F.concat(F.lit("spec-"), "l_suppkey").alias("spec_id"), F.col("l_partkey").alias("symbol_id"), F.lit("implements").alias("relation"), F.lit(1.0).alias("confidence"), F.lit("manual").alias("source")).distinct()
     return apply_change(_specs(spark, d), links, _deltas(spark, d))[1].select("spec_id", "symbol_id")
 
 
 @query(f"""WITH {SYM}, moved AS (SELECT DISTINCT file_path FROM sym WHERE symbol_id % 400 = 1), names AS (SELECT DISTINCT name FROM sym WHERE file_path IN (SELECT file_path FROM moved)),
-ref AS (SELECT symbol_id AS ref_id, file_path, ['small_ring', 'red_widget', 'blue_bolt', 'nowhere'][symbol_id % 4 + 1] AS target_name FROM sym WHERE symbol_id % 3 = 0)
+ref AS (SELECT symbol_id AS ref_id, file_path, ['small_ring', 'red_widget', 'blue_bolt', 'nowhere'][symbol_id % 4 + 1] AS target_name FROM sym)
 SELECT ref_id, target_name FROM ref WHERE file_path IN (SELECT file_path FROM moved) OR target_name IN (SELECT name FROM names)""")
 def affected_refs(spark, d):
     from ..operators.indexing import affected_refs as affected
@@ -504,7 +501,8 @@ def affected_refs(spark, d):
 
 @query("""WITH d AS (SELECT doc_id, count(*) OVER (PARTITION BY l_hash) AS n FROM (SELECT doc_id, md5(text) AS l_hash FROM documents)) SELECT doc_id, n FROM d WHERE n > 1""")
 def duplicate_bodies(spark, d):
-    from pyspark.sql import Window
+    docs = proxy.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("structural_hash"))
+    return specs.same_structure(docs).select(F.col("id").alias("doc_id"), "n")
+
 
-    docs = proxy.table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    return docs.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("doc_id", "n")
+from . import more  # noqa: E402, F401  its queries join these

@@ -128,14 +128,14 @@ def test_spec_markdown(spark):
 
 
 def test_annotations(spark):
-    known = frozenset({"auth-login", "BE-RF-7", "x"})
+    known = {"auth-login": "auth-login", "be-rf-7": "BE-RF-7", "x": "x"}
     pick = lambda t: {(h["spec_id"], h["relation"], h["confidence"]) for h in spec_text.annotations(t, known)}
     assert pick("# @spec:auth-login, be-rf-7:0.85") == {("auth-login", "implements", 0.85), ("BE-RF-7", "implements", 0.85)}
     assert pick("@tests: auth-login\n@not_spec: auth-login") == set()
     assert pick("Implements auth-login. It does not implements x") == {("auth-login", "implements", 0.7)}
     assert pick("@specifically auth-login") == set() and pick(None) == set()
     t = spark.createDataFrame([(1, "@see x"), (2, None)], "id long, text string")
-    assert [tuple(r) for r in spec_text.linked(t, ["x"]).collect()] == [(1, "x", "references", 1.0)]
+    assert [tuple(r) for r in spec_text.linked(t, spark.createDataFrame([("x",)], "spec_id string")).collect()] == [(1, "x", "references", 1.0)]
 
 
 def test_script_routes_and_annotations():

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.functions import frameworks
-from codeloom.operators import spec_store
+from codeloom.functions import frameworks, paths
+from codeloom.operators import graph, search, spec_store, views
 from codeloom.sources import changes
 from codeloom.workspace import Workspace
 
@@ -110,3 +110,70 @@ def test_small_parsers():
     assert changes.template_path("${base}/flights/v2") == "/flights/v2" and changes.template_path("${url}/list/${a}/${b}") == "/list/{}/{}"
     assert changes.template_path('${url}/list/${p.a ? `${p.a}/` : ""}${p.b ? `${p.b}` : ""}') == "/list/{}/{}" and changes.template_path("not-a-url") is None
     assert changes.did_you_mean("verfy", ["a.verify", "b.other"]) == ["a.verify"] and changes.did_you_mean("oth", ["a.verify", "b.other"]) == ["b.other"]
+
+
+def test_pages_and_orientation(ws):
+    got = ws.callers_page("verify", max_depth=3, limit=2)
+    assert got.count == 3 and got.next_cursor == 2 and got.rows.count() == 2 and {r.file_path: r.n for r in got.summary.collect()} == {"pkg/auth.py": 1, "pkg/api.py": 1, "tests/test_auth.py": 1}
+    last = ws.callers_page("verify", max_depth=3, limit=2, cursor=2)
+    assert last.next_cursor is None and last.rows.count() == 1 and ws.callers_page("verify", summary_only=True).rows is None
+    assert {(r.side, r.qualified_name) for r in ws.top_neighbours("login").collect()} == {("caller", "pkg.api.Api.handle"), ("caller", "tests.test_auth.test_login"), ("callee", "pkg.auth.verify")}
+    assert ws.quick_orient("users").first().is_entry_point and not ws.quick_orient("login").first().is_entry_point
+    assert names(ws.route_peers("pkg.api.users")) == {"web.client.fetch"} and names(ws.route_peers("web.client.fetch", incoming=False)) == {"pkg.api.users"}
+    unit = {(r.part, r.name) for r in ws.read_unit("login").collect()}
+    assert {("body", "pkg.auth.login"), ("callee", "pkg.auth.verify"), ("test", "tests.test_auth.test_login")} <= unit
+    assert {r.what: r.n for r in ws.index_status().collect()}["files"] == 4
+    assert ws.grep_page("def ", limit=3).next_cursor == 3 and ws.grep_in_indexed_files("def ", path_glob="web/*").count() == 1
+
+
+def test_dead_code_report(ws):
+    got = ws.dead_code_page()
+    why = {r.reason: r.n for r in got.summary.collect()}
+    assert "pkg.api.unused" in names(got.rows) and why["tests"] == 2 and got.count == why["dead"]
+    assert "tests" not in {r.reason for r in ws.dead_code_page(include_tests=True).summary.collect()} and ws.dead_code_page(summary_only=True).rows is None
+
+
+def test_changes_reach_tests_and_specs(ws, spark):
+    change = spark.createDataFrame([("M", "pkg/auth.py"), ("A", "pkg/new.py")], "status string, path string")
+    assert {r.file_path for r in ws.suggested_tests(change).collect()} == {"tests/test_auth.py"} and [r.path for r in ws.unindexed(change).collect()] == ["pkg/new.py"]
+    assert [tuple(r) for r in ws.diff_spec_impact(change).collect()] == [("auth-user-login", "implements", 1)]
+    lists = ws.audit_coverage()
+    assert names(lists["implicit"]) == {"pkg.auth.verify"} and {r.spec_id: r.n_tests for r in lists["tests_per_spec"].collect()} == {"auth-user-login": 0}
+
+
+def test_writing_tools(ws, spark):
+    m = spark.createDataFrame([("auth-user-login", "pkg.auth.verify", "implements"), ("none", "pkg.auth.verify", "implements")], "spec_id string, qname string, relation string")
+    before = ws.links.count()
+    assert sorted(r.outcome for r in ws.bulk_link_spec_symbols(m).collect()) == ["no spec", "ok"] and ws.links.count() == before + 1
+    ws._put("scenarios", spark.createDataFrame([("auth-user-login", "Login", "x")], "spec_id string, name string, body string"))
+    assert ws.link_scenario_tests("auth-user-login").count() == 1 and {r.n_tests for r in ws.audit_coverage()["tests_per_spec"].collect()} == {1}
+    ws.link_spec_dependency(1, 2)
+    ws.link_spec_dependency(2, 3)
+    assert ws.walk_spec_dependencies(2, "both", 1)[1].count() == 2
+    ws.unlink_spec_dependency(2, 3)
+    assert ws.walk_spec_dependencies(2, "forward", 1)[1].count() == 0
+    ws.debt_baseline_capture()
+    assert ws.debt_baseline_status().first().captured is False or ws.baseline.count() > 0
+    ws.debt_baseline_reset()
+    assert ws.baseline.count() == 0
+    ws.write_docs(spark.createDataFrame([("symbol", "pkg.auth.login", "How to log in."), ("symbol", "gone.one", "Old.")], "target_type string, target_key string, content string"))
+    assert {(r.target_key, r.drift) for r in ws.list_docs(only_stale=True).collect()} == {("gone.one", "gone")} and ws.export_docs().count() == 2
+    assert ws.search(["log"], scope="specs").first().snippet and ws.search(["checks"], scope="all").count() == 1
+
+
+def test_text_predicates(spark):
+    rows = [("index.ts", "// x\nexport { a } from './a';\nexport * from \"./b\";\n", True, False), ("index.ts", "export const a = 1", False, False), ("a.py", "c = TestClient(app)", True, True), ("index.js", None, True, False)]
+    df = spark.createDataFrame(rows, "path string, text string, emptyish boolean, harness boolean")
+    got = df.select("emptyish", paths.is_emptyish_index(F.col("path"), F.col("text")).alias("e"), "harness", paths.has_harness(F.col("text")).alias("h")).collect()
+    assert all(r.emptyish == r.e and r.harness == r.h for r in got)
+    assert [search.grep_mode(p) for p in ("a+", "(a+)+", "x" * 201, "(", "(ab)+")] == ["regex", "literal", "literal", "literal", "regex"]
+    files = spark.createDataFrame([("a.py", "from x import Alpha, beta\nimport os\nuse y::Gamma;\nGhost()")], "path string, content string")
+    assert {r.name for r in views.imported_names(files).collect()} == {"Alpha", "Gamma"}
+    long = spark.createDataFrame([("s", "T", "\n\n".join(["w" * 400] * 20))], "spec_id string, title string, description string")
+    assert search.chunk_specs(long).count() == 3
+
+
+def test_unbounded_closure(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "src long, dst long, weight double")
+    assert graph.closure(chain, spark.createDataFrame([(0,)], "node long")).agg(F.max("depth")).first()[0] == 40
+    assert graph.creates_cycle(chain, 40, 0)
