@@ -410,3 +410,12 @@ def named_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"), 4, 85)
+
+
+#: The same rows by an equi-join of all shingles and a walk over the links.
+OP8_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM l),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(doc_id, c) AS (SELECT DISTINCT a, a FROM p UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.c), m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id), d AS (SELECT a AS doc_id, count(*) AS n FROM p GROUP BY a)
+SELECT l.doc_id, len(s) AS n_shingles, coalesce(m.c, l.doc_id) AS component_id, coalesce(d.n, 0) AS n_links FROM l LEFT JOIN m USING (doc_id) LEFT JOIN d USING (doc_id)"""

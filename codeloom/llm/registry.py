@@ -4,7 +4,7 @@ from .decontaminate import op7_decontaminate
 from .html_extract import op3_html_extract
 from .lm_scoring import op5_lm_scoring
 from .mixing import OP2_SQL, op2_mix_sources
-from .ngram_join import op8_jaccard_join
+from .ngram_join import OP8_SQL, op8_jaccard_join
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op6_quality_rules
 from .secrets import op1_secret_scan
@@ -12,4 +12,4 @@ from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op9_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_html_extract, op4_quality_classifier, op5_lm_scoring, op6_quality_rules, op7_decontaminate, op8_jaccard_join, op9_token_counts, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op8_jaccard_join": OP8_SQL}
