@@ -38,3 +38,22 @@ def endpoints(symbols: DataFrame, routes: DataFrame, framework: str | None = Non
         every = every.where(~is_test_scaffold(F.col("file_path")))
     first = Window.partitionBy("qualified_name").orderBy("rank", "file_path", "start_line", "symbol_id")
     return every.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "rank", "symbol_id")
+
+
+#: What a decorator without a route announces. Fixed values.
+KINDS = {"tool": "tool", "mutation_tool": "tool", "agentic_tool": "tool", "resource": "resource", "prompt": "prompt", "fixture": "fixture"}
+
+
+def framework_of(source, detail, file_path):
+    """The framework behind a row of ``endpoints``: a served file's own, django for views, by language for routes; null
+    for plain decorators."""
+    script = F.lower(file_path).rlike(r"\.(ts|tsx|js|jsx|mjs|cjs)$")
+    served = F.when(script, "hono").when(file_path.endswith(".java"), "spring").when(file_path.endswith(".py"), "fastapi")
+    return F.when(source == "file", detail).when(source == "view", "django").when(source == "route", served)
+
+
+def kind_of(source, detail, file_path):
+    """tool (whatever a framework routes, too), resource, prompt, fixture or other, by the first decorator that says."""
+    names = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
+    said = F.filter(F.transform(F.split(detail, ","), lambda d: F.try_element_at(names, d)), lambda k: k.isNotNull())
+    return F.when(framework_of(source, detail, file_path).isNotNull(), "tool").otherwise(F.coalesce(F.try_element_at(said, F.lit(1)), F.lit("other")))

@@ -107,12 +107,38 @@ def to_markdown(specs: DataFrame) -> DataFrame:
     return parts.select("module", F.concat(F.lit("## Requirements\n\n"), F.array_join(F.transform("s", lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("text"))
 
 
-def spec_states(specs: DataFrame, links: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(spec_id, state): planned without links, verified if all implementing symbols are, else in progress."""
-    n = links.groupBy("spec_id").agg(F.count("*").alias("n"))
-    c = coverage.select("spec_id", "ratio")
-    state = F.when(F.col("status") == "deprecated", "retired").when(F.coalesce("n", F.lit(0)) == 0, "planned").when(F.col("ratio") >= 1, "verified").when(F.col("ratio") > 0, "tested").otherwise("implemented")
-    return specs.join(n, "spec_id", "left").join(c, "spec_id", "left").select("spec_id", state.alias("state"))
+#: Mean link confidence from which a spec counts as implemented. Fixed value.
+IMPLEMENTED = 0.7
+
+
+def dev_state(n_symbols, coverage, tested):
+    """not_started without symbols, verified with any test coverage, else by the links' mean confidence."""
+    return F.when(n_symbols == 0, "not_started").when(tested > 0, "verified").when(coverage.isNull() | (coverage < IMPLEMENTED), "in_progress").otherwise("implemented")
+
+
+def spec_states(specs: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
+    """(spec_id, n_symbols, coverage, tested, state). links: spec_id, symbol_id, confidence. tested: spec_id, ratio.
+
+    coverage: the links' mean confidence, null without links; a spec that ``tested`` doesn't hold has the ratio 0.
+    """
+    n = links.groupBy("spec_id").agg(F.countDistinct("symbol_id").alias("n_symbols"), F.round(F.avg("confidence"), 4).alias("coverage"))
+    out = specs.select("spec_id").join(n, "spec_id", "left").join(tested.select("spec_id", F.col("ratio").alias("tested")), "spec_id", "left")
+    out = out.withColumn("n_symbols", F.coalesce("n_symbols", F.lit(0))).withColumn("tested", F.coalesce("tested", F.lit(0.0)))
+    return out.select("spec_id", "n_symbols", "coverage", "tested", dev_state(F.col("n_symbols"), F.col("coverage"), F.col("tested")).alias("state"))
+
+
+def dashboard(states: DataFrame, with_endpoints: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """One row over ``spec_states``: how many specs, by state, implemented share, verified, mean coverages.
+
+    with_endpoints: spec_id of specs that an endpoint serves. dependencies: spec_id of specs that depend on others.
+    Means are null without specs (coverage: without links), the share is 0.
+    """
+    mark = lambda df, name: df.select("spec_id").distinct().withColumn(name, F.lit(1))
+    s = states.join(mark(with_endpoints, "e"), "spec_id", "left").join(mark(dependencies, "d"), "spec_id", "left")
+    count = lambda c: F.count(F.when(c, 1))
+    by_state = [count(F.col("state") == x).alias(x) for x in ("not_started", "in_progress", "implemented", "verified")]
+    share = F.coalesce(F.round(F.try_divide(100.0 * count(F.col("n_symbols") > 0), F.count("*")), 1), F.lit(0.0))
+    return s.agg(F.count("*").alias("specs"), *by_state, F.count("e").alias("with_endpoints"), F.count("d").alias("with_dependencies"), share.alias("implemented_pct"), F.round(F.avg("coverage"), 4).alias("avg_coverage"), F.round(F.avg("tested"), 4).alias("avg_test_coverage"))
 
 
 def duplicate_verdict(matches: DataFrame, baseline: DataFrame, structural_hash: str, touched: tuple[str, ...] = (), boy_scout: bool = False) -> DataFrame:

@@ -505,4 +505,17 @@ def duplicate_bodies(spark, d):
     return specs.same_structure(docs).select(F.col("id").alias("doc_id"), "n")
 
 
+@query(f"""WITH {LINK}, n AS (SELECT spec, count(DISTINCT symbol_id) AS n, round(avg(confidence), 4) AS c FROM link GROUP BY spec), t AS (SELECT DISTINCT spec FROM link WHERE relation = 'tests' AND confidence >= 1.0),
+s AS (SELECT coalesce(n, 0) AS n, c, CASE WHEN t.spec IS NULL THEN 0.0 ELSE 1.0 END AS tested, CASE WHEN coalesce(n, 0) = 0 THEN 'not_started' WHEN t.spec IS NOT NULL THEN 'verified' WHEN c IS NULL OR c < 0.7 THEN 'in_progress' ELSE 'implemented' END AS state, s_nationkey FROM supplier LEFT JOIN n ON n.spec = s_suppkey LEFT JOIN t ON t.spec = s_suppkey)
+SELECT count(*) AS specs, count(*) FILTER (state = 'not_started') AS not_started, count(*) FILTER (state = 'in_progress') AS in_progress, count(*) FILTER (state = 'implemented') AS implemented, count(*) FILTER (state = 'verified') AS verified,
+count(*) FILTER (s_nationkey < 5) AS with_endpoints, count(*) FILTER (s_nationkey >= 20) AS with_dependencies, CAST(round(100.0 * count(*) FILTER (n > 0) / count(*), 1) AS DOUBLE) AS implemented_pct, round(avg(c), 4) AS avg_coverage, CAST(round(avg(tested), 4) AS DOUBLE) AS avg_test_coverage FROM s""")
+def explorer_dashboard(spark, d):
+    from ..operators import spec_store
+
+    s = proxy.table(spark, d, "supplier").select(F.col("s_suppkey").alias("spec_id"), "s_nationkey")
+    links = proxy.links(spark, d).withColumnRenamed("spec", "spec_id")
+    tested = links.where("relation = 'tests' and confidence >= 1.0").select("spec_id", F.lit(1.0).alias("ratio")).distinct()
+    return spec_store.dashboard(spec_store.spec_states(s, links, tested), s.where("s_nationkey < 5"), s.where("s_nationkey >= 20"))
+
+
 from . import more  # noqa: E402, F401  its queries join these

@@ -154,11 +154,8 @@ def candidate_ids(text: str | None) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def read_specs(files: DataFrame) -> DataFrame:
-    """Requirements of markdown files (path, content, capability); of equal ids the last path's last wins."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
+def parsed(files: DataFrame) -> DataFrame:
+    """Every requirement of markdown files (path, content, capability), ``at`` its place in its file."""
     scenario = pa.list_(pa.struct([("name", pa.string()), ("body", pa.string())]))
     arrow = pa.schema([("path", pa.string()), ("capability", pa.string()), ("at", pa.int32()), *((k, pa.string()) for k in ("spec_id", "title", "status", "operation", "rename_from", "description")), ("scenarios", scenario)])
 
@@ -167,9 +164,44 @@ def read_specs(files: DataFrame) -> DataFrame:
             rows = [{"path": p, "capability": c, "at": i, **s} for p, t, c in zip(*(x.to_pylist() for x in b.columns), strict=True) for i, s in enumerate(parse_specs(t or "", c))]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    got = files.select("path", "content", "capability").mapInArrow(run, f"path string, capability string, at int, {SPEC}")
+    return files.select("path", "content", "capability").mapInArrow(run, f"path string, capability string, at int, {SPEC}")
+
+
+def read_specs(files: DataFrame) -> DataFrame:
+    """Requirements of markdown files (path, content, capability); of equal ids the last path's last wins."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
     order = Window.partitionBy("spec_id").orderBy(F.desc("path"), F.desc("at"))
-    return got.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    return parsed(files).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+
+
+#: Prose files of a change package. Fixed values.
+PROSE = ("proposal", "design", "tasks")
+
+
+def read_changes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(packages, deltas) of a spec tree's markdown (path, content, capability).
+
+    packages: folder, change, status, proposal, design, tasks (null without that file). deltas: folder, change, ordinal
+    and the requirement; one outside a delta section counts as added. A package lies in ``changes/<name>`` (proposed), in
+    ``changes/archive/<name>`` or in ``archive/<name>`` (archived); a folder without markdown is none.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    folder = F.regexp_extract("path", "^((?:changes/)?archive/[^/]+|changes/(?!archive/)[^/]+)/", 1)
+    f = files.withColumn("folder", folder).where("folder <> ''")
+    rest = F.expr("substring(path, length(folder) + 2)")
+    text = [F.max(F.when(rest == f"{p}.md", F.col("content"))).alias(p) for p in PROSE]
+    status = F.when(F.col("folder").rlike("^(changes/)?archive/"), "archived").otherwise("proposed")
+    change = F.element_at(F.split("folder", "/"), -1)
+    packages = f.groupBy("folder").agg(*text).select("folder", change.alias("change"), status.alias("status"), *PROSE)
+    own = F.when(F.col("capability") != "specs", F.col("capability"))
+    rows = parsed(f.where(rest.startswith("specs/")).withColumn("capability", own)).withColumn("folder", folder)
+    nth = F.row_number().over(Window.partitionBy("folder").orderBy("path", "at"))
+    deltas = rows.select("folder", change.alias("change"), nth.alias("ordinal"), "path", "capability", "spec_id", "title", F.coalesce("operation", F.lit("added")).alias("operation"), "rename_from", "description", "scenarios")
+    return packages, deltas
 
 
 def linked(texts: DataFrame, specs: DataFrame) -> DataFrame:
