@@ -173,13 +173,14 @@ DECLARATIONS = {
     "php": [("class", rf"\b(?:class|interface|trait)\s+{_NAME}"), ("function", rf"\bfunction\s+&?{_NAME}\s*\(")],
 }
 DECLARATIONS["typescript"] = [*DECLARATIONS["javascript"], ("class", rf"\b(?:interface|enum)\s+{_NAME}")]
+DECLARATIONS["tsx"] = DECLARATIONS["typescript"]
 _RESERVED = frozenset("if for while switch catch return function new await typeof sizeof match else do try super with".split())
 _CALL = re.compile(rf"(?:([A-Za-z_$][\w$]*)\s*(?:\.|::)\s*)?{_NAME}\s*\(")
 _IMPORT = {
     "javascript": re.compile(r"""import\s+(?:\{([^}]*)\}|(\w+))[^'"]*from\s*['"]([^'"]+)['"]"""),
     "java": re.compile(r"^import\s+(?:static\s+)?([\w.]+)\.(\w+);", re.M),
 }
-_IMPORT["typescript"] = _IMPORT["javascript"]
+_IMPORT["typescript"] = _IMPORT["tsx"] = _IMPORT["javascript"]
 
 
 _SERVER = re.compile(r"""\b([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|all|head|options)\(\s*(['"`])(/[^'"`\n]*)\3\s*,""", re.I)
@@ -187,7 +188,13 @@ _CLIENT = re.compile(r"""\b(?:fetch|axios|http|\$http|client|api|request)(?:\.(g
 _HANDED = re.compile(r"\b(?:on|once|use|addEventListener|addListener|subscribe|register|then|catch|map|filter|forEach|setTimeout|setInterval|get|post|put|patch|delete)\s*\(([^()]*)\)")
 _JSX = re.compile(r"<([A-Z][\w$]*)(?:[.\s/>])")
 _ANNOTATION = re.compile(r"^\s*@([A-Za-z_][\w.]*)\s*(\(.*\))?\s*$")
-_SCRIPT = ("javascript", "typescript")
+_SCRIPT = ("javascript", "typescript", "tsx")
+#: Methods of Go routers, names of what they are called on, and endings of such names. Fixed values.
+GO_VERBS = ("get", "post", "put", "delete", "patch", "head", "options", "any", "handlefunc", "handle", "method")
+GO_ROUTERS = ("r", "router", "mux", "e", "engine", "app", "api", "http", "group", "g")
+GO_ROUTER_ENDS = ("router", "mux", "engine", "group", "server")
+_GO_TEXT = r"""(?:"((?:\\.|[^"\\\n])*)"|`([^`]*)`)"""
+_GO_ROUTE = re.compile(rf"(?<![\w.)])(\w+)(?:\.\w+)?\.({'|'.join(GO_VERBS)})\(\s*{_GO_TEXT}\s*,(?:\s*{_GO_TEXT})?", re.I)
 
 
 def _annotations(lines: list[str], start: int) -> list[tuple[str, str]]:
@@ -199,6 +206,23 @@ def _annotations(lines: list[str], start: int) -> list[tuple[str, str]]:
     return out[::-1]
 
 
+def _go_routes(source: str, code: str) -> Iterator[tuple[int, str, str]]:
+    """(place, method, path) of router calls in Go; handlers of any method are ALL. A ``METHOD /path`` pattern is split."""
+    for m in _GO_ROUTE.finditer(source):
+        router, verb = m[1].lower(), m[2].lower()
+        if code[m.start()] == " " or not (router in GO_ROUTERS or router.endswith(GO_ROUTER_ENDS)):
+            continue
+        texts = [a if a is not None else b for a, b in ((m[3], m[4]), (m[5], m[6])) if a is not None or b is not None]
+        if verb == "method":
+            if len(texts) == 2:
+                yield m.start(), texts[0].upper(), texts[1]
+        elif verb in ("handle", "handlefunc", "any"):
+            named = re.fullmatch(r"([A-Z]+)\s+(/.*)", texts[0])
+            yield m.start(), named[1] if named else "ALL", named[2] if named else texts[0]
+        else:
+            yield m.start(), verb.upper(), texts[0]
+
+
 def _java_route(text: str) -> tuple[str, str] | None:
     m = re.match(r"@(Get|Post|Put|Patch|Delete|Request)Mapping", text)
     if not m:
@@ -281,6 +305,9 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
     for m in _CALL.finditer(code):
         if m[2] not in _RESERVED and m.start(2) not in declared:
             refer(m[2], m[1], "call", m.start(2))
+    for at, method, path in _go_routes(source, code) if language == "go" else ():
+        scope, line = place(at)
+        routes.append({"scope": scope, "role": "server", "method": method, "path": path, "line": line})
     if language in _SCRIPT:
         symbols.append({"name": "__module__", "qualified_name": f"{module}.__module__", "kind": "module", "signature": module, "docstring": None, "decorators": [], "start_line": 1, "end_line": len(lines), "param_names": [], "body": ""})
         for m in _JSX.finditer(code):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .code import REGISTRARS, dotted
+from .code import _NAME, _SCRIPT, REGISTRARS, _blank, dotted, extract_lexical
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -59,16 +59,59 @@ def protected_names(source: str) -> set[tuple[str, str]]:
     return out
 
 
+#: Methods of scripts that take handlers. Fixed values.
+SCRIPT_REGISTRARS = ("get", "post", "put", "delete", "patch", "options", "all", "route", "use", "on", "once", "subscribe", "register", "connect", "addeventlistener", "addlistener")
+_REGISTERS = re.compile(rf"\.\s*(?:{'|'.join(SCRIPT_REGISTRARS)})\s*\(", re.I)
+#: Inner declarations whose names count, by language.
+_INNER = {language: r"\b(?:function\s*\*?|class)\s+" for language in _SCRIPT} | {"rust": r"\bfn\s+"}
+
+
+def _arguments(code: str, at: int) -> list[str]:
+    """The arguments of a call whose list opens right before ``at``, cut at commas of its own level."""
+    out, depth, begin = [], 0, at
+    for i in range(at, len(code)):
+        c = code[i]
+        if depth == 0 and c in ",)":
+            out.append(code[begin:i].strip())
+            begin = i + 1
+            if c == ")":
+                return out
+        depth += (c in "([{") - (c in ")]}")
+    return []
+
+
+def lexical_names(source: str, language: str) -> set[tuple[str, str]]:
+    """registered and nested names of scripts, nested ones of Rust; other languages have none."""
+    if language not in _INNER:
+        return set()
+    code, out = _blank(source, language), set()
+    if language in _SCRIPT:
+        out |= {("registered", a) for m in _REGISTERS.finditer(code) for a in _arguments(code, m.end()) if re.fullmatch(_NAME, a)}
+    lines = code.split("\n")
+    found = [s for s in extract_lexical(source, "m", language)["symbols"] if s["kind"] != "module"]
+    inner: dict[tuple[int, int], list[dict]] = {}
+    for s in found:
+        around = [o for o in found if o is not s and o["start_line"] <= s["start_line"] and s["end_line"] <= o["end_line"] and (o["start_line"], o["end_line"]) != (s["start_line"], s["end_line"])]
+        owner = min(around, key=lambda o: o["end_line"] - o["start_line"], default=None)
+        if owner and owner["kind"] in ("function", "method") and re.search(_INNER[language] + re.escape(s["name"]) + r"\b", s["signature"]):
+            inner.setdefault((owner["start_line"], owner["end_line"]), []).append(s)
+    for (first, last), below in inner.items():
+        own = {n for s in below for n in range(s["start_line"], s["end_line"] + 1)}
+        rest = "\n".join(lines[n - 1] for n in range(first, last + 1) if n not in own)
+        out |= {("nested", s["name"]) for s in below if re.search(rf"(?<![\w$.]){re.escape(s['name'])}(?![\w$])", rest)}
+    return out
+
+
 def scan(files: DataFrame) -> DataFrame:
-    """(path, category, name) of the Python files of a tree (path, language, content)."""
+    """(path, category, name) of the Python, script and Rust files of a tree (path, language, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, c, n) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c, n in sorted(protected_names(t or ""))]
+            rows = [(p, c, n) for p, g, t in zip(*(x.to_pylist() for x in b.columns), strict=True) for c, n in sorted(protected_names(t or "") if g == "python" else lexical_names(t or "", g))]
             cols = [*zip(*rows, strict=True)] if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", "category", "name"])
 
-    return files.where("language = 'python'").select("path", "content").mapInArrow(run, "path string, category string, name string")
+    return files.where(F.col("language").isin("python", *_INNER)).select("path", "language", "content").mapInArrow(run, "path string, category string, name string")
 
 
 def spare(candidates: DataFrame, names: DataFrame) -> DataFrame:
