@@ -23,7 +23,7 @@ CALLBACKS = frozenset("target key default_factory callback handler func function
 REGISTRARS = frozenset("register subscribe connect add_handler add_listener submit apply_async map filter partial signal atexit".split())
 
 SCHEMA = """path string, parse_error boolean,
-symbols array<struct<name:string,qualified_name:string,kind:string,signature:string,docstring:string,decorators:array<string>,start_line:int,end_line:int,param_names:array<string>,body:string>>,
+symbols array<struct<name:string,qualified_name:string,kind:string,signature:string,docstring:string,decorators:array<string>,start_line:int,end_line:int,param_names:array<string>,body:string,seed:string>>,
 refs array<struct<scope:string,target_name:string,ref_type:string,scope_module:string,line:int>>,
 routes array<struct<scope:string,role:string,method:string,path:string,line:int>>"""
 
@@ -77,7 +77,7 @@ class _Python(ast.NodeVisitor):
         names = [dotted(d) for d in node.decorator_list]
         q = f"{self.scope[-1]}.{node.name}"
         args = [] if kind == "class" else [x.arg for x in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]]
-        self.symbols.append({"name": node.name, "qualified_name": q, "kind": kind, "signature": signature(node), "docstring": ast.get_docstring(node), "decorators": names, "start_line": node.lineno, "end_line": node.end_lineno, "param_names": args, "body": "\n".join(self.lines[node.lineno - 1 : node.end_lineno])})
+        self.symbols.append({"name": node.name, "qualified_name": q, "kind": kind, "signature": signature(node), "docstring": ast.get_docstring(node), "decorators": names, "start_line": node.lineno, "end_line": node.end_lineno, "param_names": args, "body": "\n".join(self.lines[node.lineno - 1 : node.end_lineno]), "seed": f"{signature(node)}|{ast.dump(node, annotate_fields=False)}"})
         for d in node.decorator_list:
             self.route(d, q)
             self.visit(d)
@@ -118,7 +118,7 @@ class _Python(ast.NodeVisitor):
     def visit_Assign(self, node):
         if len(self.scope) == 1 and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and re.fullmatch(r"[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*", node.targets[0].id) and isinstance(node.value, (ast.Subscript, ast.Name, ast.Attribute, ast.BinOp)):
             n = node.targets[0].id
-            self.symbols.append({"name": n, "qualified_name": f"{self.module}.{n}", "kind": "type_alias", "signature": ast.unparse(node)[:300], "docstring": None, "decorators": [], "start_line": node.lineno, "end_line": node.end_lineno, "param_names": [], "body": ast.unparse(node)})
+            self.symbols.append({"name": n, "qualified_name": f"{self.module}.{n}", "kind": "type_alias", "signature": ast.unparse(node)[:300], "docstring": None, "decorators": [], "start_line": node.lineno, "end_line": node.end_lineno, "param_names": [], "body": ast.unparse(node), "seed": ast.unparse(node)})
         self.generic_visit(node)
 
     def refer(self, target: str, left: str, kind: str, line: int) -> None:
@@ -206,6 +206,13 @@ def _annotations(lines: list[str], start: int) -> list[tuple[str, str]]:
     return out[::-1]
 
 
+def _seed(body: str, language: str) -> str:
+    """A body's words, texts and signs without comments and layout: what its hash goes by."""
+    comment = r"#[^\n]*" if language == "ruby" else r"//[^\n]*|/\*.*?\*/"
+    found = re.finditer(rf"({comment})|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[\w$]+|[^\s\w$]", body, re.S)
+    return " ".join(m[0] for m in found if m[1] is None) or body
+
+
 def _go_routes(source: str, code: str) -> Iterator[tuple[int, str, str]]:
     """(place, method, path) of router calls in Go; handlers of any method are ALL. A ``METHOD /path`` pattern is split."""
     for m in _GO_ROUTE.finditer(source):
@@ -269,7 +276,7 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
         if kind == "function" and owner and owner[2] == "class":
             kind = "method"
         marks = _annotations(lines, start)
-        symbols.append({"name": name, "qualified_name": q, "kind": kind, "signature": lines[start].strip()[:300], "docstring": None, "decorators": [m for m, _ in marks], "start_line": start + 1, "end_line": end + 1, "param_names": [], "body": "\n".join(lines[start : end + 1])})
+        symbols.append({"name": name, "qualified_name": q, "kind": kind, "signature": lines[start].strip()[:300], "docstring": None, "decorators": [m for m, _ in marks], "start_line": start + 1, "end_line": end + 1, "param_names": [], "body": "\n".join(lines[start : end + 1]), "seed": _seed("\n".join(lines[start : end + 1]), language)})
         stack.append((q, end, kind))
         above = prefix.get(owner[0], "") if owner else ""
         for _, text in marks if language == "java" else ():
@@ -309,7 +316,7 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
         scope, line = place(at)
         routes.append({"scope": scope, "role": "server", "method": method, "path": path, "line": line})
     if language in _SCRIPT:
-        symbols.append({"name": "__module__", "qualified_name": f"{module}.__module__", "kind": "module", "signature": module, "docstring": None, "decorators": [], "start_line": 1, "end_line": len(lines), "param_names": [], "body": ""})
+        symbols.append({"name": "__module__", "qualified_name": f"{module}.__module__", "kind": "module", "signature": module, "docstring": None, "decorators": [], "start_line": 1, "end_line": len(lines), "param_names": [], "body": "", "seed": "module"})
         for m in _JSX.finditer(code):
             refer(m[1], m[1], "jsx", m.start(1))
         for m in _HANDED.finditer(code):
@@ -344,7 +351,7 @@ def extract(files: DataFrame) -> DataFrame:
     s, i = pa.string(), pa.int32()
     arrow = pa.schema([
         ("path", s), ("parse_error", pa.bool_()),
-        ("symbols", struct(name=s, qualified_name=s, kind=s, signature=s, docstring=s, decorators=pa.list_(s), start_line=i, end_line=i, param_names=pa.list_(s), body=s)),
+        ("symbols", struct(name=s, qualified_name=s, kind=s, signature=s, docstring=s, decorators=pa.list_(s), start_line=i, end_line=i, param_names=pa.list_(s), body=s, seed=s)),
         ("refs", struct(scope=s, target_name=s, ref_type=s, scope_module=s, line=i)),
         ("routes", struct(scope=s, role=s, method=s, path=s, line=i)),
     ])
@@ -355,7 +362,7 @@ def index(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(symbols, refs, routes) with stable ids: a hash of path, qualified name and start line."""
     got = extract(files)
     s = got.where("not parse_error").select("path", F.explode("symbols").alias("s")).select(F.col("path").alias("file_path"), "s.*")
-    s = s.dropDuplicates(["file_path", "qualified_name", "start_line"]).withColumn("symbol_id", F.xxhash64("file_path", "qualified_name", "start_line")).withColumn("body_hash", F.sha2("body", 256))
+    s = s.dropDuplicates(["file_path", "qualified_name", "start_line"]).withColumn("symbol_id", F.xxhash64("file_path", "qualified_name", "start_line")).withColumn("body_hash", F.sha2("seed", 256)).drop("seed")
     owner = s.groupBy("file_path", "qualified_name").agg(F.min("symbol_id").alias("src"))
     r = got.select("path", F.posexplode("refs").alias("at", "r")).select(F.col("path").alias("file_path"), "at", F.col("r.scope").alias("qualified_name"), "r.target_name", "r.ref_type", "r.scope_module", "r.line")
     r = r.join(owner, ["file_path", "qualified_name"]).withColumn("ref_id", F.xxhash64("file_path", "at", "target_name"))

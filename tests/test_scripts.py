@@ -86,3 +86,15 @@ def test_workspace(spark, tmp_path):
     assert [r.verb for r in w.scan_annotation_verbs()[0].collect()] == ["@rf"]
     assert [(r.change, r.status) for r in w.import_changes(str(tmp_path / "s")).collect()] == [("c", "proposed")]
     assert [(r.operation, r.spec_id) for r in w.deltas.collect()] == [("removed", "auth-log-in")]
+
+
+def test_body_hashes(spark):
+    """Layout and comments don't count; texts, names and signs do."""
+    js = ("function f(a) {\n  // why\n  return g(a, 'x y')\n}", "function f( a ){ return g(a,\n 'x y') /* so */ }", "function f(a) {\n  return g(a, 'x  y')\n}", "function f(a) {\n  return g(b, 'x y')\n}")
+    py = ("def f(a):\n    return g(a, 'x')  # why", "def f(a):\n\n    return g(\n        a, 'x')", "def f(a):\n    return g(a, 'y')", "def f(b):\n    return g(b, 'x')")
+    rows = [(f"{i}.{e}", language, t) for e, language, texts in (("js", "javascript", js), ("py", "python", py)) for i, t in enumerate(texts)]
+    s = code.index(spark.createDataFrame(rows, "path string, language string, content string"))[0]
+    got = {r.file_path: r.body_hash for r in s.where("name = 'f'").collect()}
+    assert "seed" not in s.columns and len(got) == 8
+    for e in ("js", "py"):
+        assert got[f"0.{e}"] == got[f"1.{e}"] and len({got[f"{i}.{e}"] for i in range(4)}) == 3
