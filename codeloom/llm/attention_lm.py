@@ -24,7 +24,7 @@ COMMON = SIDE * (SIDE - 1)
 ROWS = COMMON + SIDE
 SPECS = {"E": (ROWS, DIM), "QKV": (DIM, 3 * DIM), "R": (WIDTH,), "O": (DIM, DIM), "W1": (DIM, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, DIM), "U": (DIM, SIDE), "c": (SIDE,), "T": (SIDE - 1, DIM, SIDE), "t": (SIDE - 1, SIDE)}
 #: Rows and windows that are worked on together, so that what they need stays in cache.
-PIECE, NEAR = 1024, 64
+PIECE, INNER, NEAR = 1024, 256, 64
 #: Largest logit; exp of it times SIDE stays far inside float32.
 TOP = 60
 _BACK = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
@@ -168,19 +168,20 @@ def states(p: dict[str, np.ndarray], rows: np.ndarray, keep: bool = False):
 
 
 def _exp(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exp of z w + c, its row sums, the logits at ``which``)."""
-    ones = np.ones(len(c), z.dtype)
-    for bound in (None, TOP):
-        e = z @ w
-        e += c
-        if bound:
-            np.minimum(e, bound, out=e)
-        own = e[np.arange(len(e)), which]
-        with np.errstate(over="ignore"):
-            np.exp(e, out=e)
-            total = e @ ones
-        if np.isfinite(total).all():
-            break
+    """(exp of z w + c, its row sums, the logits at ``which``). Rows whose sum overflows have their logits bounded, no others."""
+    ones, at = np.ones(len(c), z.dtype), np.arange(len(z))
+    e = z @ w
+    e += c
+    own = e[at, which]
+    with np.errstate(over="ignore"):
+        np.exp(e, out=e)
+        total = e @ ones
+    if not np.isfinite(total).all():
+        far = np.flatnonzero(~np.isfinite(total))
+        logits = np.minimum((z @ w)[far] + c, TOP)
+        own[far] = logits[np.arange(len(far)), which[far]]
+        e[far] = np.exp(logits)
+        total[far] = e[far].sum(axis=1)
     return e, total, own
 
 
@@ -192,12 +193,20 @@ def _errors(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray, m: i
     return e, float(np.log(total).sum(dtype=np.float64) - own.sum(dtype=np.float64))
 
 
-def _chosen(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """log softmax(z w + c) at ``which``, in pieces that stay in cache."""
+def _chosen(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """log softmax(z w + c) at ``which``, in pieces that stay in cache.
+
+    All products are of one shape, the last one filled up: a float32 product of another shape can round a row otherwise,
+    and equal texts must score alike wherever they stand.
+    """
     out = np.empty(len(z), z.dtype)
-    for lo in range(0, len(z), PIECE):
-        _, total, own = _exp(z[lo : lo + PIECE], w, c, which[lo : lo + PIECE])
-        out[lo : lo + PIECE] = own - np.log(total)
+    for lo in range(0, len(z), piece):
+        some, at = z[lo : lo + piece], which[lo : lo + piece]
+        n = len(some)
+        if n < piece:
+            some, at = np.concatenate([some, np.zeros((piece - n, z.shape[1]), z.dtype)]), np.concatenate([at, np.zeros(piece - n, at.dtype)])
+        _, total, own = _exp(some, w, c, at)
+        out[lo : lo + n] = (own - np.log(total))[:n]
     return out
 
 
@@ -208,7 +217,7 @@ def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ta
     order = np.argsort(group.astype(np.int16), kind="stable")
     edges = np.searchsorted(group[order], np.arange(SIDE)).tolist()
     zs, place = z[order[: edges[-1]]], place[order[: edges[-1]]]
-    inner = [_chosen(zs[lo:hi], p["T"][g], p["t"][g], place[lo:hi]) for g, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if lo < hi]
+    inner = [_chosen(zs[lo:hi], p["T"][g], p["t"][g], place[lo:hi], INNER) for g, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if lo < hi]
     if inner:
         out[order[: edges[-1]]] += np.concatenate(inner)
     return out
@@ -345,7 +354,8 @@ def score_ids(p: dict[str, np.ndarray], v: Vocabulary, texts: list[np.ndarray],
             z = np.empty((len(rows), DIM), np.float32)
             for w in range(0, len(index), windows):
                 i, s = index[w : w + windows], scored[w : w + windows]
-                z[i[s]] = states(p, rows[i])[s]
+                full = i if len(i) == windows else np.concatenate([i, np.zeros((windows - len(i), WIDTH), i.dtype)])
+                z[i[s]] = states(p, rows[full])[: len(i)][s]
             total = log_probabilities(p, v, z, target)
             yield from np.split(total, np.cumsum([len(t) + 1 for t in texts[lo:hi]])[:-1])
         lo = hi

@@ -7,9 +7,13 @@ path with most votes wins, and every page of the host is extracted again from th
 lacks the path falls back to its own best container. A container votes for all containers around it, a little less each,
 so that an article in several parts is found at what holds them all.
 
-Furniture is known by its element, or by a word in its class, id or role. Words of the second kind also stand on
-wrappers ("with-sidebar", "share-page"): a container with such a word stays if it holds the page's article, main or h1
-element or most of its running text. Words for reader comments always count.
+Furniture is known by its element, or by a class, id or role that stands for furniture as a whole ("ad", "share-buttons",
+"post-comments"). A container of the second kind stays if it holds the page's article, main or h1 element or most of its
+running text; so does a form around the page. One for reader comments stays only around the page's main or h1 element.
+Where a word of furniture stands among other words ("share-price", "no-comments", "with-sidebar") it decides nothing by
+itself: the container goes if what it holds doesn't read like text (no sentence, or mostly links). What stands in a
+header of the article stays if it is a heading or a sentence; a header that holds the article or most of the text is
+none.
 
 Defined results: null, empty or tag-free html gives the plain text there is; a null url belongs to the host "";
 equal votes go to the path that sorts first; repeated rows get the same text; an empty table gives an empty result.
@@ -47,29 +51,62 @@ FURNITURE_WORDS = frozenset(
 )
 #: Words of reader comments. Fixed values.
 COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Words that say where in the page or of which make, not what. Fixed values.
+PLACE_WORDS = frozenset(
+    "area author bar block body bottom box button buttons center children column container count depth even fixed form global "
+    "holder icon icons inner item items left link links list meta mobile odd outer page panel placeholder primary right row "
+    "secondary section site slot sticky strip text thread top unit wrap wrapper".split()
+)
 #: Elements of other vocabularies, where "/>" ends an element.
 FOREIGN = frozenset(("svg", "math"))
 #: A container's vote for those around it, less LEVEL a level; the share of a page's text that keeps a container despite its words.
 STEP, LEVEL, MOST = 0.85, 0.98, 0.6
 TEXT_WORDS = frozenset("article articlebody body content entry main post story text".split())
+HEADER = frozenset(("header",))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+SENTENCE = re.compile(r"[.!?\u2026\u3002]\W*\Z")
+
+
+def stands_for(token: str, words: frozenset[str]) -> bool:
+    """The token is one of ``words``, with words of place or furniture about it; words of text only before it."""
+    parts = [w.lower() for w in _WORDS.findall(token)]
+    own = [w for w in parts if w not in PLACE_WORDS] or parts
+    return bool(own) and own[-1] in words and all(w in FURNITURE_WORDS or w in COMMENT_WORDS or w in TEXT_WORDS or w in words for w in own)
+
+
+def sentence(text: str, links: int) -> bool:
+    """Reads like running text: some words and a stop, and not mostly links."""
+    return len(text) >= 20 and text.count(" ") >= 3 and links < 0.4 * len(text) and SENTENCE.search(text) is not None
+
+
+#: What a container's marks make of it: surely furniture; furniture unless it holds the article; that, but for reader comments; to be judged by what it holds.
+SURE, WORDED, COMMENTS, MAYBE = 2, 1, 4, 3
+
+
 class Node:
-    __slots__ = ("label", "tag", "words", "mark", "skip", "holds", "header", "up", "path")
+    __slots__ = ("label", "tag", "words", "mark", "skip", "holds", "reads", "heads", "header", "up", "path")
 
     def __init__(self, tag: str, marks: list[str], up: Node | None):
         self.tag, self.up = tag, up
         self.words = {w.lower() for m in marks for w in _WORDS.findall(m)}
         self.label = ".".join([tag, *sorted(re.sub(r"\d+", "N", m) for m in marks)])
         self.path = (up.path + "/" if up and up.path else "") + self.label if tag not in ("html", "body") else (up.path if up else "")
-        wrapper = tag in ("html", "body", "article", "main")
-        sure = tag in FURNITURE or bool(self.words & COMMENT_WORDS)
-        #: furniture: 2 surely, 1 by a word that wrappers have too; skip is decided once the page is known
-        self.mark = 0 if wrapper and not self.words & COMMENT_WORDS else 2 if sure else 1 if not wrapper and self.words & FURNITURE_WORDS else 0
-        self.skip, self.holds = False, 0.0
-        self.header = (up.header if up else None) or (self if tag == "header" or ("header" in self.words and tag in ("div", "section")) else None)
+        self.mark, self.skip, self.holds, self.reads = 0, False, 0.0, [0, 0, False]
+        if tag in FURNITURE:
+            self.mark = WORDED if tag == "form" else SURE
+        elif self.words & COMMENT_WORDS and any(stands_for(m, COMMENT_WORDS) for m in marks):
+            self.mark = COMMENTS
+        elif tag not in ("html", "body", "article", "main"):
+            if self.words & FURNITURE_WORDS and any(stands_for(m, FURNITURE_WORDS) for m in marks):
+                self.mark = WORDED
+            elif self.words & (FURNITURE_WORDS | COMMENT_WORDS):
+                self.mark = MAYBE
+        self.heads = tag == "header" or (tag in ("div", "section") and "header" in self.words and any(stands_for(m, HEADER) for m in marks))
+        #: the outermost header around it or itself, once the page is known
+        self.header = None
 
 
 def parse(page: str) -> list[tuple[Node, str, int]]:
@@ -149,50 +186,65 @@ def worth(text: str, links: int) -> float:
 
 
 def decide(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
-    """Set each node's skip. nodes: parents before children."""
-    if any(n.mark == 1 for n in nodes):
-        total = 0.0
+    """Set each node's skip and header. nodes: parents before children."""
+    if any(n.mark == MAYBE for n in nodes):
+        for node, text, links in blocks:
+            up, reads = node, sentence(text, links)
+            while up and up.mark in (0, MAYBE):
+                up.reads[0] += len(text)
+                up.reads[1] += links
+                up.reads[2] |= reads
+                up = up.up
+        for n in nodes:
+            if n.mark == MAYBE:
+                chars, links, reads = n.reads
+                n.mark = 0 if reads and links < 0.4 * chars else WORDED
+    if any(n.mark or n.heads for n in nodes):
+        total, core, heads = 0.0, set(), set()
         for node, text, links in blocks:
             points, up, clear = worth(text, links), node, True
             while up:  # counts up to the first mark around it, and for that node
                 if clear:
                     up.holds += points
                 clear = clear and not up.mark
-                if up.mark == 2:
+                if up.mark in (SURE, COMMENTS):
                     points = 0.0
                 up = up.up
             total += points
-        core = set()
         for n in nodes:
             if n.tag in ("article", "main", "h1") and not n.mark:
-                up = n.up
-                while up and up.mark != 2:
+                up, comments = n.up, n.tag == "article"
+                while up and up.mark != SURE and not (comments and up.mark == COMMENTS):
                     core.add(id(up))
+                    if n.tag != "h1":
+                        heads.add(id(up))
                     up = up.up
         for n in nodes:
-            if n.mark == 1 and (id(n) in core or n.holds > MOST * total > 0):
+            if n.mark == COMMENTS and id(n) in core or n.mark == WORDED and (id(n) in core or n.holds > MOST * total > 0):
                 n.mark = 0
+            n.heads = n.heads and not (id(n) in heads or n.holds > MOST * total > 0)
     for n in nodes:
+        n.header = (n.up.header if n.up else None) or (n if n.heads else None)
         n.skip = bool(n.mark) or bool(n.up and n.up.skip)
 
 
-def kept(node: Node) -> bool:
-    """Not furniture. What stands in a header stays only if it is a heading inside an article."""
+def kept(node: Node, text: str, links: int, path: str = "") -> bool:
+    """Not furniture. What stands in a header stays only if it is a heading or a sentence inside the article."""
     if node.skip:
         return False
     if node.header is None:
         return True
-    inside = node.header
-    while inside and inside.tag not in ("article", "main"):
+    inside = node.header.up
+    while inside and inside.tag not in ("article", "main") and not (path and inside.path == path):
         inside = inside.up
-    return inside is not None and node.tag in HEADINGS
+    return inside is not None and (node.tag in HEADINGS or sentence(text, links))
 
 
 def votes(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
     """Each path's share of the page's score."""
     score: dict[str, float] = {}
     for node, text, links in blocks:
-        if not kept(node) or node.tag in HEADINGS:
+        if not kept(node, text, links) or node.tag in HEADINGS:
             continue
         points = worth(text, links)
         up, part = (node.up if node.tag in ("p", "pre", "li", "blockquote", "dd", "dt", "tr") and node.up else node), 1.0
@@ -206,11 +258,11 @@ def votes(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
 
 def extract(blocks: list[tuple[Node, str, int]], path: str | None) -> str:
     """Text of the blocks in containers at ``path``; from the page's own best where the page has none."""
-    inside = lambda p: [t for n, t, _ in blocks if kept(n) and (not p or n.path == p or n.path.startswith(p + "/"))]
+    inside = lambda p: [t for n, t, k in blocks if kept(n, t, k, p) and (not p or n.path == p or n.path.startswith(p + "/"))]
     found = inside(path) if path is not None else []
     if not found:
         own = votes(blocks)
-        found = inside(max(sorted(own), key=own.get)) if own else [t for n, t, _ in blocks if kept(n)]
+        found = inside(max(sorted(own), key=own.get)) if own else [t for n, t, k in blocks if kept(n, t, k)]
     return "\n\n".join(found)
 
 

@@ -270,14 +270,14 @@ def score_texts(encoded: DataFrame, counts: DataFrame, words: Words, params: dic
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(score)], names=[*b.schema.names[:-3], "score"])
 
     def some(n, ids, place, many):
-        logs = np.concatenate(list(lm.score_ids(params, v, [np.frombuffer(x, "<u2") for x in ids], END)))
+        logs = np.concatenate(list(lm.score_ids(params, v, [np.frombuffer(x, "<u2") for x in ids], END))).astype(np.float64)
         # per word, the end of each text after its words
         is_word = np.ones(int(n.sum()) + len(n), bool)
         is_word[np.cumsum(n) + np.arange(len(n))] = False
         where, length = np.full(len(is_word), last, np.int64), np.ones(len(is_word), np.int64)
         where[is_word] = np.frombuffer(b"".join(place), "<i4")
         length[is_word] = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == k else "<u4") for x, k in zip(many, n.tolist(), strict=True)])
-        model = np.add.reduceat(logs, np.cumsum(length) - length).astype(np.float64)
+        model = np.add.reduceat(logs, np.cumsum(length) - length)
         mixed = np.logaddexp(model + np.log1p(-mix), share[where])
         return np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=mixed, minlength=len(n)) / np.log(10)
 

@@ -5,15 +5,16 @@ clockwise of its hash. Under the law ``bytes`` a shard is full once it holds ``1
 later go on clockwise to the next shard that isn't. So no shard holds more than that and the rest of one batch, and only
 the keys of full shards move.
 
-"Later" has a meaning without a sequence: keys come in an order of their own, long texts first, then by a second hash,
+"Later" has a meaning without a sequence: keys come in an order of their own, heavy ones first, then by a second hash,
 in batches that shrink with what is left. Within a batch the full shards are those at its start. Which shards fill up when
 follows from the bytes of each (arc of the ring, batch), at most ``shards * points`` times some 700 numbers, on the
 driver. The answer is a table (state, arc, shard) with at most one more state than shards, joined to the rows by
 broadcast. Nothing else is gathered, no key's rows are brought together, and texts are read once.
 
-A text whose rows together outweigh the slack of a shard is no key as a whole: its rows are dealt over as many keys as
-its bytes need, by doc_id, and where one doc_id alone outweighs it, row by row. There are at most ``shards / slack``
-such texts. All other rows of one text stay in one shard.
+A key weighs what the rows of its text weigh together, if that is more than the slack of a shard (there are at most
+``shards / slack`` such texts), else what its row weighs. A text with more than ``SPLIT`` of a shard's mean is no key as
+a whole: its rows are dealt over as many keys as its bytes need, by doc_id, and where one doc_id alone has that much, row
+by row. All other rows of one text stay in one shard.
 
 Under the law ``key`` the ring takes doc_id as key and has no bound: doc_id and the number of shards decide, and one more
 shard takes rows only into itself; ``grown_shard`` says which.
@@ -39,7 +40,9 @@ from .common import SMALL_ROWS, map_arrow, mix64, read_table, stage
 #: Places on the ring: of each shard, and of all shards at least.
 POINTS, RING = 16, 1024
 #: A shard is full at this share above the mean.
-SLACK = 0.005
+SLACK = 0.002
+#: The most of a shard's mean that one key may have.
+SPLIT = 0.05
 #: A batch is this part of what is left, and a quarter of a shard's slack at least.
 PART = 64
 #: Steps of the second hash within a power of two of the sizes.
@@ -62,9 +65,9 @@ def arcs(key: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (np.searchsorted(places, mix64(key ^ _PLACE)) % len(places)).astype(np.int32)
 
 
-def cells(key: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Order of the keys: longer sizes (by powers of two) first, then by a second hash."""
-    power = np.frexp(size.astype(np.float64))[1]
+def cells(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Order of the keys: heavier ones (by powers of two) first, then by a second hash."""
+    power = np.frexp(weight.astype(np.float64))[1]
     return ((CLASSES - power) * STEPS + (mix64(key ^ _ORDER) >> np.uint64(54)).astype(np.int64)).astype(np.int32)
 
 
@@ -103,22 +106,24 @@ def fill(arc: np.ndarray, batch: np.ndarray, size: np.ndarray, owner: np.ndarray
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, size, text_crc32 with arc and cell from key and salt."""
+    """doc_id, size, text_crc32 with arc and cell from key, salt and weight."""
     for batch in batches:
         key = batch.column(3).to_numpy().astype(np.uint64) ^ (batch.column(4).to_numpy().astype(np.uint64) * _SALT)
-        more = {"arc": arcs(key, places), "cell": cells(key, batch.column(1).to_numpy())}
+        more = {"arc": arcs(key, places), "cell": cells(key, batch.column(5).to_numpy())}
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, more.values())], names=["doc_id", "size", "text_crc32", *more])
 
 
-def salted(rows: DataFrame, most: float) -> DataFrame:
-    """Add salt: 0 but for the rows of texts with more than ``most`` bytes in all, which are dealt over several keys."""
-    hot = rows.groupBy("k").agg(F.sum("size").alias("all")).where(F.col("all") > most)
-    hot = stage(hot.select("k", F.ceil(F.col("all") / most).alias("keys")), "hot")  # at most total / most rows
-    one = rows.join(F.broadcast(hot), "k").groupBy("k", "doc_id").agg(F.sum("size").alias("all")).where(F.col("all") > most)
+def salted(rows: DataFrame, slack: float, most: float) -> DataFrame:
+    """Add salt and weight. Texts with more than ``slack`` bytes in all weigh that; those with more than ``most`` are dealt
+    over several keys by their salt."""
+    heavy = rows.groupBy("k").agg(F.sum("size").alias("all")).where(F.col("all") > slack)
+    keys = F.ceil(F.col("all") / most)
+    heavy = stage(heavy.select("k", keys.alias("keys"), F.ceil(F.col("all") / keys).alias("share")), "heavy")  # at most total / slack rows
+    one = rows.join(F.broadcast(heavy.where("keys > 1")), "k").groupBy("k", "doc_id").agg(F.sum("size").alias("all")).where(F.col("all") > most)
     one = stage(one.select(F.col("k").alias("k1"), F.col("doc_id").alias("id1"), F.lit(True).alias("alone")), "alone")
-    out = rows.join(F.broadcast(hot), "k", "left").join(F.broadcast(one), (F.col("k") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("id1")), "left")
+    out = rows.join(F.broadcast(heavy), "k", "left").join(F.broadcast(one), (F.col("k") == F.col("k1")) & F.col("doc_id").eqNullSafe(F.col("id1")), "left")
     by = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.when(F.col("alone"), F.col("at")).otherwise(0))
-    return out.select("doc_id", "size", "text_crc32", "k", F.coalesce(F.pmod(by, "keys"), F.lit(0)).alias("salt"))
+    return out.select("doc_id", "size", "text_crc32", "k", F.coalesce(F.pmod(by, "keys"), F.lit(0)).alias("salt"), F.coalesce("share", "size").alias("weight"))
 
 
 def table(spark: SparkSession, **columns) -> DataFrame:
@@ -131,7 +136,7 @@ def bounded(rows: DataFrame, shards: int, slack: float) -> DataFrame:
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
     mean = total / shards
     places, owner = ring(shards)
-    keyed = stage(map_arrow(salted(rows, max(1.0, slack * mean)), lambda it: _keyed(it, places), "doc_id long, size long, text_crc32 long, arc int, cell int"), "keyed")
+    keyed = stage(map_arrow(salted(rows, max(1.0, slack * mean), max(1.0, SPLIT * mean)), lambda it: _keyed(it, places), "doc_id long, size long, text_crc32 long, arc int, cell int"), "keyed")
     step = keyed.groupBy("cell").agg(F.sum("size").alias("size")).orderBy("cell").toArrow()  # at most CLASSES * STEPS rows
     cell = step.column("cell").to_numpy()
     batch = batches_of(step.column("size").to_numpy(), slack * mean / 4)

@@ -69,6 +69,8 @@ def plain(page):
     from html.parser import HTMLParser
 
     out, text, stack = [], [], []
+    blocks = set("article aside body div footer form h1 h2 h3 h4 h5 h6 head header html li main nav ol p section table td th tr ul".split())
+    void = {"br", "hr", "img", "input", "link", "meta"}
     skip = {"nav", "footer", "aside", "form", "script", "style", "noscript", "head", "iframe", "svg", "button", "select", "textarea", "template"}
 
     class P(HTMLParser):
@@ -79,16 +81,15 @@ def plain(page):
                 out.append(t)
 
         def handle_starttag(self, tag, attrs):
-            if tag in hx.VOID:
+            if tag in void:
                 text.append(" ")
                 return
-            if tag in hx.BLOCKS:
+            if tag in blocks:
                 self.flush()
-            words = {w.lower() for k, v in attrs if k in ("class", "id", "role") for w in hx._WORDS.findall(v or "")}
-            stack.append((tag, tag in skip or bool(words & (hx.FURNITURE_WORDS | hx.COMMENT_WORDS))))
+            stack.append((tag, tag in skip or ("class", "ad") in attrs))
 
         def handle_endtag(self, tag):
-            if tag in hx.BLOCKS:
+            if tag in blocks:
                 self.flush()
             while stack and any(t == tag for t, _ in stack) and stack.pop()[0] != tag:
                 pass
@@ -123,3 +124,32 @@ def test_many_hosts_take_the_join(spark, monkeypatch):
     rows = [(i, f"https://h{i % 3}.example/a", f"<div class='text'>{PART.format(i) * 3}</div><div class='extra'><p>x</p></div>") for i in range(9)]
     got = hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 9 and all(f"number {r.page_id}." in r.text for r in got)
+
+
+def test_articles_are_never_lost_to_a_word():
+    two = PART.format(1) + PART.format(2)
+    for page in (
+        f"<body><div class='has-header layout'><article>{two}</article></div></body>",
+        f"<body><article class='post comments-open'>{two}</article></body>",
+        f"<body><main class='single no-comments'>{two}</main></body>",
+        f"<body><form id='aspnetForm'><div class='page'><article>{two}</article></div></form></body>",
+        f"<body><div id='header'><main>{two}</main></div></body>",
+        f"<body><div class='comments-wrap'><main>{two}</main></div></body>",
+        f"<body><div class='site'><div class='post'><header><h1>Head</h1><p>By Ann, May</p>{PART.format(1)}</header>{PART.format(2)}</div></div></body>",
+    ):
+        got = kept(page)
+        assert "number 1." in got and "number 2." in got and "By Ann" not in got, page
+    for word in ("share-price", "social-history", "search-theory", "ad-hoc", "login-study"):
+        got = kept(f"<body><article>{PART.format(1)}<div class='{word}'><p>The price rose by a third.</p></div>{PART.format(2)}</article></body>")
+        assert "rose by a third." in got, word
+    got = kept(f"<body><article><header><h1>Head</h1><p>By Ann Smith</p><p>A lead paragraph, which says what follows.</p></header>{two}</article></body>")
+    assert "A lead paragraph" in got and "Head" in got and "Ann Smith" not in got
+
+
+def test_furniture_by_its_whole_name():
+    for word in ("ad", "ad-slot-3", "share-buttons", "post-comments", "comment-list", "cookie-notice", "relatedLinks", "newsletter_box", "td-post-sharing-top", "jp-related-posts", "site-header"):
+        got = kept(f"<body><article>{PART.format(1)}{PART.format(2)}<div class='{word}'><a href='/x'>Read this one too</a> <a href='/y'>And this</a></div></article></body>")
+        assert "number 2." in got and "Read this" not in got, word
+    for word in ("ad", "ad-slot-3", "share-buttons", "post-comments", "comment-list", "cookie-notice", "commentBody"):
+        got = kept(f"<body><article>{PART.format(1)}{PART.format(2)}<div class='{word}'><p>A whole sentence that isn't of the article.</p></div></article></body>")
+        assert "number 2." in got and "whole sentence" not in got, word
