@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frameworks import ENTRY_DECORATORS, has_decorator, implicit_entry_point, is_build_output, last_segments, routed_file
-from ..functions.paths import is_entry_point_file, is_infrastructure, is_non_product, is_test_file
+from ..functions.paths import base_name, is_entry_point_file, is_fixture_only, is_non_product, is_test_file
 from ..sources.protection import spare
 from .graph import reach, simple
+from .liveness import with_class_rule
 
 #: Visibilities that callers beyond the index may use. Fixed values.
 PUBLIC = ("pub", "public", "exported")
@@ -24,37 +27,45 @@ def dead_code(symbols: DataFrame, edges: DataFrame, links: DataFrame, min_weight
     """Unreached symbols with the first filter that spares them; null reason: dead. Each flag takes one filter away.
 
     In order: tests, entry points, build output, files a framework routes, other languages than Python, infrastructure
-    (called from outside by name, or by a decorator), public symbols, handlers (symbol_id) handed to a router, then
-    infrastructure by what the code's text keeps alive. protected: of ``protection.scan``. symbols may have decorators
-    and visibility.
+    (called from outside by name or by a decorator, or part of such a decorator), public symbols, handlers (symbol_id)
+    that a router is handed, then infrastructure by what the code's text keeps alive and by a method's class
+    (``liveness``). A wrapper of a few lines is as dead as anything else. protected: of ``protection.scan``. symbols may
+    have decorators and visibility. ``class_rule`` tells the class's rule where one holds.
     """
     p, q, name, kind = (F.col(c) for c in ("file_path", "qualified_name", "name", "kind"))
     found = unreached(symbols, edges, links, min_weight)
-    if protected is None or include_infrastructure:
-        found = found.withColumn("protected", F.lit(None).cast("string"))
+    never, none = F.lit(False), F.lit(None).cast("string")
+    infra = implicit_entry_point(name, q, kind)
+    if include_infrastructure:
+        found = found.withColumn("protected", none).withColumn("class_rule", none)
     else:
-        found = spare(found, protected)
-        # a method lives as long as its class is named
-        owner = F.when((kind == "method") & (F.size(F.split(q, r"\.")) >= 2), F.element_at(F.split(q, r"\."), -2))
-        classes = protected.where("category <> 'nested'").select(F.col("name").alias("owner")).distinct().withColumn("owned", F.lit("class"))
-        found = found.withColumn("owner", owner).join(classes, "owner", "left").withColumn("protected", F.coalesce("protected", "owned")).drop("owner", "owned")
+        found = with_class_rule(found, symbols, edges)
+        if protected is None:
+            found = found.withColumn("protected", none)
+        else:
+            found = spare(found, protected)
+            # a method lives as long as its class is named
+            short = F.when((kind == "method") & (F.size(F.split(q, r"\.")) >= 2), F.element_at(F.split(q, r"\."), -2))
+            named = protected.where("category not in ('nested', 'alias')").select(F.col("name").alias("short")).distinct().withColumn("owned", F.lit("class"))
+            found = found.withColumn("short", short).join(named, "short", "left").withColumn("protected", F.coalesce("protected", "owned")).drop("short", "owned")
+        if "decorators" in symbols.columns:
+            infra = infra | has_decorator(F.col("decorators"), ENTRY_DECORATORS)
+        if protected is not None:
+            aliases = protected.where("category = 'alias'").select(F.lower("name").alias("alias")).distinct()
+            found = found.join(aliases.withColumnRenamed("alias", "machine"), F.lower("name") == F.col("machine"), "left")
+            infra = infra | F.col("machine").isNotNull()
+            if "decorators" in symbols.columns:
+                deco = found.select("symbol_id", F.explode(last_segments(F.col("decorators"))).alias("alias")).join(aliases, "alias").select("symbol_id", F.lit(True).alias("aliased")).distinct()
+                found = found.join(deco, "symbol_id", "left")
+                infra = infra | F.coalesce("aliased", never)
     if handlers is not None:
         found = found.join(handlers.select("symbol_id", F.lit(True).alias("handler")).distinct(), "symbol_id", "left")
-    never = F.lit(False)
-    infra = is_infrastructure(q, name, F.col("start_line"), F.col("end_line")) | implicit_entry_point(name, q, kind)
-    if "decorators" in symbols.columns:
-        aliases = protected.where("category = 'alias'").select(F.lower("name").alias("alias")).distinct() if protected is not None else None
-        infra = infra | has_decorator(F.col("decorators"), ENTRY_DECORATORS)
-        if aliases is not None:
-            deco = found.select("symbol_id", F.explode(last_segments(F.col("decorators"))).alias("alias")).join(aliases, "alias").select("symbol_id", F.lit(True).alias("aliased")).distinct()
-            found = found.join(deco, "symbol_id", "left")
-            infra = infra | F.coalesce("aliased", never)
     public = F.col("visibility").isin(*PUBLIC) if "visibility" in symbols.columns else never
     reason = F.when(never if include_tests else is_test_file(p), "tests").when(is_entry_point_file(p), "entry_point").when(is_build_output(p), "build_output")
     reason = reason.when(never if include_framework_routes else routed_file(p).isNotNull(), "fs_routing").when(never if include_non_python else ~p.endswith(".py"), "non_python")
-    reason = reason.when(never if include_infrastructure else infra, "infrastructure").when(never if include_public else public, "public")
-    reason = reason.when(F.coalesce("handler", never) if handlers is not None else never, "handler").when(F.col("protected").isNotNull(), "infrastructure")
-    return found.withColumn("reason", reason).select(*symbols.columns, "reason")
+    reason = reason.when(never if include_infrastructure else infra, "infrastructure").when(never if include_public else F.coalesce(public, never), "public")
+    reason = reason.when(F.coalesce("handler", never) if handlers is not None else never, "handler").when(F.col("protected").isNotNull() | F.col("class_rule").isNotNull(), "infrastructure")
+    return found.withColumn("reason", reason).select(*symbols.columns, "reason", "class_rule")
 
 
 def filtered_out(found: DataFrame) -> DataFrame:
@@ -62,12 +73,51 @@ def filtered_out(found: DataFrame) -> DataFrame:
     return found.groupBy(F.coalesce("reason", F.lit("dead")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def orphan_tests(symbols: DataFrame, edges: DataFrame, max_depth: int = 10, min_weight: float = 0.0) -> DataFrame:
-    """Test symbols from which no product symbol can be reached. One walk backward from all product symbols."""
-    tests = symbols.where(is_test_file(F.col("file_path")) & (F.col("kind") != "class"))
-    product = symbols.where(~is_test_file(F.col("file_path"))).select(F.col("symbol_id").alias("node"))
+def dead_summary(found: DataFrame) -> DataFrame:
+    """(by, value, n) of the dead among ``dead_code``'s rows: by kind and by the first folder of the path."""
+    dead = found.where("reason is null")
+    parts = [dead.groupBy(v.alias("value")).agg(F.count("*").alias("n")).select(F.lit(by).alias("by"), "value", "n") for by, v in (("kind", F.col("kind")), ("dir", F.element_at(F.split("file_path", "/", 2), 1)))]
+    return parts[0].union(parts[1])
+
+
+def orphan_tests(symbols: DataFrame, edges: DataFrame, max_depth: int = 10, min_weight: float = 0.0, harness: DataFrame | None = None, include_harness: bool = False, include_fixtures: bool = False) -> DataFrame:
+    """Test functions from which no product symbol can be reached, with reason, reasons and confidence.
+
+    One walk backward from all product symbols. reasons: no_outgoing_calls, or cone_stays_in_tests if it calls anything;
+    harness_indirection besides for files (``harness``: path) that drive the product through a client, which are left out
+    unless asked for, as fixture files are. Confidence .85, .55, and .3 at most under a harness.
+    """
+    p = F.col("file_path")
+    tests = symbols.where(is_test_file(p) & F.col("kind").isin("function", "method"))
+    tests = tests if include_fixtures else tests.where(~is_fixture_only(p))
+    if harness is None:
+        tests = tests.withColumn("harness", F.lit(False))
+    else:
+        tests = tests.join(harness.select(F.col("path").alias("file_path"), F.lit(True).alias("harness")).distinct(), "file_path", "left").withColumn("harness", F.coalesce("harness", F.lit(False)))
+        tests = tests if include_harness else tests.where(~F.col("harness"))
+    product = symbols.where(~is_test_file(p)).select(F.col("symbol_id").alias("node"))
     live = reach(edges, product, max_depth, min_weight, backward=True).select(F.col("node").alias("symbol_id"))
-    return tests.join(live, "symbol_id", "left_anti")
+    calls = edges.where((F.col("weight") >= min_weight) & (F.col("src") != F.col("dst"))).select(F.col("src").alias("symbol_id"), F.lit(True).alias("calls")).distinct()
+    out = tests.join(live, "symbol_id", "left_anti").join(calls, "symbol_id", "left")
+    reason = F.when(F.col("calls"), "cone_stays_in_tests").otherwise("no_outgoing_calls")
+    reasons = F.when(F.col("harness"), F.array(reason, F.lit("harness_indirection"))).otherwise(F.array(reason))
+    sure = F.when(F.col("harness"), 0.3).when(F.col("calls"), 0.55).otherwise(0.85)
+    return out.select(*symbols.columns, reason.alias("reason"), reasons.alias("reasons"), sure.alias("confidence"))
+
+
+def orphan_report(symbols: DataFrame, files: DataFrame, harness: DataFrame) -> DataFrame:
+    """(what, n): how much of the tests ``orphan_tests`` looks at. files: path. harness: path.
+
+    test_files_without_symbols: test files in which no function was seen, but for fixtures and package marks.
+    """
+    p, path = F.col("file_path"), F.col("path")
+    tests = symbols.where(is_test_file(p) & F.col("kind").isin("function", "method"))
+    test_files = files.where(is_test_file(path)).select("path").distinct()
+    loud = tests.where(~is_fixture_only(p)).join(harness.select(path.alias("file_path")).distinct(), "file_path", "left_semi")
+    blind = test_files.join(tests.select(p.alias("path")), "path", "left_anti").where(~is_fixture_only(path) & (base_name(path) != "__init__.py"))
+    counts = {"fixture_skipped": tests.where(is_fixture_only(p)), "harness_skipped": loud, "test_files": test_files, "test_symbols": tests, "test_files_without_symbols": blind}
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in counts.items()]
+    return reduce(DataFrame.union, parts)
 
 
 def structural_names(symbols: DataFrame, least: int = 3) -> DataFrame:
@@ -134,12 +184,6 @@ def expand_types(symbols: DataFrame, roots: DataFrame, depth: int = 1) -> DataFr
     return found
 
 
-def overlap_ratio(ours: DataFrame, theirs: DataFrame) -> float:
-    """Share of our paths that the other graph knows too."""
-    n = ours.select("path").distinct().count()
-    return ours.select("path").distinct().join(theirs.select("path").distinct(), "path", "left_semi").count() / n if n else 0.0
-
-
 def stale_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Chunks whose file is gone or has another hash now. chunks: chunk_id, path, content_hash."""
     now = files.select("path", F.col("content_hash").alias("now"))

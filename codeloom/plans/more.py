@@ -13,7 +13,7 @@ from .registry import _IS_TEST, _PATH_SQL, _PR, _REASON, _ROUNDS, ROOT, _paths,
 _DEAD = f"{SYM}, {TIGHT}, {FEW}, dead AS (SELECT * FROM sym WHERE symbol_id NOT IN (SELECT dst FROM tight) AND symbol_id NOT IN (SELECT symbol_id FROM few))"
 _FLAGS = ("include_tests", "include_infrastructure", "include_public", "include_non_python", "include_framework_routes")
 _SEEN = "CASE WHEN symbol_id % 2 = 0 THEN 'public' END"
-_INFRA_NAME = "regexp_matches(name, '_(state|settings|config|session)$') OR name = 'register' OR (end_line - start_line > 0 AND end_line - start_line < 5)"
+_INFRA_NAME = "(kind IN ('function', 'method') AND regexp_matches(name, '_(state|settings|config|session)$')) OR (name = 'register' AND kind = 'function')"
 _WHY = f"""CASE WHEN {{tests}} AND file_path LIKE 'tests/%' THEN 'tests' WHEN {{routes}} AND regexp_matches(file_path, '/pages/.*\\.tsx$') THEN 'fs_routing' WHEN {{other}} AND NOT ends_with(file_path, '.py') THEN 'non_python'
   WHEN {{infra}} AND ({_INFRA_NAME}) THEN 'infrastructure' WHEN {{public}} AND visibility = 'public' THEN 'public' ELSE 'dead' END"""
 _VARIED = f"varied AS (SELECT * REPLACE (CASE WHEN kind = 'class' THEN concat('web/pages/p', symbol_id, '.tsx') WHEN start_line > 900 THEN concat('lib/m', symbol_id, '.go') ELSE file_path END AS file_path), {_SEEN} AS visibility FROM dead)"

@@ -126,7 +126,7 @@ def orphan_clients(spark, d):
 
 
 _THIN = f"{SYM}, {TIGHT}, {FEW}, {LINK}, dead AS (SELECT * FROM sym WHERE symbol_id NOT IN (SELECT dst FROM tight) AND symbol_id NOT IN (SELECT symbol_id FROM few))"
-_REASON = "CASE WHEN file_path LIKE 'tests/%' THEN 'tests' WHEN regexp_matches(name, '_(state|settings|config|session)$') OR name = 'register' OR (end_line - start_line > 0 AND end_line - start_line < 5) THEN 'infrastructure' END"
+_REASON = "CASE WHEN file_path LIKE 'tests/%' THEN 'tests' WHEN (kind IN ('function', 'method') AND regexp_matches(name, '_(state|settings|config|session)$')) OR (name = 'register' AND kind = 'function') THEN 'infrastructure' END"
 
 
 @query(f"WITH {_THIN} SELECT symbol_id, qualified_name, file_path FROM dead")
@@ -518,4 +518,4 @@ def explorer_dashboard(spark, d):
     return spec_store.dashboard(spec_store.spec_states(s, links, tested), s.where("s_nationkey < 5"), s.where("s_nationkey >= 20"))
 
 
-from . import more  # noqa: E402, F401  its queries join these
+from . import health, more  # noqa: E402, F401  their queries join these

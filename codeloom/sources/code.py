@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .changes import template_path
@@ -23,9 +23,9 @@ CALLBACKS = frozenset("target key default_factory callback handler func function
 REGISTRARS = frozenset("register subscribe connect add_handler add_listener submit apply_async map filter partial signal atexit".split())
 
 SCHEMA = """path string, parse_error boolean,
-symbols array<struct<name:string,qualified_name:string,kind:string,signature:string,docstring:string,decorators:array<string>,start_line:int,end_line:int,param_names:array<string>,body:string,seed:string>>,
+symbols array<struct<name:string,qualified_name:string,kind:string,signature:string,docstring:string,decorators:array<string>,start_line:int,end_line:int,param_names:array<string>,body:string,seed:string,visibility:string>>,
 refs array<struct<scope:string,target_name:string,ref_type:string,scope_module:string,line:int>>,
-routes array<struct<scope:string,role:string,method:string,path:string,line:int>>"""
+routes array<struct<scope:string,role:string,method:string,path:string,line:int,framework:string,handler_name:string,handler_module:string>>"""
 
 
 def module_name(path: str) -> str:
@@ -174,16 +174,36 @@ DECLARATIONS = {
 }
 DECLARATIONS["typescript"] = [*DECLARATIONS["javascript"], ("class", rf"\b(?:interface|enum)\s+{_NAME}")]
 DECLARATIONS["tsx"] = DECLARATIONS["typescript"]
+_VALUES = frozenset("true false null undefined this".split())
 _RESERVED = frozenset("if for while switch catch return function new await typeof sizeof match else do try super with".split())
 _CALL = re.compile(rf"(?:([A-Za-z_$][\w$]*)\s*(?:\.|::)\s*)?{_NAME}\s*\(")
 _IMPORT = {
-    "javascript": re.compile(r"""import\s+(?:\{([^}]*)\}|(\w+))[^'"]*from\s*['"]([^'"]+)['"]"""),
     "java": re.compile(r"^import\s+(?:static\s+)?([\w.]+)\.(\w+);", re.M),
 }
-_IMPORT["typescript"] = _IMPORT["tsx"] = _IMPORT["javascript"]
-
-
-_SERVER = re.compile(r"""\b([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|all|head|options)\(\s*(['"`])(/[^'"`\n]*)\3\s*,""", re.I)
+_SCRIPT_IMPORT = re.compile(r"""\bimport\s+(?:type\s+)?([^'";()]+?)\s+from\s*['"]([^'"]+)['"]|\b(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*require\(\s*['"]([^'"]+)['"]\s*\)""")
+
+
+def _script_imports(source: str, module: str) -> dict[str, str]:
+    """Local name to dotted module of this project, or to a package's name. Names in braces, defaults and ``* as`` alike."""
+    out = {}
+    for m in _SCRIPT_IMPORT.finditer(source):
+        target = re.sub(r"\.\w+$", "", m[2] or m[4])
+        base = module.split(".")[:-1]
+        for part in target.split("/"):
+            base = base[:-1] if part == ".." else base if part in (".", "index") else [*base, part]
+        where = ".".join(base) if target.startswith(".") else target
+        for n in re.sub(r"[{}]", ",", m[1] or m[3]).split(","):
+            local = re.split(r"\s+as\s+|\s*:\s*", re.sub(r"^type\s+", "", n.strip()))[-1].strip()
+            if local:
+                out[local] = where
+    return out
+
+
+#: What routes are registered on, and endings of such names. Fixed values.
+ROUTERS = ("app", "router", "server", "api", "route", "routes", "web", "http")
+ROUTER_ENDS = ("router", "app", "server", "routes")
+_REGISTERED = re.compile(rf"(?<![\w$.)\]])({_NAME[1:-1]})(?:\.[\w$]+)*\.(get|post|put|patch|delete|all|options|on|route)\(", re.I)
+_TEXT = re.compile(r"""\s*(['"`])((?:\\.|(?!\1).)*)\1\s*\Z""", re.S)
 _CLIENT = re.compile(r"""\b(?:fetch|axios|http|\$http|client|api|request)(?:\.(get|post|put|patch|delete|head|request))?\s*(?:<[^>]*>)?\(\s*(['"`])((?:https?:/)?/[^'"\n]*?|\$\{[^'"\n]*?)\2""")
 _HANDED = re.compile(r"\b(?:on|once|use|addEventListener|addListener|subscribe|register|then|catch|map|filter|forEach|setTimeout|setInterval|get|post|put|patch|delete)\s*\(([^()]*)\)")
 _JSX = re.compile(r"<([A-Z][\w$]*)(?:[.\s/>])")
@@ -213,21 +233,108 @@ def _seed(body: str, language: str) -> str:
     return " ".join(m[0] for m in found if m[1] is None) or body
 
 
-def _go_routes(source: str, code: str) -> Iterator[tuple[int, str, str]]:
-    """(place, method, path) of router calls in Go; handlers of any method are ALL. A ``METHOD /path`` pattern is split."""
+def _go_routes(source: str, code: str) -> Iterator[tuple[int, dict]]:
+    """(place, route) of router calls in Go; handlers of any method are ALL. A ``METHOD /path`` pattern is split."""
+    for at, method, path, receiver, verb, opens in _go_calls(source, code):
+        handler = next((re.findall(_NAME, a)[-1] for x, y in reversed(arguments(code, opens)) if re.fullmatch(rf"{_NAME}(?:\.{_NAME})*", a := code[x:y].strip())), None)
+        yield at, {"role": "server", "method": method, "path": path, "framework": _go_framework(source, receiver, verb), "handler_name": handler, "handler_module": None}
+
+
+def _go_calls(source: str, code: str) -> Iterator[tuple[int, str, str, str, str, int]]:
+    """(place, method, path, receiver, verb, where the arguments begin)."""
     for m in _GO_ROUTE.finditer(source):
         router, verb = m[1].lower(), m[2].lower()
         if code[m.start()] == " " or not (router in GO_ROUTERS or router.endswith(GO_ROUTER_ENDS)):
             continue
         texts = [a if a is not None else b for a, b in ((m[3], m[4]), (m[5], m[6])) if a is not None or b is not None]
+        more = router, verb, source.index("(", m.end(2)) + 1
         if verb == "method":
             if len(texts) == 2:
-                yield m.start(), texts[0].upper(), texts[1]
+                yield m.start(), texts[0].upper(), texts[1], *more
         elif verb in ("handle", "handlefunc", "any"):
             named = re.fullmatch(r"([A-Z]+)\s+(/.*)", texts[0])
-            yield m.start(), named[1] if named else "ALL", named[2] if named else texts[0]
+            yield m.start(), named[1] if named else "ALL", named[2] if named else texts[0], *more
         else:
-            yield m.start(), verb.upper(), texts[0]
+            yield m.start(), verb.upper(), texts[0], *more
+
+
+def arguments(code: str, at: int) -> list[tuple[int, int]]:
+    """(start, end) of the arguments of a call whose list opens right before ``at``, cut at commas of its own level."""
+    out, depth, begin = [], 0, at
+    for i in range(at, len(code)):
+        c = code[i]
+        if depth == 0 and c in ",)":
+            if code[begin:i].strip() or c == ",":
+                out.append((begin, i))
+            begin = i + 1
+            if c == ")":
+                return out
+        depth += (c in "([{") - (c in ")]}")
+    return []
+
+
+def _closes(code: str, at: int) -> int:
+    """Where the bracket that opens right before ``at`` closes; -1 if it doesn't."""
+    depth = 0
+    for i in range(at, len(code)):
+        if depth == 0 and code[i] == ")":
+            return i
+        depth += (code[i] in "([{") - (code[i] in ")]}")
+    return -1
+
+
+def handler_of(argument: str) -> tuple[str | None, str | None]:
+    """(the name a handler is known by, the name it is imported under) of an argument with its strings blanked out.
+
+    ``show`` is itself, ``ctrl.show`` is show of ctrl, ``wrap(ctrl.show)`` what its first telling argument is, or wrap;
+    functions written in place, objects and texts are nothing.
+    """
+    a = argument.strip()
+    if re.fullmatch(rf"{_NAME}(?:\s*\??\.\s*{_NAME})*", a):
+        names = re.findall(_NAME, a)
+        return (None, None) if names[0] in _VALUES and len(names) == 1 else (names[-1], names[0])
+    call = re.match(rf"(?:await\s+)?({_NAME}(?:\.{_NAME})*)\s*\(", a)
+    if call and _closes(a, call.end()) == len(a) - 1 and call[1].split(".")[0] not in _RESERVED:
+        for begin, end in arguments(a, call.end()):
+            if (inner := handler_of(a[begin:end]))[0]:
+                return inner
+        return handler_of(call[1])
+    return None, None
+
+
+def _script_routes(source: str, code: str, imports: dict[str, str]) -> Iterator[tuple[int, dict]]:
+    """(place, route) of registrations on an app or router. ``on`` and ``route`` mount: they say no method that a client
+    could ask for."""
+    low = source.lower()
+    framework = "hono" if "hono" in low else "express" if "express" in low else None
+    for m in _REGISTERED.finditer(code):
+        receiver, verb = m[1].lower(), m[m.lastindex].lower()
+        if not (receiver in ROUTERS or receiver.endswith(ROUTER_ENDS)):
+            continue
+        given = arguments(code, m.end())
+        texts = [t[2] if (t := _TEXT.match(source[a:z])) else None for a, z in given[:2]]
+        method, path = (texts[0] or "ON", texts[1]) if verb == "on" and len(texts) > 1 else (verb, texts[0] if texts and verb != "on" else None)
+        if path is None:
+            continue
+        name, local = next((h for a, z in reversed(given) if (h := handler_of(code[a:z]))[0]), (None, None))
+        yield m.start(), {"role": "mount" if verb in ("on", "route") else "server", "method": method.upper(), "path": path, "framework": framework, "handler_name": name, "handler_module": imports.get(local)}
+
+
+def _visibility(line: str, language: str) -> str | None:
+    """What a declaration's line says about who may use it."""
+    if language == "rust":
+        m = re.match(r"\s*pub\b(\s*\()?", line)
+        return m and ("restricted" if m[1] else "pub")
+    if language in _SCRIPT:
+        return "exported" if re.match(r"\s*export\b", line) else None
+    m = re.search(r"\b(public|protected|private)\b", line.split("(")[0]) if language in ("java", "php") else None
+    return m and m[1]
+
+
+def _go_framework(source: str, receiver: str, verb: str) -> str:
+    low = source.lower()
+    known = (("gin-gonic/", "gin"), ("labstack/echo", "echo"), ("go-chi/chi", "chi"))
+    return "nethttp" if verb in ("handle", "handlefunc") or receiver in ("http", "mux") else next((name for mark, name in known if mark in low), "nethttp")
 
 
 def _java_route(text: str) -> tuple[str, str] | None:
@@ -276,28 +383,15 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
         if kind == "function" and owner and owner[2] == "class":
             kind = "method"
         marks = _annotations(lines, start)
-        symbols.append({"name": name, "qualified_name": q, "kind": kind, "signature": lines[start].strip()[:300], "docstring": None, "decorators": [m for m, _ in marks], "start_line": start + 1, "end_line": end + 1, "param_names": [], "body": "\n".join(lines[start : end + 1]), "seed": _seed("\n".join(lines[start : end + 1]), language)})
+        symbols.append({"name": name, "qualified_name": q, "kind": kind, "signature": lines[start].strip()[:300], "docstring": None, "decorators": [m for m, _ in marks], "start_line": start + 1, "end_line": end + 1, "param_names": [], "body": "\n".join(lines[start : end + 1]), "seed": _seed("\n".join(lines[start : end + 1]), language), "visibility": _visibility(lines[start], language)})
         stack.append((q, end, kind))
         above = prefix.get(owner[0], "") if owner else ""
         for _, text in marks if language == "java" else ():
             if (found_route := _java_route(text)) and kind == "class":
                 prefix[q] = found_route[1].rstrip("/")
             elif found_route:
-                routes.append({"scope": q, "role": "server", "method": found_route[0], "path": above + found_route[1], "line": start + 1})
-    imports = {}
-    for m in _IMPORT[language].finditer(source) if language in _IMPORT else ():
-        if language == "java":
-            imports[m[2]] = m[1]
-        else:
-            target = re.sub(r"\.\w+$", "", m[3])
-            base = module.split(".")[:-1]
-            for part in target.split("/"):
-                base = base[:-1] if part == ".." else base if part in (".", "index") else [*base, part]
-            where = ".".join(base) if target.startswith(".") else target
-            for n in (m[1] or m[2] or "").split(","):
-                n = n.strip().split(" as ")
-                if n[0]:
-                    imports[n[-1].strip()] = where
+                routes.append({"scope": q, "role": "server", "method": found_route[0], "path": above + found_route[1], "line": start + 1, "framework": "spring"})
+    imports = _script_imports(source, module) if language in _SCRIPT else {m[2]: m[1] for m in _IMPORT["java"].finditer(source)} if language == "java" else {}
     refs, declared = [], {f[0] for f in found}
 
     def place(at: int) -> tuple[str, int]:
@@ -312,9 +406,9 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
     for m in _CALL.finditer(code):
         if m[2] not in _RESERVED and m.start(2) not in declared:
             refer(m[2], m[1], "call", m.start(2))
-    for at, method, path in _go_routes(source, code) if language == "go" else ():
+    for at, route in _go_routes(source, code) if language == "go" else ():
         scope, line = place(at)
-        routes.append({"scope": scope, "role": "server", "method": method, "path": path, "line": line})
+        routes.append({"scope": scope, "line": line, **route})
     if language in _SCRIPT:
         symbols.append({"name": "__module__", "qualified_name": f"{module}.__module__", "kind": "module", "signature": module, "docstring": None, "decorators": [], "start_line": 1, "end_line": len(lines), "param_names": [], "body": "", "seed": "module"})
         for m in _JSX.finditer(code):
@@ -323,11 +417,11 @@ def extract_lexical(source: str, module: str, language: str) -> dict:
             for a in re.finditer(rf"(?:^|,)\s*{_NAME}\s*(?=,|$)", m[1]):
                 refer(a[1], a[1], "callback_arg", m.start(1) + a.start(1))
         served = set()
-        for m in _SERVER.finditer(source):
-            if code[m.start()] != " " and m[1].lower() not in CLIENTS | {"axios", "http", "client", "api"}:
-                served.add(m.start())
-                scope, line = place(m.start())
-                routes.append({"scope": scope, "role": "server", "method": m[2].upper(), "path": m[4], "line": line})
+        for at, route in _script_routes(source, code, imports):
+            if not (route["framework"] is None and route["handler_name"] is None and len(arguments(code, code.index("(", at) + 1)) < 2):  # one argument: a client's call
+                served.add(at)
+                scope, line = place(at)
+                routes.append({"scope": scope, "line": line, **route})
         for m in _CLIENT.finditer(source):
             path = template_path(m[3]) if code[m.start()] != " " and m.start() not in served else None
             if path:
@@ -351,21 +445,27 @@ def extract(files: DataFrame) -> DataFrame:
     s, i = pa.string(), pa.int32()
     arrow = pa.schema([
         ("path", s), ("parse_error", pa.bool_()),
-        ("symbols", struct(name=s, qualified_name=s, kind=s, signature=s, docstring=s, decorators=pa.list_(s), start_line=i, end_line=i, param_names=pa.list_(s), body=s, seed=s)),
+        ("symbols", struct(name=s, qualified_name=s, kind=s, signature=s, docstring=s, decorators=pa.list_(s), start_line=i, end_line=i, param_names=pa.list_(s), body=s, seed=s, visibility=s)),
         ("refs", struct(scope=s, target_name=s, ref_type=s, scope_module=s, line=i)),
-        ("routes", struct(scope=s, role=s, method=s, path=s, line=i)),
+        ("routes", struct(scope=s, role=s, method=s, path=s, line=i, framework=s, handler_name=s, handler_module=s)),
     ])
     return files.select("path", "language", "content").mapInArrow(run, SCHEMA.replace("\n", " "))
 
 
 def index(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(symbols, refs, routes) with stable ids: a hash of path, qualified name and start line."""
-    got = extract(files)
-    s = got.where("not parse_error").select("path", F.explode("symbols").alias("s")).select(F.col("path").alias("file_path"), "s.*")
-    s = s.dropDuplicates(["file_path", "qualified_name", "start_line"]).withColumn("symbol_id", F.xxhash64("file_path", "qualified_name", "start_line")).withColumn("body_hash", F.sha2("seed", 256)).drop("seed")
+    """(symbols, refs, routes) with stable ids: a hash of path, qualified name and start line. See ``tables``."""
+    return tables(extract(files))
+
+
+def tables(got: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(symbols, refs, routes) of extracted files. Of symbols with one name on one line the first counts."""
+    s = got.where("not parse_error").select("path", F.posexplode("symbols").alias("at", "s")).select(F.col("path").alias("file_path"), "at", "s.*")
+    first = Window.partitionBy("file_path", "qualified_name", "start_line").orderBy("at")
+    s = s.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "at")
+    s = s.withColumn("symbol_id", F.xxhash64("file_path", "qualified_name", "start_line")).withColumn("body_hash", F.sha2("seed", 256)).drop("seed")
     owner = s.groupBy("file_path", "qualified_name").agg(F.min("symbol_id").alias("src"))
     r = got.select("path", F.posexplode("refs").alias("at", "r")).select(F.col("path").alias("file_path"), "at", F.col("r.scope").alias("qualified_name"), "r.target_name", "r.ref_type", "r.scope_module", "r.line")
     r = r.join(owner, ["file_path", "qualified_name"]).withColumn("ref_id", F.xxhash64("file_path", "at", "target_name"))
-    t = got.select("path", F.explode("routes").alias("r")).select(F.col("path").alias("file_path"), F.col("r.scope").alias("qualified_name"), "r.role", "r.method", F.col("r.path").alias("route"), "r.line")
-    t = t.join(owner, ["file_path", "qualified_name"]).withColumnRenamed("src", "symbol_id")
+    t = got.select("path", F.posexplode("routes").alias("at", "r")).select(F.col("path").alias("file_path"), "at", F.col("r.scope").alias("qualified_name"), "r.role", "r.method", F.col("r.path").alias("route"), "r.line", "r.framework", "r.handler_name", "r.handler_module")
+    t = t.join(owner, ["file_path", "qualified_name"]).withColumnRenamed("src", "symbol_id").withColumn("route_id", F.xxhash64("file_path", "at", "route")).drop("at")
     return s, r, t

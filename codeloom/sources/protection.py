@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .code import _NAME, _SCRIPT, REGISTRARS, _blank, dotted, extract_lexical
+from ..functions.frameworks import ENTRY_DECORATORS
+from .code import _NAME, _SCRIPT, REGISTRARS, _blank, arguments, dotted, extract_lexical
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -32,6 +33,19 @@ def _names(node: ast.AST) -> set[str]:
     return out
 
 
+def _decorator_names(node: ast.Assign) -> set[str]:
+    """Names that an assignment binds to a framework's decorator, and, of a choice between two, both sides' own names."""
+    sides, leaves = [node.value], []
+    while sides:
+        x = sides.pop()
+        sides += [x.body, x.orelse] if isinstance(x, ast.IfExp) else []
+        if isinstance(x, (ast.Name, ast.Attribute)):
+            leaves.append((x.id if isinstance(x, ast.Name) else x.attr).lower())
+    if not any(x in ENTRY_DECORATORS for x in leaves):
+        return set()
+    return {t.id.lower() for t in node.targets if isinstance(t, ast.Name)} | (set(leaves) if isinstance(node.value, ast.IfExp) else set())
+
+
 def protected_names(source: str) -> set[tuple[str, str]]:
     try:
         tree = ast.parse(source)
@@ -45,9 +59,9 @@ def protected_names(source: str) -> set[tuple[str, str]]:
             targets = n.targets if isinstance(n, ast.Assign) else [n.target]
             if any(isinstance(t, ast.Name) and t.id == "__all__" for t in targets):
                 out |= {("export", c.value) for c in ast.walk(n.value) if isinstance(c, ast.Constant) and isinstance(c.value, str)}
-            if isinstance(n.value, (ast.Attribute, ast.Name, ast.IfExp, ast.Call)) and isinstance(targets[0], ast.Name) and re.search(r"(?i)(decorator|deco|tool|route|task|command|fixture)", ast.unparse(n.value)):
-                out.add(("alias", targets[0].id))
     for n in ast.walk(tree):
+        if isinstance(n, ast.Assign):
+            out |= {("alias", x) for x in _decorator_names(n)}
         if isinstance(n, ast.ImportFrom):
             out |= {("export", a.name) for a in n.names if a.name != "*"}
         if isinstance(n, ast.Call) and dotted(n.func).split(".")[-1] in REGISTRARS:
@@ -66,27 +80,13 @@ _REGISTERS = re.compile(rf"\.\s*(?:{'|'.join(SCRIPT_REGISTRARS)})\s*\(", re.I)
 _INNER = {language: r"\b(?:function\s*\*?|class)\s+" for language in _SCRIPT} | {"rust": r"\bfn\s+"}
 
 
-def _arguments(code: str, at: int) -> list[str]:
-    """The arguments of a call whose list opens right before ``at``, cut at commas of its own level."""
-    out, depth, begin = [], 0, at
-    for i in range(at, len(code)):
-        c = code[i]
-        if depth == 0 and c in ",)":
-            out.append(code[begin:i].strip())
-            begin = i + 1
-            if c == ")":
-                return out
-        depth += (c in "([{") - (c in ")]}")
-    return []
-
-
 def lexical_names(source: str, language: str) -> set[tuple[str, str]]:
     """registered and nested names of scripts, nested ones of Rust; other languages have none."""
     if language not in _INNER:
         return set()
     code, out = _blank(source, language), set()
     if language in _SCRIPT:
-        out |= {("registered", a) for m in _REGISTERS.finditer(code) for a in _arguments(code, m.end()) if re.fullmatch(_NAME, a)}
+        out |= {("registered", a) for m in _REGISTERS.finditer(code) for x, y in arguments(code, m.end()) if re.fullmatch(_NAME, a := code[x:y].strip())}
     lines = code.split("\n")
     found = [s for s in extract_lexical(source, "m", language)["symbols"] if s["kind"] != "module"]
     inner: dict[tuple[int, int], list[dict]] = {}

@@ -40,35 +40,26 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("_corrupt_record is null and tool_name is not null").drop("_corrupt_record")
 
 
-#: Relations of an external graph that only say where things stand. Fixed values.
-STRUCTURAL = ("contains", "defines", "declares", "has_member", "in_file")
+_GRAPH = (
+    "nodes array<struct<id:string,label:string,source_file:string,source_location:string,file_type:string,community:int,_callable:boolean,_callable_class:boolean,_origin:string>>, "
+    + ", ".join(f"{k} array<struct<source:string,target:string,relation:string,type:string,rel:string,confidence_score:double,weight:double,_origin:string>>" for k in ("links", "edges"))
+)
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of a node-link JSON; rows without id or ends are left out."""
-    schema = "nodes array<struct<id:string,label:string,source_file:string,source_location:string,file_type:string,community:int>>, links array<struct<source:string,target:string,relation:string,confidence_score:double,weight:double>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    nodes = raw.select(F.explode("nodes").alias("n")).select("n.*").where("id is not null")
-    line = F.regexp_extract("source_location", r"^L?([0-9]+)", 1).try_cast("int")
-    nodes = nodes.withColumn("line", line).withColumn("name", F.regexp_replace(F.element_at(F.split("label", r"[.:/]"), -1), r"\(.*\)$", ""))
-    links = raw.select(F.explode("links").alias("l")).select("l.*").where("source is not null and target is not null")
-    return nodes, links
-
-
-def external_nodes(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(symbol_id, id): by file and line, else by a bare name that is unique in the file. File nodes never match."""
-    real = nodes.where(F.col("line").isNotNull() & ~((F.col("line") == 1) & F.col("label").contains(".")))
-    place = real.groupBy("source_file", "line").agg(F.min("id").alias("by_place"))
-    name = real.groupBy("source_file", "name").agg(F.min("id").alias("by_name"), F.count("*").alias("n")).where("n = 1").drop("n")
-    s = symbols.join(place, (symbols.file_path == place.source_file) & (symbols.start_line == place.line), "left").drop("source_file", "line")
-    s = s.join(name.withColumnRenamed("name", "bare"), (s.file_path == name.source_file) & (s.name == F.col("bare")), "left")
-    return s.select("symbol_id", F.coalesce("by_place", "by_name").alias("id")).where("id is not null")
-
-
-def external_evidence(found: DataFrame, links: DataFrame) -> DataFrame:
-    """(symbol_id, relation, n): inbound links of other than structural relations."""
-    real = links.where(~F.col("relation").isin(*STRUCTURAL) & (F.col("source") != F.col("target")))
-    return real.join(found, real.target == found.id).groupBy("symbol_id", "relation").agg(F.count("*").alias("n"))
+    """(nodes, links) of a node-link JSON, with their places in it; rows without id, target or relation are left out.
+
+    A line is the number after the L of "L53" or "L53-L60". Links may stand under ``edges``, relations under ``type``.
+    """
+    raw = spark.read.schema(_GRAPH).option("multiLine", True).json(path)
+    nodes = raw.select(F.posexplode("nodes").alias("at", "n")).select("at", "n.*").where("id is not null")
+    line = F.regexp_extract("source_location", r"^L([0-9]+)", 1).try_cast("int")
+    called = F.coalesce("_callable", F.lit(False)) | F.coalesce("_callable_class", F.lit(False))
+    nodes = nodes.select("id", F.coalesce("label", F.lit("")).alias("label"), "source_file", line.alias("line"), called.alias("callable"), "community", F.col("_origin").alias("origin"), "at")
+    some = F.when(F.size("links") > 0, F.col("links")).otherwise(F.col("edges"))
+    links = raw.select(F.posexplode(some).alias("at", "l")).select("at", "l.*")
+    links = links.select("source", "target", F.coalesce("relation", "type", "rel").alias("relation"), "weight", F.col("_origin").alias("origin"), "at")
+    return nodes, links.where("target is not null and relation is not null")
 
 
 def covered_symbols(symbols: DataFrame, lines: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import evidence
 from codeloom.operators.resolve import resolve_refs
 from codeloom.sources import code, files, reports, spec_text
 
@@ -94,9 +95,10 @@ def test_log_and_graph(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps(graph))
     nodes, links = reports.read_graph(spark, str(tmp_path / "g.json"))
     s = spark.createDataFrame([(1, "f", "m.py", 30), (2, "top", "m.py", 1)], "symbol_id long, name string, file_path string, start_line int")
-    found = reports.external_nodes(s, nodes)
+    found = evidence.matched(s.selectExpr("*", "name as label"), nodes)
     assert [tuple(r) for r in found.collect()] == [(1, "n1")]
-    assert [tuple(r) for r in reports.external_evidence(found, links).collect()] == [(1, "calls", 1)]
+    assert [tuple(r) for r in evidence.inbound(found, links).collect()] == [(1, "calls", 1)]
+    assert {r.relation: r.n for r in evidence.relation_counts(links).collect()} == {"contains": 1, "calls": 1}
 
 
 SPEC = """## Purpose

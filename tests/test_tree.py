@@ -93,8 +93,5 @@ def test_states_and_kinds(spark):
     assert (board.specs, board.verified, board.with_endpoints, board.implemented_pct, board.avg_test_coverage) == (4, 1, 1, 75.0, 0.375)
     empty = spec_store.dashboard(states.where("false"), none, none).first()
     assert empty.specs == 0 and empty.implemented_pct == 0.0 and empty.avg_coverage is None
-    rows = [("decorator", "resource", "a.py"), ("decorator", "command,fixture", "a.py"), ("decorator", "command", "a.py"), ("file", "fresh", "i/a.tsx"), ("view", "ListView", "v.py"), ("route", "GET /", "a.ts"), ("route", "GET /", "a.go")]
-    e = spark.createDataFrame(rows, "source string, detail string, file_path string")
-    at = [F.col(c) for c in e.columns]
-    got = [tuple(r) for r in e.select(endpoints.framework_of(*at), endpoints.kind_of(*at)).collect()]
-    assert got == [(None, "resource"), (None, "fixture"), (None, "other"), ("fresh", "tool"), ("django", "tool"), ("hono", "tool"), (None, "other")]
+    e = spark.createDataFrame([(None, "resource"), (None, "command,fixture"), (None, "command"), ("fresh", "fresh"), ("gin", "GET /")], "framework string, detail string")
+    assert [r[0] for r in e.select(endpoints.kind_of(F.col("framework"), F.col("detail"))).collect()] == ["resource", "fixture", "other", "tool", "tool"]
