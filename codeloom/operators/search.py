@@ -4,25 +4,94 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import MARKED, PLAIN, terms
 from ..staging import stage
 
 K1, B = 1.2, 0.75
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, length) of chunks (chunk_id, text)."""
-    t = chunks.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return t.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """(term, chunk_id, tf, length, places) of chunks (chunk_id, text); places: where the term stands, counted in terms."""
+    t = chunks.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("length"), F.posexplode("t").alias("at", "term"))
+    return t.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("at")).alias("places"))
+
+
+def lengths(chunks: DataFrame) -> DataFrame:
+    """(n, total): how many chunks there are, those without a term among them, and their terms. One row, kept with the
+    postings, so that a search reads no more than its own terms."""
+    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(terms(F.coalesce("text", F.lit(""))))), F.lit(0)).alias("total"))
+
+
+@dataclass(frozen=True)
+class Query:
+    """phrases must all be met, and one of the words if there are any. Terms are folded as the index folds them."""
+
+    phrases: tuple[tuple[str, ...], ...]
+    words: tuple[str, ...]
+
+    @property
+    def mode(self) -> str:
+        return "mixed" if self.phrases and self.words else "phrase" if self.phrases else "tokens"
+
+    @property
+    def terms(self) -> list[str]:
+        return sorted({*self.words, *(t for p in self.phrases for t in p)})
+
+
+def _folded(text: str) -> list[str]:
+    """Words of letters and digits alone, split at _ - and dots; words with other signs in them are left out."""
+    split = [p for w in text.replace('"', "").replace("*", "").split() for p in re.split(r"[_.\-]+", w)]
+    return [p.lower().translate(str.maketrans(MARKED, PLAIN)) for p in split if p.isalnum()]
+
+
+def parse_query(text: str) -> Query:
+    """Quoted parts are phrases, the rest are words."""
+    phrases = [tuple(_folded(p)) for p in re.findall(r'"([^"]+)"', text)]
+    return Query(tuple(p for p in dict.fromkeys(phrases) if p), tuple(dict.fromkeys(_folded(re.sub(r'"[^"]+"', " ", text)))))
+
+
+def query_hits(index: DataFrame, query: Query) -> DataFrame:
+    """(chunk_id, length, unit, tf) of the query's units, phrases first, from ``postings``.
+
+    A phrase stands at p if its i-th term stands at p + i for all i: places less i, counted per chunk and start. Only the
+    postings of the query's own terms are read.
+    """
+    own = index.where(F.col("term").isin(*query.terms))
+    parts = [own.where(F.col("term").isin(*query.words)).select("chunk_id", "length", F.concat(F.lit("w:"), "term").alias("unit"), "tf")] if query.words else []
+    for n, phrase in enumerate(query.phrases):
+        offsets = F.create_map(*(F.lit(x) for t in dict.fromkeys(phrase) for x in (t, [i for i, u in enumerate(phrase) if u == t])))
+        starts = own.where(F.col("term").isin(*phrase)).select("chunk_id", "length", "places", F.explode(F.element_at(offsets, F.col("term"))).alias("i"))
+        starts = starts.select("chunk_id", "length", "i", F.explode("places").alias("p")).groupBy("chunk_id", "length", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("met"))
+        full = starts.where(F.col("met") == len(phrase)).groupBy("chunk_id", "length").agg(F.count("*").alias("tf"))
+        parts.append(full.select("chunk_id", "length", F.lit(f"p:{n}").alias("unit"), "tf"))
+    return reduce(DataFrame.union, parts)
+
+
+def search_index(index: DataFrame, n: int, total: int, query: Query) -> DataFrame:
+    """(chunk_id, score) of what meets the query; phrases count as one term each. n, total: of ``lengths``."""
+    if not query.terms:
+        return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    hits = query_hits(index, query)
+    df = F.broadcast(hits.groupBy("unit").agg(F.count("*").alias("df")))  # a row per unit of the query
+    score = _weight(n, total / n if n and total else 1.0)
+    out = hits.join(df, "unit").groupBy("chunk_id").agg(F.sum(score).alias("score"), F.sum(F.col("unit").startswith("p:").cast("int")).alias("phrases"), F.sum(F.col("unit").startswith("w:").cast("int")).alias("words"))
+    return out.where((F.col("phrases") == len(query.phrases)) & ((F.col("words") > 0) if query.words else F.lit(True))).select("chunk_id", "score")
+
+
+def _weight(n: int, mean: float):
+    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
 
 
 def bm25(chunks: DataFrame, query: list[str], any_term: bool = True) -> DataFrame:
     """(chunk_id, score) of chunks that hold the terms (any, or all). Only the query's postings are kept."""
-    sized = chunks.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("length"), F.filter("t", lambda x: x.isin(*query)).alias("t"))
+    sized = chunks.select("chunk_id", terms(F.coalesce("text", F.lit(""))).alias("t")).select("chunk_id", F.size("t").alias("length"), F.filter("t", lambda x: x.isin(*query)).alias("t"))
     sized = stage(sized, "sized")  # every text is cut into terms once; what is kept of it is small
     n, mean = sized.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
     hits = sized.select("chunk_id", "length", F.explode("t").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
@@ -36,9 +105,7 @@ def bm25_indexed(index: DataFrame, n: int, mean: float, query: list[str], any_te
 
 def _scored(hits: DataFrame, n: int, mean: float, query: list[str], any_term: bool) -> DataFrame:
     df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row per term of the query
-    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    out = hits.join(df, "term").groupBy("chunk_id").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("found"))
+    out = hits.join(df, "term").groupBy("chunk_id").agg(F.sum(_weight(n, mean or 1.0)).alias("score"), F.count("*").alias("found"))
     return out.select("chunk_id", "score") if any_term else out.where(F.col("found") == len(set(query))).select("chunk_id", "score")
 
 
@@ -142,12 +209,13 @@ def upsert_chunks(old: DataFrame, new: DataFrame, source: str = "symbol_id") ->
     return old.join(moved, source, "left_anti").unionByName(new.join(moved, source, "left_semi"))
 
 
-def snippet(text, query: list[str], most: int = 160):
-    """The part of a text around the first of the query's terms in it; its head if it holds none."""
-    low = F.lower(text)
-    places = F.filter(F.array(*(F.instr(low, q) for q in query)), lambda i: i > 0)
-    first = F.coalesce(F.array_min(places), F.lit(1))
-    return F.trim(F.substring(text, F.greatest(F.lit(1), first - most // 4), F.lit(most)))
+#: Characters of a hit that are shown.
+SHOWN = 240
+
+
+def snippet(text):
+    """The head of a chunk: its header says what it is."""
+    return F.substring(text, 1, SHOWN)
 
 
 def pack_chunks(texts: DataFrame, budget: int = 800) -> DataFrame:

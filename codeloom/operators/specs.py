@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import generic_tokens, gram_hashes, id_prefix, structural_hash, winnow
+from ..sources.syntax import code_tokens
 
 
 def page(df: DataFrame, order: list, cursor: int = 0, limit: int = 200) -> DataFrame:
@@ -36,8 +37,8 @@ def findings(rows: DataFrame, sample: int = 5) -> DataFrame:
 
 
 def fingerprints(bodies: DataFrame) -> DataFrame:
-    """(id, structural_hash, n_tokens, marks) of bodies (id, body)."""
-    t = bodies.select("id", generic_tokens(F.col("body")).alias("t"))
+    """(id, structural_hash, n_tokens, marks) of bodies (id, body), by their syntax if they have a language, else by words."""
+    t = code_tokens(bodies).withColumnRenamed("tokens", "t") if "language" in bodies.columns else bodies.select("id", generic_tokens(F.col("body")).alias("t"))
     return t.select("id", structural_hash(F.col("t")).alias("structural_hash"), F.size("t").alias("n_tokens"), winnow(gram_hashes(F.col("t"))).alias("marks"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,3 +219,45 @@ def duplicate_ids(specs: DataFrame) -> DataFrame:
     """(key, n, spec_ids): spec ids that differ only in case and separators."""
     key = F.regexp_replace(F.lower("spec_id"), "[^a-z0-9]+", "")
     return specs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("spec_id")), ",").alias("spec_ids")).where("n > 1")
+
+
+def alike_names(names: DataFrame, wanted: str, least: float = 0.55) -> DataFrame:
+    """(name, ratio) of distinct names (name) alike ``wanted``: twice the matching blocks by both lengths, ``least`` or more.
+
+    A ratio of r needs lengths and common letters that allow it, so few names are compared in full: lengths are held
+    against r in the scan, letters before blocks in one Arrow pass. No name is left out by a guess.
+    """
+    n = len(wanted)
+    able = names.select("name").where(2.0 * F.least(F.length("name"), F.lit(n)) >= least * (F.length("name") + n)).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from difflib import SequenceMatcher
+
+        match = SequenceMatcher()
+        match.set_seq2(wanted)
+        for b in batches:
+            rows = []
+            for name in b.column(0).to_pylist():
+                match.set_seq1(name)
+                if match.quick_ratio() >= least and (r := match.ratio()) >= least:
+                    rows.append((name, r))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["name", "ratio"])
+
+    return able.mapInArrow(run, "name string, ratio double")
+
+
+def did_you_mean(symbols: DataFrame, wanted: str, limit: int = 3) -> DataFrame:
+    """(qualified_name, kind, file_path, nth): symbols that hold the last part of ``wanted`` in a name, shortest first; then
+    those whose name is alike, the 2 * ``limit`` nearest names by ratio."""
+    short = wanted.rsplit(".", 1)[-1]
+    low = short.lower()
+    s = symbols.groupBy("qualified_name").agg(F.min(F.struct("file_path", "start_line", "kind", "name")).alias("f")).select("qualified_name", "f.kind", "f.file_path", "f.name")
+    holds = F.contains(F.lower("name"), F.lit(low)) | F.contains(F.lower("qualified_name"), F.lit(low))
+    first = s.where(holds).select("qualified_name", "kind", "file_path", F.lit(0).alias("pass"), F.lit(0.0).alias("miss"), F.lit("").alias("name")).orderBy(F.length("qualified_name"), "qualified_name").limit(limit)
+    near = alike_names(symbols, short).orderBy(F.desc("ratio"), F.desc("name")).limit(2 * limit)
+    # a name that very many symbols share: the first few of them are all that can be shown
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("qualified_name"))
+    alike = s.join(F.broadcast(near), "name").where(~holds).withColumn("n", nth).where(F.col("n") <= limit)
+    every = first.union(alike.select("qualified_name", "kind", "file_path", F.lit(1), -F.col("ratio"), "name"))
+    order = Window.orderBy("pass", "miss", F.desc("name"), F.length("qualified_name"), "qualified_name")  # at most limit + 2 * limit * limit rows
+    return every.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).select("qualified_name", "kind", "file_path", "nth")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import subprocess
 
@@ -55,25 +54,6 @@ def template_path(raw: str, most: int = 2000) -> str | None:
     return text if text.startswith("/") or re.match(r"[a-z]+://", text) else None
 
 
-def did_you_mean(wanted: str, names: list[str], limit: int = 5, least: float = 0.55) -> list[str]:
-    """Names that hold ``wanted``, shortest first, then names alike. names: a bounded list of candidates."""
-    low = wanted.lower()
-    near = sorted((n for n in names if low in n.lower()), key=lambda n: (len(n), n))[:limit]
-    short = {}
-    for n in names:
-        short.setdefault(n.rsplit(".", 1)[-1].lower(), n)
-    more = [short[m] for m in difflib.get_close_matches(low.rsplit(".", 1)[-1], list(short), 2 * limit, least)]
-    return list(dict.fromkeys(near + more))[:limit]
-
-
-def query_terms(query: str) -> tuple[list[str], list[str]]:
-    """(phrases, terms) of a search text: quoted parts stay together, others split at _ - . and must be plain."""
-    phrases = [p for p in re.findall(r'"([^"]+)"', query) if p.strip()]
-    rest = re.sub(r'"[^"]*"', " ", query)
-    terms = [t.lower() for w in rest.split() for t in re.split(r"[_\-.]", w) if t.isalnum()]
-    return phrases, terms
-
-
 def payload_warning(count: int, limit: int, item_bytes: int = 400, most: int = 500 * 1024) -> str | None:
     """A hint if a page would be large or cut."""
     if count * item_bytes > most:

@@ -469,3 +469,30 @@ def tables(got: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = got.select("path", F.posexplode("routes").alias("at", "r")).select(F.col("path").alias("file_path"), "at", F.col("r.scope").alias("qualified_name"), "r.role", "r.method", F.col("r.path").alias("route"), "r.line", "r.framework", "r.handler_name", "r.handler_module")
     t = t.join(owner, ["file_path", "qualified_name"]).withColumnRenamed("src", "symbol_id").withColumn("route_id", F.xxhash64("file_path", "at", "route")).drop("at")
     return s, r, t
+
+
+#: Names of files that stand for their folder. Fixed values.
+INDEX_FILES = ("index.ts", "index.js", "index.tsx", "index.jsx", "index.mjs")
+
+
+def only_passes_on(source: str) -> bool:
+    """A script without a statement of its own: nothing, or names of other files handed on. Statements are told apart on the
+    source with comments and texts blanked out: each begins with ``export``, then names in braces or a star."""
+    code = re.sub(r"[{][^{}]*[}]", "{}", _blank(source, "javascript"))
+    for statement in re.split(r";|\n(?=\s*\S+)", code):
+        words = statement.split()
+        if words and not (words[0].startswith("export") and "".join(words)[6:].startswith(("{}", "*", "type{}")) and "=" not in statement):
+            return False
+    return True
+
+
+def marker_files(files: DataFrame) -> DataFrame:
+    """(path) of index scripts that hold nothing of their own. files: path, content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = [p for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if only_passes_on(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.string())], names=["path"])
+
+    named = files.where(F.element_at(F.split("path", "/"), -1).isin(*INDEX_FILES))
+    return named.select("path", "content").mapInArrow(run, "path string")

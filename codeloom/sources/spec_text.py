@@ -109,13 +109,19 @@ def _claim(line: str) -> tuple[str, list[str], float] | None:
     return verb, front.replace(",", " ").split(), sure
 
 
-def _mentions(text: str) -> Iterator[tuple[str, str]]:
-    """(verb, word after it) wherever prose uses a verb of a relation that nothing just before it denies."""
-    words = text.split()
-    plain = [w.strip(".,;:!?()[]\"'`").lower() for w in words]
-    for i, verb in enumerate(plain[:-1]):
-        if verb in RELATIONS and verb not in ("spec", "see") and not any(w in DENIALS for w in plain[max(0, i - 2) : i]):
-            yield verb, words[i + 1].strip(".,;:!?()[]\"'`")
+_MARKS = ".,;:!?()[]\"'`"
+
+
+def _mentions(text: str, window: int = 12) -> Iterator[tuple[str, str]]:
+    """(verb, word after it) wherever prose uses a verb of a relation that no word within ``window`` characters before it
+    denies."""
+    words = list(re.finditer(r"\S+", text))
+    for m, following in zip(words, words[1:], strict=False):
+        verb = m[0].strip(_MARKS).lower()
+        if verb in RELATIONS and verb not in ("spec", "see"):
+            before = re.split(r"[^\w']+", text[max(0, m.start() - window) : m.start()].lower())
+            if not any(w in DENIALS for w in before):
+                yield verb, following[0].strip(_MARKS)
 
 
 def annotations(text: str | None, known: dict[str, str]) -> list[dict]:

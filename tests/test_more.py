@@ -55,5 +55,4 @@ def test_types_and_freshness(spark):
 
 
 def test_small():
-    assert changes.query_terms('"user login" get_by-id x*y') == (["user login"], ["get", "by", "id"])
     assert changes.payload_warning(10, 200) is None and "KiB" in changes.payload_warning(5000, 200) and "holds" in changes.payload_warning(300, 200)

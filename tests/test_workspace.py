@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import frameworks, paths
 from codeloom.operators import graph, search, spec_store, views
-from codeloom.sources import changes
+from codeloom.sources import changes, code
 from codeloom.workspace import Workspace
 
 FILES = {
@@ -109,7 +109,6 @@ def test_small_parsers():
     assert changes.redact({"api_key": "x", "p": ["/root/w/a", {"Token": 1}]}, "/root/w") == {"api_key": "***", "p": ["./a", {"Token": "***"}]}
     assert changes.template_path("${base}/flights/v2") == "/flights/v2" and changes.template_path("${url}/list/${a}/${b}") == "/list/{}/{}"
     assert changes.template_path('${url}/list/${p.a ? `${p.a}/` : ""}${p.b ? `${p.b}` : ""}') == "/list/{}/{}" and changes.template_path("not-a-url") is None
-    assert changes.did_you_mean("verfy", ["a.verify", "b.other"]) == ["a.verify"] and changes.did_you_mean("oth", ["a.verify", "b.other"]) == ["b.other"]
 
 
 def test_pages_and_orientation(ws):
@@ -162,10 +161,10 @@ def test_writing_tools(ws, spark):
 
 
 def test_text_predicates(spark):
-    rows = [("index.ts", "// x\nexport { a } from './a';\nexport * from \"./b\";\n", True, False), ("index.ts", "export const a = 1", False, False), ("a.py", "c = TestClient(app)", True, True), ("index.js", None, True, False)]
-    df = spark.createDataFrame(rows, "path string, text string, emptyish boolean, harness boolean")
-    got = df.select("emptyish", paths.is_emptyish_index(F.col("path"), F.col("text")).alias("e"), "harness", paths.has_harness(F.col("text")).alias("h")).collect()
-    assert all(r.emptyish == r.e and r.harness == r.h for r in got)
+    rows = [("index.ts", "// x\nexport { a } from './a';\nexport * from \"./b\";\n", True), ("w/index.ts", "export const a = 1", False), ("w/index.jsx", "export {\n  a,\n  b\n} from './c'\nexport * as d from './d'", True), ("v/index.js", None, True), ("u/index.js", "export * from './a'\nrun()", False), ("a.ts", "", False)]
+    df = spark.createDataFrame(rows, "path string, content string, only boolean")
+    assert {r.path for r in code.marker_files(df).collect()} == {r[0] for r in rows if r[2]}
+    assert df.select(paths.has_harness(F.lit("c = TestClient(app)"))).first()[0] and not df.select(paths.has_harness(F.lit(None).cast("string"))).first()[0]
     assert [search.grep_mode(p) for p in ("a+", "(a+)+", "x" * 201, "(", "(ab)+")] == ["regex", "literal", "literal", "literal", "regex"]
     files = spark.createDataFrame([("a.py", "from x import Alpha, beta\nimport os\nuse y::Gamma;\nGhost()")], "path string, content string")
     assert {r.name for r in views.imported_names(files).collect()} == {"Alpha", "Gamma"}
