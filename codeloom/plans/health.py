@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analysis, evidence, handlers, indexing, liveness, resolve
+from ..operators import analysis, coverage, evidence, handlers, indexing, liveness, resolve
 from . import proxy
-from .proxy import FEW, SYM, TIGHT
+from .proxy import LINK, SYM
 from .registry import _THIN, ORACLES, _refs, query
 
 _BRAND = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
@@ -117,3 +117,21 @@ def orphan_tests_reasons(spark, d):
     hidden = s.join(path(5).withColumnRenamed("path", "file_path"), "file_path", "left_anti")
     found = analysis.orphan_tests(hidden, e, harness=path(10), include_harness=True)
     return found.select("symbol_id", "reason", "confidence")
+
+
+@query(f"""WITH RECURSIVE {_THIN}, lines AS (SELECT DISTINCT concat('src/brand', event_id % 25 + 1, '.py') AS path, user_id * 7 + 1 AS line FROM events WHERE event_type = 'error'),
+r(node, depth) AS (SELECT symbol_id, 0 FROM sym WHERE file_path LIKE 'tests/%' UNION SELECT tight.dst, r.depth + 1 FROM r JOIN tight ON tight.src = r.node WHERE r.depth < 3),
+l AS (SELECT DISTINCT spec, symbol_id, CASE WHEN relation = 'tests' AND spec % 3 = 0 THEN 'references' ELSE relation END AS relation FROM link), own AS (SELECT DISTINCT spec, symbol_id FROM l WHERE relation = 'implements'), says AS (SELECT DISTINCT spec, symbol_id FROM l WHERE relation = 'tests'),
+harness AS (SELECT DISTINCT spec FROM says JOIN sym USING (symbol_id) WHERE file_path LIKE 'tests/%'), hit AS (SELECT DISTINCT symbol_id FROM sym JOIN lines ON path = file_path AND line BETWEEN start_line AND end_line),
+v AS (SELECT own.spec, own.symbol_id IN (SELECT node FROM r) AS d, says.spec IS NOT NULL OR own.spec IN (SELECT spec FROM harness) AS e, own.symbol_id IN (SELECT symbol_id FROM hit) AS p FROM own LEFT JOIN says USING (spec, symbol_id)),
+n AS (SELECT spec, count(*) AS n, sum((d OR e OR p)::INT)::BIGINT AS k, bool_or(d) AS d, bool_or(e) AS e, bool_or(p) AS p FROM v GROUP BY spec)
+SELECT s.spec AS spec_id, coalesce(n, 0) AS n_implementing, coalesce(k, 0) AS n_verified, CASE WHEN n > 0 THEN round(k / n, 4) ELSE 0.0 END::DOUBLE AS ratio,
+CASE WHEN p THEN concat(CASE WHEN d THEN 'derived+' ELSE '' END, CASE WHEN e THEN 'explicit+' ELSE '' END, 'report') WHEN d AND e THEN 'both' WHEN d THEN 'derived' WHEN e THEN 'explicit' ELSE 'none' END AS source, coalesce(n - k, 0) AS n_uncovered
+FROM (SELECT DISTINCT spec FROM link) s LEFT JOIN n USING (spec)""")
+def spec_coverage_sources(spark, d):
+    """Coverage of suppliers as specs by calls, links and the lines of a report."""
+    links = proxy.links(spark, d).withColumnRenamed("spec", "spec_id")
+    links = links.withColumn("relation", F.when((F.col("relation") == "tests") & (F.col("spec_id") % 3 == 0), "references").otherwise(F.col("relation")))
+    e = proxy.table(spark, d, "events").where("event_type = 'error'")
+    lines = e.select(F.concat(F.lit("src/brand"), F.col("event_id") % 25 + 1, F.lit(".py")).alias("path"), (F.col("user_id") * 7 + 1).alias("line"))
+    return coverage.spec_test_coverage(links, proxy.symbols(spark, d), proxy.tight_edges(spark, d), lines).drop("uncovered")

@@ -62,7 +62,20 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, links.where("target is not null and relation is not null")
 
 
-def covered_symbols(symbols: DataFrame, lines: DataFrame) -> DataFrame:
-    """Symbols with a covered line inside."""
-    met = (symbols.file_path == lines.path) & lines.line.between(symbols.start_line, symbols.end_line)
-    return symbols.join(lines, met, "left_semi")
+#: Reports that a workspace may have, below its folder of coverage. Fixed values.
+REPORTS = ("coverage-final.json", "lcov.info")
+
+
+def read_coverage(spark: SparkSession, root: str) -> DataFrame | None:
+    """(path, line) covered by the reports below ``root``/coverage, paths relative to the root; None without a report."""
+    found = None
+    for name, read in zip(REPORTS, (read_istanbul, read_lcov), strict=True):
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/coverage/{name}")
+        if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            lines = read(spark, f"{root}/coverage/{name}")
+            found = lines if found is None else found.union(lines)
+    if found is None:
+        return None
+    base = root.rstrip("/") + "/"
+    path = F.when(F.col("path").startswith(base), F.substring("path", len(base) + 1, 100_000)).otherwise(F.regexp_replace("path", r"^\./", ""))
+    return found.select(path.alias("path"), "line").distinct()
