@@ -87,6 +87,40 @@ def apply_change(specs: DataFrame, links: DataFrame, deltas: DataFrame) -> tuple
     return out.select(specs.columns), l2.withColumn("nth", F.row_number().over(one)).where("nth = 1").select(links.columns)
 
 
+def change_scenarios(scenarios: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Scenarios (spec_id, name, body) after a change: a spec that is added or modified gets those of its last delta beside
+    those it had under other names; a renamed one takes its scenarios along, where the new one has none of that name."""
+    last = Window.partitionBy("spec_id").orderBy(F.desc("ordinal"))
+    d = deltas.where("operation <> 'removed'").withColumn("nth", F.row_number().over(last)).where("nth = 1")
+    new = d.select("spec_id", F.explode("scenarios").alias("s")).select("spec_id", "s.name", "s.body").dropDuplicates(["spec_id", "name"])
+    moved = deltas.where("operation = 'renamed' and rename_from is not null and rename_from <> spec_id").groupBy(F.col("rename_from").alias("old")).agg(F.max_by("spec_id", "ordinal").alias("to"))
+    kept = scenarios.join(moved, scenarios.spec_id == moved.old, "left").withColumn("own", F.col("old").isNull()).withColumn("spec_id", F.coalesce("to", "spec_id"))
+    one = Window.partitionBy("spec_id", "name").orderBy(F.desc("own"), "old")
+    kept = kept.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("spec_id", "name", "body")
+    return merge(kept, new, "spec_id", "name")
+
+
+#: What a package may become. A package that is applied stays so when its folder is read again; an archive is final.
+STATES = ("proposed", "applied", "archived")
+
+
+def merge_packages(known: DataFrame, read: DataFrame) -> DataFrame:
+    """Packages (folder, change, status, ...) after reading a tree: texts as they are now, the later of both states, packages
+    whose folder is gone left out."""
+    order = F.array(*map(F.lit, STATES))
+    was = known.select("folder", F.col("status").alias("was"))
+    later = F.element_at(order, F.greatest(F.array_position(order, F.col("status")), F.coalesce(F.array_position(order, F.col("was")), F.lit(1))).cast("int"))
+    return read.join(was, "folder", "left").withColumn("status", later).select(read.columns)
+
+
+def package_list(packages: DataFrame, deltas: DataFrame, status: str | None = None) -> DataFrame:
+    """(change, folder, status, n_deltas, and how many of each operation), active ones first."""
+    per = deltas.groupBy("folder").agg(F.count("*").alias("n_deltas"), *(F.sum((F.col("operation") == o).cast("long")).alias(o) for o in ("added", "modified", "removed", "renamed")))
+    p = packages if status is None else packages.where(F.col("status") == status)
+    counts = ("n_deltas", "added", "modified", "removed", "renamed")
+    return p.join(per, "folder", "left").select("change", "folder", "status", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts)).orderBy(F.array_position(F.array(*map(F.lit, STATES)), F.col("status")), "change", "folder")
+
+
 def validate(specs: DataFrame, scenarios: DataFrame, strict: bool = False, sample: int = 10) -> DataFrame:
     """(issue, severity, n, examples, project_level) of the specs that aren't deprecated."""
     s = specs.where("status <> 'deprecated'").join(scenarios.groupBy("spec_id").agg(F.count("*").alias("n_scenarios")), "spec_id", "left")

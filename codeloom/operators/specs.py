@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import generic_tokens, gram_hashes, id_prefix, structural_hash, winnow
 from ..sources.syntax import code_tokens
+from ..staging import stage
 
 
 def page(df: DataFrame, order: list, cursor: int = 0, limit: int = 200) -> DataFrame:
@@ -43,7 +44,8 @@ def fingerprints(bodies: DataFrame) -> DataFrame:
 
 
 def same_structure(prints: DataFrame) -> DataFrame:
-    """Members of groups with one structural hash and more than one member."""
+    """Members of groups with one structural hash and more than one member. The prints are made once, then counted and joined."""
+    prints = stage(prints, "prints")
     n = prints.groupBy("structural_hash").agg(F.count("*").alias("n")).where("n > 1")
     return prints.join(n, "structural_hash").select(*prints.columns, "n")
 

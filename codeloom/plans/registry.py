@@ -267,7 +267,7 @@ def _prints(spark, d):
 h AS (SELECT id, substr(sha256(array_to_string(t, ' ')), 1, 32) AS structural_hash, CAST(len(t) AS INTEGER) AS n_tokens FROM t), g AS (SELECT *, count(*) OVER (PARTITION BY structural_hash) AS n FROM h)
 SELECT id, structural_hash, n_tokens, n FROM g WHERE n > 1""" % ", ".join(repr(w) for w in __import__("codeloom.functions.text", fromlist=["KEYWORDS"]).KEYWORDS))
 def dup_structural(spark, d):
-    return specs.same_structure(_prints(spark, d)).select("id", "structural_hash", "n_tokens", "n")
+    return specs.same_structure(_prints(spark, d).drop("marks")).select("id", "structural_hash", "n_tokens", "n")
 
 
 _MARKS = """t AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\\sA-Za-z0-9_])', 1), lambda x: CASE WHEN x IN (%s) THEN x WHEN regexp_matches(x, '^[A-Za-z_]') THEN 'ID' WHEN regexp_matches(x, '^[0-9]+$') THEN 'NUM' ELSE x END) AS t FROM documents),

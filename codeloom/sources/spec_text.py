@@ -190,12 +190,14 @@ def read_changes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(packages, deltas) of a spec tree's markdown (path, content, capability).
 
     packages: folder, change, status, proposal, design, tasks (null without that file). deltas: folder, change, ordinal
-    and the requirement; one outside a delta section counts as added. A package lies in ``changes/<name>`` (proposed), in
+    and the requirement, rename_from as an id; one outside a delta section counts as added. A package lies in ``changes/<name>`` (proposed), in
     ``changes/archive/<name>`` or in ``archive/<name>`` (archived); a folder without markdown is none.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    from ..functions.text import slug as as_slug
+
     folder = F.regexp_extract("path", "^((?:changes/)?archive/[^/]+|changes/(?!archive/)[^/]+)/", 1)
     f = files.withColumn("folder", folder).where("folder <> ''")
     rest = F.expr("substring(path, length(folder) + 2)")
@@ -206,7 +208,10 @@ def read_changes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = F.when(F.col("capability") != "specs", F.col("capability"))
     rows = parsed(f.where(rest.startswith("specs/")).withColumn("capability", own)).withColumn("folder", folder)
     nth = F.row_number().over(Window.partitionBy("folder").orderBy("path", "at"))
-    deltas = rows.select("folder", change.alias("change"), nth.alias("ordinal"), "path", "capability", "spec_id", "title", F.coalesce("operation", F.lit("added")).alias("operation"), "rename_from", "description", "scenarios")
+    # the source of a rename is told by its title; its id follows as any requirement's does
+    part = lambda c: F.nullif(as_slug(F.col(c)), F.lit(""))
+    source = F.when(F.col("rename_from").isNotNull(), F.concat_ws("-", part("capability"), part("rename_from")))
+    deltas = rows.select("folder", change.alias("change"), nth.alias("ordinal"), "path", "capability", "spec_id", "title", F.coalesce("operation", F.lit("added")).alias("operation"), source.alias("rename_from"), "description", "scenarios")
     return packages, deltas
 
 

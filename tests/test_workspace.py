@@ -36,6 +36,9 @@ def test_read_tools(ws):
     assert names(ws.who_does_this_call("handle", 2)) == {"pkg.auth.login", "pkg.auth.verify"}
     assert names(ws.find_symbol("LOGIN")) == {"pkg.auth.login", "tests.test_auth.test_login"}
     assert ws.resolve_location("pkg/api.py", 6).first().qualified_name == "pkg.api.Api.handle"
+    assert ws.resolve_location("./api.py", 6).first().qualified_name == "pkg.api.Api.handle" and ws.resolve_location("none.py", 6).first() is None
+    assert {r.qualified_name for r in ws.symbol_page("verfy").summary.collect()} == {"pkg.auth.verify"} and ws.symbol_page("verify").count == 1
+    assert ws.search('"def verify"').count() == 1 and ws.search('"verify def"').count() == 0
     assert {r.qualified_name for r in ws.find_dead_code().where("reason is null").collect()} >= {"pkg.api.unused"}
     assert names(ws.find_orphan_tests()) == {"tests.test_auth.test_nothing"}
     assert {(r.qualified_name, r.source) for r in ws.find_endpoints().collect()} == {("pkg.api.users", "decorator"), ("pkg.api.Api", "view")}
