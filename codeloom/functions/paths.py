@@ -119,7 +119,7 @@ def is_fixture_only(path: Column) -> Column:
 
 
 def is_runnable_test(path: Column) -> Column:
-    """A test file by its name, outside fixture and data folders."""
+    """A test file by its name, outside fixture and data folders. The name parts and folders are fixed values."""
     base, p = F.element_at(F.split(path, "/"), -1), F.concat(F.lit("/"), path)
     data = p.contains("/fixtures/") | path.contains("/__fixtures__/") | path.contains("/data/")
     named = (base.startswith("test_") & base.contains(".")) | base.contains("_test.") | base.startswith("test.") | base.contains(".test.")

@@ -24,9 +24,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(fold(text), "[^a-z0-9ß]+", " "), " "), lambda t: t != "")
 
 
+#: What the generic tokeniser takes for a token: a name, a number, or one other sign. Fixed value.
+TOKEN = "([A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\\sA-Za-z0-9_])"
+
+
 def generic_tokens(source: Column) -> Column:
     """Keywords and punctuation as they are, other names as ID, numbers as NUM."""
-    raw = F.regexp_extract_all(source, F.lit("([A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\\sA-Za-z0-9_])"), F.lit(1))
+    raw = F.regexp_extract_all(source, F.lit(TOKEN), F.lit(1))
     return F.transform(raw, lambda t: F.when(t.isin(*KEYWORDS), t).when(t.rlike("^[A-Za-z_]"), "ID").when(t.rlike("^[0-9]+$"), "NUM").otherwise(t))
 
 

@@ -9,7 +9,12 @@ from . import proxy
 from .proxy import LINK, SYM
 from .registry import _THIN, ORACLES, _refs, query
 
-_BRAND = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+
+
+def _brand():
+    return F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+
+
 _MARKS = {1: "core.Component", 2: "Injectable", 3: "RestController", 4: "NgModule"}
 _CLASSES = """part2 AS (SELECT *, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS b FROM part), class AS (SELECT DISTINCT b, p_size, concat('brand', b, '.C', p_size) AS q FROM part2),
 called AS (SELECT DISTINCT concat('brand', b, '.C', p_size) AS q FROM lineitem JOIN part2 ON p_partkey = l_partkey WHERE l_quantity = 50 AND l_discount >= 0.09)"""
@@ -17,7 +22,7 @@ called AS (SELECT DISTINCT concat('brand', b, '.C', p_size) AS q FROM lineitem J
 
 def _members(spark, d):
     """Parts as methods of a class for each brand and size; some classes are decorated, some are called."""
-    p = proxy.table(spark, d, "part").withColumn("b", _BRAND).withColumn("owner", F.concat(F.lit("brand"), "b", F.lit(".C"), "p_size"))
+    p = proxy.table(spark, d, "part").withColumn("b", _brand()).withColumn("owner", F.concat(F.lit("brand"), "b", F.lit(".C"), "p_size"))
     name = F.when(F.col("p_partkey") % 3 == 0, "ngOnInit").otherwise(F.translate("p_name", " ", "_"))
     methods = p.select(F.col("p_partkey").alias("symbol_id"), name.alias("name"), F.concat("owner", F.lit("."), name).alias("qualified_name"), F.lit("method").alias("kind"), F.lit(None).cast("array<string>").alias("decorators"))
     mark = F.element_at(F.create_map(*(F.lit(x) for kv in _MARKS.items() for x in kv)), F.col("b") % 7)
@@ -62,7 +67,7 @@ c AS (SELECT route_id, 0 AS rank, f1.spot[1] AS line, f1.spot[2] AS id FROM t JO
 SELECT route_id, symbol_id, ['import', 'default_export', 'first_function', 'module', 'same_file', 'by_name', 'enclosing_scope'][rank + 1] AS resolution FROM (SELECT route_id, rank, id AS symbol_id, row_number() OVER (PARTITION BY route_id ORDER BY rank, line) AS nth FROM c) WHERE nth = 1""")
 def handler_resolution(spark, d):
     """Orders as routes registered by calls, parts as what may serve them."""
-    p = proxy.table(spark, d, "part").withColumn("b", _BRAND)
+    p = proxy.table(spark, d, "part").withColumn("b", _brand())
     name = F.when(F.col("p_partkey") % 53 == 0, F.concat(F.lit("brand"), "b")).when(F.col("p_partkey") % 97 == 0, "__module__").otherwise(F.translate("p_name", " ", "_"))
     path = F.concat(F.lit("src/brand"), "b", F.when(F.col("b") % 2 == 0, ".ts").otherwise("/index.js"))
     s = p.select(F.col("p_partkey").alias("symbol_id"), name.alias("name"), F.when(F.col("p_size") > 25, "function").otherwise("class").alias("kind"), path.alias("file_path"), F.col("p_size").alias("start_line"))
