@@ -216,7 +216,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS nth FROM
 def grep_guarded(spark, d):
     """A pattern that repeats a repeated group is searched as it stands; a glob picks the files."""
     t = proxy.table(spark, d, "documents").select(F.concat("source", F.lit("/d"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    return search.grep(t, "(a+)+", literal=False, glob="*e*/d*.txt")
+    return search.grep(t, "(a+)+", literal=False, glob="*e*/d*.txt", line_most=search.LINE_MOST)
 
 
 @query(f"""WITH {SYM}, {LINK}, hit AS (SELECT DISTINCT symbol_id FROM sym WHERE file_path IN ('src/brand1.py', 'src/brand2.py')) SELECT spec, relation, count(DISTINCT symbol_id) AS n_symbols FROM link WHERE symbol_id IN (SELECT symbol_id FROM hit) GROUP BY spec, relation""")

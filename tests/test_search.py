@@ -83,3 +83,20 @@ def test_denials_reach_twelve_characters():
     known = {"foo-1": "foo-1"}
     say = lambda t: len(spec_text.annotations(t, known))
     assert say("It tests foo-1") == 1 and say("skip a b tests foo-1") == 0 and say("this does not really quite test it, tests foo-1") == 1 and say("never tests foo-1") == 0 and say("not so much as it tests foo-1") == 1
+
+
+def test_grep_finds_matches_late_in_long_lines(spark, tmp_path):
+    import duckdb
+
+    from codeloom.plans.registry import ORACLES, QUERIES
+
+    late = "x" * 4_100
+    rows = [(1, late + "123"), (2, f"a\n{late} rights 7\n{late}4567\n12"), (3, "y" * 3_998 + "123"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name, n in (("grep_regex_capped", 3), ("grep_literal", 1)):
+        got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(c.sql(ORACLES[name]).fetchall()) and len(got) == n
+    files = spark.createDataFrame(rows, "path long, content string")
+    assert search.grep(files, "[0-9]{3}", literal=False, line_most=search.LINE_MOST).count() == 0
