@@ -9,7 +9,7 @@ A text is cut into windows of ``WIDTH`` inputs that start every ``STRIDE``; each
 window where it has most context (the first window scores all of its own, later ones their last ``STRIDE``). Training
 learns every prediction once too, in windows that follow each other without overlap.
 
-Row sums are matrix products with ones, and logits are bounded, if a sum overflows, instead of shifted by their maximum:
+Row sums are matrix products with ones, and logits are shifted by their maximum only in rows whose sum leaves float32:
 numpy's reductions over short rows cost more than the products.
 """
 
@@ -25,8 +25,10 @@ ROWS = COMMON + SIDE
 SPECS = {"E": (ROWS, DIM), "QKV": (DIM, 3 * DIM), "R": (WIDTH,), "O": (DIM, DIM), "W1": (DIM, HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, DIM), "U": (DIM, SIDE), "c": (SIDE,), "T": (SIDE - 1, DIM, SIDE), "t": (SIDE - 1, SIDE)}
 #: Rows and windows that are worked on together, so that what they need stays in cache.
 PIECE, INNER, NEAR = 1024, 256, 64
-#: Largest logit; exp of it times SIDE stays far inside float32.
+#: Largest attention logit; exp of it times WIDTH stays far inside float32.
 TOP = 60
+#: Steps after which the rate falls with the root of their number, and how far the loss may rise in a task's training.
+STEADY, WORSE = 16, 1.1
 _BACK = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
 _MASK = np.where(_BACK >= 0, 0, -1e9).astype(np.float32)
 
@@ -51,6 +53,8 @@ class Vocabulary:
         np.add.at(mass, (self.group[common], self.place[common]), counts[common] + 0.5)
         total = mass.sum(1)
         total[SIDE - 1] = share.sum() if len(rest) else 0.5
+        #: log shares of the ids by themselves, the end (the last id) apart
+        self.alone = np.log((counts[:-1] + 0.5) / (counts[:-1] + 0.5).sum())
         self.c = np.log(total / total.sum())
         self.t = np.log(np.maximum(mass[:-1], 1e-9) / mass[:-1].sum(1, keepdims=True))
 
@@ -168,7 +172,7 @@ def states(p: dict[str, np.ndarray], rows: np.ndarray, keep: bool = False):
 
 
 def _exp(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exp of z w + c, its row sums, the logits at ``which``). Rows whose sum overflows have their logits bounded, no others."""
+    """(exp of z w + c, its row sums, the logits at ``which``). Rows whose sum leaves float32 have their logits shifted, no others."""
     ones, at = np.ones(len(c), z.dtype), np.arange(len(z))
     e = z @ w
     e += c
@@ -176,9 +180,11 @@ def _exp(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray) -> tupl
     with np.errstate(over="ignore"):
         np.exp(e, out=e)
         total = e @ ones
-    if not np.isfinite(total).all():
-        far = np.flatnonzero(~np.isfinite(total))
-        logits = np.minimum((z @ w)[far] + c, TOP)
+    usual = (total > 1e-30) & (total < np.inf)
+    if not usual.all():
+        far = np.flatnonzero(~usual)
+        logits = z[far] @ w + c
+        logits -= logits.max(axis=1, keepdims=True)
         own[far] = logits[np.arange(len(far)), which[far]]
         e[far] = np.exp(logits)
         total[far] = e[far].sum(axis=1)
@@ -194,19 +200,11 @@ def _errors(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray, m: i
 
 
 def _chosen(z: np.ndarray, w: np.ndarray, c: np.ndarray, which: np.ndarray, piece: int = PIECE) -> np.ndarray:
-    """log softmax(z w + c) at ``which``, in pieces that stay in cache.
-
-    All products are of one shape, the last one filled up: a float32 product of another shape can round a row otherwise,
-    and equal texts must score alike wherever they stand.
-    """
+    """log softmax(z w + c) at ``which``, in pieces that stay in cache."""
     out = np.empty(len(z), z.dtype)
     for lo in range(0, len(z), piece):
-        some, at = z[lo : lo + piece], which[lo : lo + piece]
-        n = len(some)
-        if n < piece:
-            some, at = np.concatenate([some, np.zeros((piece - n, z.shape[1]), z.dtype)]), np.concatenate([at, np.zeros(piece - n, at.dtype)])
-        _, total, own = _exp(some, w, c, at)
-        out[lo : lo + n] = (own - np.log(total))[:n]
+        _, total, own = _exp(z[lo : lo + piece], w, c, which[lo : lo + piece])
+        out[lo : lo + piece] = own - np.log(total)
     return out
 
 
@@ -304,6 +302,7 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], v: Vocabulary, rate: float = 1e-2, windows: int = 256):
         self.p, self.v, self.rate, self.windows, self.t, self.seen = p, v, rate, windows, 0, 0
+        self.first = self.loss = 0.0
         self.m = {k: np.zeros_like(x) for k, x in p.items()}
         self.s = {k: np.zeros_like(x) for k, x in p.items()}
 
@@ -316,18 +315,23 @@ class Trainer:
                     self.step(rows[i], target[i], scored[w : w + self.windows])
 
     def step(self, rows: np.ndarray, target: np.ndarray, scored: np.ndarray) -> None:
-        grad, _ = gradients(self.p, self.v, rows, target, scored)
+        grad, loss = gradients(self.p, self.v, rows, target, scored)
         self.t += 1
+        self.first, self.loss = (loss, loss) if self.t == 1 else (self.first, self.loss + 0.1 * (loss - self.loss))
         self.seen += int(scored.sum())
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         clip = min(1.0, 1.0 / (norm + 1e-9))
-        a = self.rate * np.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t)
+        a = self.rate * np.sqrt(1 - 0.98**self.t) / (1 - 0.9**self.t) / np.sqrt(max(1.0, self.t / STEADY))
         for k, g in grad.items():
             g = g * np.float32(clip)
             self.m[k] += np.float32(0.1) * (g - self.m[k])
             self.s[k] += np.float32(0.02) * (g * g - self.s[k])
             self.p[k] -= np.float32(a) * self.m[k] / (np.sqrt(self.s[k]) + np.float32(1e-6))
 
+    def sane(self) -> bool:
+        """The parameters are numbers and the loss has not run away."""
+        return self.loss <= self.first * WORSE and all(np.isfinite(x).all() for x in self.p.values())
+
 
 def prepared(texts: list[np.ndarray], end: int, v: Vocabulary, stride: int = STRIDE):
     """One (window indices, scored, input rows, targets) for a list of texts. Inputs begin with the end mark."""
@@ -354,8 +358,7 @@ def score_ids(p: dict[str, np.ndarray], v: Vocabulary, texts: list[np.ndarray],
             z = np.empty((len(rows), DIM), np.float32)
             for w in range(0, len(index), windows):
                 i, s = index[w : w + windows], scored[w : w + windows]
-                full = i if len(i) == windows else np.concatenate([i, np.zeros((windows - len(i), WIDTH), i.dtype)])
-                z[i[s]] = states(p, rows[full])[: len(i)][s]
+                z[i[s]] = states(p, rows[i])[s]
             total = log_probabilities(p, v, z, target)
             yield from np.split(total, np.cumsum([len(t) + 1 for t in texts[lo:hi]])[:-1])
         lo = hi

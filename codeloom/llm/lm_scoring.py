@@ -6,9 +6,13 @@
 3. The attention model (``attention_lm``) is trained by synchronous local steps: in each round every partition trains
    on its training texts of that round (every training text belongs to one round) and the parameters are averaged by
    ids seen, first in ``REDUCERS`` tasks, then on the driver.
-4. A text's probability is the product over its words of ``MIX`` x (share among the heavy words' counts) +
-   ``1 - MIX`` x (product of the model's probabilities of the word's ids): both are distributions over words, and so is
-   the mixture. The end of a text counts as a word.
+4. A text's probability is the product over its words of ``MIX`` x (share among all counts) + ``1 - MIX`` x (product of
+   the model's probabilities of the word's ids). The shares leave words beyond the table what is theirs, and as much as
+   there are distinct words (Witten and Bell); a word's part of that is the product of its ids' shares. Both are
+   distributions over words, and so is the mixture. The end of a text counts as a word.
+
+A task whose training runs away (loss up by a tenth, or not finite) leaves the round's parameters as they were. float32
+products round a row by where it stands, so rows of equal texts get the least of their scores.
 
 Words beyond the table are joined by their 64-bit hash. Words are lower-cased (A-Z) runs of anything but ASCII white space, encoded as " word" each by a public vocabulary file.
 
@@ -161,7 +165,7 @@ def train(encoded: DataFrame, counts: tuple[np.ndarray, ...]) -> tuple[dict[str,
             trainer = lm.Trainer(lm.unflatten(now), v, rate)
             for b in batches:
                 trainer.learn([np.frombuffer(x, "<u2") for x in b.column(0).to_pylist()], END)
-            if trainer.seen:
+            if trainer.seen and trainer.sane():
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([lm.flatten(trainer.p).astype(np.float32).tobytes()], pa.binary())], names=["n", "p"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +189,7 @@ class Words:
 
     def __init__(self, counts: DataFrame, vocabulary: str):
         sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        self.total = sums["n"]
+        self.total, self.distinct = sums["n"], sums["v"]
         self.below = 0.1 * (sums["v"] + 1) + self.total
         heavy = [(w.encode(), n) for w, n in commonest(counts.where(F.col("word") != END_WORD), "word", HEAVY)]
         end_count = next((r["n"] for r in counts.where(F.col("word") == END_WORD).collect()), 0)
@@ -249,10 +253,13 @@ def score_texts(encoded: DataFrame, counts: DataFrame, words: Words, params: dic
     mix: the weight of the words' shares; 0 leaves the attention model alone.
     """
     number, last = words.number, len(words.table)
+    every = max(1.0, float(words.total + words.distinct))
     # for places -1 (not in the table) and last (the end) too
     with np.errstate(divide="ignore"):
-        share = np.log(np.append(number / max(1.0, number.sum()), 0.0) * mix)
-    rows = encoded.select(*keep, "row", "n_tokens", "heavy_known", "heavy_base", "ids", "place", "many")
+        share = np.log(np.append(number / every, 0.0) * mix)
+        rest = float(np.log(mix * (1 - number.sum() / every)))
+    alone = np.append(v.alone, 0.0)  # the end is in the table
+    rows = encoded.select(*keep, "row", "n_tokens", "heavy_known", "heavy_base", F.xxhash64("ids", "place", "many").alias("__mark"), "ids", "place", "many")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,15 +277,19 @@ def score_texts(encoded: DataFrame, counts: DataFrame, words: Words, params: dic
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(score)], names=[*b.schema.names[:-3], "score"])
 
     def some(n, ids, place, many):
-        logs = np.concatenate(list(lm.score_ids(params, v, [np.frombuffer(x, "<u2") for x in ids], END))).astype(np.float64)
+        ids = [np.frombuffer(x, "<u2") for x in ids]
+        logs = np.concatenate(list(lm.score_ids(params, v, ids, END))).astype(np.float64)
         # per word, the end of each text after its words
         is_word = np.ones(int(n.sum()) + len(n), bool)
         is_word[np.cumsum(n) + np.arange(len(n))] = False
         where, length = np.full(len(is_word), last, np.int64), np.ones(len(is_word), np.int64)
         where[is_word] = np.frombuffer(b"".join(place), "<i4")
         length[is_word] = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == k else "<u4") for x, k in zip(many, n.tolist(), strict=True)])
-        model = np.add.reduceat(logs, np.cumsum(length) - length)
-        mixed = np.logaddexp(model + np.log1p(-mix), share[where])
+        first = np.cumsum(length) - length
+        model = np.add.reduceat(logs, first)
+        spelled = np.add.reduceat(alone[np.concatenate([x for t in ids for x in (t, (END,))])], first)
+        spelled[~is_word] = -np.inf
+        mixed = np.logaddexp(model + np.log1p(-mix), np.logaddexp(share[where], spelled + rest))
         return np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=mixed, minlength=len(n)) / np.log(10)
 
     rows = map_arrow(rows, run, f"{fields}, score double")
@@ -286,7 +297,11 @@ def score_texts(encoded: DataFrame, counts: DataFrame, words: Words, params: dic
     light = light.join(counts.select(F.xxhash64("word").alias("w"), "n"), "w", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     light = light.groupBy("row").agg(F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(words.below))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     out = rows.join(light, "row", "left")
-    return out.select(*keep, "n_tokens", (F.col("heavy_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("heavy_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
+    out = out.select(*keep, "__mark", "n_tokens", (F.col("heavy_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("heavy_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
+    out = stage(out, "scored")
+    low = [F.min(c).alias(f"__{c}") for c in ("base_score", "score")]
+    alike = out.groupBy("__mark").agg(*low, F.max("base_score").alias("b"), F.max("score").alias("s")).where("__base_score < b or __score < s").drop("b", "s")
+    return out.join(alike, "__mark", "left").withColumns({c: F.coalesce(f"__{c}", c) for c in ("base_score", "score")}).drop("__mark", "__base_score", "__score")
 
 
 def learned(docs: DataFrame, vocabulary: str, keep: tuple[str, ...], learn: str):

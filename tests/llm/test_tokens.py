@@ -156,3 +156,32 @@ def test_later_windows_keep_context():
     r, v, _ = small_model()
     for index, scored, _, _ in lm.prepared([r.integers(0, 5000, 200)], END, v):
         assert (np.argmax(scored[index[:, 0] > 0], axis=1) >= 8).all()
+
+
+def test_sums_beyond_float32():
+    z, w, c = np.ones((3, 4), np.float32), np.zeros((4, 8), np.float32), np.zeros(8, np.float32)
+    for far in (-300.0, 300.0):
+        w[:] = far
+        w[0, 2] = far + 2
+        got = lm._chosen(z, w, c, np.array([2, 0, 2]))
+        assert np.allclose(got, [-math.log1p(7 * math.exp(-2)), -2 - math.log1p(7 * math.exp(-2)), -math.log1p(7 * math.exp(-2))], atol=1e-3)
+
+
+def test_training_that_runs_away_is_left_out():
+    r, v, p = small_model()
+    t = lm.Trainer(p, v, 1e-2, windows=16)
+    t.learn([r.integers(0, 5000, 400)], END)
+    assert t.sane()
+    t.loss = 2 * t.first
+    assert not t.sane()
+    t.loss, t.p["E"][0, 0] = t.first, np.nan
+    assert not t.sane()
+
+
+def test_a_bad_model_does_not_sink_scores(spark):
+    docs = documents(spark).withColumn("held_out", ls.remainder() == 0).withColumn("learn", ~F.col("held_out"))
+    encoded, counts, words, params, v = ls.learned(docs, VOCABULARY, ("doc_id", "held_out"), "learn")
+    far = {k: x * np.float32(40) for k, x in params.items()}
+    rows = [r for r in ls.score_texts(encoded, counts, words, far, v, ("doc_id", "held_out")).collect() if r.held_out]
+    assert rows and all(math.isfinite(r.score) for r in rows)
+    assert sum(r.score for r in rows) > 1.5 * sum(r.base_score for r in rows)
