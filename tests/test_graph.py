@@ -68,3 +68,15 @@ def test_on_change(spark):
     rows = [(1, 1, 0.5), (1, 2, 0.5), (1, 3, None), (1, 4, None), (1, 5, 0.7), (2, 1, None)]
     got = logs.on_change(spark.createDataFrame(rows, "k long, t long, v double"), "k", "t", ("v",)).collect()
     assert sorted((r.k, r.t) for r in got) == [(1, 1), (1, 3), (1, 5), (2, 1)]
+
+
+def test_heaviest_pairs_without_broadcast_or_shuffle_of_all(spark):
+    from codeloom.operators import resolve
+
+    s = spark.createDataFrame([(i, n, f"m{m}.{n}", f"m{m}.py") for i, n, m in [(1, "f", 1), (2, "f", 2), (3, "f", 2), (4, "g", 1), (5, "g", 1), (5, "f", 3), (6, "h", 3), (7, "h", 3)]], "symbol_id long, name string, qualified_name string, file_path string")
+    refs = spark.createDataFrame([(k, a, t, m) for k, (a, t, m) in enumerate([(4, "f", "m2"), (4, "f", None), (4, "f", "m1"), (1, "g", None), (6, "f", None), (6, "g", "nowhere"), (1, "h", "m3"), (7, "f", "m2"), (7, "f", "m2"), (2, "g", "m1")])], "ref_id long, src long, target_name string, scope_module string")
+    want = sorted(map(tuple, resolve.heaviest(resolve.resolve_each(refs, s)).collect()))
+    got = resolve.resolve_refs(refs, s)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 8
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
