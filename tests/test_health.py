@@ -204,3 +204,10 @@ def test_links_meet(spark):
     now = spark.createDataFrame([(9, "a"), (8, "a"), (3, "b")], "symbol_id long, qualified_name string")
     links = spark.createDataFrame([("s", 1, "implements", 0.5, "x"), ("s", 2, "implements", 0.9, "y"), ("s", 3, "tests", 1.0, "x"), ("s", 4, "tests", 1.0, "x")], "spec_id string, symbol_id long, relation string, confidence double, source string")
     assert sorted(map(tuple, indexing.carry_links(links, before, now).collect())) == [("s", 3, "tests", 1.0, "x"), ("s", 8, "implements", 0.9, "y")]
+
+
+def test_edges_after_change_broadcasts_no_symbols(spark):
+    from codeloom.plans.registry import QUERIES
+
+    df = QUERIES["edges_after_change"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
