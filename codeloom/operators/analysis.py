@@ -125,11 +125,44 @@ def structural_names(symbols: DataFrame, least: int = 3) -> DataFrame:
     return symbols.groupBy("name").agg(F.countDistinct("file_path").alias("n_files")).where(F.col("n_files") >= least)
 
 
+#: Levels of blocks: lines up to 2 ** 31.
+LEVELS = 32
+
+
+def _blocks(first, last):
+    """(level, block): the fewest aligned blocks of 2 ** level lines that make up first to last."""
+    parts = []
+    for k in range(LEVELS):
+        lo, hi = F.shiftright(first + (2**k - 1), k), F.shiftright(last + 1, k)
+        odd = lo.bitwiseAND(F.lit(1).cast("long"))
+        parts.append(F.when((lo < hi) & (odd == 1), F.struct(F.lit(k).alias("level"), lo.alias("block"))))
+        parts.append(F.when((lo + odd < hi) & (hi.bitwiseAND(F.lit(1).cast("long")) == 1), F.struct(F.lit(k).alias("level"), (hi - 1).alias("block"))))
+    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+
 def enclosing(symbols: DataFrame, places: DataFrame) -> DataFrame:
-    """The innermost symbol around each place (place_id, path, line): least span, then latest start."""
-    met = places.join(symbols, (places.path == symbols.file_path) & places.line.between(symbols.start_line, symbols.end_line))
-    order = Window.partitionBy("place_id").orderBy(F.col("end_line") - F.col("start_line"), F.desc("start_line"), "symbol_id")
-    return met.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    """The innermost symbol around each place (place_id, path, line): least span, then latest start.
+
+    A symbol's lines are cut into aligned blocks, of which it has some 2 log(lines). Everything in a block is inside the
+    same symbols, so a block keeps its innermost one, and a line looks at the one block of each level that holds it:
+    the work grows with the places and the symbols, not with how many symbols surround a place.
+    """
+    rank = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("start_line")).alias("late"), F.col("symbol_id").alias("id"))
+    own = symbols.where("file_path is not null").select("*", rank.alias("__rank"))
+    cut = own.select("file_path", "__rank", F.explode(_blocks(F.col("start_line").cast("long"), F.col("end_line").cast("long"))).alias("b"))
+    best = cut.groupBy("file_path", "b.level", "b.block").agg(F.min("__rank").alias("__rank"))
+    levels = best.groupBy("file_path").agg(F.collect_set("level").alias("levels"))  # at most LEVELS
+    lines = places.where("line is not null").select(F.col("path").alias("file_path"), F.col("line").cast("long").alias("line")).distinct()
+    asked = lines.join(levels, "file_path").select("file_path", "line", F.explode("levels").alias("level"))
+    asked = asked.withColumn("block", F.expr("shiftright(line, level)"))
+    inner = asked.join(best.hint("merge"), ["file_path", "level", "block"]).groupBy("file_path", "line").agg(F.min("__rank").alias("__rank"))
+    inner = inner.withColumnRenamed("file_path", "__path").withColumnRenamed("line", "__line")
+    # each line's symbol; of rows that share file, lines and id, one
+    whole = own.withColumnRenamed("__rank", "__own").dropDuplicates(["file_path", "__own"])
+    found = inner.join(whole.hint("merge"), (F.col("__path") == F.col("file_path")) & (F.col("__rank") == F.col("__own")))
+    met = places.join(found, (places.path == F.col("__path")) & (places.line == F.col("__line"))).drop("__path", "__line", "__own")
+    nth = F.row_number().over(Window.partitionBy("place_id").orderBy("__rank"))
+    return met.withColumn("nth", nth).where("nth = 1").drop("nth", "__rank")
 
 
 def spec_coverage(links: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:

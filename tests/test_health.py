@@ -211,3 +211,24 @@ def test_edges_after_change_broadcasts_no_symbols(spark):
 
     df = QUERIES["edges_after_change"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_innermost_symbols_equal_a_plain_loop(spark):
+    import random
+
+    from codeloom.operators import analysis
+
+    r = random.Random(4)
+    spans = [(i, f"f{r.randint(0, 2)}.py", a := r.randint(1, 300), a + r.randint(-1, 2 ** r.randint(0, 8))) for i in range(400)]
+    at = [(i, f"f{r.randint(0, 3)}.py", r.randint(0, 600)) for i in range(500)] + [(600, None, 5), (601, "f1.py", None)]
+    s = spark.createDataFrame(spans, "symbol_id long, file_path string, start_line long, end_line long")
+    got = analysis.enclosing(s, spark.createDataFrame(at, "place_id long, path string, line long"))
+    assert got.columns == ["place_id", "path", "line", "symbol_id", "file_path", "start_line", "end_line"]
+    want = {}
+    for i, path, line in at:
+        around = [(b - a, -a, k) for k, f, a, b in spans if f == path and line is not None and a <= line <= b]
+        if around:
+            want[i] = min(around)[2]
+    assert {x.place_id: x.symbol_id for x in got.collect()} == want and len(want) > 100
+    ops = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(sign in line for line in ops.splitlines() if "Join" in line for sign in ("<=", ">="))  # no range join
