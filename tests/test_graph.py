@@ -80,3 +80,21 @@ def test_heaviest_pairs_without_broadcast_or_shuffle_of_all(spark):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 8
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_routes_of_common_paths_are_dealt(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from codeloom.functions.paths import route_weight
+    from codeloom.operators import resolve
+
+    monkeypatch.setattr(resolve, "SHARE", 5, raising=False)
+    verbs = ["GET", "post", "", None, "ALL", "PUT"]
+    rows = [(i % 40, "client" if i % 3 else "server", verbs[i * i % 6], ["/a", "/b", "/c", ""][i % 7 % 4]) for i in range(300)]
+    r = spark.createDataFrame(rows, "symbol_id long, role string, method string, norm_path string")
+    c, s = (r.where(f"role = '{x}' and norm_path <> ''") for x in ("client", "server"))
+    pairs = c.selectExpr("symbol_id src", "method cm", "norm_path").join(s.selectExpr("symbol_id dst", "method sm", "norm_path"), "norm_path").where("src <> dst")
+    want = pairs.withColumn("w", route_weight(F.col("cm"), F.col("sm"))).where("w is not null").groupBy("src", "dst").agg(F.max("w"))
+    got = resolve.resolve_routes(r)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+    assert "share" in got._jdf.queryExecution().optimizedPlan().toString()  # no path is one task's
