@@ -100,3 +100,16 @@ def test_grep_finds_matches_late_in_long_lines(spark, tmp_path):
         assert got == sorted(c.sql(ORACLES[name]).fetchall()) and len(got) == n
     files = spark.createDataFrame(rows, "path long, content string")
     assert search.grep(files, "[0-9]{3}", literal=False, line_most=search.LINE_MOST).count() == 0
+
+
+def test_near_structures_equal_a_plain_loop(spark):
+    r = random.Random(7)
+    base = [sorted(r.sample(range(60), r.randint(1, 30))) for _ in range(25)]
+    sets = [sorted(set(s) ^ set(r.sample(range(60), r.randint(0, 3)))) for s in base for _ in range(5)] + [[], [1], [1]]
+    df = spark.createDataFrame([(i, 50 if i % 9 else 30, s) for i, s in enumerate(sets)], "id long, n_tokens int, marks array<long>")
+    got = specs.near_structure(df.where("id % 4 = 0"), df)
+    able = [(i, set(s)) for i, s in enumerate(sets) if i % 9 and s]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in able if i % 4 == 0 for j, b in able if len(a & b) >= 0.8 * len(a | b)}
+    rows = got.collect()
+    assert {(x.candidate, x.id): x.similarity for x in rows} == want and len(rows) == len(want) > 60
+    assert "array_intersect" in got._jdf.queryExecution().optimizedPlan().toString()  # sets are compared whole, not counted pair by pair
