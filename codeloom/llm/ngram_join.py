@@ -12,6 +12,8 @@ Lists of up to ``LIST`` classes yield their pairs; a longer list yields only a s
 may be alike. Candidates fall into connected blocks, and a block is cut into chunks of bounded size, alike sets (by
 their least shingle hash) beside each other. Two chunks are compared, by counting, only if a candidate pair or a long list has a
 member in both, so a chain of long lists doesn't make all its members meet, and no task's memory grows with a block.
+Whole sets go to their own chunk once; to other chunks go slices of alike sets as their differences from what most of
+a slice holds.
 Of the links found, only spanning forests and counts leave a task.
 
 Sets are named by 64-bit hashes. Defined results: texts without words link with nothing; fewer words than a shingle
@@ -37,8 +39,9 @@ COMMON, VERIFY, LIST = 100_000, 10, 200
 CHANCE, POST = 0.05, 0.05
 #: Documents from which on a common shingle's list is dealt over tasks, as a star around a node of its own.
 HOT, DEALT = 5_000, 64
-#: Bounds of a chunk: classes, shingles.
-CHUNK, CHUNK_SHINGLES = 250, 500_000
+#: Bounds of a chunk: classes, shingles; and of a slice of one.
+CHUNK, CHUNK_SHINGLES = 1_000, 500_000
+SLICE, SLICE_SHINGLES = 64, 20_000
 MOST = 8
 
 
@@ -224,62 +227,140 @@ def meetings(post: DataFrame, t: int) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long, need long, list long")
 
 
-def compare(t: int):
-    """Streams units sorted by (root, i, j): links within, or between the two chunks of, a unit."""
-
-    def unit(rows: list[tuple], cross: bool) -> tuple[list, list]:
-        sets = [np.frombuffer(r[3], np.int64) for r in rows]
-        size = np.array([len(x) for x in sets])
-        m = len(sets)
-        tok = np.concatenate(sets)
-        who = np.repeat(np.arange(m), size)
-        order = np.argsort(tok, kind="stable")
-        tok, who = tok[order], who[order]
-        lo = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-        cnt = np.diff(np.append(lo, len(tok)))
-        group = np.repeat(np.arange(len(lo)), cnt)
-        shared = cnt[group] > 1
-        d, g = who[shared], group[shared]
-        by = np.argsort(d, kind="stable")
-        d, g = d[by], g[by]
-        cuts = np.searchsorted(d, np.arange(m + 1))
-        side = np.array([r[1] for r in rows])
-        weight = np.array([r[2] for r in rows])
-        forest, links, degree = Forest(), [], np.zeros(m, np.int64)
-        for i in range(m):
-            gs = g[cuts[i] : cuts[i + 1]]
-            if not len(gs):
-                continue
-            inter = np.bincount(np.concatenate([who[lo[x] : lo[x] + cnt[x]] for x in gs.tolist()]), minlength=m)
-            ok = inter * 100 >= t * (size + size[i] - inter)
-            ok[: i + 1] = False
-            if cross:
-                ok &= side != side[i]
-            js = np.flatnonzero(ok)
-            if len(js):
-                degree[i] += weight[js].sum()
-                degree[js] += weight[i]
-                for j in js.tolist():
-                    if forest.join(i, j):
-                        links.append((rows[i][0], rows[j][0]))
-        return links, [(rows[i][0], int(degree[i])) for i in np.flatnonzero(degree).tolist()]
+def pack(sets: list[np.ndarray]) -> tuple[list[int], bytes]:
+    """(lengths, blob) of the shingles that more than half of the sets hold, then of where each set differs from them."""
+    every, n = np.unique(np.concatenate(sets), return_counts=True)
+    base = every[2 * n > len(sets)]
+    parts = [base, *(np.setxor1d(base, x, assume_unique=True) for x in sets)]
+    return [len(x) for x in parts], np.concatenate(parts).tobytes()
+
+
+def unpack(lengths: list[int], blob: bytes) -> list[np.ndarray]:
+    base, *parts = np.split(np.frombuffer(blob, np.int64), np.cumsum(lengths)[:-1])
+    return [np.setxor1d(base, x, assume_unique=True) for x in parts]
+
+
+def slices(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """A chunk's rows (s, chunk, weight, set) in slices of alike sets, bounded as a row must be."""
+    out, n = [], 0
+    for r in sorted(rows, key=lambda r: int(r[3][0])):
+        if out and (len(out) >= SLICE or n + len(r[3]) > SLICE_SHINGLES):
+            yield out
+            out, n = [], 0
+        out.append(r)
+        n += len(r[3])
+    yield out
+
+
+def unit(rows: list[tuple], cross: bool, t: int) -> tuple[list, list]:
+    """(links of a spanning forest, (s, weight of those linked with it)) among rows (s, chunk, weight, set).
+
+    Shingles that more than half of the sets hold are counted by the sets that lack them: with D the difference from
+    those ``usual`` shingles and h how many of them a set holds, an intersection is |D & D'| + h + h' - len(usual).
+    """
+    size = np.array([len(r[3]) for r in rows])
+    m = len(rows)
+    tok = np.concatenate([r[3] for r in rows])
+    who = np.repeat(np.arange(m), size)
+    order = np.argsort(tok, kind="stable")
+    tok, who = tok[order], who[order]
+    first = np.concatenate([[True], tok[1:] != tok[:-1]])
+    lo = np.flatnonzero(first)
+    cnt = np.diff(np.append(lo, len(tok)))
+    group = np.cumsum(first) - 1
+    usual = np.flatnonzero(2 * cnt > m)
+    row = np.full(len(cnt), -1)
+    row[usual] = np.arange(len(usual))
+    at = row[group]
+    has = np.zeros((len(usual), m), bool)
+    has[at[at >= 0], who[at >= 0]] = True
+    h = has.sum(axis=0)
+    lack, lacking = np.nonzero(~has)
+    g, d = np.concatenate([group[at < 0], usual[lack]]), np.concatenate([who[at < 0], lacking])
+    order = np.argsort(g, kind="stable")
+    g, d = g[order], d[order]
+    first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+    lo = np.flatnonzero(first)
+    cnt, group = np.diff(np.append(lo, len(g))), np.cumsum(first) - 1
+    who = d  # per group, the sets that differ there
+    shared = cnt[group] > 1
+    d, g = d[shared], group[shared]
+    by = np.argsort(d, kind="stable")
+    d, g = d[by], g[by]
+    cuts = np.searchsorted(d, np.arange(m + 1))
+    side, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    forest, links, degree = Forest(), [], np.zeros(m, np.int64)
+    for i in range(m):
+        inter = h + (h[i] - len(usual))
+        if cuts[i] < cuts[i + 1]:
+            inter = inter + np.bincount(np.concatenate([who[lo[x] : lo[x] + cnt[x]] for x in g[cuts[i] : cuts[i + 1]].tolist()]), minlength=m)
+        ok = inter * 100 >= t * (size + size[i] - inter)
+        ok[: i + 1] = False
+        if cross:
+            ok &= side != side[i]
+        js = np.flatnonzero(ok)
+        if len(js):
+            degree[i] += weight[js].sum()
+            degree[js] += weight[i]
+            for j in js.tolist():
+                if forest.join(i, j):
+                    links.append((rows[i][0], rows[j][0]))
+    return links, [(rows[i][0], int(degree[i])) for i in np.flatnonzero(degree).tolist()]
+
+
+FOUND = "a long, b long, d long"
+
+
+def _found(links: list, degree: list) -> list[pa.Array]:
+    a = [x[0] for x in links] + [x[0] for x in degree]
+    return [pa.array(a, pa.int64()), pa.array([x[1] for x in links] + [None] * len(degree), pa.int64()), pa.array([None] * len(links) + [x[1] for x in degree], pa.int64())]
+
+
+def within(t: int):
+    """Streams sets sorted by (root, chunk, s): links within a chunk, and the slices of chunks that may meet others."""
+    kinds = {"root": pa.int64(), "chunk": pa.int64(), "names": pa.list_(pa.int64()), "weights": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "blob": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def done():
-            links, degree = unit(held, key[1] != key[2]) if len(held) > 1 else ([], [])
-            a = [x[0] for x in links] + [x[0] for x in degree]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([x[1] for x in links] + [None] * len(degree), pa.int64()), pa.array([None] * len(links) + [x[1] for x in degree], pa.int64())], names=["a", "b", "d"])
+            cols = _found(*unit(held, False, t)) if len(held) > 1 else _found([], [])
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(cols[0]), k) for k in kinds.values())], names=["a", "b", "d", *kinds])
+            if key[2] > 1:
+                for some in slices(held):
+                    row = (key[0], key[1], [r[0] for r in some], [r[2] for r in some], *pack([r[3] for r in some]))
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), *(pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True))], names=["a", "b", "d", *kinds])
 
         for b in batches:
-            for root, i, j, s, chunk, weight, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for root, chunk, parts, s, weight, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (root, chunk, parts) != key:
+                    if held:
+                        yield from done()
+                    key, held = (root, chunk, parts), []
+                if not held or held[-1][0] != s:  # repeated rows
+                    held.append((s, chunk, weight, np.frombuffer(blob, np.int64)))
+        if held:
+            yield from done()
+
+    return run, f"{FOUND}, root long, chunk long, names array<long>, weights array<long>, lengths array<long>, blob binary"
+
+
+def across(t: int):
+    """Streams the slices of two chunks, sorted by (root, i, j): links between the chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done():
+            return pa.RecordBatch.from_arrays(_found(*unit(held, True, t)), names=["a", "b", "d"])
+
+        for b in batches:
+            for root, i, j, chunk, names, weights, lengths, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (root, i, j) != key:
                     if held:
                         yield done()
                     key, held = (root, i, j), []
-                if not held or held[-1][0] != s:  # repeated rows
-                    held.append((s, chunk, weight, blob))
+                held += [(s, chunk, w, x) for s, w, x in zip(names, weights, unpack(lengths, blob), strict=True)]
         if held:
             yield done()
 
@@ -320,19 +401,25 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_spot(b.column(0).to_numpy(zero_copy_only=False)).astype(np.int32))], names=["p"])
 
 
-def met_chunks(met: DataFrame, pairs: DataFrame, placed: DataFrame) -> DataFrame:
-    """(root, i, j), i <= j: chunks that have to be compared. Blocks of one chunk need no look at what met."""
-    one = placed.select("root", "chunk").distinct().select("root", F.col("chunk").alias("i"), F.col("chunk").alias("j"))
+def met_chunks(met: DataFrame, pairs: DataFrame, placed: DataFrame) -> DataFrame | None:
+    """(root, i, j), i < j: chunks that have to be compared. Blocks of one chunk need no look at what met."""
     at = stage(placed.where("parts > 1").select("s", "root", "chunk").distinct(), "chunks")
     if at.isEmpty():
-        return one
+        return None
     small = at.count() <= SMALL_ROWS
     look = lambda s: (F.broadcast(at) if small else at).select(F.col("s").alias(s), "root", F.col("chunk").alias(f"{s}_chunk"))
     direct = pairs.join(look("a"), "a").join(look("b"), ["b", "root"]).select("root", "a_chunk", "b_chunk")
     lists = met.where("need = 0").join(look("b"), "b").select("list", "root", "b_chunk").distinct()
     listed = lists.join(lists.withColumnRenamed("b_chunk", "a_chunk"), ["list", "root"]).select("root", "a_chunk", "b_chunk")
     both = direct.union(listed).where("a_chunk <> b_chunk")
-    return one.union(both.select("root", F.least("a_chunk", "b_chunk").alias("i"), F.greatest("a_chunk", "b_chunk").alias("j")).distinct())
+    return both.select("root", F.least("a_chunk", "b_chunk").alias("i"), F.greatest("a_chunk", "b_chunk").alias("j")).distinct()
+
+
+def unit_slices(found: DataFrame, need: DataFrame) -> DataFrame:
+    """Slices of both chunks of each unit, unit by unit. They are what each unit takes a copy of, not whole sets."""
+    sides = need.select("root", "i", "j", F.explode(F.array("i", "j")).alias("chunk"))
+    both = found.where("blob is not null").join(F.broadcast(sides) if sides.count() <= SMALL_ROWS else sides, ["root", "chunk"])
+    return both.select("root", "i", "j", "chunk", "names", "weights", "lengths", "blob").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "chunk")
 
 
 def classes_of(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -351,11 +438,13 @@ def classes_of(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     alike = member.groupBy("root", "least").agg(F.count("*").alias("alike"))
     spot = F.pmod(F.xxhash64(F.when(F.col("alike") <= CHUNK, F.col("least")).otherwise(F.col("s"))), F.col("parts"))
     placed = stage(member.select("doc_id", "s", "size", "root", "least").join(cut, "root").join(alike, ["root", "least"]).withColumn("chunk", spot).drop("least", "alike"), "placed")
-    need = stage(met_chunks(met, met.where("need > 0"), placed), "units")
-    sides = need.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    units = unit_sets(docs, placed, words).join(F.broadcast(sides) if sides.count() <= SMALL_ROWS else sides, ["root", "chunk"])
-    units = units.select("root", "i", "j", "s", "chunk", "size", "blob")
-    found = stage(map_arrow(units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "s"), compare(percent), "a long, b long, d long"), "links")
+    units = unit_sets(docs, placed, words).select("root", "chunk", "parts", "s", "size", "blob")
+    found = stage(map_arrow(units.repartition("root", "chunk").sortWithinPartitions("root", "chunk", "s"), *within(percent)), "links")
+    need = met_chunks(met, met.where("need > 0"), placed)
+    if need is not None:
+        need = stage(need, "units")
+        met_slices = unit_slices(found, need)
+        found = found.where("a is not null").select("a", "b", "d").union(stage(map_arrow(met_slices, across(percent), FOUND), "links"))
 
     comp = components(found.where("b is not null").select("a", "b"))
     comp = comp.select(F.col("node").alias("s"), "root").join(classes.select("s", "doc_id"), "s")

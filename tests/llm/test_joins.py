@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from helpers import SF, awkward, documents, empty
+from pyspark.sql import functions as F
 
 from codeloom.llm import common, ngram_join, suffix_dedup
 
@@ -64,6 +65,34 @@ def test_long_lists_and_chunks(spark, monkeypatch):
     check(spark, near_copies(seed=4), 3, 70)
 
 
+def test_units_take_differences_not_whole_sets(spark, monkeypatch):
+    """Bytes that go to the comparisons between chunks, against those of all sets (14 others for each of 15 chunks)."""
+    sent = []
+
+    def seen(df, f, schema):
+        if {"i", "j", "blob"} <= set(df.columns):
+            sent.append(df.agg(F.sum(F.length("blob"))).first()[0])
+        return common.map_arrow(df, f, schema)
+
+    monkeypatch.setattr(ngram_join, "LIST", 5)
+    monkeypatch.setattr(ngram_join, "CHUNK", 20)
+    monkeypatch.setattr(ngram_join, "map_arrow", seen)
+    rows = near_copies(300, seed=5)
+    check(spark, rows, 3, 70)
+    assert 0 < sum(sent) < 5 * sum(8 * n for n, _, _ in plain_join(rows, 3, 70).values())
+
+
+def test_slices_hold_their_sets(monkeypatch):
+    r = np.random.default_rng(3)
+    base = np.sort(r.integers(0, 2**62, 200))
+    sets = [np.unique(np.concatenate([base[r.random(200) > 0.05], r.integers(0, 2**62, 5)])) for _ in range(30)] + [np.array([7]), base[:3]]
+    lengths, blob = ngram_join.pack(sets)
+    assert all(np.array_equal(a, b) for a, b in zip(ngram_join.unpack(lengths, blob), sets, strict=True)) and len(blob) < sum(x.nbytes for x in sets) / 4
+    monkeypatch.setattr(ngram_join, "SLICE_SHINGLES", 500)
+    cut = list(ngram_join.slices([(i, 0, 1, x) for i, x in enumerate(sets)]))
+    assert sorted(x[0] for some in cut for x in some) == list(range(32)) and all(len(s) == 1 or sum(len(x[3]) for x in s) <= 500 for s in cut)
+
+
 def test_keep_first_tells_texts_apart(spark):
     copy, other = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
     rows = [(1, copy), (5, copy), (5, other), (7, other), (7, "x y"), (7, "x y"), (8, None), (8, ""), (None, copy)]
