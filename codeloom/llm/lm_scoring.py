@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +132,7 @@ class Encoder:
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """(place in the table or -1, ids per word, all ids, the words that aren't in the table)."""
         get = self.place.get
-        place = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        place = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         out = np.flatnonzero(place < 0)
         rare = [words[i] for i in out.tolist()]
         ids, size = encode_words(rare, self.vocabulary)
@@ -201,7 +202,8 @@ class Words:
 
 def encode_texts(docs: DataFrame, words: Words, vocabulary: str, keep: tuple[str, ...], learn: str) -> DataFrame:
     """``keep`` columns with row, part, n_tokens and sums of the base score, the ids and words of every text, and the
-    64-bit hashes of the words beyond the table. part: the training round, by the text's hash; -1 where not ``learn``."""
+    64-bit hashes of its words beyond the table, each once, with how often it occurs. part: the training round, by the
+    text's hash; -1 where not ``learn``."""
     part = F.when(F.col(learn), F.pmod(F.xxhash64("text"), F.lit(len(RATES)))).otherwise(-1).cast("int")
     docs = docs.select(*(F.col(k) for k in keep), part.alias("__part"), F.col("text").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-2])
@@ -224,11 +226,11 @@ def encode_texts(docs: DataFrame, words: Words, vocabulary: str, keep: tuple[str
                     chars += len(texts[lo])
                     lo += 1
                 out += described(encode, some, np.array(n))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             cols = [*zip(*out, strict=True)] if out else [[]] * len(kinds)
             rows = np.arange(row, row + len(texts))
             row += len(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], b.column(b.num_columns - 2), pa.array(rows), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*b.schema.names[:-2], "part", "row", "n_tokens", "heavy_known", "heavy_base", "ids", "place", "many", "rare"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], b.column(b.num_columns - 2), pa.array(rows), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*b.schema.names[:-2], "part", "row", "n_tokens", "heavy_known", "heavy_base", "ids", "place", "many", "rare", "often"])
 
     def described(encode, some, n):
         import xxhash
@@ -240,11 +242,11 @@ def encode_texts(docs: DataFrame, words: Words, vocabulary: str, keep: tuple[str
         for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True):
             p, m = place[a:z], many[a:z]
             known = p[p >= 0]
-            own = np.array([next(marks) for _ in range(z - a - len(known))], np.uint64).view(np.int64)
+            own, often = np.unique(np.array([next(marks) for _ in range(z - a - len(known))], np.uint64).view(np.int64), return_counts=True)
             wide = np.uint8 if not len(m) or m.max() < 256 else np.uint32
-            yield z - a + 1, len(known) + int(number[last] > 0), float(base[known].sum() + base[last]), ids[id_ends[a] : id_ends[z]].tobytes(), p.astype("<i4").tobytes(), m.astype(wide).tobytes(), own
+            yield z - a + 1, len(known) + int(number[last] > 0), float(base[known].sum() + base[last]), ids[id_ends[a] : id_ends[z]].tobytes(), p.astype("<i4").tobytes(), m.astype(wide).tobytes(), own, often.astype(np.int32)
 
-    return stage(map_arrow(docs, run, f"{fields}, part int, row long, n_tokens long, heavy_known long, heavy_base double, ids binary, place binary, many binary, rare array<long>"), "encoded")
+    return stage(map_arrow(docs, run, f"{fields}, part int, row long, n_tokens long, heavy_known long, heavy_base double, ids binary, place binary, many binary, rare array<long>, often array<int>"), "encoded")
 
 
 def score_texts(encoded: DataFrame, counts: DataFrame, words: Words, params: dict[str, np.ndarray], v: lm.Vocabulary, keep: tuple[str, ...], mix: float = MIX) -> DataFrame:
@@ -293,7 +295,7 @@ def score_texts(encoded: DataFrame, counts: DataFrame, words: Words, params: dic
         return np.bincount(np.repeat(np.arange(len(n)), n + 1), weights=mixed, minlength=len(n)) / np.log(10)
 
     rows = map_arrow(rows, run, f"{fields}, score double")
-    light = encoded.select("row", F.explode("rare").alias("w")).groupBy("w", "row").agg(F.count("*").alias("tf"))
+    light = encoded.select("row", F.explode(F.arrays_zip("rare", "often")).alias("x")).select("row", F.col("x.rare").alias("w"), F.col("x.often").alias("tf"))
     light = light.join(counts.select(F.xxhash64("word").alias("w"), "n"), "w", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     light = light.groupBy("row").agg(F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(words.below))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     out = rows.join(light, "row", "left")

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -185,3 +186,68 @@ def test_a_bad_model_does_not_sink_scores(spark):
     rows = [r for r in ls.score_texts(encoded, counts, words, far, v, ("doc_id", "held_out")).collect() if r.held_out]
     assert rows and all(math.isfinite(r.score) for r in rows)
     assert sum(r.score for r in rows) > 1.5 * sum(r.base_score for r in rows)
+
+
+def plain_states(p, v, text):
+    """Each place's state worked out alone, with the context of the window that scores it."""
+    rows = v.row[np.concatenate([[END], text]).astype(int)]
+    out = []
+    for i in range(len(rows)):
+        first = 0 if i < lm.WIDTH else -(-(i - lm.WIDTH + 1) // lm.STRIDE) * lm.STRIDE
+        x = p["E"][rows[first : i + 1]]
+        q, k, val = np.split(x @ p["QKV"], 3, axis=1)
+        a = np.exp(k @ q[-1] / lm.DIM**0.5 + p["R"][i - first :: -1][: i - first + 1])
+        h = x[-1] + (a / a.sum()) @ val @ p["O"]
+        out.append(h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"])
+    return np.array(out)
+
+
+def test_scores_equal_plain_windows():
+    r, v, p = small_model()
+    texts = [r.integers(0, 5000, n) for n in (0, 1, 6, 7, 8, 22, 23, 24, 30, 31, 32, 47, 54, 55, 56, 57, 200)]
+    for got, t in zip(lm.score_ids(p, v, texts, END, windows=3), texts, strict=True):
+        want = lm.log_probabilities(p, v, plain_states(p, v, t), np.append(t, END))
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_only_scored_places_ask(monkeypatch):
+    r, v, p = small_model()
+    texts, asked, exp = [r.integers(0, 5000, 24 * 200 - 1)], [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (asked.append(x.size if x.shape[-1] != lm.SIDE else 0), exp(x, *a, **k))[1])
+    list(lm.score_ids(p, v, texts, END))
+    assert sum(asked) < 1.02 * lm.WIDTH * 24 * 200  # a window's other places would make it a third more
+
+
+def test_steps_reuse_their_arrays():
+    r, v, p = small_model()
+    t = lm.Trainer({k: x.astype(np.float32) for k, x in p.items()}, v, 1e-2, windows=64)
+    texts = [r.integers(0, 5000, 64 * lm.WIDTH - 1)]
+    t.learn(texts, END)
+    tracemalloc.start()
+    t.learn(texts, END)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the gradients and sums per input row remain; the logits alone of 64 windows take 256 kB, their backward pass as much
+    assert most < 3_000_000
+
+
+def test_gradients_beyond_float32():
+    r, v, p = small_model()
+    texts = [r.integers(0, 5000, n) for n in (3, 70, 40)]
+    index, scored, rows, target = next(iter(lm.prepared(texts, END, v)))
+    want, loss = lm.gradients(p, v, rows[index], target[index], scored)
+    for far in (-300, 300):  # the same shares, from sums that float32 can't hold
+        q = {k: x.astype(np.float32) for k, x in p.items()} | {"c": (p["c"] + far).astype(np.float32), "t": (p["t"] + far).astype(np.float32)}
+        got, other = lm.gradients(q, v, rows[index], target[index], scored)
+        assert abs(other - loss) < 1e-3 * loss
+        assert all(np.allclose(got[k], want[k], atol=1e-3 * np.abs(want[k]).max()) for k in want)
+
+
+def test_rare_words_of_a_text_are_told_once(spark):
+    docs = spark.createDataFrame([(1, "known words", True), (2, "zz " * 50 + "yy known", False), (3, None, False)], "doc_id long, text string, learn boolean")
+    encoded, counts, words, params, v = ls.learned(docs, VOCABULARY, ("doc_id",), "learn")
+    assert {r.doc_id: sorted(r.often) for r in encoded.collect()} == {1: [], 2: [1, 50], 3: []}
+    got = {r.doc_id: r for r in ls.score_texts(encoded, counts, words, params, v, ("doc_id",)).collect()}
+    below = 3 + 0.1 * 4
+    assert got[2].n_tokens == 53 and got[2].n_known == 2
+    assert abs(got[2].base_score - (51 * math.log10(0.1 / below) + 2 * math.log10(1.1 / below))) < 1e-9
