@@ -12,6 +12,9 @@ Lists of up to ``LIST`` classes yield their pairs; a longer list yields only a s
 may be alike. Candidates fall into connected blocks, and a block is cut into chunks of bounded size, alike sets (by
 their least shingle hash) beside each other. Two chunks are compared, by counting, only if a candidate pair or a long list has a
 member in both, so a chain of long lists doesn't make all its members meet, and no task's memory grows with a block.
+In a large table shingles that no task saw often have long lists too, which tie unlike sets into one block. Where blocks
+would be copied beyond the table's own sets, their long lists join the common shingles, which are read last, and lists
+are made anew (``ROUNDS``).
 Whole sets go to their own chunk once; to other chunks go slices of alike sets as their differences from what most of
 a slice holds.
 Of the links found, only spanning forests and counts leave a task.
@@ -43,6 +46,8 @@ HOT, DEALT = 5_000, 64
 CHUNK, CHUNK_SHINGLES = 1_000, 500_000
 SLICE, SLICE_SHINGLES = 64, 20_000
 MOST = 8
+#: Times that lists are made at most.
+ROUNDS = 3
 
 
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
@@ -120,6 +125,17 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[o], np.array([n for _, n in got], np.int64)[o]
 
 
+def with_long(common: np.ndarray, counts: np.ndarray, met: DataFrame, placed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles with those of the long lists, at most ``COMMON``, that reach blocks of several chunks."""
+    wide = placed.where("parts > 1").select(F.col("s").alias("b"))
+    got = commonest(stage(met.where("need = 0").join(wide, "b", "left_semi").groupBy("list").agg(F.count("*").alias("n")), "long"), "list", COMMON)
+    more = {int(np.int64(h).view(np.uint64)): n for h, n in got}
+    every = dict(zip(common.tolist(), counts.tolist(), strict=True))
+    every.update((h, max(n, every.get(h, 0))) for h, n in more.items())
+    h = np.sort(np.fromiter(every, np.uint64, len(every)))
+    return h, np.array([every[x] for x in h.tolist()], np.int64)
+
+
 def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, t: int) -> tuple[np.ndarray, int, np.ndarray]:
     """A set's prefix, its l, and which of the prefix's lists are surely long."""
     n = len(s)
@@ -422,22 +438,36 @@ def unit_slices(found: DataFrame, need: DataFrame) -> DataFrame:
     return both.select("root", "i", "j", "chunk", "names", "weights", "lengths", "blob").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "chunk")
 
 
+def placing(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(root, doc_id, s, size, parts, chunk): the block of each set that met another, and its chunk there."""
+    member = stage(stage(components(met.select("a", "b")), "blocks").select(F.col("node").alias("s"), "root").join(classes, "s"), "members")
+    cut = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("parts"))
+    # sets with one least shingle, as most near copies have, share a chunk unless they are too many
+    alike = member.groupBy("root", "least").agg(F.count("*").alias("alike"))
+    spot = F.pmod(F.xxhash64(F.when(F.col("alike") <= CHUNK, F.col("least")).otherwise(F.col("s"))), F.col("parts"))
+    return member.select("doc_id", "s", "size", "root", "least").join(cut, "root").join(alike, ["root", "least"]).withColumn("chunk", spot).drop("least", "alike")
+
+
 def classes_of(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, known). rows: doc_id, n_shingles, s of every row. known: s, root (names its component), c (its least
     doc_id), n_links of every set."""
     rows = stage(described(docs, words), "sets")
-    common, counts = common_shingles(rows)
-    met = meetings(postings(docs, words, percent, common, counts), percent)
-    met = stage(met.groupBy("a", "b", "list").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need"), "met")
-    blocks = stage(components(met.select("a", "b")), "blocks")
-
     classes = stage(rows.where("s <> 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("least").alias("least")), "classes")
-    member = stage(blocks.select(F.col("node").alias("s"), "root").join(classes, "s"), "members")
-    cut = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("parts"))
-    # sets with one least shingle, as most near copies have, share a chunk unless they are too many
-    alike = member.groupBy("root", "least").agg(F.count("*").alias("alike"))
-    spot = F.pmod(F.xxhash64(F.when(F.col("alike") <= CHUNK, F.col("least")).otherwise(F.col("s"))), F.col("parts"))
-    placed = stage(member.select("doc_id", "s", "size", "root", "least").join(cut, "root").join(alike, ["root", "least"]).withColumn("chunk", spot).drop("least", "alike"), "placed")
+    enough = classes.count()
+    common, counts = common_shingles(rows)
+    copies = None
+    for left in reversed(range(ROUNDS)):
+        met = meetings(postings(docs, words, percent, common, counts), percent)
+        met = stage(met.groupBy("a", "b", "list").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need"), "met")
+        placed = stage(placing(met, classes), "placed")
+        # sets that units would take, were all chunks of a block compared
+        before, copies = copies, (placed.groupBy("root").agg(F.first("parts").alias("p")).agg(F.sum(F.expr("p * (p - 1)"))).first()[0] or 0) * CHUNK
+        if not left or copies <= enough or (before is not None and 2 * copies > before):
+            break
+        known = len(common)
+        common, counts = with_long(common, counts, met, placed)
+        if len(common) == known:
+            break
     units = unit_sets(docs, placed, words).select("root", "chunk", "parts", "s", "size", "blob")
     found = stage(map_arrow(units.repartition("root", "chunk").sortWithinPartitions("root", "chunk", "s"), *within(percent)), "links")
     need = met_chunks(met, met.where("need > 0"), placed)

@@ -82,6 +82,27 @@ def test_units_take_differences_not_whole_sets(spark, monkeypatch):
     assert 0 < sum(sent) < 5 * sum(8 * n for n, _, _ in plain_join(rows, 3, 70).values())
 
 
+def test_phrases_no_task_sees_often_make_no_large_block(spark, monkeypatch):
+    """Unlike texts that share phrases, dealt so that no task holds one three times: their chunks aren't compared."""
+    units = []
+
+    def seen(found, need):
+        units.append(need.count())
+        return unit_slices(found, need)
+
+    unit_slices = ngram_join.unit_slices
+    monkeypatch.setattr(ngram_join, "LIST", 5)
+    monkeypatch.setattr(ngram_join, "CHUNK", 9)
+    monkeypatch.setattr(ngram_join, "unit_slices", seen)
+    r = random.Random(6)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(8)) for i in range(12)]
+    texts = [" ".join([" ".join(f"w{i}y{j}" for j in range(40)), *r.sample(phrases, 2)]) for i in range(150)]
+    rows = list(enumerate(texts + [t + " end" for t in texts[:20]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(200, "doc_id")
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_join.jaccard_join(df, 3, 70).collect()}
+    assert got == plain_join(rows, 3, 70) and sum(units) < 20
+
+
 def test_slices_hold_their_sets(monkeypatch):
     r = np.random.default_rng(3)
     base = np.sort(r.integers(0, 2**62, 200))
