@@ -98,3 +98,13 @@ def test_routes_of_common_paths_are_dealt(spark, monkeypatch):
     got = resolve.resolve_routes(r)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
     assert "share" in got._jdf.queryExecution().optimizedPlan().toString()  # no path is one task's
+
+
+def test_sites_of_a_common_path_have_few_copies(spark, monkeypatch):
+    from codeloom.operators import resolve
+
+    monkeypatch.setattr(resolve, "SHARE", 10)
+    client, server = spark.range(1_000).selectExpr("id src", "'/a' norm_path"), spark.range(4_000).selectExpr("id dst", "'/a' norm_path")
+    c, s = resolve.dealt(client, server)
+    assert c.count() + s.count() < 100_000  # 400,000 copies of servers when each share of clients met them all
+    assert c.join(s, ["norm_path", "share", "part"]).select("src", "dst").distinct().count() == c.join(s, ["norm_path", "share", "part"]).count() == 4_000_000
