@@ -113,3 +113,18 @@ def test_near_structures_equal_a_plain_loop(spark):
     rows = got.collect()
     assert {(x.candidate, x.id): x.similarity for x in rows} == want and len(rows) == len(want) > 60
     assert "array_intersect" in got._jdf.queryExecution().optimizedPlan().toString()  # sets are compared whole, not counted pair by pair
+
+
+def test_every_document_is_asked_for_near_copies(spark, tmp_path):
+    """Ids of any remainder and texts of any length, down to those of one mark and of none."""
+    import duckdb
+
+    from codeloom.plans.registry import ORACLES, QUERIES
+
+    long = " ".join(f"a{i}, 5." if i % 3 else f"if b{i};" for i in range(60))
+    rows = [(1, long), (2, long + " end"), (7, "a, 1. b"), (8, "z, 2. y"), (9, "a, 1. b. c."), (10, "z, 2. y. x."), (11, "a b"), (12, "a b"), (13, None), (14, None), (15, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["dup_near"](spark, str(tmp_path)).collect()))
+    assert got == sorted(c.sql(ORACLES["dup_near"]).fetchall()) and {x[:2] for x in got} >= {(1, 2), (2, 1), (7, 8), (8, 7), (9, 10), (10, 9)}
